@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tessera.llm import line_dedup
+from tessera.llm import line_dedup, simhash
 from tessera.session import table
 
 
+def op1_simhash(spark, sf_dir):
+    return simhash.query(table(spark, sf_dir, "documents"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return line_dedup.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_line_dedup,)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op7_line_dedup)}
 ORACLES = {"op7_line_dedup": line_dedup.ORACLE_SQL}
