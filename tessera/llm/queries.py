@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import line_dedup, simhash
+from tessera.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, piece_dropout, resample, simhash, token_files, url_filter
 from tessera.session import table
 
 
@@ -10,9 +10,44 @@ def op1_simhash(spark, sf_dir):
     return simhash.query(table(spark, sf_dir, "documents"))
 
 
+def op2_token_files(spark, sf_dir):
+    return token_files.query(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark, sf_dir):
+    return license_scan.query(table(spark, sf_dir, "documents"))
+
+
+def op4_url_filter(spark, sf_dir):
+    return url_filter.query(table(spark, sf_dir, "pages"))
+
+
+def op5_language_id(spark, sf_dir):
+    return language_id.query(table(spark, sf_dir, "documents"))
+
+
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark, sf_dir):
     return line_dedup.query(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op7_line_dedup)}
-ORACLES = {"op7_line_dedup": line_dedup.ORACLE_SQL}
+def op8_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.query(table(spark, sf_dir, "embeddings"))
+
+
+def op9_resample(spark, sf_dir):
+    return resample.query(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_piece_dropout(spark, sf_dir):
+    return piece_dropout.query(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_simhash, op2_token_files, op3_license_scan, op4_url_filter, op5_language_id, op6_decontaminate, op7_line_dedup, op8_embedding_dedup, op9_resample, op10_piece_dropout)
+}
+ORACLES = {"op7_line_dedup": line_dedup.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL}
