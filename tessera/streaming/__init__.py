@@ -1,0 +1 @@
+"""Kept empty on purpose: indexing is a full rebuild per generation, so there is no streaming state to hold."""
