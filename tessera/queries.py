@@ -1,0 +1,448 @@
+"""The engine's queries over the driver's tables, each with the SQL that gives the same rows.
+
+Documents stand for chunks (path = source/lang/id, one chunk each); an embedding belongs to the document of its id.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.functions import digests, text
+from tessera.model import SCAN_POLICY, Filter
+from tessera.operators import evaluate, gates, search
+from tessera.session import table
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
+
+TERMS = "the thatError reedHere tion"
+SIMPLE = "the and"
+DIMS = 64
+
+
+def query(sql: str | None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("doc_id").cast("string").alias("chunk_id"), "text", F.col("lang").alias("language"), F.lit("").alias("symbol_name"),
+        F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("start_line"), text.line_count(F.col("text")).alias("end_line"))
+
+
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "documents").select("doc_id"), F.col("vec_id") == F.col("doc_id"))
+    return e.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").alias("values"))
+
+
+def axis_query(n: int = DIMS) -> list[float]:
+    """A fixed query vector: 1, 1/2, 1/3, .. with alternating signs."""
+    return [(-1.0) ** i / (i + 1) for i in range(n)]
+
+
+CHUNKS_SQL = """chunks AS (SELECT doc_id::VARCHAR AS chunk_id, text, lang AS language, '' AS symbol_name,
+  source || '/' || lang || '/' || doc_id::VARCHAR AS path, 1 AS start_line,
+  (length(text) - length(replace(text, chr(10), '')) + CASE WHEN ends_with(text, chr(10)) THEN 0 ELSE 1 END)::INTEGER AS end_line FROM documents)"""
+
+
+def tokens_sql(column: str) -> str:
+    cut = rf"regexp_replace(regexp_replace({column}, '([\p{{Ll}}\p{{Nd}}])(\p{{Lu}})', '\1' || chr(10) || '\2', 'g'), '(\p{{Lu}})(\p{{Lu}}\p{{Ll}})', '\1' || chr(10) || '\2', 'g')"
+    return rf"list_filter(list_transform(regexp_split_to_array({cut}, '[^\p{{L}}\p{{Nd}}]+'), lambda x: lower(x)), lambda x: x <> '')"
+
+
+TOKENS_SQL = f"tokens AS (SELECT *, {tokens_sql('text')} AS tt, {tokens_sql('symbol_name')} AS st, {tokens_sql('path')} AS pt FROM chunks)"
+
+
+def score_sql(terms: list[str]) -> str:
+    total = "0.0::DOUBLE"
+    for t in terms:
+        for column, weight in (("tt", "0.6"), ("st", "0.3"), ("pt", "0.1")):
+            total = f"({total} + CASE WHEN list_contains({column}, '{t}') THEN {weight}::DOUBLE ELSE 0.0::DOUBLE END)"
+    return f"({total} / {len(terms)}.0::DOUBLE)"
+
+
+def lexical_sql(terms: list[str], limit: int, where: str = "true") -> str:
+    return f"""lexical AS (SELECT * FROM (SELECT chunk_id, path, start_line, end_line, {score_sql(terms)} AS score FROM tokens WHERE {where})
+      WHERE score > 0 ORDER BY score DESC, path, start_line, chunk_id LIMIT {limit})"""
+
+
+def vector_sql(limit: int, where: str = "true") -> str:
+    q = "[" + ", ".join(f"{x!r}::FLOAT::DOUBLE" for x in search.normalize_query(axis_query())) + "]"
+    return f"""vector AS (SELECT chunk_id, path, start_line, end_line, list_cosine_similarity(embedding::DOUBLE[], {q}) AS similarity
+      FROM embeddings JOIN chunks ON vec_id::VARCHAR = chunk_id WHERE {where} ORDER BY similarity DESC, path, start_line, end_line, chunk_id LIMIT {limit})"""
+
+
+LEXICAL = ("chunk_id", "path", "score")
+EN, PREFIX = Filter(languages=("en",)), Filter(path_prefixes=("src0", "src1/en/"))
+BOTH = Filter(path_prefixes=("src1", "src2/de"), languages=("de", "fr"))
+EN_SQL, PREFIX_SQL = "language IN ('en')", "(path = 'src0' OR starts_with(path, 'src0/') OR path = 'src1/en' OR starts_with(path, 'src1/en/'))"
+BOTH_SQL = "(path = 'src1' OR starts_with(path, 'src1/') OR path = 'src2/de' OR starts_with(path, 'src2/de/')) AND language IN ('de', 'fr')"
+WORDS = ["the", "that", "error", "reed", "here", "tion"]
+
+
+# --- text and lexical search -----------------------------------------------------------------
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, array_to_string({tokens_sql('text')}, ' ') AS tokens, array_to_string({tokens_sql('path')}, ' ') AS path_tokens FROM chunks")
+def tokenize_terms(spark, sf_dir):
+    joined = lambda c: F.array_join(text.tokens(F.col(c)), " ")
+    return chunks(spark, sf_dir).select("chunk_id", joined("text").alias("tokens"), joined("path").alias("path_tokens"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, len(list_distinct({tokens_sql('text')}))::INTEGER AS n_distinct FROM chunks")
+def token_sets(spark, sf_dir):
+    return chunks(spark, sf_dir).select("chunk_id", F.size(text.token_set(F.col("text"))).alias("n_distinct"))
+
+
+@query(f"WITH {CHUNKS_SQL}, {TOKENS_SQL}, {lexical_sql(WORDS, 20)} SELECT chunk_id, path, score FROM lexical")
+def lexical_topk(spark, sf_dir):
+    return search.lexical_search(chunks(spark, sf_dir), TERMS, 20).select(*LEXICAL)
+
+
+@query(f"WITH {CHUNKS_SQL}, {TOKENS_SQL}, {lexical_sql(WORDS, 20, PREFIX_SQL)} SELECT chunk_id, path, score FROM lexical")
+def lexical_filtered(spark, sf_dir):
+    return search.lexical_search(chunks(spark, sf_dir), TERMS, 20, PREFIX).select(*LEXICAL)
+
+
+@query(f"WITH {CHUNKS_SQL}, {TOKENS_SQL}, {lexical_sql(['der', 'und'], 15, EN_SQL.replace('en', 'de'))} SELECT chunk_id, path, score FROM lexical")
+def lexical_lang(spark, sf_dir):
+    return search.lexical_search(chunks(spark, sf_dir), "der Und DER", 15, Filter(languages=("de",))).select(*LEXICAL)
+
+
+@query(f"WITH {CHUNKS_SQL}, {TOKENS_SQL}, {lexical_sql(['les', 'src1', 'der'], 15, BOTH_SQL)} SELECT chunk_id, path, score FROM lexical")
+def lexical_multi_filter(spark, sf_dir):
+    return search.lexical_search(chunks(spark, sf_dir), "les src1 der", 15, BOTH).select(*LEXICAL)
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, path FROM chunks WHERE {PREFIX_SQL}")
+def path_prefix_filter(spark, sf_dir):
+    return chunks(spark, sf_dir).where(text.matches(PREFIX)).select("chunk_id", "path")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, language FROM chunks WHERE language IN ('de', 'es')")
+def language_filter(spark, sf_dir):
+    return chunks(spark, sf_dir).where(text.matches(Filter(languages=("de", "es")))).select("chunk_id", "language")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, start_line, end_line, true AS ok FROM chunks")
+def reference_validity(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    return c.select("chunk_id", "start_line", "end_line", (text.reference_ok(F.col("path"), F.col("start_line"), F.col("end_line")) & text.scan_path_ok(F.col("path"))).alias("ok"))
+
+
+# --- vectors and fusion ---------------------------------------------------------------------------
+
+
+NORM_SQL = "sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), lambda a, b: a + b))"
+
+
+@query(f"SELECT vec_id, list_transform(embedding, lambda x: (x::DOUBLE / n)::FLOAT)[1] AS first, list_transform(embedding, lambda x: (x::DOUBLE / n)::FLOAT)[{DIMS}] AS last FROM (SELECT *, {NORM_SQL} AS n FROM embeddings)")
+def vector_normalize(spark, sf_dir):
+    v = table(spark, sf_dir, "embeddings").withColumn("u", search.normalized(F.col("embedding")))
+    return v.select("vec_id", F.get("u", F.lit(0)).alias("first"), F.get("u", F.lit(DIMS - 1)).alias("last"))
+
+
+@query(f"WITH {CHUNKS_SQL}, {vector_sql(10)} SELECT chunk_id, path, similarity FROM vector")
+def vector_cosine_topk(spark, sf_dir):
+    found = search.vector_candidates(chunks(spark, sf_dir), vectors(spark, sf_dir), search.normalize_query(axis_query(), DIMS), 10)
+    return found.select("chunk_id", "path", "similarity")
+
+
+@query(f"WITH {CHUNKS_SQL}, {vector_sql(10, BOTH_SQL)} SELECT chunk_id, path, similarity FROM vector")
+def vector_filtered_topk(spark, sf_dir):
+    found = search.vector_candidates(chunks(spark, sf_dir), vectors(spark, sf_dir), search.normalize_query(axis_query(), DIMS), 10, BOTH)
+    return found.select("chunk_id", "path", "similarity")
+
+
+@query(f"WITH {CHUNKS_SQL}, {vector_sql(10)} SELECT chunk_id, path, (similarity + 1.0) / 2.0 AS score FROM vector")
+def vector_score_mapped(spark, sf_dir):
+    return search.vector_search(chunks(spark, sf_dir), vectors(spark, sf_dir), search.normalize_query(axis_query(), DIMS), 10).select(*LEXICAL)
+
+
+@query(f"""WITH {CHUNKS_SQL} SELECT
+  (SELECT count(*) FROM embeddings WHERE vec_id::VARCHAR NOT IN (SELECT chunk_id FROM chunks))::BIGINT AS orphans,
+  (SELECT count(*) FROM chunks WHERE chunk_id NOT IN (SELECT vec_id::VARCHAR FROM embeddings))::BIGINT AS missing,
+  (SELECT count(*) FROM (SELECT vec_id FROM embeddings GROUP BY vec_id HAVING count(*) > 1))::BIGINT AS repeated""")
+def vector_integrity_counts(spark, sf_dir):
+    c = chunks(spark, sf_dir).select("chunk_id")
+    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"))
+    orphans, missing = v.join(c, "chunk_id", "left_anti"), c.join(v, "chunk_id", "left_anti")
+    repeated = v.groupBy("chunk_id").count().where("count > 1")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return one(orphans, "orphans").join(one(missing, "missing")).join(one(repeated, "repeated"))
+
+
+def fused_sql(limit: int, window: int, k: int = 60, wl: float = 1.0, wv: float = 1.0) -> str:
+    return f"""WITH {CHUNKS_SQL}, {TOKENS_SQL}, {lexical_sql(['the', 'and'], window)}, {vector_sql(window)},
+      l AS (SELECT *, row_number() OVER (ORDER BY score DESC, path, start_line, chunk_id) AS rl FROM lexical),
+      v AS (SELECT *, row_number() OVER (ORDER BY (similarity + 1.0) / 2.0 DESC, path, start_line, end_line, chunk_id) AS rv FROM vector),
+      f AS (SELECT coalesce(l.chunk_id, v.chunk_id) AS chunk_id, coalesce(l.path, v.path) AS path, coalesce(l.start_line, v.start_line) AS s, coalesce(l.end_line, v.end_line) AS e,
+        (coalesce({wl}::DOUBLE / ({k}.0::DOUBLE + rl), 0) + coalesce({wv}::DOUBLE / ({k}.0::DOUBLE + rv), 0)) / {(wl + wv) / (k + 1)!r}::DOUBLE AS score,
+        ((rl IS NOT NULL)::INTEGER + (rv IS NOT NULL)::INTEGER) AS contributors, least(rl, rv) AS best FROM l FULL JOIN v USING (chunk_id))
+      SELECT chunk_id, path, score, contributors, best::INTEGER AS best_rank FROM f ORDER BY score DESC, contributors DESC, best, path, s, e, chunk_id LIMIT {limit}"""
+
+
+FUSED = ("chunk_id", "path", "score", "contributors", "best_rank")
+
+
+def _hybrid(spark, sf_dir, limit, **settings):
+    return search.hybrid_search(chunks(spark, sf_dir), vectors(spark, sf_dir), SIMPLE, search.normalize_query(axis_query(), DIMS), limit, **settings).select(*FUSED)
+
+
+@query(fused_sql(10, 40))
+def hybrid_rrf(spark, sf_dir):
+    return _hybrid(spark, sf_dir, 10)
+
+
+@query(fused_sql(100, 200))
+def hybrid_candidate_window(spark, sf_dir):
+    return _hybrid(spark, sf_dir, 100)
+
+
+@query(fused_sql(10, 40, 10, 1.0, 2.5))
+def hybrid_weighted(spark, sf_dir):
+    return _hybrid(spark, sf_dir, 10, k=10, lexical_weight=1.0, vector_weight=2.5)
+
+
+@query(f"WITH {CHUNKS_SQL}, {TOKENS_SQL}, {lexical_sql(['the', 'and'], 10)} SELECT chunk_id, path, score FROM lexical")
+def hybrid_fallback(spark, sf_dir):
+    candidates = search.lexical_search(chunks(spark, sf_dir), SIMPLE, search.candidate_window(10))
+    return search.fallback(candidates, 10).select(*LEXICAL)
+
+
+# --- inventories and gates ---------------------------------------------------------------------
+
+
+BAND_SQL = "CASE WHEN n <= 4096 THEN '0-4KiB' WHEN n <= 16384 THEN '4-16KiB' WHEN n <= 65536 THEN '16-64KiB' WHEN n <= 262144 THEN '64-256KiB' ELSE '256KiB-1MiB' END"
+
+
+@query(f"SELECT {BAND_SQL} AS band, count(*)::BIGINT AS n, sum(n)::BIGINT AS bytes FROM (SELECT strlen(text) AS n FROM documents) GROUP BY 1")
+def size_bands(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.octet_length("text").alias("size"))
+    return evaluate.counts_by(d.withColumn("band", evaluate.size_band(F.col("size"))), "band", F.col("size"))
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT language, count(*)::BIGINT AS n, sum(strlen(text))::BIGINT AS bytes FROM chunks GROUP BY 1")
+def inventory_by_language(spark, sf_dir):
+    return evaluate.counts_by(chunks(spark, sf_dir), "language", F.octet_length("text"))
+
+
+@query("SELECT source, count(*)::BIGINT AS n, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY 1")
+def bytes_by_source(spark, sf_dir):
+    return evaluate.counts_by(table(spark, sf_dir, "documents"), "source", F.octet_length("text"))
+
+
+PATH_SQL = "CASE doc_id % 5 WHEN 0 THEN 'src/tests/a' || doc_id || '.py' WHEN 1 THEN 'db/Migrations/test_' || doc_id || '.py' WHEN 2 THEN 'app/config.ts' WHEN 3 THEN 'lib/x' || doc_id || '.spec.js' ELSE 'lib/x.py' END"
+
+
+@query(f"""WITH p AS (SELECT lower({PATH_SQL}) AS p FROM documents),
+  s AS (SELECT p, regexp_extract(p, '^(.*/)?') AS f, regexp_replace(regexp_extract(p, '([^/]*)$', 1), '\\.[^.]*$', '') AS stem FROM p)
+  SELECT bucket, count(*)::BIGINT AS n FROM (
+    SELECT 'test' AS bucket FROM s WHERE regexp_matches(f, '(^|/)(test|tests|__tests__)/') OR regexp_matches(stem, '^test_|(_test|\\.test|\\.spec)$')
+    UNION ALL SELECT 'migration' FROM s WHERE regexp_matches(f, '(^|/)migrations?/')
+    UNION ALL SELECT 'permitted_configuration' FROM s WHERE regexp_matches(stem, '^config(uration)?$|\\.config$')) GROUP BY 1""")
+def pattern_buckets(spark, sf_dir):
+    paths = table(spark, sf_dir, "documents").select(F.expr(PATH_SQL).alias("path"))
+    return evaluate.counts_by(paths.select(F.explode(evaluate.path_patterns(F.col("path"))).alias("bucket")), "bucket")
+
+
+GATED_SQL = """gated AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '// Code generated by x. DO NOT EDIT.' || chr(10) || text
+  WHEN 1 THEN text || ' AKIA' || 'ABCDEFGHIJKLMNOP' || ' end' WHEN 2 THEN text || ' -----BEGIN ' || 'RSA PRIVATE KEY-----' WHEN 3 THEN 'xAKIA' || 'ABCDEFGHIJKLMNOP' || text
+  WHEN 4 THEN text || chr(10) || 'gh' || 'p_abcdefghij0123456789' ELSE text END AS t FROM documents)"""
+
+
+def gated(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    cases = F.expr(GATED_SQL[GATED_SQL.index("CASE") : GATED_SQL.index(" AS t")])
+    return d.select("doc_id", cases.alias("t"))
+
+
+KEY_SQL = r"regexp_matches(t, '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bAIza[0-9A-Za-z_-]{35}\b|\bgh[pousr]_[0-9A-Za-z]{20,}\b|\bxox[baprs]-[0-9A-Za-z-]{10,}\b')"
+PEM_SQL = "(" + " OR ".join(f"contains(upper(t), '-----BEGIN {k}-----')" for k in gates.PEM_MARKERS) + ")"
+HEADER_SQL = "(contains(lower(substring(t, 1, 4096)), 'code generated') AND contains(lower(substring(t, 1, 4096)), 'do not edit'))"
+
+
+@query(f"WITH {GATED_SQL} SELECT doc_id, {HEADER_SQL} AS generated FROM gated")
+def gate_generated(spark, sf_dir):
+    return gated(spark, sf_dir).select("doc_id", gates.generated_header(F.col("t")).alias("generated"))
+
+
+@query(f"WITH {GATED_SQL} SELECT doc_id, {KEY_SQL} AS credential FROM gated")
+def gate_credentials(spark, sf_dir):
+    return gated(spark, sf_dir).select("doc_id", gates.credential(F.col("t")).alias("credential"))
+
+
+@query(f"WITH {GATED_SQL} SELECT doc_id, {PEM_SQL} AS pem FROM gated")
+def gate_pem(spark, sf_dir):
+    return gated(spark, sf_dir).select("doc_id", gates.pem_marker(F.col("t")).alias("pem"))
+
+
+@query(f"WITH {GATED_SQL} SELECT reason, count(*)::BIGINT AS n FROM (SELECT CASE WHEN {HEADER_SQL} THEN 'generated' WHEN {PEM_SQL} OR {KEY_SQL} THEN 'secret' ELSE 'included' END AS reason FROM gated) GROUP BY 1")
+def gate_reasons_first_match(spark, sf_dir):
+    t = F.col("t")
+    reason = F.when(gates.generated_header(t), "generated").when(gates.pem_marker(t) | gates.credential(t), "secret").otherwise("included")
+    return evaluate.counts_by(gated(spark, sf_dir).withColumn("reason", reason), "reason")
+
+
+@query(r"""SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(token|password|secret|api_?key)[^\n;=:''"`]*=\s*(''[^'']*''|"[^"]*"|`[^`]*`)')""")
+def gate_secret_assignment(spark, sf_dir):
+    return table(spark, sf_dir, "documents").where(gates.secret_assignment(F.col("text"))).select("doc_id")
+
+
+NAMES_SQL = "CASE doc_id % 9 WHEN 0 THEN '.Env.local' WHEN 1 THEN 'Node_Modules' WHEN 2 THEN 'secrets.py' WHEN 3 THEN 'app.min.js' WHEN 4 THEN 'id_rsa.pub' WHEN 5 THEN 'main.tf' || 'state.backup' WHEN 6 THEN 'key.PEM' WHEN 7 THEN 'x.go' ELSE 'ok.py' END"
+
+
+@query(f"""SELECT reason, bucket, count(*)::BIGINT AS n FROM (SELECT
+  CASE doc_id % 9 WHEN 0 THEN 'security' WHEN 1 THEN 'dependency_build_cache' WHEN 2 THEN 'security' WHEN 3 THEN 'generated' WHEN 4 THEN 'security' WHEN 5 THEN 'security' WHEN 6 THEN 'security' ELSE 'none' END AS reason,
+  CASE doc_id % 9 WHEN 0 THEN '<other>' WHEN 1 THEN '<none>' WHEN 2 THEN '<other>' WHEN 3 THEN '.js' WHEN 4 THEN '<other>' WHEN 5 THEN '<other>' WHEN 6 THEN '<other>' WHEN 7 THEN '.go' ELSE '<other>' END AS bucket FROM documents) GROUP BY ALL""")
+def gate_names(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").select(F.expr(NAMES_SQL).alias("name"))
+    n = n.select(F.coalesce(gates.name_reason(F.col("name"), F.lit(False)), F.lit("none")).alias("reason"), gates.unsupported_bucket(F.col("name")).alias("bucket"))
+    return n.groupBy("reason", "bucket").agg(F.count("*").alias("n"))
+
+
+# --- identities ----------------------------------------------------------------------------------
+
+
+ID_SQL = f"sha256(concat_ws(chr(0), '{digests.CHUNK_TAG}', path, start_line::VARCHAR, end_line::VARCHAR, language, symbol_name, text))"
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, {ID_SQL} AS id FROM chunks")
+def chunk_ids(spark, sf_dir):
+    c = {x: F.col(x) for x in ("path", "start_line", "end_line", "language", "symbol_name", "text")}
+    return chunks(spark, sf_dir).select("chunk_id", digests.chunk_id(c["path"], c["start_line"], c["end_line"], c["language"], c["symbol_name"], c["text"]).alias("id"))
+
+
+@query(f"SELECT sha256('9:corpus-v1{len(SCAN_POLICY)}:{SCAN_POLICY}' || string_agg(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '' ORDER BY doc_id::VARCHAR)) AS revision, count(*)::BIGINT AS n FROM documents")
+def corpus_revision(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").agg(F.collect_list(F.col("doc_id").cast("string")).alias("ids"))
+    return ids.select(digests.corpus_revision(SCAN_POLICY, F.col("ids")).alias("revision"), F.size("ids").cast("long").alias("n"))
+
+
+def _frame_sql(parts: list[str]) -> str:
+    return "sha256(" + " || ".join(f"unhex(printf('%016x', strlen({p}))) || encode({p})" for p in parts) + ")"
+
+
+@query(f"SELECT item_id, {_frame_sql(['text', 'item_id::VARCHAR'])} AS id FROM benchmark")
+def generation_id(spark, sf_dir):
+    return table(spark, sf_dir, "benchmark").select("item_id", digests.framed_column([F.col("text"), F.col("item_id").cast("string")]).alias("id"))
+
+
+# --- metrics ---------------------------------------------------------------------------------------
+
+
+#: Conversations stand for cases, their turns for ranked hits, and some of the turns are judged relevant.
+CASES_SQL = """cases AS (SELECT DISTINCT conv_id AS case_id, 'c' || (conv_id % 3) AS category FROM conversations),
+ hits AS (SELECT conv_id AS case_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, text))::INTEGER AS rank, turn::VARCHAR AS chunk_id FROM conversations),
+ qrels AS (SELECT DISTINCT conv_id AS case_id, turn::VARCHAR AS chunk_id, (1 + (conv_id + turn) % 3)::INTEGER AS relevance FROM conversations WHERE (conv_id * 7 + turn * 3) % 4 = 0
+   UNION SELECT DISTINCT conv_id, 'never', 3 FROM conversations WHERE conv_id % 5 = 0)"""
+IDEAL_SQL = """ideal AS (SELECT case_id, count(*) AS n_relevant, sum(CASE WHEN place <= 10 THEN (pow(2.0, relevance) - 1.0) / log2(place + 1.0) ELSE 0.0 END) AS ideal
+   FROM (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY relevance DESC, chunk_id) AS place FROM qrels) GROUP BY case_id),
+ per AS (SELECT c.case_id, category, n_relevant, ideal,
+   coalesce(sum((rank <= 5 AND relevance IS NOT NULL)::INTEGER), 0) AS n5, coalesce(sum((rank <= 10 AND relevance IS NOT NULL)::INTEGER), 0) AS n10,
+   min(CASE WHEN relevance IS NOT NULL AND rank <= 10 THEN rank END) AS first,
+   coalesce(sum(CASE WHEN relevance IS NOT NULL AND rank <= 10 THEN (pow(2.0, relevance) - 1.0) / log2(rank + 1.0) END), 0) AS gain
+   FROM cases c JOIN ideal USING (case_id) LEFT JOIN hits h ON h.case_id = c.case_id LEFT JOIN qrels q ON q.case_id = c.case_id AND q.chunk_id = h.chunk_id GROUP BY ALL)"""
+
+
+def _cases(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations")
+    from pyspark.sql import Window
+
+    cases = t.select(F.col("conv_id").alias("case_id"), F.concat(F.lit("c"), (F.col("conv_id") % 3).cast("string")).alias("category")).distinct()
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "text"))
+    hits = t.select(F.col("conv_id").alias("case_id"), place.alias("rank"), F.col("turn").cast("string").alias("chunk_id"))
+    some = t.where((F.col("conv_id") * 7 + F.col("turn") * 3) % 4 == 0)
+    qrels = some.select(F.col("conv_id").alias("case_id"), F.col("turn").cast("string").alias("chunk_id"), (1 + (F.col("conv_id") + F.col("turn")) % 3).cast("int").alias("relevance"))
+    never = t.where("conv_id % 5 = 0").select(F.col("conv_id").alias("case_id"), F.lit("never").alias("chunk_id"), F.lit(3).alias("relevance"))
+    return cases, hits, qrels.union(never).distinct()
+
+
+def _rounded(df, *names):
+    return df.select(*(F.round(c, 9).alias(c) if c in names else c for c in df.columns))
+
+
+@query(f"WITH {CASES_SQL}, {IDEAL_SQL} SELECT case_id, round(n5 / n_relevant, 9) AS recall_5, round(n10 / n_relevant, 9) AS recall_10 FROM per")
+def metrics_recall(spark, sf_dir):
+    return _rounded(evaluate.case_metrics(*_cases(spark, sf_dir)).select("case_id", "recall_5", "recall_10"), "recall_5", "recall_10")
+
+
+@query(f"WITH {CASES_SQL}, {IDEAL_SQL} SELECT case_id, round(coalesce(1.0 / first, 0.0)::DOUBLE, 9) AS mrr_10 FROM per")
+def metrics_mrr(spark, sf_dir):
+    return _rounded(evaluate.case_metrics(*_cases(spark, sf_dir)).select("case_id", "mrr_10"), "mrr_10")
+
+
+@query(f"WITH {CASES_SQL}, {IDEAL_SQL} SELECT case_id, round(gain / ideal, 9) AS ndcg_10 FROM per")
+def metrics_ndcg(spark, sf_dir):
+    return _rounded(evaluate.case_metrics(*_cases(spark, sf_dir)).select("case_id", "ndcg_10"), "ndcg_10")
+
+
+@query(f"""WITH {CASES_SQL}, {IDEAL_SQL} SELECT category, count(*)::BIGINT AS cases, round(avg(n5 / n_relevant), 9) AS recall_5, round(avg(n10 / n_relevant), 9) AS recall_10,
+  round(avg(coalesce(1.0 / first, 0.0)::DOUBLE), 9) AS mrr_10, round(avg(gain / ideal), 9) AS ndcg_10 FROM per GROUP BY category""")
+def metrics_by_category(spark, sf_dir):
+    return _rounded(evaluate.category_metrics(evaluate.case_metrics(*_cases(spark, sf_dir))), "recall_5", "recall_10", "mrr_10", "ndcg_10")
+
+
+@query("SELECT round(avg(CASE WHEN a = 0 AND b = 0 THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS accuracy FROM (SELECT conv_id, count(*) FILTER (WHERE turn > 2) AS a, count(*) FILTER (WHERE turn > 3) AS b FROM conversations GROUP BY 1)")
+def metrics_no_evidence(spark, sf_dir):
+    runs = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.col("turn") > 2).alias("n_first"), F.count_if(F.col("turn") > 3).alias("n_second"))
+    return runs.agg(F.round(evaluate.no_evidence_accuracy(runs), 9).alias("accuracy"))
+
+
+@query(f"""WITH {CASES_SQL}, s AS (SELECT case_id, (case_id % 4 <> 0 OR case_id NOT IN (SELECT case_id FROM hits WHERE rank = 2)) AS same FROM cases)
+  SELECT count(*)::BIGINT AS cases, sum(same::INTEGER)::BIGINT AS same, round(avg(same::INTEGER), 9) AS rate FROM s""")
+def metrics_determinism(spark, sf_dir):
+    _, hits, _ = _cases(spark, sf_dir)
+    twisted = hits.withColumn("rank", F.when(F.col("case_id") % 4 == 0, -F.col("rank")).otherwise(F.col("rank")))
+    return _rounded(evaluate.determinism(hits, twisted), "rate")
+
+
+@query("SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95 FROM events GROUP BY 1")
+def latency_percentiles(spark, sf_dir):
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(*evaluate.latency_percentiles("value"))
+
+
+@query(r"""WITH c AS (SELECT doc_id::VARCHAR AS chunk_id, regexp_extract(text, '[\p{L}\p{Nd}]+') AS s FROM documents)
+  SELECT s AS query, min(chunk_id) AS first_id, array_to_string(list_sort(list(chunk_id)), ',') AS relevant FROM c WHERE s <> '' GROUP BY s ORDER BY first_id LIMIT 50""")
+def exact_symbol_cases(spark, sf_dir):
+    c = chunks(spark, sf_dir).withColumn("symbol_name", F.regexp_extract("text", r"[\p{L}\p{Nd}]+", 0))
+    return evaluate.exact_symbol_cases(c, 50).withColumn("relevant", F.array_join("relevant", ","))
+
+
+@query("SELECT count(*)::BIGINT AS hits, count(*) FILTER (WHERE doc_id % 10 <> 3)::BIGINT AS valid, round(count(*) FILTER (WHERE doc_id % 10 <> 3) / count(*), 9) AS validity FROM documents WHERE doc_id % 3 = 0")
+def citation_join(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    hits = c.where("chunk_id % 3 = 0").withColumn("end_line", F.when(F.expr("chunk_id % 10 = 3"), F.lit(-1)).otherwise(F.col("end_line")))
+    return _rounded(evaluate.citation_validity(hits, c), "validity")
+
+
+@query(f"""WITH {CHUNKS_SQL}, j AS (SELECT 'case-' || chunk_id AS case_id, CASE WHEN chunk_id::BIGINT % 4 = 0 THEN path || 'x' ELSE path END AS path, start_line, end_line, 2 AS relevance FROM chunks WHERE chunk_id::BIGINT % 5 = 0)
+  SELECT case_id, count(c.chunk_id)::BIGINT AS matches, min(c.chunk_id) AS chunk_id FROM j LEFT JOIN chunks c USING (path, start_line, end_line) GROUP BY case_id""")
+def gold_resolution(spark, sf_dir):
+    c = chunks(spark, sf_dir)
+    judgments = c.where("chunk_id % 5 = 0").select(
+        F.concat(F.lit("case-"), "chunk_id").alias("case_id"), F.when(F.expr("chunk_id % 4 = 0"), F.concat("path", F.lit("x"))).otherwise(F.col("path")).alias("path"), "start_line", "end_line", F.lit(2).alias("relevance"))
+    return evaluate.resolve_judgments(judgments, c).select("case_id", "matches", "chunk_id")
+
+
+# --- the store's joins --------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey AS generation FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25)")
+def store_purge_antijoin(spark, sf_dir):
+    active = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(active, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("generation"))
+
+
+@query("SELECT c_custkey AS generation, count(o_orderkey)::BIGINT AS chunks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def store_manifest_counts(spark, sf_dir):
+    owned = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
+    return table(spark, sf_dir, "customer").join(owned, "c_custkey", "left").groupBy(F.col("c_custkey").alias("generation")).agg(F.count("o_orderkey").alias("chunks"))
