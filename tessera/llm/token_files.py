@@ -23,8 +23,11 @@ aren't stored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -39,39 +42,78 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 512
-#: Words whose ids a task remembers; the memory is emptied when it is full.
+#: Words whose ids a worker remembers; when there are more, those not seen since the last time are forgotten.
 MEMORY = 300_000
+#: Lower-case letters of these blocks have one form only, and are letters to the tokenizer's patterns.
+_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,])?")
+#: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _COLUMNS = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 
 
 class WordEncoder:
-    """Whole texts through a tokenizer that never looks across a blank: words seen before aren't encoded again."""
+    """Whole texts through a byte-level BPE tokenizer that lower-cases and never looks across a blank: words seen
+    lately aren't encoded again.
+
+    Words of Latin letters, with a full stop or comma after them or not, are one or two pieces for the tokenizer's
+    model, and go to it directly; it is the rest that needs the tokenizer's own normalizer and patterns.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
+
+    def _plain(self, letters: str) -> bytes:
+        found = self.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LEVEL))
+        return array("I", [t.id for t in found]).tobytes()
+
+    def _learn(self, words: list[str]) -> None:
+        known, older, other = self.known, self.older, []
+        for word in words:
+            ids = older.get(word)
+            if ids is None:
+                plain = _PLAIN.fullmatch(word)
+                if not plain:
+                    other.append(word)
+                    continue
+                letters, stop = plain.groups()
+                letters = letters.lower()
+                ids = known.get(letters) or older.get(letters) or self._plain(letters)
+                if stop:
+                    known[letters] = ids
+                    ids += self._plain(stop)
+            known[word] = ids
+        for at in range(0, len(other), 10_000):
+            part = other[at : at + 10_000]
+            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                known[word] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit integers."""
         words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*words) - self.known.keys()) if words else []
-        if new and len(self.known) + len(new) > MEMORY:
-            self.known = {"": b""}
-            new = list(set().union(*words) - {""})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
+        wanted = set().union(*words) if words else set()
+        if len(self.known) + len(wanted) > MEMORY:
+            self.known, self.older = {"": b""}, self.known
+        self._learn(list(wanted - self.known.keys()))
         ids = self.known.__getitem__
         return [b"".join(map(ids, w)) for w in words]
 
 
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> WordEncoder:
+    """One for all tasks of a Python worker; what it remembers changes its speed, not its ids."""
+    return WordEncoder(path)
+
+
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start, end = WordEncoder(path), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        encoder, part, start, end = _encoder(path), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
         for rows in batches:
             raw = [ids + end for ids in encoder.encode(rows["text"].to_pylist())]
             n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
