@@ -6,7 +6,13 @@ documents with the k largest weights after Gumbel noise are kept, which is a sam
 proportion to the weights. The noise is a keyed hash of the id: equal input gives an equal sample.
 
 Tokens are runs of letters and digits and runs of other characters; A-Z is lower-cased. A word right after
-itself is one and the same n-gram whatever the word, so that repetition shows.
+itself is an n-gram named by how often it has stood there, whatever the word, so that repetition shows.
+
+The models count an n-gram once a document, so that one document's repetitions can't stand for the corpus. Only buckets
+whose target count is far from what the counts of all text lead one to expect tell the models apart (``LEAST_Z``
+deviations, and a factor of ``LEAST_RATIO`` or more); the others count as equal, else the noise of thousands of rare words
+would drown a few telling ones. What is expected is set by the median bucket, so that text of the target's
+kind has a weight near 0 at any length.
 
 The target model is fitted on at most ``target_sample`` documents labelled good (quality 1, not toxic); the model
 of all text counts all documents. k is the share of good documents among the labelled, of all documents, unless it is
@@ -29,11 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.arrow import ASCII_LOWER, as_bytes, batch
+from tessera.llm.sampling import bounded_sample
 from tessera.session import small_batches, stored
 
-BITS = 16
+BITS = 18
 TARGET_SAMPLE = 20_000
 SEED = 9
+LEAST_Z, LEAST_RATIO = 4.0, 0.5
 #: Bytes of text hashed together, but for a single longer text.
 _CHUNK = 1 << 21
 _KIND = np.full(256, 2, np.uint8)
@@ -41,6 +49,8 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
 _BASE, _INVERSE = 0x100000001B3, pow(0x100000001B3, -1, 1 << 64)
 _REPEAT = 0x9E3779B97F4A7C15
+#: Longer runs of a word count as this long.
+_LONGEST = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -57,8 +67,9 @@ class Grams:
 
     def _grow(self, n: int) -> None:
         if len(self.powers) < n:
-            step = lambda x: np.cumprod(np.concatenate([[1], np.full(n - 1, x, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            self.powers, self.inverses = step(_BASE), step(_INVERSE)
+            steps = np.ones((2, n), np.uint64)
+            steps[0, 1:], steps[1, 1:] = np.uint64(_BASE), np.uint64(_INVERSE)
+            self.powers, self.inverses = np.cumprod(steps, axis=1, dtype=np.uint64)
 
     def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Buckets of all n-grams, and the text of each; by texts."""
@@ -69,11 +80,17 @@ class Grams:
         edge = np.flatnonzero(np.diff(kind, prepend=0) != 0)
         start = edge[kind[edge] != 0]
         ends = np.append(edge, len(data))[np.searchsorted(edge, start) + 1]
-        total = np.concatenate([[0], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], dtype=np.uint64)]).astype(np.uint64)
+        total = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], dtype=np.uint64, out=total[1:])
         word = (total[ends] - total[start]) * self.inverses[start]
         owner = np.repeat(np.arange(len(texts)), [len(t or b"") + 1 for t in texts])[start] if len(start) else np.zeros(0, np.int64)
         pair = np.flatnonzero(owner[1:] == owner[:-1])
-        two = np.where(word[pair] == word[pair + 1], np.uint64(_REPEAT), _mix(word[pair]) * np.uint64(3) + word[pair + 1])
+        again = word[pair] == word[pair + 1]
+        fresh = np.ones(len(pair), bool)  # a run of repeats starts anew here, or there is none
+        fresh[1:] = ~again[:-1] | (np.diff(pair) != 1)
+        place = np.arange(len(pair))
+        run = np.minimum(place - np.maximum.accumulate(np.where(fresh, place, 0)), _LONGEST - 1).astype(np.uint64)
+        two = np.where(again, np.uint64(_REPEAT) + run, _mix(word[pair]) * np.uint64(3) + word[pair + 1])
         hashed = np.concatenate([_mix(word), _mix(two ^ np.uint64(0x5851F42D4C957F2D))])
         return (hashed >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([owner, owner[pair]])
 
@@ -95,6 +112,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, good = as_bytes(rows["text"]), np.array(rows["good"].to_pylist(), bool)
         for part in _chunks(texts):
             bucket, owner = grams.of(texts[part])
+            once = np.unique(owner << BITS | bucket)
+            owner, bucket = once >> BITS, once & ((1 << BITS) - 1)
             counts += np.bincount(bucket, minlength=1 << BITS)
             target += np.bincount(bucket[good[part][owner]], minlength=1 << BITS)
     some = np.flatnonzero(counts)
@@ -112,15 +131,23 @@ def ratios(docs: DataFrame, target: DataFrame) -> np.ndarray:
     marked = docs.select("doc_id", "text").join(F.broadcast(target.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left")
     marked = marked.select("text", F.coalesce("good", F.lit(False)).alias("good"))
     found = marked.mapInArrow(_counted, "bucket int, n long, n_target long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
-    raw, own = np.ones(1 << BITS), np.zeros(1 << BITS)
-    for row in found.collect():  # at most 2 ** BITS rows
-        raw[row["bucket"]] += row["n"]
-        own[row["bucket"]] = row["n_target"]
+    rows = found.toArrow()  # at most 2 ** BITS rows
+    raw, own = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    raw[rows["bucket"].to_numpy()], own[rows["bucket"].to_numpy()] = rows["n"].to_numpy(), rows["n_target"].to_numpy()
+    return telling_ratios(raw, own)
+
+
+def telling_ratios(raw: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Logarithms of target over expected counts; 0 where they don't differ for certain."""
     if not own.sum():
-        return np.zeros(1 << BITS)
-    raw /= raw.sum()
-    own += 0.5
-    return np.log(own / own.sum()) - np.log(raw)
+        return np.zeros(len(raw))
+    share = own / np.maximum(raw, 1)
+    order = np.argsort(share, kind="stable")
+    mass = np.cumsum(own[order])
+    expected = raw * share[order][np.searchsorted(mass, mass[-1] / 2)]
+    ratio = np.log((own + 1) / (expected + 1))
+    certain = np.abs(own - expected) >= LEAST_Z * np.sqrt(expected + 1)
+    return np.where(certain & (np.abs(ratio) >= LEAST_RATIO), ratio, 0.0)
 
 
 def gumbel(doc_id: int | None, seed: int) -> float:
@@ -169,10 +196,10 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, target_sa
     """(doc_id, log_weight, key) of the documents kept."""
     small_batches(docs.sparkSession)
     known = good_documents(labels)
-    good = known.where("good").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(target_sample)
+    n_good, n_known = known.agg(F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)), F.count("*")).first()
+    good = bounded_sample(known.where("good").select("doc_id"), target_sample, n_good, seed, "doc_id")
     rows = stored(weigh(docs, ratios(docs, good), seed), "weights")
     if k is None:
-        n_good, n_known = known.agg(F.sum(F.col("good").cast("long")), F.count("*")).first()
         n = rows.count()
         k = round(n * n_good / n_known) if n_good else n
     least = kth_largest(rows, "place", k) if k > 0 else None
