@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.arrow import batch
 from tessera.llm.components import Forest, connected
+from tessera.llm.sampling import bounded_sample
 from tessera.session import small_batches, stored
 
 #: Vectors that the principal directions are taken from, at most.
@@ -205,10 +206,11 @@ def _links(nodes: DataFrame, dims: int, least: float, wide: bool) -> DataFrame:
     """(edge, a, b): edges between nodes, or a node and a number of linked vectors."""
     spark = nodes.sparkSession
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) * (1 + 1e-9) + 1e-9
-    sample = nodes.orderBy(F.xxhash64("v"), "node").limit(SAMPLE).select("v").toArrow()["v"].combine_chunks()
+    n = nodes.count()
+    sample = bounded_sample(nodes, SAMPLE, n, 8, "node").select("v").toArrow()["v"].combine_chunks()
     directions = principal(_matrix(sample, dims).astype(np.float64))
     cells = nodes.mapInArrow(_placed(directions, eps), f"node long, copies long, v array<{'double' if wide else 'float'}>, cells array<int>")
-    parts = max(1, -(-nodes.count() // (4 * STRIP)))
+    parts = max(1, -(-n // (4 * STRIP)))
     ordered = cells.repartitionByRange(parts, "cells", "node").sortWithinPartitions("cells", "node").drop("cells")
     strips = stored(ordered.mapInArrow(_stripped(directions, wide), "strip long, lo array<double>, hi array<double>, nodes binary, copies binary, vectors binary"), "strips")
     boxes = strips.select("strip", "lo", "hi").orderBy("strip").collect()
