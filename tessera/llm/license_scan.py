@@ -116,3 +116,31 @@ def labels(spans: DataFrame) -> DataFrame:
 
 def query(docs: DataFrame) -> DataFrame:
     return labels(scan(docs.select("doc_id", "text")))
+
+
+def _oracle() -> str:
+    """The same spans from plain lists of words, without hashes."""
+    rows = [(True, *p) for p in PHRASES] + [(False, *t) for t in TEMPLATES]
+    values = ", ".join(f"({i}, {str(base).lower()}, '{label}', '{text}')" for i, (base, label, text) in enumerate(rows))
+    return rf"""
+WITH t AS (SELECT tid, base, label, string_split(txt, ' ') AS tw, len(string_split(txt, ' ')) AS n FROM (VALUES {values}) v(tid, base, label, txt)),
+tg AS (SELECT tid, base, label, n, unnest(range(1, n - {K - 2})) AS j, tw FROM t),
+tgrams AS (SELECT tid, base, label, n, j, tw[j] AS g0, tw[j + 1] AS g1, tw[j + 2] AS g2 FROM tg),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+p AS (SELECT rid, w, unnest(range(1, len(w) - {K - 2})) AS i FROM d),
+hits AS (SELECT rid, tid, base, label, n, i, i - j AS diagonal FROM p JOIN tgrams ON w[i] = g0 AND w[i + 1] = g1 AND w[i + 2] = g2),
+votes AS (SELECT rid, tid, base, label, n, diagonal, count(*) AS votes, min(i) AS first, max(i) AS last FROM hits GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, tid ORDER BY diagonal) > {NEIGHBOURS}, true) THEN 1 ELSE 0 END AS step FROM votes),
+numbered AS (SELECT *, sum(step) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS span FROM steps),
+spans AS (SELECT rid, tid, base, label, n, sum(votes) AS votes, min(first) - 1 AS first, max(last) + {K - 2} AS last FROM numbered GROUP BY rid, tid, base, label, n, span),
+good AS (SELECT *, least(1.0::DOUBLE, votes::DOUBLE / (n - {K - 1})) AS s FROM spans
+  WHERE CASE WHEN base THEN votes = n - {K - 1} ELSE votes >= ceil({COVER}::DOUBLE * (n - {K - 1})) AND last - first + 1 <= {STRETCH}::DOUBLE * n END),
+found AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS a, max(first) FILTER (WHERE base) AS z,
+  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(s) AS score FROM good GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
+  coalesce(b, '') AS base_labels, coalesce(l, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (rid)
+"""
+
+
+ORACLE_SQL = _oracle()

@@ -50,4 +50,4 @@ QUERIES = {
     f.__name__: f
     for f in (op1_simhash, op2_token_files, op3_license_scan, op4_url_filter, op5_language_id, op6_decontaminate, op7_line_dedup, op8_embedding_dedup, op9_resample, op10_piece_dropout)
 }
-ORACLES = {"op7_line_dedup": line_dedup.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL}
+ORACLES = {"op3_license_scan": license_scan.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL}
