@@ -151,8 +151,8 @@ def _secret_lines(texts: pd.Series) -> pd.Series:
 
 
 def secret_assignment(text: Column) -> Column:
-    """The quote state of a line can't be told by a pattern, so texts that hold a secret's word go to Python; others don't."""
-    return F.coalesce(F.when(F.lower(text).rlike("|".join(SECRET_KEYS)), _secret_lines(text)), F.lit(False))
+    """The quote state of a line can't be told by a pattern, so texts that hold a secret's word go to Python; others go as nulls."""
+    return F.coalesce(_secret_lines(F.when(F.is_valid_utf8(text) & F.lower(text).rlike("|".join(SECRET_KEYS)), text)), F.lit(False))
 
 
 def content_reason(content: Column, size: Column | None = None) -> Column:
