@@ -1,0 +1,84 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import gates
+from tessera.sources import tree
+
+
+def write(root, path, content=b"x = 1\n"):
+    full = os.path.join(root, path)
+    os.makedirs(os.path.dirname(full), exist_ok=True)
+    with open(full, "wb") as f:
+        f.write(content)
+
+
+KEY = b"AK" + b"IA" + b"ABCDEFGHIJKLMNOP"
+PEM = b"-----BEGIN " + b"EC PRIVATE KEY-----"
+
+
+def test_denied_folders_and_names(tmp_path):
+    root = str(tmp_path)
+    for name in (*gates.SECURITY_FOLDERS[1:], *gates.BUILD_FOLDERS):
+        write(root, f"{name.upper()}/inside.py")
+    for name in (*gates.SECURITY_NAMES[1:], ".env", ".ENV.prod", "Secrets.py", "credentials", "id_rsa_old", "x.PEM", "state.tfstate", "a.tfstate.bak"):
+        write(root, name)
+    for name in ("a.min.js", "b.map", "c.generated.ts", "d.gen.py"):
+        write(root, name)
+    write(root, "packages/allowed.ts")
+    with tree.Tree(root) as t:
+        assert [f.path for f in t.walk()] == ["packages/allowed.ts"]
+        r = t.report
+    assert r.excluded == {"security": len(gates.SECURITY_FOLDERS) - 1 + len(gates.SECURITY_NAMES) - 1 + 8, "dependency_build_cache": len(gates.BUILD_FOLDERS), "generated": 4}
+
+
+def test_content_gates(tmp_path, spark):
+    root = str(tmp_path)
+    write(root, "keep.py", b"token = lookup(); safe = 'x'; same = token == 'prod'\n")
+    write(root, "pkg/__init__.py", b"")
+    write(root, "_private.py")
+    write(root, ".hidden.py")
+    write(root, "invalid.py", b"\xff")
+    write(root, "made.py", b"# Code Generated by x. DO NOT EDIT.\n")
+    write(root, "identity.py", PEM)
+    write(root, "cloud.py", b"k = " + KEY + b"\n")
+    write(root, "config.ts", b"const a = 1; db_password = `x`\n")
+    write(root, "binary.py", b"a\0b")
+    write(root, "large.ts", b"x" * (gates.MAX_FILE_BYTES + 1))
+    write(root, "README.md")
+    write(root, "odd.zzz")
+    write(root, "nested/.git/x.py")
+    write(root, "nested/y.py")
+    os.mkfifo(os.path.join(root, "pipe.py"))
+    os.symlink(os.path.join(root, "keep.py"), os.path.join(root, "link.py"))
+    files, r, policy = tree.scan(spark, root)
+    assert [x.path for x in files.collect()] == [".hidden.py", "_private.py", "keep.py", "pkg/__init__.py"] and policy == "scanner-v6"
+    assert r.excluded == {"invalid_utf8": 1, "generated": 1, "secret": 3, "binary": 1, "too_large": 1, "unsupported_extension": 2, "nested_repository": 1, "non_regular": 1, "symlink": 1}
+    assert (r.eligible_files, r.included_files, r.by_language) == (11, 4, {"python": 4}) and r.unsupported_files == {".md": 1, "<other>": 1}
+    with tree.Tree(root) as t:
+        assert t.same_as(root) and not t.same_as(os.path.join(root, "pkg"))
+        list(t.walk())
+        with pytest.raises(tree.ScanError):
+            next(t.walk())
+    with pytest.raises(tree.ScanError) as e:
+        tree.Tree(os.path.join(root, "link.py"))
+    assert root not in str(e.value)
+
+
+@pytest.mark.parametrize("line,found", [
+    ("password = 'x'", True), ('api_key: "x"', True), ("password: str = 'x'", True), ("safe = 'x'; password: str = 'y'", True), ("password = lookup(); safe = 'x'", False), ("m = password == 'prod'", False), ("f = (token) => 'x'", False),
+    ("token = 'open", False), ("note = 'password = x'", False), ("'it\\'s' ; secret = \"a\"", True), ("secret != 'x'", False), ("x = 1", False), ("a: 'b', token: 'c'", False), ("token = ''", True), ("token =", False),
+])
+def test_secret_assignments(line, found, spark):
+    assert gates.assigns_secret(line) == found
+    assert spark.createDataFrame([(line,)], "t string").select(gates.secret_assignment(F.col("t"))).first()[0] == found
+
+
+def test_columns_equal_the_driver_twin(spark):
+    bodies = [b"x", b"\xff", b"a\0b", PEM.lower(), KEY, b"_" + KEY, "é".encode() + KEY, b"code generated\ndo not edit", b"gh" + b"p_" + b"a" * 20 + b"-", b"AI" + b"za" + b"b" * 34 + b"-", b"password = 'x'", b"x" * 5000 + b"code generated do not edit"]
+    rows = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bodies)], "i int, b binary").select("i", gates.content_reason(F.col("b")).alias("r")).collect()
+    assert {r.i: r.r for r in rows} == {i: gates.content_reason_of(b) for i, b in enumerate(bodies)}
+    names = [".GIT", "src", "x.py", ".env.a", "secrets", "secretsx", "a.min.b", "id_rsa", "vendor", "y.key", "Jenkinsfile"]
+    rows = spark.createDataFrame([(n, f) for n in names for f in (True, False)], "n string, f boolean").select("n", "f", gates.name_reason(F.col("n"), F.col("f")).alias("r")).collect()
+    assert all(r.r == gates.name_reason_of(r.n, r.f) for r in rows)
