@@ -10,8 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions.text import bound, checked, matches, token_set
 from tessera.model import EvidenceIntegrity, Filter, InvalidConfig, InvalidQuery, InvalidQueryVector
@@ -116,6 +119,37 @@ def cosine(left: Column, right: Column) -> Column:
     return bound(value, lambda c: F.when((c > 1) & (c <= 1 + 1e-12), 1.0).when((c < -1) & (c >= -1 - 1e-12), -1.0).otherwise(c))
 
 
+#: Longer vectors are scored a batch at a time outside the JVM: its array functions aren't compiled, and take about
+#: 100 ns a component. The sums run over the components in the same order, so both ways give the same doubles.
+COMPILED_DIMENSIONS = 128
+
+
+def cosine_batches(values: Column, query: Sequence[float]) -> Column:
+    """``cosine`` with one fixed vector, for many rows at a time."""
+    import numpy as np
+
+    q = np.asarray(query, np.float32).astype(np.float64)
+
+    @F.arrow_udf(T.DoubleType())
+    def score(rows: pa.Array) -> pa.Array:
+        fits = pc.fill_null(pc.equal(pc.list_value_length(rows), len(q)), False).to_numpy(zero_copy_only=False)
+        columns = rows.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(q)).T.astype(np.float64)
+        dot, left, right = np.zeros(columns.shape[1]), np.zeros(columns.shape[1]), 0.0
+        for x, y in zip(columns, q.tolist()):
+            dot += x * y
+            left += x * x
+            right += y * y
+        with np.errstate(invalid="ignore", divide="ignore"):
+            found = dot / np.sqrt(left * right)
+        found[(found > 1) & (found <= 1 + 1e-12)] = 1.0
+        found[(found < -1) & (found >= -1 - 1e-12)] = -1.0
+        out = np.full(len(rows), np.nan)
+        out[fits] = found
+        return pa.array(out, mask=~fits)
+
+    return score(values)
+
+
 def vector_candidates(chunks: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int, wanted: Filter = Filter(), languages: Sequence[str] | None = None) -> DataFrame:
     """The ``limit`` chunks most similar to a unit query vector; chunks with ``similarity``.
 
@@ -124,10 +158,13 @@ def vector_candidates(chunks: DataFrame, vectors: DataFrame, query: Sequence[flo
     if not 0 < limit <= MAX_VECTOR_LIMIT:
         raise InvalidQuery("invalid vector limit")
     checked(wanted, languages)
-    literal = F.array(*(F.lit(float(x)).cast("float") for x in query))
+    if len(query) > COMPILED_DIMENSIONS:
+        similarity = cosine_batches(F.col("values"), query)
+    else:
+        similarity = cosine(F.col("values"), F.array(*(F.lit(float(x)).cast("float") for x in query)))
     # only ids and the columns of the order go through the ranking; texts are joined to the k best
     keys = chunks.where(matches(wanted)).select(*VECTOR_ORDER)
-    scored = keys.join(vectors.select("chunk_id", "values"), "chunk_id").withColumn("similarity", cosine(F.col("values"), literal)).drop("values")
+    scored = keys.join(vectors.select("chunk_id", "values"), "chunk_id").withColumn("similarity", similarity).drop("values")
     best = scored.orderBy(F.desc("similarity"), *VECTOR_ORDER).limit(limit)
     rest = [c for c in chunks.columns if c not in VECTOR_ORDER]
     return best.join(chunks.select("chunk_id", *rest), "chunk_id").select(*chunks.columns, "similarity") if rest else best

@@ -123,3 +123,14 @@ def test_fusion(spark):
     other = ranked(spark, "a").withColumn("path", F.lit("other.py"))
     with pytest.raises(m.EvidenceIntegrity):
         s.fuse(ranked(spark, "a"), other, 4, check=True)
+
+
+def test_batches_give_the_same_doubles(spark):
+    rng = random.Random(7)
+    n = 300
+    q = s.normalize_query([rng.uniform(-1, 1) for _ in range(n)])
+    rows = [(i, [rng.uniform(-1, 1) for _ in range(n)]) for i in range(40)] + [(90, q), (91, [0.0] * n), (92, None), (93, [1.0])]
+    df = spark.createDataFrame(rows, "i int, v array<float>")
+    literal = F.array(*(F.lit(x).cast("float") for x in q))
+    got = df.select("i", s.cosine(F.col("v"), literal).alias("a"), s.cosine_batches(F.col("v"), q).alias("b")).collect()
+    assert all(r.a == r.b for r in got if r.i <= 90) and {r.i: r.b for r in got}[92] is None and {r.i: r.b for r in got}[93] is None
