@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import resource
 import time
 from functools import reduce
 
@@ -132,6 +133,7 @@ def evaluate_tree(spark: SparkSession, root: str, repository: str, checklist: g.
             report["retrieval"] = retrieval
             report["performance"] |= latency
             report["capability_gaps"] = {c: "evaluated" if c in retrieval["categories"] else "not-evaluated" for c in g.CATEGORIES}
+        report["performance"]["peak_heap_bytes_approximate"] = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss * 1024
         report["decision"] = "go"
         return report
     except m.EngineError:

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import digests, text
-from tessera.model import SCAN_POLICY, Filter
-from tessera.operators import evaluate, gates, search
+from tessera.model import FILE, SCAN_POLICY, Filter
+from tessera.operators import declarations, evaluate, gates, search
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -433,6 +433,59 @@ def gold_resolution(spark, sf_dir):
     return evaluate.resolve_judgments(judgments, c).select("case_id", "matches", "chunk_id")
 
 
+# --- declarations and chunks -------------------------------------------------------------------
+
+
+def _values(rows: list[tuple], columns: str) -> str:
+    shown = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
+    return f"SELECT * FROM (VALUES {shown}) v({columns})"
+
+
+PYTHON = "# loads\n@cached\nasync def load_data(x):\n    def inner(): pass\n\nclass Repository:\n    def save(self): pass\n\n"
+TYPESCRIPT = "import x\nexport async function loadData() {\n  function inner() {}\n}\n/** doc\n */\nexport abstract class Store {}\ninterface Options {}\nexport type Result = 1\ndeclare enum State {}\nconst arrow = () => 1\n"
+JAVASCRIPT = "if (ready) {\nfunction hidden() {}\n}\nexport default class View {}\nconst help = async (a, b) => a + b\nconst bad = (a, a) => 1\nconst t = `{`\nfunction* walk() {}\n"
+LOST = "function before() {}\nconst s = 'open\nfunction after() {}\n"
+PLAIN = "\n\nexport const answer = 42\n\n"
+FILES = (("src/load.py", "python", PYTHON), ("src/load.ts", "typescript", TYPESCRIPT), ("src/view.js", "javascript", JAVASCRIPT), ("src/lost.js", "javascript", LOST), ("src/plain.js", "javascript", PLAIN))
+
+
+def _files(spark, *languages):
+    rows = [(p, lang, bytearray(t.encode())) for p, lang, t in FILES if lang in languages]
+    return spark.createDataFrame(rows, FILE)
+
+
+SYMBOLS = {
+    "python": [("src/load.py", "load_data", "function", 3), ("src/load.py", "Repository", "class", 6)],
+    "typescript": [("src/load.ts", "loadData", "function", 2), ("src/load.ts", "Store", "class", 7), ("src/load.ts", "Options", "interface", 8), ("src/load.ts", "Result", "type", 9), ("src/load.ts", "State", "enum", 10)],
+    "javascript": [("src/view.js", "View", "class", 4), ("src/view.js", "help", "function", 5), ("src/view.js", "walk", "function", 8), ("src/lost.js", "before", "function", 1)],
+}
+
+
+@query(_values(SYMBOLS["python"], "path, name, kind, line"))
+def parse_python(spark, sf_dir):
+    return declarations.declared_lines(_files(spark, "python")).select("path", "name", "kind", "line")
+
+
+@query(_values(SYMBOLS["typescript"], "path, name, kind, line"))
+def parse_typescript(spark, sf_dir):
+    return declarations.declared_lines(_files(spark, "typescript")).select("path", "name", "kind", "line")
+
+
+@query(_values(SYMBOLS["javascript"], "path, name, kind, line"))
+def parse_javascript(spark, sf_dir):
+    return declarations.parse_files(_files(spark, "javascript")).select("path", "name", "kind", "line")
+
+
+@query(_values([("src/load.py", "load_data", 1, 4), ("src/load.py", "Repository", 6, 7), ("src/load.ts", "loadData", 2, 4), ("src/load.ts", "Store", 5, 7), ("src/load.ts", "Options", 8, 8), ("src/load.ts", "Result", 9, 9), ("src/load.ts", "State", 10, 11)], "path, symbol_name, start_line, end_line"))
+def chunk_symbols(spark, sf_dir):
+    return declarations.chunk_files(_files(spark, "python", "typescript")).select("path", "symbol_name", "start_line", "end_line")
+
+
+@query(_values([("src/plain.js", 3, 3, "export const answer = 42")], "path, start_line, end_line, text"))
+def chunk_fallback(spark, sf_dir):
+    return declarations.chunk_files(_files(spark, "javascript")).where("symbol_name = ''").select("path", "start_line", "end_line", "text")
+
+
 # --- the store's joins --------------------------------------------------------------------------------
 
 
