@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrow import as_bytes, batch
+from tessera.llm.sampling import bounded_sample
 from tessera.session import small_batches
 
 #: Labelled documents that the network learns from, at most.
@@ -170,7 +171,7 @@ def loss_and_gradients(net: Network, codes: np.ndarray, labels: np.ndarray) -> t
     return float(-np.log(np.maximum(picked, 1e-12)).mean()), [sides[0][0], sides[1][0], sides[0][1], sides[1][1], d_out, d.sum(axis=(0, 2))[:, None]]
 
 
-def train(examples: list[tuple[bytes, str]], seed: int = 1, rounds: int = 160, size: int = 256, window: int = 48, rate: float = 0.02) -> Network:
+def train(examples: list[tuple[bytes, str]], seed: int = 1, rounds: int = 300, size: int = 192, window: int = 32, rate: float = 0.03) -> Network:
     """Adam over windows drawn from the examples, each language as often as the others."""
     languages = sorted({lang for _, lang in examples})
     rng = np.random.default_rng(seed)
@@ -205,12 +206,12 @@ def held_out() -> Column:
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Network:
     """Train on ``sample`` labelled documents that aren't held out."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.col("text") != "") & F.col("doc_id").isNotNull() & ~held_out())
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     # of a long text, four pieces spread over it
     quarter = F.greatest(F.lit(0), F.floor((F.length("text") - 256) / 3)).cast("int")
     pieces = F.when(F.length("text") <= 1024, F.col("text")).otherwise(F.concat(*(F.substring("text", quarter * i + 1, F.lit(256)) for i in range(4))))
-    order = F.xxhash64(F.col("doc_id"), F.lit(7))
-    rows = rows.select(order.alias("h"), "doc_id", pieces.alias("text"), "lang").orderBy("h", "doc_id", "text").limit(sample).collect()
+    rows = known.where(F.col("text") != "").select("doc_id", "lang", pieces.alias("text"))
+    rows = bounded_sample(rows, sample, known.select("doc_id").count(), 7, "doc_id", "text").collect()
     return train([(r["text"].encode(), r["lang"]) for r in rows])
 
 
