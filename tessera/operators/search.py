@@ -113,9 +113,10 @@ def normalize_query(vector: Sequence[float], dimensions: int | None = None) -> l
 
 
 def cosine(left: Column, right: Column) -> Column:
-    """Dot product over the root of the product of the squared lengths, in double, in order; a last-bit excess over 1 is cut."""
+    """Dot product over the root of the product of the squared lengths, in double, in order; a last-bit excess over 1 is cut.
+    Null for a vector of zeros."""
     dot = F.aggregate(F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    value = dot / F.sqrt(_squares(left) * _squares(right))
+    value = F.try_divide(dot, F.sqrt(_squares(left) * _squares(right)))
     return bound(value, lambda c: F.when((c > 1) & (c <= 1 + 1e-12), 1.0).when((c < -1) & (c >= -1 - 1e-12), -1.0).otherwise(c))
 
 
@@ -144,8 +145,8 @@ def cosine_batches(values: Column, query: Sequence[float]) -> Column:
         found[(found > 1) & (found <= 1 + 1e-12)] = 1.0
         found[(found < -1) & (found >= -1 - 1e-12)] = -1.0
         out = np.full(len(rows), np.nan)
-        out[fits] = found
-        return pa.array(out, mask=~fits)
+        out[fits] = np.where(left * right > 0, found, np.nan)
+        return pa.array(out, mask=np.isnan(out))
 
     return score(values)
 
