@@ -16,7 +16,7 @@ blank. Hence every text decodes to itself.
 
 Defined cases: a null or empty text has no ids; a null id has variant 0; repeated rows get equal ids; very long
 texts and words without any blank are encoded whole; an empty table gives an empty result; other columns pass through
-``encode`` untouched, but for ids, which replaces a column of that name.
+``encode`` untouched, but for the four that it adds, which replace columns of those names.
 """
 
 from __future__ import annotations
@@ -24,13 +24,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrow import batch
@@ -39,13 +39,14 @@ from tessera.session import small_batches
 SEED = 20
 DROPOUT = 0.1
 VARIANTS = 4
-#: Encoded words that a task remembers; the memory is emptied when it is full.
-MEMORY = 400_000
+#: Encoded words that a worker remembers; when there are more, those not seen since the last time are forgotten.
+MEMORY = 200_000
 #: Words longer than this are encoded one at a time.
 _WIDE = 48
 _BLOCK = 20_000
 _WORD = re.compile(r" *[^ \n]+| +|\n+")
 _BLANK = "▁"
+_STEP = 0x9E3779B97F4A7C15
 _M1, _M2, _MASK = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFFFFFFFFFFFFFFFF
 
 
@@ -71,12 +72,15 @@ class Pieces:
         if any(not model.is_byte(i) for i in self.byte):
             raise ValueError("this model has no byte pieces")
         ids = {names[i]: i for i in plain}
-        self.char = {(" " if t == _BLANK else t): i for t, i in ids.items() if len(t) == 1}
+        # per code point its piece, or -1 - the code point
+        self.char = -1 - np.arange(0x110000, dtype=np.int32)
+        for t, i in ids.items():
+            if len(t) == 1:
+                self.char[ord(" " if t == _BLANK else t)] = i
         # the order of merges: by score, best first
         scores = np.array([model.get_score(i) for i in range(self.size)])
         self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)
         merges = {ids[t[:k]] * self.size + ids[t[k:]]: i for t, i in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
-        self.merges = merges
         self.pairs = np.array(sorted(merges), np.int64)
         self.merged = np.array([merges[p] for p in self.pairs.tolist()], np.int64)
         self.text = [names[i].replace(_BLANK, " ").encode() for i in range(self.size)]
@@ -89,10 +93,10 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
         return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.merged[at], -1)
 
-    def symbols(self, word: str) -> list[int]:
-        """Per character its piece, or -1 - its code point."""
-        get = self.char.get
-        return [get(c, -1 - ord(c)) for c in word]
+    def symbols(self, words: list[str]) -> np.ndarray:
+        """Words of one length -> (words, characters): pieces, or -1 - code points."""
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        return self.char[points].astype(np.int64).reshape(len(words), -1)
 
     def spelled(self, symbols: list[int]) -> list[int]:
         """Piece ids of symbols: those without a piece become bytes."""
@@ -117,30 +121,34 @@ class Dropout:
         self.limit = np.uint64(min(_MASK, int(rate * 2.0**64)))
         self.keys = np.array([xxhash.xxh64_intdigest(f"{seed}/{v}".encode(), 0) for v in range(variants)], np.uint64)
         self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
 
     def variant(self, doc_id: int | None) -> int:
         return 0 if doc_id is None else xxhash.xxh64_intdigest(str(doc_id).encode(), 1) % self.variants
 
-    def _word_key(self, words: list[str], variant: int) -> np.ndarray:
-        return np.array([xxhash.xxh64_intdigest(w.encode(), 2) for w in words], np.uint64) ^ self.keys[variant]
+    def _word_key(self, symbols: np.ndarray, variant: int) -> np.ndarray:
+        key = np.full(len(symbols), self.keys[variant])
+        for column in symbols.T:
+            key = _mix(key ^ column.astype(np.uint64)) + np.uint64(_STEP)
+        return key
 
     def _skipped(self, key, start, left, right):
         """The keyed hash of a candidate, against the rate."""
         if not self.rate:
             return np.zeros(np.shape(left), bool)
-        spot = start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (left * self.pieces.size + right).astype(np.uint64)
+        spot = start.astype(np.uint64) * np.uint64(_STEP) + (left * self.pieces.size + right).astype(np.uint64)
         return _mix(key ^ _mix(spot)) < self.limit
 
     def one(self, word: str, variant: int) -> list[int]:
         """A word by an agenda in a heap."""
-        pieces, sym = self.pieces, self.pieces.symbols(word)
-        key = self._word_key([word], variant)
+        pieces, matrix = self.pieces, self.pieces.symbols([word])
+        key, sym = self._word_key(matrix, variant), matrix[0].tolist()
         n = len(sym)
         before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
 
         def candidate(i: int):
             j = after[i]
-            made = pieces.merges.get(sym[i] * pieces.size + sym[j], -1) if j >= 0 and sym[i] >= 0 and sym[j] >= 0 else -1
+            made = int(pieces.lookup(np.int64(sym[i]), np.int64(sym[j]))) if j >= 0 else -1
             return None if made < 0 else (int(pieces.rank[made]), i, sym[i], sym[j], made)
 
         agenda = [c for i in range(n) if (c := candidate(i))]
@@ -165,8 +173,8 @@ class Dropout:
         """Words of one length, all of them a merge at a time; their ids as little-endian 32-bit integers."""
         pieces = self.pieces
         n, m = len(words), len(words[0])
-        symbols = np.array([pieces.symbols(w) for w in words], np.int64).reshape(n, m)
-        key = self._word_key(words, variant)
+        symbols = pieces.symbols(words)
+        key = self._word_key(symbols, variant)
         start = np.broadcast_to(np.arange(m), (n, m)).copy()
         row, none = np.arange(n), np.iinfo(np.int64).max
         out: list[bytes] = [b""] * n
@@ -212,11 +220,15 @@ class Dropout:
             finish(row, symbols)
         return out
 
-    def learn(self, words: list[str], variant: int) -> None:
+    def learn(self, words: set[str], variant: int) -> None:
         by_length: dict[int, list[str]] = {}
-        known = self.known[variant]
-        for w in words:
-            by_length.setdefault(len(w), []).append(w)
+        known, older = self.known[variant], self.older[variant]
+        for w in words - known.keys():
+            ids = older.get(w)
+            if ids is None:
+                by_length.setdefault(len(w), []).append(w)
+            else:
+                known[w] = ids
         for length, group in by_length.items():
             if length > _WIDE:
                 known.update((w, np.array(self.one(w, variant), "<i4").tobytes()) for w in group)
@@ -230,35 +242,55 @@ class Dropout:
         words = [_WORD.findall(" " + t) if t else [] for t in texts]
         own = [self.variant(d) for d in doc_ids]
         if sum(map(len, self.known)) > MEMORY:
-            self.known = [{} for _ in self.known]
+            self.known, self.older = [{} for _ in self.known], self.known
         for v in set(own):
-            self.learn(list(set().union(*(w for w, o in zip(words, own) if o == v)) - self.known[v].keys()), v)
+            self.learn(set().union(*(w for w, o in zip(words, own) if o == v)), v)
         return [b"".join(map(self.known[v].__getitem__, w)) for w, v in zip(words, own)]
 
 
+@lru_cache(maxsize=2)
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
+
+
+@lru_cache(maxsize=2)
+def _coder(path: str, seed: int, rate: float, variants: int) -> Dropout:
+    """One for all tasks of a Python worker; what it remembers changes its speed, not its ids."""
+    return Dropout(_pieces(path), seed, rate, variants)
+
+
 def _encoded(path: str, seed: int, rate: float, variants: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Dropout(Pieces(path), seed, rate, variants)
+        coder = _coder(path, seed, rate, variants)
         for rows in batches:
-            raw = coder.encode(rows["text"].to_pylist(), rows["doc_id"].to_pylist())
-            offsets = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-            yield batch([*rows.schema.names, "ids"], [*rows.columns, lists])
+            texts = rows["text"].to_pylist()
+            raw = coder.encode(texts, rows["doc_id"].to_pylist())
+            ids = np.frombuffer(b"".join(raw), "<i4")
+            ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
+            same = [coder.pieces.decode(ids[a:b].tolist()) == (t or "") for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist())]
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+            sums = pa.array([zlib.crc32(r) for r in raw], pa.int64())
+            yield batch([*rows.schema.names, *_ADDED.names], [*rows.columns, lists, np.diff(ends), sums, pa.array(same, pa.bool_())])
 
     return run
 
 
+_ADDED = T.StructType([
+    T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_pieces", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("lossless", T.BooleanType())
+])
+
+
 def encode(docs: DataFrame, model: str, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS) -> DataFrame:
-    """``docs`` with the column ids (array<int>)."""
+    """``docs`` with ids (array<int>), n_pieces, ids_crc32 (of the ids as little-endian 32-bit integers) and lossless:
+    whether the ids, decoded, are the text."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("ids")
-    schema = T.StructType([*docs.schema, T.StructField("ids", T.ArrayType(T.IntegerType(), False))])
-    return docs.mapInArrow(_encoded(model, seed, rate, variants), schema)
+    docs = docs.drop(*_ADDED.names)
+    return docs.mapInArrow(_encoded(model, seed, rate, variants), T.StructType([*docs.schema, *_ADDED]))
 
 
 def _decoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(path)
+        pieces = _pieces(path)
         for rows in batches:
             texts = [pieces.decode(ids or []) for ids in rows["ids"].to_pylist()]
             yield batch([*rows.schema.names, "decoded"], [*rows.columns, pa.array(texts, pa.string())])
@@ -273,19 +305,8 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
     return rows.mapInArrow(_decoded(model), T.StructType([*rows.schema, T.StructField("decoded", T.StringType())]))
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        lists = rows["ids"]
-        values, ends = np.ascontiguousarray(lists.values.to_numpy(), "<i4").view(np.uint8), lists.offsets.to_numpy()
-        n = np.diff(ends).astype(np.int64)
-        sums = [zlib.crc32(values[4 * a : 4 * b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        yield batch(["doc_id", "n_pieces", "ids_crc32", "lossless"], [rows["doc_id"], n, pa.array(sums, pa.int64()), rows["lossless"]])
-
-
 def query(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = decode(encode(docs.select("doc_id", "text"), model), model)
-    rows = rows.select("doc_id", "ids", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"))
-    return rows.mapInArrow(_digested, "doc_id long, n_pieces long, ids_crc32 long, lossless boolean")
+    rows = encode(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select("doc_id", "n_pieces", "ids_crc32", "lossless")

@@ -62,3 +62,9 @@ def test_query(documents):
     want = [(d, len(raw) // 4, zlib.crc32(raw), True) for d, raw in zip(ids, coder.encode(TEXTS, ids))]
     assert sorted(map(tuple, rows), key=repr) == sorted(want, key=repr)
     assert p.query(documents(["a"]).limit(0)).count() == 0
+
+
+def test_decode_reads_what_encode_writes(documents):
+    docs = documents(TEXTS, extra=True)
+    rows = p.decode(p.encode(docs, MODEL, rate=0.5), MODEL).collect()
+    assert len(rows) == len(TEXTS) and all(r.decoded == (r.text or "") and r.lossless and len(r.ids) == r.n_pieces and r.host == "host" for r in rows)
