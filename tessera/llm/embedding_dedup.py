@@ -76,35 +76,57 @@ def _placed(directions: np.ndarray, eps: float):
     return run
 
 
-def _stripped(directions: np.ndarray, wide: bool):
-    dims = len(directions)
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds each row's partition and its place in it."""
+    from pyspark import TaskContext
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    part, at = TaskContext.get().partitionId(), 0
+    for rows in batches:
+        place = np.arange(at, at + rows.num_rows)
+        at += rows.num_rows
+        yield batch([*rows.schema.names, "part", "place"], [*rows.columns, np.full(rows.num_rows, part, np.int32), place])
 
-        part, k = TaskContext.get().partitionId(), 0
-        held: list[pa.RecordBatch] = []
 
-        def strip(rows: pa.Table) -> pa.RecordBatch:
-            nonlocal k
-            v = _matrix(rows["v"].combine_chunks(), dims)
-            near = _unit(v.astype(np.float64)) @ directions
-            k += 1
-            packed = [x.tobytes() for x in (rows["node"].to_numpy(), rows["copies"].to_numpy(), v.astype(np.float64 if wide else np.float32))]
-            return batch(["strip", "lo", "hi", "nodes", "copies", "vectors"], [pa.array([part << 32 | k]), pa.array([near.min(axis=0).tolist()]), pa.array([near.max(axis=0).tolist()]), *(pa.array([x], pa.binary()) for x in packed)])
+def _packed(directions: np.ndarray, wide: bool):
+    dims = len(directions)
 
-        for rows in batches:
-            held.append(rows)
-            while sum(x.num_rows for x in held) >= STRIP:
-                table = pa.Table.from_batches(held)
-                yield strip(table.slice(0, STRIP))
-                held = table.slice(STRIP).to_batches()
-        if sum(x.num_rows for x in held):
+    def strip(rows: pa.Table) -> pa.RecordBatch:
+        v = _matrix(rows["v"].combine_chunks(), dims)
+        near = _unit(v.astype(np.float64)) @ directions
+        packed = [x.tobytes() for x in (rows["node"].to_numpy(), rows["copies"].to_numpy(), v.astype(np.float64 if wide else np.float32))]
+        return batch(["strip", "lo", "hi", "nodes", "copies", "vectors"], [rows["strip"].combine_chunks()[:1], pa.array([near.min(axis=0).tolist()]), pa.array([near.max(axis=0).tolist()]), *(pa.array([x], pa.binary()) for x in packed)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for rows in batches:  # sorted by strip
+            number = rows["strip"].to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), rows.num_rows]
+            for begin, end in zip(cuts, cuts[1:]):
+                if held and begin < end and held[0]["strip"][0].as_py() != number[begin]:
+                    yield strip(pa.Table.from_batches(held))
+                    held = []
+                if begin < end:
+                    held.append(rows.slice(begin, end - begin))
+        if held:
             yield strip(pa.Table.from_batches(held))
 
     return run
 
 
+def _strips(ordered: DataFrame, directions: np.ndarray, wide: bool, kind: str) -> DataFrame:
+    """Rows of up to ``STRIP`` vectors that follow each other in the whole order, however it was dealt out."""
+    rows = stored(ordered.mapInArrow(_numbered, f"node long, copies long, v {kind}, part int, place long"), "ordered-vectors")
+    offsets, total = [], 0
+    for part, n in rows.groupBy("part").agg(F.count("*")).orderBy("part").collect():  # a row per partition
+        offsets.append((part, total))
+        total += n
+    table = F.broadcast(ordered.sparkSession.createDataFrame(offsets, "part int, before long"))
+    rows = rows.join(table, "part").withColumn("place", F.col("before") + F.col("place"))
+    rows = rows.select("node", "copies", "v", "place", F.floor(F.col("place") / STRIP).alias("strip"))
+    rows = rows.repartition("strip").sortWithinPartitions("strip", "place").drop("place")
+    return stored(rows.mapInArrow(_packed(directions, wide), "strip long, lo array<double>, hi array<double>, nodes binary, copies binary, vectors binary"), "strips")
+
+
 def _apart(lo_a, hi_a, lo_b, hi_b, eps: float) -> bool:
     return bool((np.maximum(lo_a - hi_b, lo_b - hi_a) > eps).any())
 
@@ -209,10 +231,11 @@ def _links(nodes: DataFrame, dims: int, least: float, wide: bool) -> DataFrame:
     n = nodes.count()
     sample = bounded_sample(nodes, SAMPLE, n, 8, "node").select("v").toArrow()["v"].combine_chunks()
     directions = principal(_matrix(sample, dims).astype(np.float64))
-    cells = nodes.mapInArrow(_placed(directions, eps), f"node long, copies long, v array<{'double' if wide else 'float'}>, cells array<int>")
+    kind = f"array<{'double' if wide else 'float'}>"
+    cells = nodes.mapInArrow(_placed(directions, eps), f"node long, copies long, v {kind}, cells array<int>")
     parts = max(1, -(-n // (4 * STRIP)))
     ordered = cells.repartitionByRange(parts, "cells", "node").sortWithinPartitions("cells", "node").drop("cells")
-    strips = stored(ordered.mapInArrow(_stripped(directions, wide), "strip long, lo array<double>, hi array<double>, nodes binary, copies binary, vectors binary"), "strips")
+    strips = _strips(ordered, directions, wide, kind)
     boxes = strips.select("strip", "lo", "hi").orderBy("strip").collect()
     pairs = strip_pairs(np.array([r["lo"] for r in boxes]), np.array([r["hi"] for r in boxes]), eps)
     table = spark.createDataFrame([(boxes[i]["strip"], boxes[j]["strip"]) for i, j in pairs], "p long, q long")
