@@ -2,19 +2,21 @@
 
 The model's pieces are merged as its own library does: of all neighbours whose joint text is a piece, the best
 scored (then leftmost) merge comes next on the agenda. Here a candidate that comes up is skipped for good if a
-keyed hash says so. The hash sees the seed, the variant, the word, where in the word the candidate stands and its
-two pieces, and nothing else, so equal input always gives equal ids, on any machine and in any order.
+keyed hash says so. The hash sees the seed, the document's id, the word's place in the document and which candidate of
+the word it is, and nothing else, so equal input always gives equal ids, on any machine and in any order, and every
+occurrence of a word, in a document or in another, is cut on its own. The hash gives the number of candidates up to
+the next that is skipped, which is the same as asking for each.
 
-A document's variant, one of ``variants``, is a hash of its id; other seeds give other segmentations of the whole
+``variants`` is the number of keys that ids are hashed to; other seeds give other segmentations of the whole
 corpus. Words (a run of blanks and what follows it; a run of line ends is one too) are independent, for no piece
-of the model goes across their borders; that is checked when the model is loaded. So a task encodes each
-distinct word of a variant once, many words at a time: all words of a length are rows of one matrix, and one step
-does the next merge of every row.
+of the model goes across their borders; that is checked when the model is loaded. So a task computes the ids of
+a word and the candidates skipped in it once, many words at a time: all words of a length are rows of one matrix, and
+one step does the next merge of every row.
 
 Characters without a piece become byte pieces; so does a literal U+2581, which the model would turn into a
 blank. Hence every text decodes to itself.
 
-Defined cases: a null or empty text has no ids; a null id has variant 0; repeated rows get equal ids; very long
+Defined cases: a null or empty text has no ids; a null id has the key 0; repeated rows get equal ids; very long
 texts and words without any blank are encoded whole; an empty table gives an empty result; other columns pass through
 ``encode`` untouched, but for the four that it adds, which replace columns of those names.
 """
@@ -26,6 +28,7 @@ import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,12 +41,18 @@ from tessera.session import small_batches
 
 SEED = 20
 DROPOUT = 0.1
-VARIANTS = 4
-#: Encoded words that a worker remembers; when there are more, those not seen since the last time are forgotten.
+#: Keys that documents are dealt to: all hashes of 64 bits, so that each document has its own.
+VARIANTS = 1 << 64
+#: Segmentations that a worker remembers; when there are more, those met once since the last
+#: time are forgotten.
 MEMORY = 200_000
 #: Words longer than this are encoded one at a time.
 _WIDE = 48
 _BLOCK = 20_000
+#: Words segmented together.
+_PART = 500_000
+#: Gaps between skipped candidates are drawn up to here; more than the candidates of any word up to _WIDE.
+_FAR = 1024
 _WORD = re.compile(r" *[^ \n]+| +|\n+")
 _BLANK = "▁"
 _STEP = 0x9E3779B97F4A7C15
@@ -56,6 +65,11 @@ def _mix(x):
     return x ^ (x >> np.uint64(31))
 
 
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its size."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Pieces:
     """The vocabulary of a SentencePiece model: its characters, bytes and merges."""
 
@@ -80,18 +94,41 @@ class Pieces:
         # the order of merges: by score, best first
         scores = np.array([model.get_score(i) for i in range(self.size)])
         self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)
-        merges = {ids[t[:k]] * self.size + ids[t[k:]]: i for t, i in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
-        self.pairs = np.array(sorted(merges), np.int64)
-        self.merged = np.array([merges[p] for p in self.pairs.tolist()], np.int64)
+        self.merges = merges = {ids[t[:k]] * self.size + ids[t[k:]]: i for t, i in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
+        # a hash table of merges, by linear probing; -1 is free
+        self.bits = max(4, (4 * len(merges)).bit_length())
+        self.pairs, self.merged = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1)
+        keys = np.array(sorted(merges), np.int64)
+        for key, at in zip(keys.tolist(), self._slot(keys).tolist()):
+            while self.pairs[at] >= 0:
+                at = (at + 1) & ((1 << self.bits) - 1)
+            self.pairs[at], self.merged[at] = key, merges[key]
         self.text = [names[i].replace(_BLANK, " ").encode() for i in range(self.size)]
         for b, i in enumerate(self.byte):
             self.text[i] = bytes([b])
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece two symbols make, or -1. Negative symbols (characters without a piece) make none."""
-        key = left * self.size + right
-        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-        return np.where((self.pairs[at] == key) & (left >= 0) & (right >= 0), self.merged[at], -1)
+        key = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
+        at = self._slot(key)
+        pairs = self.pairs[at]
+        made = np.where(pairs == key, self.merged[at], -1)
+        if (far := (pairs != key) & (pairs >= 0) & (key >= 0)).any():
+            at, key, found = at[far], key[far], made[far]
+            left = np.arange(len(at))
+            while len(left):
+                at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
+                pairs = self.pairs[at[left]]
+                found[left] = np.where(pairs == key[left], self.merged[at[left]], -1)
+                left = left[(pairs != key[left]) & (pairs >= 0)]
+            made[far] = found
+        return made
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(_STEP)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def made(self, left: int, right: int) -> int:
+        return self.merges.get(left * self.size + right, -1) if left >= 0 and right >= 0 else -1
 
     def symbols(self, words: list[str]) -> np.ndarray:
         """Words of one length -> (words, characters): pieces, or -1 - code points."""
@@ -114,41 +151,68 @@ class Pieces:
 
 
 class Dropout:
-    """Segmentations under one seed. rate: the share of candidates that are skipped."""
+    """Segmentations under one seed. rate: the share of candidates that are skipped.
+
+    What is remembered is a tree a word: a node is a word and the candidates that were skipped so far, by their number in
+    the order they came up. It knows the ids if no more are skipped and how many candidates would still come up then
+    (``reach``); its child ``gap`` is the node where the one after ``gap`` of those is skipped too.
+    """
 
     def __init__(self, pieces: Pieces, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS):
-        self.pieces, self.rate, self.variants = pieces, rate, variants
-        self.limit = np.uint64(min(_MASK, int(rate * 2.0**64)))
-        self.keys = np.array([xxhash.xxh64_intdigest(f"{seed}/{v}".encode(), 0) for v in range(variants)], np.uint64)
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
-        self.older: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self.pieces, self.variants = pieces, variants
+        self.key = np.uint64(xxhash.xxh64_intdigest(str(seed).encode(), 0))
+        # gap > k for hashes of 53 bits below the k-th of these; products only, for equal numbers on any machine
+        odds = np.multiply.accumulate(np.full(_FAR, 1.0 - rate)) * 2.0**53
+        self.odds = odds.astype(np.int64)[::-1].copy()
+        self._forget()
+
+    def _forget(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.words: list[str] = []
+        self.skipped: list[tuple[int, ...]] = []
+        self.reach, self.at, self.size, self.kids, self.hits = (np.zeros(0, np.int64) for _ in range(5))
+        self.child, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def _forget_rare(self) -> None:
+        """Keep the nodes met twice or more since the last time, if those are few; a node's parent is met as often."""
+        keep = np.flatnonzero(self.hits > 1)
+        sizes, reach = self.size[keep], self.reach[keep]
+        if len(keep) > MEMORY // 2 or sizes.sum() > 8 * MEMORY:
+            return self._forget()
+        name = np.full(len(self.hits) + 1, -1)  # the last is for children that aren't there
+        name[keep] = np.arange(len(keep))
+        self.roots = {w: i for w, i in zip(self.roots, name[list(self.roots.values())].tolist()) if i >= 0}
+        self.words, self.skipped = [self.words[i] for i in keep.tolist()], [self.skipped[i] for i in keep.tolist()]
+        self.ids, self.child = self.ids[_spans(self.at[keep], sizes)], name[self.child[_spans(self.kids[keep], reach)]]
+        self.at, self.kids, self.size, self.reach = np.cumsum(sizes) - sizes, np.cumsum(reach) - reach, sizes, reach
+        self.hits = np.zeros(len(keep), np.int64)
 
     def variant(self, doc_id: int | None) -> int:
         return 0 if doc_id is None else xxhash.xxh64_intdigest(str(doc_id).encode(), 1) % self.variants
 
-    def _word_key(self, symbols: np.ndarray, variant: int) -> np.ndarray:
-        key = np.full(len(symbols), self.keys[variant])
-        for column in symbols.T:
-            key = _mix(key ^ column.astype(np.uint64)) + np.uint64(_STEP)
-        return key
+    def _salts(self, variants: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The key of a word at a place of a document."""
+        return _mix(_mix(variants ^ self.key) + places.astype(np.uint64) * np.uint64(_STEP))
 
-    def _skipped(self, key, start, left, right):
-        """The keyed hash of a candidate, against the rate."""
-        if not self.rate:
-            return np.zeros(np.shape(left), bool)
-        spot = start.astype(np.uint64) * np.uint64(_STEP) + (left * self.pieces.size + right).astype(np.uint64)
-        return _mix(key ^ _mix(spot)) < self.limit
+    def _gaps(self, salts: np.ndarray, draw: int) -> np.ndarray:
+        """How many candidates are not skipped before the next that is; ``_FAR``: at least so many, then draw again."""
+        hashed = _mix(salts ^ np.uint64((draw + 1) * _M2 & _MASK)) >> np.uint64(11)
+        return _FAR - np.searchsorted(self.odds, hashed.astype(np.int64), side="right")
 
-    def one(self, word: str, variant: int) -> list[int]:
+    def one(self, word: str, variant: int, place: int = 0) -> list[int]:
         """A word by an agenda in a heap."""
-        pieces, matrix = self.pieces, self.pieces.symbols([word])
-        key, sym = self._word_key(matrix, variant), matrix[0].tolist()
+        return self._agenda(word, self._salts(np.array([variant], np.uint64), np.array([place])))
+
+    def _agenda(self, word: str, salt: np.ndarray) -> list[int]:
+        pieces, sym = self.pieces, self.pieces.symbols([word])[0].tolist()
         n = len(sym)
         before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
+        draw, gap = 0, int(self._gaps(salt, 0)[0])
+        more = gap == _FAR
 
         def candidate(i: int):
             j = after[i]
-            made = int(pieces.lookup(np.int64(sym[i]), np.int64(sym[j]))) if j >= 0 else -1
+            made = pieces.made(sym[i], sym[j]) if j >= 0 else -1
             return None if made < 0 else (int(pieces.rank[made]), i, sym[i], sym[j], made)
 
         agenda = [c for i in range(n) if (c := candidate(i))]
@@ -158,8 +222,16 @@ class Dropout:
             j = after[i]
             if not alive[i] or j < 0 or sym[i] != left or sym[j] != right:
                 continue
-            if self._skipped(key, np.array([i]), np.array([left]), np.array([right]))[0]:
+            while gap == 0 and more:
+                draw += 1
+                gap = int(self._gaps(salt, draw)[0])
+                more = gap == _FAR
+            if gap == 0:
+                draw += 1
+                gap = int(self._gaps(salt, draw)[0])
+                more = gap == _FAR
                 continue
+            gap -= 1
             sym[i], alive[j] = made, False
             after[i] = after[j]
             if after[i] >= 0:
@@ -169,25 +241,24 @@ class Dropout:
                     heappush(agenda, c)
         return pieces.spelled([s for s, ok in zip(sym, alive) if ok])
 
-    def many(self, words: list[str], variant: int) -> list[bytes]:
-        """Words of one length, all of them a merge at a time; their ids as little-endian 32-bit integers."""
+    def _merged(self, words: list[str], skipped: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray]:
+        """Words of one length, all of them a merge at a time, skipping the candidates of these numbers: their ids as
+        little-endian 32-bit integers, and how many candidates came up."""
         pieces = self.pieces
         n, m = len(words), len(words[0])
         symbols = pieces.symbols(words)
-        key = self._word_key(symbols, variant)
-        start = np.broadcast_to(np.arange(m), (n, m)).copy()
         row, none = np.arange(n), np.iinfo(np.int64).max
         out: list[bytes] = [b""] * n
+        came, turn = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        skips = np.full((n, max(map(len, skipped)) + 1), -1)
+        for i, path in enumerate(skipped):
+            skips[i, : len(path)] = path
 
-        def ranked(left, right, at, keys):
+        def ranked(left, right):
             made = pieces.lookup(left, right)
-            ok = made >= 0
-            order = np.full(made.shape, none)
-            order[ok] = pieces.rank[made[ok]]
-            order[ok & self._skipped(keys, at, left, right)] = none
-            return order
+            return np.where(made >= 0, pieces.rank[made], none)
 
-        order = ranked(symbols[:, :-1], symbols[:, 1:], start[:, :-1], key[:, None]) if m > 1 else np.zeros((n, 0), np.int64)
+        order = ranked(symbols[:, :-1], symbols[:, 1:])
 
         def finish(rows, matrix):
             fits = (matrix >= 0).all(axis=1)
@@ -197,55 +268,124 @@ class Dropout:
 
         while len(row) and symbols.shape[1] > 1:
             best = order.argmin(axis=1)
-            over = order[np.arange(len(row)), best] == none
+            every = np.arange(len(row))
+            over = order[every, best] == none
+            skip = np.flatnonzero(~over & (skips[row, turn[row]] == came[row]))
+            while len(skip):
+                order[skip, best[skip]] = none
+                came[row[skip]] += 1
+                turn[row[skip]] += 1
+                best[skip] = order[skip].argmin(axis=1)
+                over[skip] = order[skip, best[skip]] == none
+                skip = skip[~over[skip] & (skips[row[skip], turn[row[skip]]] == came[row[skip]])]
             if over.any():
                 finish(row[over], symbols[over])
                 keep = ~over
-                row, symbols, start, order, key, best = row[keep], symbols[keep], start[keep], order[keep], key[keep], best[keep]
+                row, symbols, order, best = row[keep], symbols[keep], order[keep], best[keep]
                 if not len(row):
                     break
+            came[row] += 1
             every, width = np.arange(len(row)), symbols.shape[1]
             symbols[every, best] = pieces.lookup(symbols[every, best], symbols[every, best + 1])
             stays = np.ones((len(row), width), bool)
             stays[every, best + 1] = False
-            symbols, start = symbols[stays].reshape(len(row), width - 1), start[stays].reshape(len(row), width - 1)
+            symbols = symbols[stays].reshape(len(row), width - 1)
             stays = np.ones((len(row), width - 1), bool)
             stays[every, best] = False
             order = order[stays].reshape(len(row), width - 2)
             for shift in (0, -1):  # the merged symbol's new neighbours on the right and on the left
                 ok = np.flatnonzero((best + shift >= 0) & (best + shift < width - 2))
                 c = best[ok] + shift
-                order[ok, c] = ranked(symbols[ok, c], symbols[ok, c + 1], start[ok, c], key[ok])
+                order[ok, c] = ranked(symbols[ok, c], symbols[ok, c + 1])
         if len(row):
             finish(row, symbols)
-        return out
-
-    def learn(self, words: set[str], variant: int) -> None:
-        by_length: dict[int, list[str]] = {}
-        known, older = self.known[variant], self.older[variant]
-        for w in words - known.keys():
-            ids = older.get(w)
-            if ids is None:
-                by_length.setdefault(len(w), []).append(w)
-            else:
-                known[w] = ids
-        for length, group in by_length.items():
-            if length > _WIDE:
-                known.update((w, np.array(self.one(w, variant), "<i4").tobytes()) for w in group)
-            else:
-                for at in range(0, len(group), _BLOCK):
-                    part = group[at : at + _BLOCK]
-                    known.update(zip(part, self.many(part, variant)))
+        return out, came
+
+    def many(self, words: list[str], variant: int, place: int = 0) -> list[bytes]:
+        """Words at one place of a document; their ids as little-endian 32-bit integers."""
+        ids, sizes = self._segmented(words, self._salts(np.full(len(words), variant, np.uint64), np.full(len(words), place)))
+        ends = np.cumsum(sizes)
+        return [ids[a:b].astype("<i4").tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+
+    def _add(self, words: list[str], skipped: list[tuple[int, ...]], raw: list[bytes], reach: np.ndarray) -> np.ndarray:
+        """New nodes, and their numbers."""
+        size = np.array([len(r) // 4 for r in raw], np.int64)
+        first = len(self.words)
+        self.words += words
+        self.skipped += skipped
+        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
+        self.size = np.concatenate([self.size, size])
+        self.kids = np.concatenate([self.kids, len(self.child) + np.cumsum(reach) - reach])
+        self.reach = np.concatenate([self.reach, reach])
+        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
+        self.child = np.concatenate([self.child, np.full(int(reach.sum()), -1)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<i4")])
+        return np.arange(first, first + len(words))
+
+    def _learn(self, words: list[str], skipped: list[tuple[int, ...]]) -> np.ndarray:
+        """New nodes of words that aren't too long for a matrix, and their numbers."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        raw, reach = [b""] * len(words), np.zeros(len(words), np.int64)
+        by_length = np.argsort(lengths, kind="stable")
+        for group in np.split(by_length, np.flatnonzero(np.diff(lengths[by_length])) + 1):
+            for at in range(0, len(group), _BLOCK):
+                part = group[at : at + _BLOCK]
+                paths = [skipped[i] for i in part.tolist()]
+                found, came = self._merged([words[i] for i in part.tolist()], paths)
+                reach[part] = came - [path[-1] + 1 if path else 0 for path in paths]
+                for i, r in zip(part.tolist(), found):
+                    raw[i] = r
+        return self._add(words, skipped, raw, reach)
+
+    def _segmented(self, words: list[str], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words under their salts, one after the other, and how many each has."""
+        if len(self.words) > MEMORY or len(self.ids) > 16 * MEMORY:
+            self._forget_rare()
+        fresh = list(set(words).difference(self.roots))
+        long = [w for w in fresh if len(w) > _WIDE]
+        if long:
+            self.roots.update(dict.fromkeys(long, -1))
+            fresh = [w for w in fresh if len(w) <= _WIDE]
+        if fresh:
+            self.roots.update(zip(fresh, self._learn(fresh, [()] * len(fresh)).tolist()))
+        node = np.array(list(map(self.roots.__getitem__, words)), np.int64)
+        wide = np.flatnonzero(node < 0)
+        if len(wide):
+            long = [words[i] for i in wide.tolist()]
+            raw = [np.array(self._agenda(w, salts[i : i + 1]), "<i4").tobytes() for w, i in zip(long, wide.tolist())]
+            node[wide] = self._add([""] * len(long), [()] * len(long), raw, np.zeros(len(long), np.int64))
+        live, draw = np.arange(len(words)), 0
+        self.hits += np.bincount(node, minlength=len(self.hits))
+        while len(live):
+            gap = self._gaps(salts[live], draw)
+            goes = gap < self.reach[node[live]]
+            live, gap = live[goes], gap[goes]
+            slot = self.kids[node[live]] + gap
+            missing = np.flatnonzero(self.child[slot] < 0)
+            if len(missing):
+                new, at = np.unique(slot[missing], return_index=True)
+                parents, after = node[live[missing[at]]].tolist(), gap[missing[at]].tolist()
+                paths = [(*path, (path[-1] + 1 if path else 0) + g) for path, g in zip((self.skipped[p] for p in parents), after)]
+                made = self._learn([self.words[p] for p in parents], paths)
+                self.child[new] = made
+            node[live] = self.child[slot]
+            self.hits += np.bincount(node[live], minlength=len(self.hits))
+            draw += 1
+        size = self.size[node]
+        return self.ids[_spans(self.at[node], size)], size
 
     def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
         """Per text its ids as little-endian 32-bit integers."""
         words = [_WORD.findall(" " + t) if t else [] for t in texts]
-        own = [self.variant(d) for d in doc_ids]
-        if sum(map(len, self.known)) > MEMORY:
-            self.known, self.older = [{} for _ in self.known], self.known
-        for v in set(own):
-            self.learn(set().union(*(w for w, o in zip(words, own) if o == v)), v)
-        return [b"".join(map(self.known[v].__getitem__, w)) for w, v in zip(words, own)]
+        counts = np.array([len(w) for w in words], np.int64)
+        ends = np.cumsum(counts)
+        own = np.array([self.variant(d) for d in doc_ids], np.uint64)
+        salts = self._salts(np.repeat(own, counts), np.arange(int(counts.sum())) - np.repeat(ends - counts, counts))
+        flat = list(chain.from_iterable(words))
+        parts = [self._segmented(flat[at : at + _PART], salts[at : at + _PART]) for at in range(0, len(flat), _PART)]
+        ids = np.concatenate([np.zeros(0, np.int32), *(p for p, _ in parts)]).astype("<i4")
+        after = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)]))])
+        return [ids[a:b].tobytes() for a, b in zip(after[ends - counts].tolist(), after[ends].tolist())]
 
 
 @lru_cache(maxsize=2)

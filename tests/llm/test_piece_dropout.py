@@ -68,3 +68,23 @@ def test_decode_reads_what_encode_writes(documents):
     docs = documents(TEXTS, extra=True)
     rows = p.decode(p.encode(docs, MODEL, rate=0.5), MODEL).collect()
     assert len(rows) == len(TEXTS) and all(r.decoded == (r.text or "") and r.lossless and len(r.ids) == r.n_pieces and r.host == "host" for r in rows)
+
+
+def test_every_occurrence_is_cut_on_its_own():
+    pieces, n = p.Pieces(MODEL), 4000
+    coder = p.Dropout(pieces)
+
+    def cuts(word):
+        out = []
+        for i in ids_of(coder.encode([(word * n)[1:]], [7])[0]):
+            if pieces.text[i].startswith(b" "):
+                out.append(())
+            out[-1] += (i,)
+        return out
+
+    assert len(cuts(" merge")) == n and len(set(cuts(" merge"))) > 4
+    merged = sum(len(c) == 1 for c in cuts(" a"))  # the one candidate is skipped at the rate
+    assert abs(merged - 0.9 * n) < 5 * (0.09 * n) ** 0.5
+    # the same of documents of one word each, and of a word too long for the matrix
+    assert len({raw for raw in coder.encode(["merge"] * 400, range(400))}) > 4
+    assert len({raw for raw in coder.encode(["internationalization" * 3] * 40, range(40))}) > 30
