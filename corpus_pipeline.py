@@ -1,7 +1,7 @@
 """A training corpus from ``documents``, in five stages, each one of the package's operators.
 
-1. language ID: documents without a language, or whose best language has less than ``LEAST_SCORE``, go;
-   a missing ``lang`` is filled in.
+1. language ID: documents without a language go, and those that don't read like any learned language
+   (``language_id.Usual``); a missing ``lang`` is filled in.
 2. line dedup: lines of ten documents or more go from every text.
 3. SimHash near-dedup on five-word shingles: of each group of near copies the document of the smallest id stays.
 4. benchmark decontamination: documents that hold a test item go.
@@ -21,16 +21,15 @@ from tessera.llm import decontaminate, language_id, line_dedup, piece_dropout, s
 from tessera.session import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: Short texts have low scores in any language; what has less than this has none of those that were learned.
-LEAST_SCORE = 0.3
 #: The ring on the first 64 bits finds candidates; the whole sketch of 512 bits decides. Texts that share 0.8 of their
 #: shingles differ in 78 of 512 bits on average, give or take 8, and in at most 14 of 64 in 97 cases of 100.
 SHINGLE, NEAR_BITS, SKETCH_WORDS, SKETCH_BITS = 5, 14, 8, 84
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = language_id.label(docs, language_id.learn(docs))
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    learned = language_id.examples(docs)
+    net = language_id.train(learned)
+    kept = language_id.label(docs, net, language_id.Usual(learned, net)).where("usual")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 

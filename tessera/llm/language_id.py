@@ -204,15 +204,93 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Network:
-    """Train on ``sample`` labelled documents that aren't held out."""
+def examples(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, str]]:
+    """Text and label of ``sample`` labelled documents that aren't held out."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
     # of a long text, four pieces spread over it
     quarter = F.greatest(F.lit(0), F.floor((F.length("text") - 256) / 3)).cast("int")
     pieces = F.when(F.length("text") <= 1024, F.col("text")).otherwise(F.concat(*(F.substring("text", quarter * i + 1, F.lit(256)) for i in range(4))))
     rows = known.where(F.col("text") != "").select("doc_id", "lang", pieces.alias("text"))
     rows = bounded_sample(rows, sample, known.select("doc_id").count(), 7, "doc_id", "text").collect()
-    return train([(r["text"].encode(), r["lang"]) for r in rows])
+    return [(r["text"].encode(), r["lang"]) for r in rows]
+
+
+def learn(docs: DataFrame, sample: int = SAMPLE) -> Network:
+    """Train on ``sample`` labelled documents that aren't held out."""
+    return train(examples(docs, sample))
+
+
+# --- texts of no learned language -----------------------------------------------------------------
+
+
+class Usual:
+    """Whether a text reads like the language that the network found.
+
+    The network shares all probability among the languages it learned, so its score can't tell that a text is of none.
+    Here the mean logarithm of the probabilities of a text's bytes, each after the one before it, is held against
+    that of learned texts of the same language and length: a text goes if it is below all but ``OUTSIDE`` of those and ``SPREAD``
+    deviations (by the median of their distances) below their median. Each learned text is measured by counts of the others. A language with less than
+    ``LEAST_TEXTS`` of them can't be judged, and has no bar.
+    """
+
+    def __init__(self, learned: list[tuple[bytes, str]], net: Network):
+        counts = np.zeros((_FOLDS, len(net.languages), 1 << 16))
+        for i, (text, lang) in enumerate(learned):
+            counts[i % _FOLDS, net.languages.index(lang)] += np.bincount(_byte_pairs(text), minlength=1 << 16)
+        self.tables = [_log_odds(c) for c in counts.sum(axis=0)]
+        self.bars = np.full((len(net.languages), len(LENGTHS)), -np.inf)
+        found: dict[tuple[int, int], list[float]] = {}
+        texts: dict[tuple[int, int], int] = {}
+        for fold in range(_FOLDS):
+            own = learned[fold::_FOLDS]
+            tables = [_log_odds(c) for c in counts.sum(axis=0) - counts[fold]]
+            for j, n in enumerate(LENGTHS):
+                cuts = [[t[at : at + n] for at in np.linspace(0, len(t) - n, min(_CUTS, len(t) // n)).astype(int)] for t, _ in own if len(t) >= n]
+                flat = [c for cut in cuts for c in cut]
+                names, _ = predict(net, flat)
+                k = [net.languages.index(x) if x != UNKNOWN else -1 for x in names]
+                for c, lang in zip(flat, k):
+                    if lang >= 0:
+                        found.setdefault((lang, j), []).append(_mean_odds(tables[lang], c))
+                at = 0
+                for cut in cuts:
+                    for lang in set(k[at : at + len(cut)]):
+                        texts[lang, j] = texts.get((lang, j), 0) + 1
+                    at += len(cut)
+        for at, values in found.items():
+            if texts[at] >= LEAST_TEXTS:
+                middle = np.median(values)
+                self.bars[at] = min(np.quantile(values, OUTSIDE), middle - SPREAD * 1.4826 * np.median(np.abs(values - middle)))
+
+    def of(self, text: bytes, lang: int) -> bool:
+        low = self.bars[lang]
+        known = np.flatnonzero(np.isfinite(low))
+        if not len(known):
+            return True
+        return _mean_odds(self.tables[lang], text) >= np.interp(np.log2(len(text)), np.log2(LENGTHS)[known], low[known])
+
+
+#: Lengths in bytes that a text is judged by; between them the bar is interpolated.
+LENGTHS = np.array([4, 8, 16, 32, 64, 128, 256, 512, 1024])
+OUTSIDE, SPREAD, LEAST_TEXTS = 0.002, 4.0, 20
+_FOLDS, _CUTS = 4, 4
+
+
+def _byte_pairs(text: bytes) -> np.ndarray:
+    data = np.frombuffer(b" " + text, np.uint8).astype(np.uint16)
+    return data[:-1] << 8 | data[1:]
+
+
+def _log_odds(counts: np.ndarray) -> np.ndarray:
+    """Per pair the logarithm of the second byte's probability after the first; rare pairs lean on the byte alone."""
+    alone = counts.reshape(256, 256).sum(axis=0) + 0.5
+    after = counts.reshape(256, 256) + 8 * alone / alone.sum()
+    return np.log(after / after.sum(axis=1, keepdims=True)).ravel().astype(np.float32)
+
+
+def _mean_odds(table: np.ndarray, text: bytes) -> float:
+    step = 1 << 20
+    return sum(float(table[_byte_pairs(text[at : at + step])].sum(dtype=np.float64)) for at in range(0, len(text), step)) / len(text)
 
 
 # --- labelling ----------------------------------------------------------------------------------
@@ -239,21 +317,27 @@ def predict(net: Network, texts: list[bytes | None]) -> tuple[list[str], np.ndar
     return names, np.where(readable, np.clip(p[np.arange(len(p)), best], 0, 1), 0.0)
 
 
-def _labelled(net):
+def _labelled(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        net, usual = shared.value
+        place = {name: k for k, name in enumerate(net.languages)}
         for rows in batches:
-            names, score = predict(net.value, as_bytes(rows["text"]))
-            yield batch([*rows.schema.names, "lang_pred", "score"], [*rows.columns, pa.array(names, pa.string()), score])
+            texts = as_bytes(rows["text"])
+            names, score = predict(net, texts)
+            added = {"lang_pred": pa.array(names, pa.string()), "score": score}
+            if usual:
+                added["usual"] = pa.array([name != UNKNOWN and usual.of(t, place[name]) for t, name in zip(texts, names)], pa.bool_())
+            yield batch([*rows.schema.names, *added], [*rows.columns, *added.values()])
 
     return run
 
 
-def label(docs: DataFrame, net: Network) -> DataFrame:
-    """``docs`` with lang_pred and score."""
-    docs = docs.drop("lang_pred", "score")
+def label(docs: DataFrame, net: Network, usual: Usual | None = None) -> DataFrame:
+    """``docs`` with lang_pred and score, and with ``usual`` given also a column of that name."""
+    docs = docs.drop("lang_pred", "score", *(["usual"] if usual else []))
     small_batches(docs.sparkSession)
-    schema = T.StructType([*docs.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(_labelled(docs.sparkSession.sparkContext.broadcast(net)), schema)
+    added = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())] + ([T.StructField("usual", T.BooleanType())] if usual else [])
+    return docs.mapInArrow(_labelled(docs.sparkSession.sparkContext.broadcast((net, usual))), T.StructType([*docs.schema, *added]))
 
 
 def query(docs: DataFrame) -> DataFrame:

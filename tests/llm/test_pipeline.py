@@ -43,3 +43,24 @@ def test_planted_cases(spark, documents):
     for name, stage in c.STAGES[:-1]:
         docs = stage(spark, docs, "/root/testdata/sf0.001").cache()
     assert {r.doc_id for r in docs.collect()} == {0, *range(6, 20)}
+
+
+def test_texts_of_no_learned_language_go(spark, documents):
+    import random
+
+    rng = random.Random(4)
+    rows = table(spark, "/root/testdata/sf0.01", "documents").where("n_chars >= 300").orderBy("doc_id").collect()
+    known, other = [r for r in rows if r.lang != "de"], [r.text for r in rows if r.lang == "de"]
+    cut = lambda t, n: t[(at := rng.randrange(len(t) - n + 1)) : at + n]
+    shown, clean = known[:450], [r.text for r in known[450:]]
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n))
+    groups = {"clean 40": [cut(t, 40) for t in clean], "clean 300": [cut(t, 300) for t in clean], "other 300": [cut(t, 300) for t in other], "noise 40": [noise(40) for _ in range(150)], "noise 300": [noise(300) for _ in range(150)]}
+    texts, langs, names = [r.text for r in shown], [r.lang for r in shown], ["shown"] * len(shown)
+    for name, group in groups.items():
+        texts += group
+        langs += [None] * len(group)
+        names += [name] * len(group)
+    kept = {r.doc_id for r in c.detect_language(spark, documents(texts, langs=langs), "").collect()}
+    share = {g: sum(i in kept for i, name in enumerate(names) if name == g) / names.count(g) for g in groups}
+    assert share["clean 40"] >= 0.97 and share["clean 300"] >= 0.97, share
+    assert share["other 300"] <= 0.1 and share["noise 40"] <= 0.3 and share["noise 300"] <= 0.1, share  # from 300 learned texts; README has more
