@@ -2,9 +2,13 @@
 
 Every run of ``K`` words of every text is hashed and joined with the places of such runs in the templates. A
 match at word i of the text and word j of the template lies on the diagonal i - j; an unbroken copy puts all its
-matches on one diagonal. Matches are counted by document, template and diagonal before anything is shuffled;
-neighbouring diagonals (words put in or left out move a copy to the next) are merged; and a span counts for
-its template if it covers enough of it and isn't much longer.
+matches on one diagonal. Matches are counted by document, template and diagonal before anything is shuffled.
+
+Words put in or left out move the rest of a copy to a neighbouring diagonal. So from each diagonal on, those up to
+the template's reach further (about ``STRETCH`` - 1 of its length) are merged, and what they hold is verified: it counts for its
+template if at least ``COVER`` of the template's runs stand there. A copy word for word has all of them on its own
+diagonal, so nothing that stands around it can hide it. Of overlapping spans of one template the best one is
+returned: that of the highest score, then of most matches on its first diagonal, then the first.
 
 A phrase stands at a place when its diagonal has a match for each of its runs: the join compares the words
 themselves too, so that is the phrase word for word.
@@ -24,9 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 K = 3
-#: Diagonals so many words apart at most belong to one copy.
-NEIGHBOURS = 3
-#: The part of a template that a span must cover, and how many times as long it may be.
+#: The part of a template's runs that a span must hold, and about how many times as long it may be.
 COVER = 0.75
 STRETCH = 1.5
 
@@ -63,45 +65,59 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered, _BETWEEN), "")
 
 
+def reach(length: int) -> int:
+    """How many diagonals after its first a copy of a template may use: the power of two in (``STRETCH`` - 1) of its length."""
+    return 1 << max(0, int((STRETCH - 1) * length).bit_length() - 1)
+
+
+_TABLE = ", ".join(f"t{k} string" for k in range(K)) + ", template int, tpos int, base boolean, label string, length int, step int"
+
+
 def _templates(spark, phrases, templates) -> DataFrame:
-    """A row per run of each phrase and template: its words, its place, and what it belongs to."""
-    rows = []
-    for t, (base, label, text) in enumerate([*((True, *x) for x in phrases), *((False, *x) for x in templates)]):
+    """A row per run of each phrase and template: its words, its place, and what it belongs to. ``step`` stretches diagonals so
+    that every template's reach is the same. The first row is for the documents themselves."""
+    rows: list[tuple] = [(*[""] * K, -1, 0, False, "", 0, 1)]
+    texts = [*((True, *x) for x in phrases), *((False, *x) for x in templates)]
+    widest = max((reach(len(text.split())) for *_, text in texts), default=1)
+    for t, (base, label, text) in enumerate(texts):
         own = text.split()
         if len(own) < K or not text.isascii():
             raise ValueError(f"{text!r} isn't ASCII or is shorter than {K} words")
-        rows += [(*own[j : j + K], t, j, base, label, len(own)) for j in range(len(own) - K + 1)]
-    fields = ", ".join(f"t{k} string" for k in range(K))
-    table = spark.createDataFrame(rows, f"{fields}, template int, tpos int, base boolean, label string, length int")
-    return table.withColumn("hash", F.xxhash64(*(f"t{k}" for k in range(K))))
+        rows += [(*own[j : j + K], t, j, base, label, len(own), widest // reach(len(own))) for j in range(len(own) - K + 1)]
+    return spark.createDataFrame(rows, _TABLE).withColumn("thash", F.xxhash64(*(f"t{k}" for k in range(K))))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, cover: float = COVER) -> DataFrame:
-    """(rid, doc_id, n_words, spans): spans are array<struct<base, label, first, last, score>> by place."""
-    spark = docs.sparkSession
+    """(rid, doc_id, n_words, spans): spans are array<struct<first, last, base, label, score>> by place."""
     own = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", words(F.col("text")).alias("w")).select("*", F.size("w").alias("n_words"))
     # one row before the first word stands for the document itself
     places = own.select("rid", "doc_id", "n_words", "w", F.explode(F.sequence(F.lit(-1), F.greatest(F.lit(-1), F.col("n_words") - K))).alias("pos"))
     gram = [F.get("w", F.col("pos") + k) for k in range(K)]
     runs = places.select("rid", "doc_id", "n_words", "pos", *(F.when(F.col("pos") < 0, F.lit("")).otherwise(g).alias(f"g{k}") for k, g in enumerate(gram)))
     runs = runs.withColumn("hash", F.xxhash64(*(f"g{k}" for k in range(K))))
-    sign = spark.createDataFrame([(*[""] * K, -1, 0, False, "", 0)], ", ".join(f"t{k} string" for k in range(K)) + ", template int, tpos int, base boolean, label string, length int")
-    table = _templates(spark, phrases, templates).unionByName(sign.withColumn("hash", F.xxhash64(*(f"t{k}" for k in range(K)))))
     same = [F.col("hash") == F.col("thash"), *(F.col(f"g{k}") == F.col(f"t{k}") for k in range(K))]
-    hits = runs.join(F.broadcast(table.withColumnRenamed("hash", "thash")), same)
-    keys = ["rid", "doc_id", "n_words", "template", "base", "label", "length"]
+    hits = runs.join(F.broadcast(_templates(docs.sparkSession, phrases, templates)), same)
+    document = ["rid", "doc_id", "n_words"]
+    keys = [*document, "template", "base", "label", "length", "step"]
+    # at most one match per run of the template on a diagonal, so the lists are short
     votes = hits.groupBy(*keys, (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
-        F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("last"))
-    # exact places of phrases, each its own span; for templates, neighbouring diagonals together
-    by = Window.partitionBy("rid", "template").orderBy("diagonal")
-    step = F.when(F.col("base") | F.coalesce(F.col("diagonal") - F.lag("diagonal").over(by) > NEIGHBOURS, F.lit(True)), 1).otherwise(0)
-    spans = votes.withColumn("step", step).withColumn("span", F.sum("step").over(by)).groupBy(*keys, "span").agg(
-        F.sum("votes").alias("votes"), F.min("first").alias("first"), (F.max("last") + (K - 1)).alias("last"))
+        F.collect_list("tpos").alias("held"), F.min("pos").alias("first"), F.max("pos").alias("last"))
+    widest = max((reach(len(text.split())) for _, text in (*phrases, *templates)), default=1)
+    line = F.col("diagonal").cast("long") * F.col("step")
+    by = Window.partitionBy("rid", "template").orderBy("line")
+    ahead = by.rangeBetween(0, widest)
+    # a phrase is one diagonal; a template's copy is a diagonal and those in its reach
+    near = lambda c, f: F.when(F.col("base"), F.col(c)).otherwise(f(c).over(ahead))
+    merged = F.when(F.col("base"), F.col("held")).otherwise(F.array_distinct(F.flatten(F.collect_list("held").over(ahead))))
+    spans = votes.withColumn("line", line).select(*keys, "line", F.size("held").alias("votes"), F.size(merged).alias("covered"), near("first", F.min).alias("first"), (near("last", F.max) + (K - 1)).alias("last"))
     runs_in = F.col("length") - (K - 1)
-    whole = F.when(F.col("base"), F.col("votes") == runs_in).otherwise(
-        (F.col("votes") >= F.ceil(F.lit(cover) * runs_in)) & (F.col("last") - F.col("first") + 1 <= STRETCH * F.col("length")))
-    found = F.when((F.col("template") >= 0) & whole, F.struct("first", "last", "base", "label", F.least(F.lit(1.0), F.col("votes") / runs_in).alias("score")))
-    return spans.groupBy("rid", "doc_id", "n_words").agg(F.sort_array(F.collect_list(found)).alias("spans"))
+    whole = F.when(F.col("base"), F.col("covered") == runs_in).otherwise(F.col("covered") >= F.ceil(F.lit(cover) * runs_in))
+    spans = spans.where((F.col("template") < 0) | whole)
+    worth = F.struct("covered", "votes", (-F.col("line")).alias("before"))
+    best = F.when(F.col("base") | (F.col("template") < 0), F.lit(True)).otherwise(worth == F.max(worth).over(by.rangeBetween(-widest, widest)))
+    spans = spans.withColumn("best", best).where("best")
+    found = F.when(F.col("template") >= 0, F.struct("first", "last", "base", "label", (F.col("covered") / runs_in).alias("score")))
+    return spans.groupBy(*document).agg(F.sort_array(F.collect_list(found)).alias("spans"))
 
 
 def labels(spans: DataFrame) -> DataFrame:
@@ -119,27 +135,27 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def _oracle() -> str:
-    """The same spans from plain lists of words, without hashes."""
-    rows = [(True, *p) for p in PHRASES] + [(False, *t) for t in TEMPLATES]
-    values = ", ".join(f"({i}, {str(base).lower()}, '{label}', '{text}')" for i, (base, label, text) in enumerate(rows))
+    """The same columns from plain lists of words: places of phrases by comparing words, and for each template the most of
+    its runs that stand on any diagonal and those in its reach."""
+    rows = [(True, *p, 0) for p in PHRASES] + [(False, *t, reach(len(t[1].split()))) for t in TEMPLATES]
+    values = ", ".join(f"({i}, {str(base).lower()}, '{label}', '{text}', {r})" for i, (base, label, text, r) in enumerate(rows))
     return rf"""
-WITH t AS (SELECT tid, base, label, string_split(txt, ' ') AS tw, len(string_split(txt, ' ')) AS n FROM (VALUES {values}) v(tid, base, label, txt)),
-tg AS (SELECT tid, base, label, n, unnest(range(1, n - {K - 2})) AS j, tw FROM t),
-tgrams AS (SELECT tid, base, label, n, j, tw[j] AS g0, tw[j + 1] AS g1, tw[j + 2] AS g2 FROM tg),
+WITH t AS (SELECT tid, base, label, string_split(txt, ' ') AS tw, len(string_split(txt, ' ')) AS n, r FROM (VALUES {values}) v(tid, base, label, txt, r)),
+tg AS (SELECT *, unnest(range(1, n - {K - 2})) AS j FROM t WHERE NOT base),
 d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 p AS (SELECT rid, w, unnest(range(1, len(w) - {K - 2})) AS i FROM d),
-hits AS (SELECT rid, tid, base, label, n, i, i - j AS diagonal FROM p JOIN tgrams ON w[i] = g0 AND w[i + 1] = g1 AND w[i + 2] = g2),
-votes AS (SELECT rid, tid, base, label, n, diagonal, count(*) AS votes, min(i) AS first, max(i) AS last FROM hits GROUP BY ALL),
-steps AS (SELECT *, CASE WHEN base OR coalesce(diagonal - lag(diagonal) OVER (PARTITION BY rid, tid ORDER BY diagonal) > {NEIGHBOURS}, true) THEN 1 ELSE 0 END AS step FROM votes),
-numbered AS (SELECT *, sum(step) OVER (PARTITION BY rid, tid ORDER BY diagonal) AS span FROM steps),
-spans AS (SELECT rid, tid, base, label, n, sum(votes) AS votes, min(first) - 1 AS first, max(last) + {K - 2} AS last FROM numbered GROUP BY rid, tid, base, label, n, span),
-good AS (SELECT *, least(1.0::DOUBLE, votes::DOUBLE / (n - {K - 1})) AS s FROM spans
-  WHERE CASE WHEN base THEN votes = n - {K - 1} ELSE votes >= ceil({COVER}::DOUBLE * (n - {K - 1})) AND last - first + 1 <= {STRETCH}::DOUBLE * n END),
-found AS (SELECT rid, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS a, max(first) FILTER (WHERE base) AS z,
-  string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base) AS b, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(s) AS score FROM good GROUP BY rid)
+places AS (SELECT rid, i - 1 AS i, label FROM p JOIN t ON base AND w[i] = tw[1] AND w[i : i + n - 1] = tw),
+based AS (SELECT rid, count(*) AS n_base, min(i) AS a, max(i) AS z, string_agg(DISTINCT label, ',' ORDER BY label) AS b FROM places GROUP BY rid),
+hits AS (SELECT rid, tid, label, n, r, j, i - j AS diagonal FROM p JOIN tg ON w[i] = tw[j] AND w[i + 1] = tw[j + 1] AND w[i + 2] = tw[j + 2]),
+starts AS (SELECT DISTINCT rid, tid, diagonal FROM hits),
+held AS (SELECT h.rid, tid, label, n, s.diagonal, count(DISTINCT j) AS covered FROM starts s JOIN hits h USING (rid, tid)
+  WHERE h.diagonal BETWEEN s.diagonal AND s.diagonal + r GROUP BY ALL),
+good AS (SELECT rid, label, covered::DOUBLE / (n - {K - 1}) AS s FROM held WHERE covered >= ceil({COVER}::DOUBLE * (n - {K - 1}))),
+every AS (SELECT rid, label, 1.0::DOUBLE AS s FROM places UNION ALL SELECT rid, label, s FROM good),
+named AS (SELECT rid, string_agg(DISTINCT label, ',' ORDER BY label) AS l, max(s) AS score FROM every GROUP BY rid)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word,
   coalesce(b, '') AS base_labels, coalesce(l, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
-FROM d LEFT JOIN found USING (rid)
+FROM d LEFT JOIN based USING (rid) LEFT JOIN named USING (rid)
 """
 
 
