@@ -8,12 +8,14 @@ least ``min_docs`` documents lose all their lines everywhere.
    document can't reach a threshold of two; the fingerprints reject it.) Each shard becomes a
    minimal perfect hash with an array of 64-bit fingerprints and an array of counts.
 3. Documents probe these arrays. Their measured size decides how: up to ``broadcast_mb`` they are
-   broadcast and texts never move; beyond it each document's hashes are routed to their shard, and
-   only the hits come back. Both ways give the same rows.
+   broadcast and texts never move; beyond it documents are dealt into chunks, the distinct hashes of a chunk go to
+   their shards, and the hits come back to the chunk. A line in every document is one row a chunk there. Both ways
+   give the same rows.
 
 Defined cases: a null or empty text is one empty line, which has no key and stays; repeated rows
-and repeated ids count as documents of their own; a null ``doc_id`` is a value like others; an
-empty table gives an empty result; other columns pass through untouched.
+and repeated ids count as documents of their own; a null ``doc_id`` is a value like others; lines of one key tie and go
+or stay together; very long texts are split and probed whole; an empty table gives an empty result; other columns pass
+through untouched, whatever their names (but for n_lines and n_dropped, which are replaced).
 """
 
 from __future__ import annotations
@@ -22,20 +24,22 @@ from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.arrow import ASCII_LOWER, as_bytes, batch
+from tessera.llm.arrow import ASCII_LOWER, as_bytes, batch, fresh, runs
 from tessera.session import small_batches, stored
 
 #: Distinct hashes a shard holds, about.
 SHARD_KEYS = 1 << 17
-#: A task's counts are sent on when it holds this many hashes.
-FLUSH = 200_000
+#: A task's hashes are sent on when it holds this many.
+FLUSH = 100_000
+#: Documents of a chunk, as a power of two.
+CHUNK_BITS = 10
 _GAMMA = 2
 
 
@@ -180,18 +184,21 @@ def _shard_column(shards: int) -> Column:
     return F.pmod(F.shiftrightunsigned("h1", 20), F.lit(shards)).cast("int")
 
 
-def _build(rows: pd.DataFrame) -> pd.DataFrame:
-    a, b = (rows[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
-    table = PerfectHash.build(a, b, rows["n"].to_numpy())
-    return pd.DataFrame({"shard": [int(rows["shard"].iloc[0])], "n_keys": [len(rows)], "blob": [table.dump()]})
+def _built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard -> a perfect hash per shard; one shard is held at a time."""
+    for shard, parts in runs(batches, "shard"):
+        held = pa.Table.from_batches(list(parts))
+        a, b = (held[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+        table = PerfectHash.build(a, b, held["n"].to_numpy())
+        yield batch(["shard", "n_keys", "blob"], [pa.array([shard], pa.int32()), pa.array([len(a)], pa.int64()), pa.array([table.dump()], pa.binary())])
 
 
 def build_index(docs: DataFrame, min_chars: int = 1, least: int = 2) -> tuple[DataFrame, int]:
     """(shard, n_keys, blob) rows in the shared folder, and the number of shards."""
     counts = stored(line_counts(docs, min_chars).where(F.col("n") >= least), "line-counts")
     shards = max(1, -(-counts.count() // SHARD_KEYS))
-    built = counts.withColumn("shard", _shard_column(shards)).groupBy("shard").applyInPandas(_build, "shard int, n_keys long, blob binary")
-    return stored(built, "line-index"), shards
+    dealt = counts.withColumn("shard", _shard_column(shards)).repartition("shard").sortWithinPartitions("shard")
+    return stored(dealt.mapInArrow(_built, "shard int, n_keys long, blob binary"), "line-index"), shards
 
 
 # --- probing -----------------------------------------------------------------------------
@@ -230,43 +237,84 @@ def _probe(names: list[str], blobs, shards: int, min_docs: int, min_chars: int):
     return run
 
 
-def _doc_hashes(min_chars: int):
+def _chunk_hashes(min_chars: int):
+    """(chunk, h1, h2) of the distinct hashes of each chunk; a chunk with very many may repeat some."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        own = None
+
+        def flush() -> pa.RecordBatch:
+            a, b = _halves(list(seen))
+            seen.clear()
+            return batch(["chunk", "h1", "h2"], [np.full(len(a), own), a.view(np.int64), b.view(np.int64)])
+
         for rows in batches:
-            ids, flat = [], []
-            for doc, text in zip(rows["doc_id"].to_pylist(), as_bytes(rows["text"])):
-                own = {h for h in _doc_keys(text, min_chars) if h}
-                ids += [doc] * len(own)
-                flat += own
-            a, b = _halves(flat) if flat else (np.zeros(0, np.uint64),) * 2
-            yield batch(["doc_id", "h1", "h2"], [pa.array(ids, pa.int64()), a.view(np.int64), b.view(np.int64)])
+            for chunk, text in zip(rows["chunk"].to_pylist(), as_bytes(rows["text"])):
+                if seen and (chunk != own or len(seen) >= FLUSH):
+                    yield flush()
+                own = chunk
+                seen.update(_doc_keys(text, min_chars))
+                seen.discard(b"")
+        if seen:
+            yield flush()
 
     return run
 
 
-def _routed_probe(min_docs: int):
-    def run(keys: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        if not len(shard) or not len(keys):
-            return keys.iloc[:0][["doc_id", "h1", "h2"]]
-        a, b = (keys[c].to_numpy(np.int64).view(np.uint64) for c in ("h1", "h2"))
-        return keys.loc[PerfectHash.load(shard["blob"].iloc[0]).count(a, b) >= min_docs, ["doc_id", "h1", "h2"]]
+def _shard_probe(min_docs: int):
+    """Rows sorted by shard, the shard's table before its hashes -> (chunk, h1, h2) of hashes found often enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in runs(batches, "shard"):
+            table = None
+            for rows in parts:
+                if rows["blob"][0].is_valid:
+                    table, rows = PerfectHash.load(rows["blob"][0].as_py()), rows.slice(1)
+                if table is None or not rows.num_rows:
+                    continue
+                a, b = (rows[c].to_numpy().view(np.uint64) for c in ("h1", "h2"))
+                yield rows.select(["chunk", "h1", "h2"]).filter(pa.array(table.count(a, b) >= min_docs))
 
     return run
 
 
-def _apply_hits(names: list[str], min_chars: int):
+def _chunk_apply(chunk: str, h1: str, h2: str, names: list[str], min_chars: int):
+    """Rows sorted by chunk, its hits before its documents -> documents."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            texts, done = as_bytes(rows["text"]), []
-            for text, hits in zip(texts, rows["_hits"].to_pylist()):
-                keys = _doc_keys(text, min_chars)
-                gone = {np.array([h["h1"], h["h2"]], np.int64).tobytes() for h in hits or ()}
-                done.append(_rewritten(text, keys, [h in gone for h in keys]))
-            yield _emit(rows, names, texts, done)
+        for _, parts in runs(batches, chunk):
+            gone: set[bytes] = set()
+            for rows in parts:
+                hit = rows[h1].is_valid()
+                some = rows.filter(hit)
+                halves = np.stack([some[h].to_numpy() for h in (h1, h2)], axis=1)
+                raw = np.ascontiguousarray(halves).tobytes()
+                gone.update(raw[at : at + 16] for at in range(0, len(raw), 16))
+                docs = rows.filter(pa.compute.invert(hit))
+                if docs.num_rows:
+                    texts = as_bytes(docs["text"])
+                    yield _emit(docs, names, texts, [_rewritten(t, ks, [h in gone for h in ks]) for t in texts for ks in [_doc_keys(t, min_chars)]])
 
     return run
 
 
+def _routed(docs: DataFrame, index: DataFrame, shards: int, min_docs: int, min_chars: int, schema: T.StructType) -> DataFrame:
+    """``docs`` rewritten by hits that come from the shards chunk by chunk."""
+    chunk, h1, h2 = fresh(docs.columns, "chunk", "h1", "h2")
+    held = stored(docs.withColumn(chunk, F.shiftright(F.monotonically_increasing_id(), CHUNK_BITS)), "line-documents")
+    keys = held.select(F.col(chunk).alias("chunk"), "text").mapInArrow(_chunk_hashes(min_chars), "chunk long, h1 long, h2 long")
+    keys = keys.select(_shard_column(shards).alias("shard"), "chunk", "h1", "h2", F.lit(None).cast("binary").alias("blob"))
+    none = F.lit(None).cast("long")
+    both = index.select("shard", none.alias("chunk"), none.alias("h1"), none.alias("h2"), "blob").union(keys)
+    both = both.repartition("shard").sortWithinPartitions("shard", F.col("chunk").asc_nulls_first())
+    hits = both.mapInArrow(_shard_probe(min_docs), "chunk long, h1 long, h2 long")
+    dealt = held.withColumns({h1: none, h2: none})
+    back = hits.select(*(F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns), F.col("chunk").alias(chunk), F.col("h1").alias(h1), F.col("h2").alias(h2))
+    rows = back.union(dealt).repartition(chunk).sortWithinPartitions(chunk, F.col(h1).asc_nulls_last())
+    return rows.mapInArrow(_chunk_apply(chunk, h1, h2, docs.columns, min_chars), schema)
+
+
 def _with_counts(docs: DataFrame) -> T.StructType:
     return T.StructType([*(f for f in docs.schema if f.name not in ("n_lines", "n_dropped")), T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
 
@@ -284,14 +332,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadca
     if size <= broadcast_mb * 1e6:
         blobs = spark.sparkContext.broadcast([(r["shard"], bytes(r["blob"])) for r in index.select("shard", "blob").collect()])
         return docs.mapInArrow(_probe(names, blobs, shards, min_docs, min_chars), schema)
-    salts = max(1, spark.sparkContext.defaultParallelism)
-    keys = docs.select("doc_id", "text").mapInArrow(_doc_hashes(min_chars), "doc_id long, h1 long, h2 long")
-    keys = keys.withColumn("shard", _shard_column(shards)).withColumn("salt", F.pmod(F.xxhash64("doc_id", "h2"), F.lit(salts)))
-    spread = index.withColumn("salt", F.explode(F.array(*(F.lit(i).cast("long") for i in range(salts)))))
-    hits = keys.groupBy("shard", "salt").cogroup(spread.groupBy("shard", "salt")).applyInPandas(_routed_probe(min_docs), "doc_id long, h1 long, h2 long")
-    per_doc = hits.groupBy(F.col("doc_id").alias("_doc")).agg(F.collect_set(F.struct("h1", "h2")).alias("_hits"))
-    joined = docs.join(per_doc, docs["doc_id"].eqNullSafe(per_doc["_doc"]), "left").drop("_doc")
-    return joined.mapInArrow(_apply_hits(names, min_chars), schema)
+    return _routed(docs, index, shards, min_docs, min_chars, schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -35,8 +35,6 @@ def corpus():
 @pytest.mark.parametrize("broadcast_mb", [64, 0])
 @pytest.mark.parametrize("min_docs,min_chars", [(10, 1), (2, 1), (3, 2), (1, 1)])
 def test_equals_brute_force(documents, broadcast_mb, min_docs, min_chars):
-    if broadcast_mb == 0 and (min_docs, min_chars) not in ((10, 1), (3, 2)):
-        pytest.skip("one way of probing is enough here")
     texts = corpus()
     ids = list(range(len(texts)))
     ids[5] = ids[6]
@@ -48,6 +46,16 @@ def test_equals_brute_force(documents, broadcast_mb, min_docs, min_chars):
     assert all(r.node == "node" and r.h1 == "h1" and r.blob == "blob" for r in rows)
 
 
+@pytest.mark.parametrize("broadcast_mb", [64, 0])
+def test_many_chunks_and_shards(documents, monkeypatch, broadcast_mb):
+    monkeypatch.setattr(line_dedup, "CHUNK_BITS", 2)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 20)
+    monkeypatch.setattr(line_dedup, "FLUSH", 7)
+    texts = corpus()
+    rows = line_dedup.dedup_lines(documents(texts, extra=True), 3, 1, broadcast_mb=broadcast_mb).collect()
+    assert sorted((r.doc_id, r.n_lines, r.n_dropped, r.text or "") for r in rows) == [(i, *w) for i, w in enumerate(brute(texts, 3))]
+
+
 def test_query_columns(documents):
     texts = corpus()
     rows = line_dedup.query(documents(texts)).collect()
