@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (single-machine runs and tests).
 LOCAL_SCRATCH = "/tmp/checkpoints"
-#: Rows per Arrow batch sent to Python; texts may be long, so batches stay small.
-BATCH_ROWS = 1000
+#: Rows and bytes per Arrow batch sent to Python; texts may be long, so batches stay small.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def local_session(cpus: int = 8, app: str = "tessera") -> SparkSession:
@@ -32,6 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def small_batches(spark: SparkSession) -> None:
     """Bound what one Arrow batch of whole texts can hold."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
