@@ -16,8 +16,9 @@ The files are written by Spark's own committed writer: a task that is lost is ru
 replace nothing. Ids and their order are a function of the rows alone, so a second run gives the same.
 
 Defined cases: a null text is like an empty one, just the end id; documents without an id come first;
-rows that repeat an id are ordered by a hash of their text; an empty table gives no rows; other columns
-aren't stored.
+rows that repeat an id (ties) are ordered by a hash of their text and may lie in several files, rows that
+repeat that too are alike in all that is stored; very long texts are encoded whole; an empty table gives no rows; other
+columns aren't stored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,12 +26,13 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,22 +44,69 @@ END_ID = 2
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 128 << 10
 PAGE_ROWS = 512
-#: Words whose ids a worker remembers; when there are more, those not seen since the last time are forgotten.
+#: Bytes of text that a file holds, about, where there are more than the session's shuffle partitions make.
+FILE_BYTES = 1 << 30
+#: Words whose ids a worker remembers; when there are more, those met in one batch only since the last time are forgotten.
 MEMORY = 300_000
-#: Lower-case letters of these blocks have one form only, and are letters to the tokenizer's patterns.
-_PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,])?")
+#: Lower-case letters of these blocks have one form only, and are letters to the tokenizer's patterns; signs after them are a
+#: piece of their own (but for the apostrophe, and those that special tokens are written with).
+_LETTERS = "".join(chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)))
+_SIGNS = "!\"#$%&()*+,-./:;=?@[]^_`{}~"
+_PLAIN = f"^[{_LETTERS}]+[{re.escape(_SIGNS)}]*$"
 #: The characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, the rest from 256 on.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LEVEL = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_PRINTED)))}
 _COLUMNS = "doc_id long, part int, part_start long, n_tokens long, tokens array<int>"
 
 
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places from each start on, as many as its size."""
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
+class Memory:
+    """The ids of words, as slots of one flat array."""
+
+    def __init__(self):
+        self.slots: dict[str, int] = {}
+        self.start = self.size = self.met = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, np.int32)
+
+    def find(self, words: list[str], learn: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
+        """The slots of distinct words; ``learn`` gives the ids of those not known."""
+        found = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            names = [words[i] for i in new.tolist()]
+            lists = learn(names)
+            size = np.fromiter(map(len, lists), np.int64, len(lists))
+            first = len(self.size)
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size, self.met = np.concatenate([self.size, size]), np.concatenate([self.met, np.zeros(len(size), np.int64)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))])
+            found[new] = np.arange(first, first + len(size))
+            self.slots.update(zip(names, found[new].tolist()))
+        self.met[found] += 1
+        return found
+
+    def forget(self) -> None:
+        """Only words met twice or more since the last time stay, if they are few enough."""
+        keep = np.flatnonzero(self.met > 1)
+        if len(keep) > MEMORY // 2:
+            keep = keep[:0]
+        name = np.full(len(self.met), -1)
+        name[keep] = np.arange(len(keep))
+        self.slots = {w: i for w, i in zip(self.slots, name[list(self.slots.values())].tolist()) if i >= 0}
+        self.ids, self.size = self.ids[spans(self.start[keep], self.size[keep])], self.size[keep]
+        self.start, self.met = np.cumsum(self.size) - self.size, np.zeros(len(keep), np.int64)
+
+
 class WordEncoder:
-    """Whole texts through a byte-level BPE tokenizer that lower-cases and never looks across a blank: words seen
-    lately aren't encoded again.
+    """Whole texts through a byte-level BPE tokenizer that lower-cases and never looks across a blank. A batch's texts are cut
+    into words, and only its distinct words are looked up; words met lately aren't encoded again.
 
-    Words of Latin letters, with a full stop or comma after them or not, are one or two pieces for the tokenizer's
-    model, and go to it directly; it is the rest that needs the tokenizer's own normalizer and patterns.
+    Words of Latin letters are one piece for the tokenizer's model, and go to it directly; so are signs after them. It is the
+    rest that needs the tokenizer's own normalizer and patterns.
     """
 
     def __init__(self, path: str):
@@ -66,43 +115,50 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {"": b""}
-        self.older: dict[str, bytes] = {}
-
-    def _plain(self, letters: str) -> bytes:
-        found = self.model.tokenize(letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTE_LEVEL))
-        return array("I", [t.id for t in found]).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        known, older, other = self.known, self.older, []
-        for word in words:
-            ids = older.get(word)
-            if ids is None:
-                plain = _PLAIN.fullmatch(word)
-                if not plain:
-                    other.append(word)
-                    continue
-                letters, stop = plain.groups()
-                letters = letters.lower()
-                ids = known.get(letters) or older.get(letters) or self._plain(letters)
-                if stop:
-                    known[letters] = ids
-                    ids += self._plain(stop)
-            known[word] = ids
-        for at in range(0, len(other), 10_000):
-            part = other[at : at + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[word] = array("I", found.ids).tobytes()
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Per text its ids as little-endian 32-bit integers."""
-        words = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        wanted = set().union(*words) if words else set()
-        if len(self.known) + len(wanted) > MEMORY:
-            self.known, self.older = {"": b""}, self.known
-        self._learn(list(wanted - self.known.keys()))
-        ids = self.known.__getitem__
-        return [b"".join(map(ids, w)) for w in words]
+        self.memory = Memory()
+
+    def _letters(self, words: list[str]) -> list[list[int]]:
+        tokenize = self.model.tokenize
+        return [[t.id for t in tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LEVEL))] for w in words]
+
+    def _others(self, words: list[str]) -> list[list[int]]:
+        parts = [self.tokenizer.encode_batch_fast(words[at : at + 10_000], add_special_tokens=False) for at in range(0, len(words), 10_000)]
+        return [found.ids for part in parts for found in part]
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words one after the other, and how many each has."""
+        memory = self.memory
+        if len(memory.slots) > MEMORY:
+            memory.forget()
+        plain = pc.match_substring_regex(words, _PLAIN)
+        known = words.filter(plain)
+        letters, signs = (x.dictionary_encode() for x in (pc.utf8_lower(pc.utf8_rtrim(known, _SIGNS)), pc.utf8_ltrim(known, _LETTERS)))
+        rest = memory.find(words.filter(pc.invert(plain)).to_pylist(), self._others)
+        first, second = (memory.find(x.dictionary.to_pylist(), learn)[x.indices.to_numpy()] for x, learn in ((letters, self._letters), (signs, self._others)))
+        plain = plain.to_numpy(zero_copy_only=False)
+        slots = np.full((len(words), 2), -1)
+        slots[plain, 0], slots[plain, 1], slots[~plain, 0] = first, second, rest
+        slots = slots.ravel()
+        start, size = memory.start[slots], np.where(slots < 0, 0, memory.size[slots])
+        return memory.ids[spans(start, size)], size.reshape(-1, 2).sum(axis=1)
+
+    def encode(self, texts: pa.Array, *end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the ids ``end`` after it, and how many each text has."""
+        cut = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        words = cut.flatten().dictionary_encode()
+        ids, size = self._words(words.dictionary)
+        index = words.indices.to_numpy()
+        n = size[index]
+        after = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
+        bounds = cut.offsets.to_numpy()
+        count = np.diff(after[bounds - bounds[0]])
+        out = np.empty(int(count.sum()) + len(end) * len(texts), np.int32)
+        place = np.ones(len(out), bool)
+        last = np.cumsum(count + len(end))
+        for k, x in enumerate(reversed(end)):
+            out[last - 1 - k], place[last - 1 - k] = x, False
+        out[place] = ids[spans((np.cumsum(size) - size)[index], n)]
+        return out, count + len(end)
 
 
 @lru_cache(maxsize=2)
@@ -113,15 +169,14 @@ def _encoder(path: str) -> WordEncoder:
 
 def _encoded(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, start, end = _encoder(path), TaskContext.get().partitionId(), 0, np.array([end_id], "<u4").tobytes()
+        encoder, part, start = _encoder(path), TaskContext.get().partitionId(), 0
         for rows in batches:
-            raw = [ids + end for ids in encoder.encode(rows["text"].to_pylist())]
-            n = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
-            before = np.cumsum(n) - n + start
-            start += int(n.sum())
-            offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-            tokens = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(raw), "<i4")))
-            yield batch(["doc_id", "part", "part_start", "n_tokens", "tokens"], [rows["doc_id"], pa.array(np.full(len(raw), part, np.int32)), before, n, tokens])
+            ids, n = encoder.encode(rows["text"], end_id)
+            after = np.cumsum(n)
+            before = after - n + start
+            start += len(ids)
+            tokens = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], after]).astype(np.int32)), pa.array(ids))
+            yield batch(["doc_id", "part", "part_start", "n_tokens", "tokens"], [rows["doc_id"], np.full(len(n), part, np.int32), before, n, tokens])
 
     return run
 
@@ -131,15 +186,18 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
 
     tokenizer: a file of the tokenizers library whose pre-tokenizer splits at white space.
     encoding: "dictionary" or "delta", that of the ids.
+    parts: files; unless given as many as the bytes of the texts ask for.
     """
     if encoding not in ("dictionary", "delta"):
         raise ValueError(f"unknown encoding {encoding!r}")
     spark = docs.sparkSession
     small_batches(spark)
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    rows = ordered.mapInArrow(_encoded(tokenizer, end_id), _COLUMNS)
+    if parts is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // FILE_BYTES))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie")]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("tie")).repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    rows = ordered.select("doc_id", "text").mapInArrow(_encoded(tokenizer, end_id), _COLUMNS)
     options = {
         "compression": "zstd", "parquet.writer.version": "v2", "parquet.block.size": ROW_GROUP_BYTES, "parquet.page.size": PAGE_BYTES, "parquet.page.row.count.limit": PAGE_ROWS,
         "parquet.enable.dictionary": "false", "parquet.enable.dictionary#tokens.list.element": str(encoding == "dictionary").lower(), "parquet.dictionary.page.size": 1 << 20,

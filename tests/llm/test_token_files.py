@@ -1,7 +1,9 @@
+import random
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 from tokenizers import Tokenizer
@@ -19,11 +21,28 @@ def library_ids(text):
     return Tokenizer.from_file(PATH).encode(text or "", add_special_tokens=False).ids
 
 
+def encoded(encoder, texts, *end):
+    ids, sizes = encoder.encode(pa.array(texts, pa.string()), *end)
+    ends = np.cumsum(sizes)
+    return [ids[a:b].tolist() for a, b in zip(ends - sizes, ends)]
+
+
 def test_words_give_the_library_ids():
     encoder = token_files.WordEncoder(PATH)
     for texts in (TEXTS, list(reversed(TEXTS))):
-        for text, raw in zip(texts, encoder.encode(texts)):
-            assert np.frombuffer(raw, "<u4").tolist() == library_ids(text), text
+        assert encoded(encoder, texts) == [library_ids(t) for t in texts]
+        assert encoded(encoder, texts, 7, 2) == [[*library_ids(t), 7, 2] for t in texts]
+    assert encoded(encoder, []) == []
+    assert encoder.encode(pa.array(TEXTS, pa.string()).slice(3, 4))[1].tolist() == [len(library_ids(t)) for t in TEXTS[3:7]]
+
+
+def test_random_texts_give_the_library_ids():
+    rng, encoder, library = random.Random(2), token_files.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    signs = ["a", "B", "é", "É", "ß", "İ", "\u0301", ".", ",", "'s", "'", "1", " ", "  ", "\n", "\t", "\r", "\x85", "\u00a0", "\u3000", "語", "<|endoftext|>", "&&", "-", "<", "|", "]", "\\", "_", "der", "Ñandú", "\u212a", "😀"]
+    texts = ["".join(rng.choices(signs, k=rng.randrange(12))) for _ in range(3000)]
+    for at in range(0, 3000, 500):
+        part = texts[at : at + 500]
+        assert encoded(encoder, part) == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
 
 
 def test_forgetting_changes_nothing(monkeypatch):
@@ -31,7 +50,7 @@ def test_forgetting_changes_nothing(monkeypatch):
     encoder = token_files.WordEncoder(PATH)
     for _ in range(3):
         for text in TEXTS:
-            assert np.frombuffer(encoder.encode([text])[0], "<u4").tolist() == library_ids(text)
+            assert encoded(encoder, [text]) == [library_ids(text)]
 
 
 def test_query_reads_back_what_the_library_gives(documents):
