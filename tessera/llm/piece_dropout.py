@@ -9,9 +9,9 @@ the next that is skipped, which is the same as asking for each.
 
 ``variants`` is the number of keys that ids are hashed to; other seeds give other segmentations of the whole
 corpus. Words (a run of blanks and what follows it; a run of line ends is one too) are independent, for no piece
-of the model goes across their borders; that is checked when the model is loaded. So a task computes the ids of
-a word and the candidates skipped in it once, many words at a time: all words of a length are rows of one matrix, and
-one step does the next merge of every row.
+of the model goes across their borders; that is checked when the model is loaded. So a task cuts texts into words, numbers
+the distinct ones, and computes the ids of a word and the candidates skipped in it once, many words at a time: all words
+of a length are rows of one matrix, and one step does the next merge of every row.
 
 Characters without a piece become byte pieces; so does a literal U+2581, which the model would turn into a
 blank. Hence every text decodes to itself.
@@ -23,15 +23,15 @@ texts and words without any blank are encoded whole; an empty table gives an emp
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -53,7 +53,8 @@ _BLOCK = 20_000
 _PART = 500_000
 #: Gaps between skipped candidates are drawn up to here; more than the candidates of any word up to _WIDE.
 _FAR = 1024
-_WORD = re.compile(r" *[^ \n]+| +|\n+")
+#: Pieces decoded together.
+_RUN = 1 << 20
 _BLANK = "▁"
 _STEP = 0x9E3779B97F4A7C15
 _M1, _M2, _MASK = 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xFFFFFFFFFFFFFFFF
@@ -70,6 +71,22 @@ def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
 
 
+def cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, each with a blank before it unless it is empty; where each word starts; and where each text starts,
+    with the end of all. A word is a run of blanks and what follows it up to a blank or line end, or a run of line ends."""
+    texts = pc.fill_null(texts, "").cast(pa.large_string())
+    none, blank = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
+    joined = pc.binary_join_element_wise(pc.if_else(pc.equal(pc.binary_length(texts), 0), none, blank), texts, none)
+    ends = np.frombuffer(joined.buffers()[1], np.int64, len(joined) + 1, 8 * joined.offset)
+    data = np.frombuffer(joined.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends - ends[0]
+    kind = (data == 32) + 2 * (data == 10).view(np.uint8)
+    first = np.ones(len(data), bool)
+    first[1:] = (kind[1:] != kind[:-1]) & ((kind[1:] != 0) | (kind[:-1] != 1))
+    first[ends[:-1][np.diff(ends) > 0]] = True
+    return data, np.flatnonzero(first), ends
+
+
 class Pieces:
     """The vocabulary of a SentencePiece model: its characters, bytes and merges."""
 
@@ -93,39 +110,45 @@ class Pieces:
                 self.char[ord(" " if t == _BLANK else t)] = i
         # the order of merges: by score, best first
         scores = np.array([model.get_score(i) for i in range(self.size)])
-        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int64)
+        self.rank = np.unique(-scores, return_inverse=True)[1].astype(np.int32)
         self.merges = merges = {ids[t[:k]] * self.size + ids[t[k:]]: i for t, i in ids.items() for k in range(1, len(t)) if t[:k] in ids and t[k:] in ids}
-        # a hash table of merges, by linear probing; -1 is free
+        made = np.array(sorted(set(merges.values())), np.int64)
+        self.by_rank = np.full(int(self.rank.max(initial=0)) + 1, -1, np.int32)
+        self.by_rank[self.rank[made]] = made
+        self.ranks_differ = len(np.unique(self.rank[made])) == len(made)
+        # a hash table in which a key has two places; -1 is free
         self.bits = max(4, (4 * len(merges)).bit_length())
-        self.pairs, self.merged = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1)
+        self.pairs, self.merged = np.full(1 << self.bits, -1), np.full(1 << self.bits, -1, np.int32)
         keys = np.array(sorted(merges), np.int64)
-        for key, at in zip(keys.tolist(), self._slot(keys).tolist()):
-            while self.pairs[at] >= 0:
-                at = (at + 1) & ((1 << self.bits) - 1)
-            self.pairs[at], self.merged[at] = key, merges[key]
+        places = dict(zip(keys.tolist(), zip(*(x.tolist() for x in self._places(keys)))))
+        for key, (at, _) in places.items():
+            made = merges[key]
+            for _ in range(1000):
+                key, self.pairs[at] = int(self.pairs[at]), key
+                made, self.merged[at] = int(self.merged[at]), made
+                if key < 0:
+                    break
+                at = sum(places[key]) - at
+            else:
+                raise ValueError("the merges of this model don't fit their table")
         self.text = [names[i].replace(_BLANK, " ").encode() for i in range(self.size)]
         for b, i in enumerate(self.byte):
             self.text[i] = bytes([b])
+        self.flat, self.lengths = np.frombuffer(b"".join(self.text), np.uint8), np.array([len(t) for t in self.text], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
 
     def lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece two symbols make, or -1. Negative symbols (characters without a piece) make none."""
-        key = np.where((left >= 0) & (right >= 0), left * self.size + right, -1)
-        at = self._slot(key)
-        pairs = self.pairs[at]
-        made = np.where(pairs == key, self.merged[at], -1)
-        if (far := (pairs != key) & (pairs >= 0) & (key >= 0)).any():
-            at, key, found = at[far], key[far], made[far]
-            left = np.arange(len(at))
-            while len(left):
-                at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-                pairs = self.pairs[at[left]]
-                found[left] = np.where(pairs == key[left], self.merged[at[left]], -1)
-                left = left[(pairs != key[left]) & (pairs >= 0)]
-            made[far] = found
-        return made
-
-    def _slot(self, key: np.ndarray) -> np.ndarray:
-        return ((key.astype(np.uint64) * np.uint64(_STEP)) >> np.uint64(64 - self.bits)).astype(np.int64)
+        key = left.astype(np.int64) * self.size + right
+        key[(left < 0) | (right < 0)] = -1
+        at, other = self._places(key)
+        at = np.where(self.pairs[at] == key, at, other)
+        return np.where(self.pairs[at] == key, self.merged[at], -1)
+
+    def _places(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = key.astype(np.uint64) * np.uint64(_STEP)
+        shift = np.uint64(64 - self.bits)
+        return (x >> shift).astype(np.int64), ((x ^ (x >> np.uint64(31))) * np.uint64(_M1) >> shift).astype(np.int64)
 
     def made(self, left: int, right: int) -> int:
         return self.merges.get(left * self.size + right, -1) if left >= 0 and right >= 0 else -1
@@ -133,7 +156,7 @@ class Pieces:
     def symbols(self, words: list[str]) -> np.ndarray:
         """Words of one length -> (words, characters): pieces, or -1 - code points."""
         points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        return self.char[points].astype(np.int64).reshape(len(words), -1)
+        return self.char[points].reshape(len(words), -1)
 
     def spelled(self, symbols: list[int]) -> list[int]:
         """Piece ids of symbols: those without a piece become bytes."""
@@ -149,13 +172,30 @@ class Pieces:
         """The text, without the blank that stands before every text."""
         return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")[1:] if ids else ""
 
+    def lossless(self, ids: np.ndarray, sizes: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each text's ids, decoded, are its bytes (of ``cut``)."""
+        after = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+        long = np.concatenate([np.zeros(1, np.int64), np.cumsum(self.lengths[ids])])
+        same = np.diff(long[after]) == np.diff(ends)
+        if not same.all():
+            for t in np.flatnonzero(same).tolist():
+                own = ids[after[t] : after[t + 1]]
+                same[t] = np.array_equal(self.flat[_spans(self.starts[own], self.lengths[own])], data[ends[t] : ends[t + 1]])
+            return same
+        for at in range(0, len(ids), _RUN):
+            own = ids[at : at + _RUN]
+            wrong = np.flatnonzero(self.flat[_spans(self.starts[own], self.lengths[own])] != data[long[at] : long[at + len(own)]])
+            same[np.searchsorted(ends, long[at] + wrong, "right") - 1] = False
+        return same
+
 
 class Dropout:
     """Segmentations under one seed. rate: the share of candidates that are skipped.
 
     What is remembered is a tree a word: a node is a word and the candidates that were skipped so far, by their number in
-    the order they came up. It knows the ids if no more are skipped and how many candidates would still come up then
-    (``reach``); its child ``gap`` is the node where the one after ``gap`` of those is skipped too.
+    the order they came up (``mark``: the last of them; the others are its parents'). It knows the ids if no more are skipped and
+    how many candidates would still come up then (``reach``); its child ``gap`` is the node where the one after ``gap`` of those is
+    skipped too.
     """
 
     def __init__(self, pieces: Pieces, seed: int = SEED, rate: float = DROPOUT, variants: int = VARIANTS):
@@ -168,9 +208,8 @@ class Dropout:
 
     def _forget(self) -> None:
         self.roots: dict[str, int] = {}
-        self.words: list[str] = []
-        self.skipped: list[tuple[int, ...]] = []
-        self.reach, self.at, self.size, self.kids, self.hits = (np.zeros(0, np.int64) for _ in range(5))
+        self.names: list[str] = []
+        self.word, self.parent, self.mark, self.depth, self.reach, self.at, self.size, self.kids, self.hits = (np.zeros(0, np.int64) for _ in range(9))
         self.child, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _forget_rare(self) -> None:
@@ -179,10 +218,12 @@ class Dropout:
         sizes, reach = self.size[keep], self.reach[keep]
         if len(keep) > MEMORY // 2 or sizes.sum() > 8 * MEMORY:
             return self._forget()
-        name = np.full(len(self.hits) + 1, -1)  # the last is for children that aren't there
+        name = np.full(len(self.hits) + 1, -1)  # the last is for nodes that aren't there
         name[keep] = np.arange(len(keep))
         self.roots = {w: i for w, i in zip(self.roots, name[list(self.roots.values())].tolist()) if i >= 0}
-        self.words, self.skipped = [self.words[i] for i in keep.tolist()], [self.skipped[i] for i in keep.tolist()]
+        used, self.word = np.unique(self.word[keep], return_inverse=True)
+        self.names = [self.names[i] for i in used.tolist()]
+        self.parent, self.mark, self.depth = name[self.parent[keep]], self.mark[keep], self.depth[keep]
         self.ids, self.child = self.ids[_spans(self.at[keep], sizes)], name[self.child[_spans(self.kids[keep], reach)]]
         self.at, self.kids, self.size, self.reach = np.cumsum(sizes) - sizes, np.cumsum(reach) - reach, sizes, reach
         self.hits = np.zeros(len(keep), np.int64)
@@ -194,20 +235,27 @@ class Dropout:
         """The key of a word at a place of a document."""
         return _mix(_mix(variants ^ self.key) + places.astype(np.uint64) * np.uint64(_STEP))
 
-    def _gaps(self, salts: np.ndarray, draw: int) -> np.ndarray:
+    def _gaps(self, salts: np.ndarray, draws: int | np.ndarray) -> np.ndarray:
         """How many candidates are not skipped before the next that is; ``_FAR``: at least so many, then draw again."""
-        hashed = _mix(salts ^ np.uint64((draw + 1) * _M2 & _MASK)) >> np.uint64(11)
+        hashed = _mix(salts ^ (np.asarray(draws + 1).astype(np.uint64) * np.uint64(_M2))) >> np.uint64(11)
         return _FAR - np.searchsorted(self.odds, hashed.astype(np.int64), side="right")
 
     def one(self, word: str, variant: int, place: int = 0) -> list[int]:
         """A word by an agenda in a heap."""
         return self._agenda(word, self._salts(np.array([variant], np.uint64), np.array([place])))
 
+    def _drawn(self, salt: np.ndarray) -> Iterator[int]:
+        at = 0
+        while True:
+            yield from self._gaps(salt, np.arange(at, at + 64)).tolist()
+            at += 64
+
     def _agenda(self, word: str, salt: np.ndarray) -> list[int]:
         pieces, sym = self.pieces, self.pieces.symbols([word])[0].tolist()
         n = len(sym)
         before, after, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-        draw, gap = 0, int(self._gaps(salt, 0)[0])
+        drawn = self._drawn(salt)
+        gap = next(drawn)
         more = gap == _FAR
 
         def candidate(i: int):
@@ -223,12 +271,10 @@ class Dropout:
             if not alive[i] or j < 0 or sym[i] != left or sym[j] != right:
                 continue
             while gap == 0 and more:
-                draw += 1
-                gap = int(self._gaps(salt, draw)[0])
+                gap = next(drawn)
                 more = gap == _FAR
             if gap == 0:
-                draw += 1
-                gap = int(self._gaps(salt, draw)[0])
+                gap = next(drawn)
                 more = gap == _FAR
                 continue
             gap -= 1
@@ -241,120 +287,142 @@ class Dropout:
                     heappush(agenda, c)
         return pieces.spelled([s for s, ok in zip(sym, alive) if ok])
 
-    def _merged(self, words: list[str], skipped: list[tuple[int, ...]]) -> tuple[list[bytes], np.ndarray]:
-        """Words of one length, all of them a merge at a time, skipping the candidates of these numbers: their ids as
-        little-endian 32-bit integers, and how many candidates came up."""
+    def _merged(self, words: list[str], skips: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of one length, all of them a merge at a time, skipping the candidates of these numbers (a row a word, -1 after
+        the last): their ids one after the other, how many each has, and how many candidates came up."""
         pieces = self.pieces
-        n, m = len(words), len(words[0])
+        n, none = len(words), np.iinfo(np.int32).max
         symbols = pieces.symbols(words)
-        row, none = np.arange(n), np.iinfo(np.int64).max
-        out: list[bytes] = [b""] * n
-        came, turn = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        skips = np.full((n, max(map(len, skipped)) + 1), -1)
-        for i, path in enumerate(skipped):
-            skips[i, : len(path)] = path
+        row = np.arange(n)
+        came, turn, sizes = (np.zeros(n, np.int64) for _ in range(3))
+        done, odd = [], {}
 
         def ranked(left, right):
             made = pieces.lookup(left, right)
             return np.where(made >= 0, pieces.rank[made], none)
 
-        order = ranked(symbols[:, :-1], symbols[:, 1:])
-
         def finish(rows, matrix):
+            sizes[rows] = matrix.shape[1]
             fits = (matrix >= 0).all(axis=1)
-            flat = matrix.astype("<i4")
-            for r, line, ok in zip(rows.tolist(), flat, fits.tolist()):
-                out[r] = line.tobytes() if ok else np.array(pieces.spelled(line.tolist()), "<i4").tobytes()
+            if not fits.all():
+                for r, line in zip(rows[~fits].tolist(), matrix[~fits].tolist()):
+                    odd[r] = pieces.spelled(line)
+                    sizes[r] = len(odd[r])
+                rows, matrix = rows[fits], matrix[fits]
+            done.append((rows, matrix))
 
+        order = ranked(symbols[:, :-1], symbols[:, 1:])
         while len(row) and symbols.shape[1] > 1:
             best = order.argmin(axis=1)
-            every = np.arange(len(row))
-            over = order[every, best] == none
-            skip = np.flatnonzero(~over & (skips[row, turn[row]] == came[row]))
+            worth = order[np.arange(len(row)), best]
+            skip = np.flatnonzero((worth != none) & (skips[row, turn[row]] == came[row]))
             while len(skip):
                 order[skip, best[skip]] = none
                 came[row[skip]] += 1
                 turn[row[skip]] += 1
                 best[skip] = order[skip].argmin(axis=1)
-                over[skip] = order[skip, best[skip]] == none
-                skip = skip[~over[skip] & (skips[row[skip], turn[row[skip]]] == came[row[skip]])]
+                worth[skip] = order[skip, best[skip]]
+                skip = skip[(worth[skip] != none) & (skips[row[skip], turn[row[skip]]] == came[row[skip]])]
+            over = worth == none
             if over.any():
                 finish(row[over], symbols[over])
                 keep = ~over
-                row, symbols, order, best = row[keep], symbols[keep], order[keep], best[keep]
+                row, symbols, order, best, worth = row[keep], symbols[keep], order[keep], best[keep], worth[keep]
                 if not len(row):
                     break
             came[row] += 1
             every, width = np.arange(len(row)), symbols.shape[1]
-            symbols[every, best] = pieces.lookup(symbols[every, best], symbols[every, best + 1])
-            stays = np.ones((len(row), width), bool)
-            stays[every, best + 1] = False
-            symbols = symbols[stays].reshape(len(row), width - 1)
-            stays = np.ones((len(row), width - 1), bool)
-            stays[every, best] = False
-            order = order[stays].reshape(len(row), width - 2)
-            for shift in (0, -1):  # the merged symbol's new neighbours on the right and on the left
-                ok = np.flatnonzero((best + shift >= 0) & (best + shift < width - 2))
-                c = best[ok] + shift
-                order[ok, c] = ranked(symbols[ok, c], symbols[ok, c + 1])
+            symbols[every, best] = pieces.by_rank[worth] if pieces.ranks_differ else pieces.lookup(symbols[every, best], symbols[every, best + 1])
+            column = np.arange(width)
+            symbols = symbols[column != (best + 1)[:, None]].reshape(len(row), width - 1)
+            order = order[column[:-1] != best[:, None]].reshape(len(row), width - 2)
+            # the merged symbol's new neighbours on the left and on the right
+            left, right = np.flatnonzero(best > 0), np.flatnonzero(best < width - 2)
+            r, c = np.concatenate([left, right]), np.concatenate([best[left] - 1, best[right]])
+            order[r, c] = ranked(symbols[r, c], symbols[r, c + 1])
         if len(row):
             finish(row, symbols)
-        return out, came
+        start = np.cumsum(sizes) - sizes
+        ids = np.empty(int(sizes.sum()), np.int32)
+        for rows, matrix in done:
+            ids[start[rows][:, None] + np.arange(matrix.shape[1])] = matrix
+        for r, line in odd.items():
+            ids[start[r] : start[r] + len(line)] = line
+        return ids, sizes, came
 
     def many(self, words: list[str], variant: int, place: int = 0) -> list[bytes]:
         """Words at one place of a document; their ids as little-endian 32-bit integers."""
-        ids, sizes = self._segmented(words, self._salts(np.full(len(words), variant, np.uint64), np.full(len(words), place)))
+        unique = list(dict.fromkeys(words))
+        index = np.array([unique.index(w) for w in words], np.int64)
+        ids, sizes = self._segmented(unique, index, self._salts(np.full(len(words), variant, np.uint64), np.full(len(words), place)))
         ends = np.cumsum(sizes)
         return [ids[a:b].astype("<i4").tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
-    def _add(self, words: list[str], skipped: list[tuple[int, ...]], raw: list[bytes], reach: np.ndarray) -> np.ndarray:
+    def _add(self, word: np.ndarray, parent: np.ndarray, mark: np.ndarray, depth: np.ndarray, ids: np.ndarray, size: np.ndarray, reach: np.ndarray) -> np.ndarray:
         """New nodes, and their numbers."""
-        size = np.array([len(r) // 4 for r in raw], np.int64)
-        first = len(self.words)
-        self.words += words
-        self.skipped += skipped
-        self.at = np.concatenate([self.at, len(self.ids) + np.cumsum(size) - size])
-        self.size = np.concatenate([self.size, size])
-        self.kids = np.concatenate([self.kids, len(self.child) + np.cumsum(reach) - reach])
-        self.reach = np.concatenate([self.reach, reach])
-        self.hits = np.concatenate([self.hits, np.zeros(len(words), np.int64)])
-        self.child = np.concatenate([self.child, np.full(int(reach.sum()), -1)])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(raw), "<i4")])
-        return np.arange(first, first + len(words))
-
-    def _learn(self, words: list[str], skipped: list[tuple[int, ...]]) -> np.ndarray:
-        """New nodes of words that aren't too long for a matrix, and their numbers."""
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
-        raw, reach = [b""] * len(words), np.zeros(len(words), np.int64)
+        first = len(self.word)
+        new = {"word": word, "parent": parent, "mark": mark, "depth": depth, "reach": reach, "size": size, "hits": np.zeros(len(word), np.int64)}
+        new |= {"at": len(self.ids) + np.cumsum(size) - size, "kids": len(self.child) + np.cumsum(reach) - reach, "child": np.full(int(reach.sum()), -1), "ids": ids}
+        for name, values in new.items():
+            setattr(self, name, np.concatenate([getattr(self, name), values]))
+        return np.arange(first, first + len(word))
+
+    def _paths(self, parent: np.ndarray, mark: np.ndarray, depth: np.ndarray) -> np.ndarray:
+        """The numbers of the candidates skipped, a row a node, -1 after the last."""
+        out = np.full((len(parent), int(depth.max(initial=0)) + 1), -1)
+        rows = np.flatnonzero(depth > 0)
+        out[rows, depth[rows] - 1] = mark[rows]
+        above = parent[rows]
+        while len(rows):
+            some = self.depth[above] > 0
+            rows, above = rows[some], above[some]
+            out[rows, self.depth[above] - 1] = self.mark[above]
+            above = self.parent[above]
+        return out
+
+    def _learn(self, word: np.ndarray, parent: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """New nodes of words that aren't too long for a matrix, and their numbers. A root has the parent and mark -1."""
+        names = [self.names[i] for i in word.tolist()]
+        lengths = np.fromiter(map(len, names), np.int64, len(names))
+        depth = np.zeros(len(word), np.int64)
+        depth[parent >= 0] = self.depth[parent[parent >= 0]] + 1
+        sizes, reach, found = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64), []
         by_length = np.argsort(lengths, kind="stable")
         for group in np.split(by_length, np.flatnonzero(np.diff(lengths[by_length])) + 1):
             for at in range(0, len(group), _BLOCK):
                 part = group[at : at + _BLOCK]
-                paths = [skipped[i] for i in part.tolist()]
-                found, came = self._merged([words[i] for i in part.tolist()], paths)
-                reach[part] = came - [path[-1] + 1 if path else 0 for path in paths]
-                for i, r in zip(part.tolist(), found):
-                    raw[i] = r
-        return self._add(words, skipped, raw, reach)
-
-    def _segmented(self, words: list[str], salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of words under their salts, one after the other, and how many each has."""
-        if len(self.words) > MEMORY or len(self.ids) > 16 * MEMORY:
+                ids, sizes[part], came = self._merged([names[i] for i in part.tolist()], self._paths(parent[part], mark[part], depth[part]))
+                reach[part] = came - mark[part] - 1
+                found.append((part, ids))
+        start, flat = np.cumsum(sizes) - sizes, np.empty(int(sizes.sum()), np.int32)
+        for part, ids in found:
+            flat[_spans(start[part], sizes[part])] = ids
+        return self._add(word, parent, mark, depth, flat, sizes, reach)
+
+    def _segmented(self, unique: list[str], index: np.ndarray, salts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words (numbers in ``unique``) under their salts, one after the other, and how many each has."""
+        if len(self.word) > MEMORY or len(self.ids) > 16 * MEMORY:
             self._forget_rare()
-        fresh = list(set(words).difference(self.roots))
-        long = [w for w in fresh if len(w) > _WIDE]
-        if long:
-            self.roots.update(dict.fromkeys(long, -1))
-            fresh = [w for w in fresh if len(w) <= _WIDE]
-        if fresh:
-            self.roots.update(zip(fresh, self._learn(fresh, [()] * len(fresh)).tolist()))
-        node = np.array(list(map(self.roots.__getitem__, words)), np.int64)
+        root = np.fromiter(map(self.roots.get, unique, repeat(-2)), np.int64, len(unique))  # -1: too long for a matrix
+        new = np.flatnonzero(root == -2)
+        if len(new):
+            names = [unique[i] for i in new.tolist()]
+            short = np.fromiter(map(len, names), np.int64, len(names)) <= _WIDE
+            first = len(self.names)
+            self.names += [w for w, ok in zip(names, short.tolist()) if ok]
+            none = np.full(len(self.names) - first, -1)
+            root[new] = -1
+            root[new[short]] = self._learn(np.arange(first, len(self.names)), none, none)
+            self.roots.update(zip(names, root[new].tolist()))
+        node = root[index]
         wide = np.flatnonzero(node < 0)
         if len(wide):
-            long = [words[i] for i in wide.tolist()]
-            raw = [np.array(self._agenda(w, salts[i : i + 1]), "<i4").tobytes() for w, i in zip(long, wide.tolist())]
-            node[wide] = self._add([""] * len(long), [()] * len(long), raw, np.zeros(len(long), np.int64))
-        live, draw = np.arange(len(words)), 0
+            lists = [self._agenda(unique[index[i]], salts[i : i + 1]) for i in wide.tolist()]
+            zero, none = np.zeros(len(lists), np.int64), np.full(len(lists), -1)
+            if not self.names:
+                self.names.append("")
+            node[wide] = self._add(zero, none, none, zero, np.concatenate([np.array(x, np.int32) for x in lists]), np.array([len(x) for x in lists], np.int64), zero)
+        live, draw = np.arange(len(index)), 0
         self.hits += np.bincount(node, minlength=len(self.hits))
         while len(live):
             gap = self._gaps(salts[live], draw)
@@ -363,29 +431,38 @@ class Dropout:
             slot = self.kids[node[live]] + gap
             missing = np.flatnonzero(self.child[slot] < 0)
             if len(missing):
-                new, at = np.unique(slot[missing], return_index=True)
-                parents, after = node[live[missing[at]]].tolist(), gap[missing[at]].tolist()
-                paths = [(*path, (path[-1] + 1 if path else 0) + g) for path, g in zip((self.skipped[p] for p in parents), after)]
-                made = self._learn([self.words[p] for p in parents], paths)
-                self.child[new] = made
+                empty, at = np.unique(slot[missing], return_index=True)
+                parent = node[live[missing[at]]]
+                made = self._learn(self.word[parent], parent, self.mark[parent] + 1 + gap[missing[at]])
+                self.child[empty] = made
             node[live] = self.child[slot]
             self.hits += np.bincount(node[live], minlength=len(self.hits))
             draw += 1
         size = self.size[node]
         return self.ids[_spans(self.at[node], size)], size
 
-    def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
-        """Per text its ids as little-endian 32-bit integers."""
-        words = [_WORD.findall(" " + t) if t else [] for t in texts]
-        counts = np.array([len(w) for w in words], np.int64)
-        ends = np.cumsum(counts)
+    def segment(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, doc_ids: list[int | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (as ``cut`` gives them), one after the other, and how many each has."""
+        offsets = np.append(starts, len(data))
+        words = pa.Array.from_buffers(pa.large_string(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        unique, index = words.dictionary.to_pylist(), words.indices.to_numpy()
+        first = np.searchsorted(starts, ends)
+        counts = np.diff(first)
         own = np.array([self.variant(d) for d in doc_ids], np.uint64)
-        salts = self._salts(np.repeat(own, counts), np.arange(int(counts.sum())) - np.repeat(ends - counts, counts))
-        flat = list(chain.from_iterable(words))
-        parts = [self._segmented(flat[at : at + _PART], salts[at : at + _PART]) for at in range(0, len(flat), _PART)]
-        ids = np.concatenate([np.zeros(0, np.int32), *(p for p, _ in parts)]).astype("<i4")
+        salts = self._salts(np.repeat(own, counts), np.arange(len(index)) - np.repeat(first[:-1], counts))
+        parts = []
+        for at in range(0, len(index), _PART):
+            some, place = (unique, index) if len(index) <= _PART else np.unique(index[at : at + _PART], return_inverse=True)
+            parts.append(self._segmented(some if some is unique else [unique[i] for i in some.tolist()], place, salts[at : at + _PART]))
+        ids = np.concatenate([np.zeros(0, np.int32), *(p for p, _ in parts)]).astype("<i4", copy=False)
         after = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)]))])
-        return [ids[a:b].tobytes() for a, b in zip(after[ends - counts].tolist(), after[ends].tolist())]
+        return ids, np.diff(after[first])
+
+    def encode(self, texts: list[str | None], doc_ids: list[int | None]) -> list[bytes]:
+        """Per text its ids as little-endian 32-bit integers."""
+        ids, sizes = self.segment(*cut(pa.array(texts, pa.string())), list(doc_ids))
+        ends = np.cumsum(sizes)
+        return [ids[a:b].tobytes() for a, b in zip((ends - sizes).tolist(), ends.tolist())]
 
 
 @lru_cache(maxsize=2)
@@ -403,14 +480,14 @@ def _encoded(path: str, seed: int, rate: float, variants: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(path, seed, rate, variants)
         for rows in batches:
-            texts = rows["text"].to_pylist()
-            raw = coder.encode(texts, rows["doc_id"].to_pylist())
-            ids = np.frombuffer(b"".join(raw), "<i4")
-            ends = np.concatenate([[0], np.cumsum([len(r) // 4 for r in raw])])
-            same = [coder.pieces.decode(ids[a:b].tolist()) == (t or "") for t, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist())]
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
-            sums = pa.array([zlib.crc32(r) for r in raw], pa.int64())
-            yield batch([*rows.schema.names, *_ADDED.names], [*rows.columns, lists, np.diff(ends), sums, pa.array(same, pa.bool_())])
+            data, starts, ends = cut(rows["text"])
+            ids, sizes = coder.segment(data, starts, ends, rows["doc_id"].to_pylist())
+            after = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+            raw = memoryview(ids).cast("B")
+            sums = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(after[:-1].tolist(), after[1:].tolist())]
+            lists = pa.ListArray.from_arrays(pa.array(after.astype(np.int32)), pa.array(ids))
+            same = coder.pieces.lossless(ids, sizes, data, ends)
+            yield batch([*rows.schema.names, *_ADDED.names], [*rows.columns, lists, sizes, pa.array(sums, pa.int64()), pa.array(same, pa.bool_())])
 
     return run
 
