@@ -7,28 +7,30 @@ in one window whole.
 
 A unit is retrieved when its score reaches its threshold: the score of the unit's own words, less the
 weights of as many of its heaviest words as a copy may lose and still be one. No copy is
-missed by it. The bounds of WAND are tested for many windows at a time, from the cheapest on: the
+missed by it. WAND's bounds are tested for many windows at a time, from the cheapest on: the
 sum of each word's greatest weight anywhere against the lowest threshold of all; the sum of its greatest
-weight in a block against the block's lowest threshold; and only for the windows and blocks left, the
-scores themselves. There is no limit on what a window retrieves.
+weight in a block against the block's lowest threshold; and only where a block stays open, the postings of
+that block are read and the scores computed. Postings and bounds of a word and a block are one entry, and blocks without the
+word have none. There is no limit on what a window retrieves.
 
 Each item retrieved is then verified in the words around the window: of the question's and the answer's runs of
 ``SHINGLE`` words, at least ``overlap`` must stand there together, and of either at least
 ``part_overlap``. The question is the item's text up to its first line end, the answer what follows it.
 
 The index is broadcast; if there are more units than ``max_units``, the items are dealt into indexes of
-that size and the corpus is read once for each, with the same result.
+that size and the corpus is read once for each. How rare a word is and how long a unit is on average is taken from all items,
+so scores and results are the same whatever the size.
 
 Defined cases: null, empty and blank texts and items match nothing; items and rows that repeat are judged
-one by one; an item shorter than a shingle is one shingle; very long texts are judged whole;
-empty tables give an empty result, or let every document stay; other columns pass through ``clean`` untouched.
+one by one, and items that tie are all returned; an item shorter than a shingle is one shingle; very long texts are judged
+whole; empty tables give an empty result, or let every document stay; other columns pass through ``clean`` untouched.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -86,43 +88,71 @@ class Item:
         return (q_part, a_part) if total and q + a >= overlap * total and min(q_part, a_part) >= part_overlap else None
 
 
+def units_of(words: list[bytes]) -> list[list[bytes]]:
+    """An item's words in parts of equal size, of ``UNIT`` words at most."""
+    n = -(-len(words) // UNIT)
+    cuts = [len(words) * i // n for i in range(n + 1)] if n else []
+    return [words[a:b] for a, b in zip(cuts, cuts[1:])]
+
+
+@dataclass
+class Collection:
+    """What BM25 knows of all units: how many there are, their mean length, and in how many a word stands."""
+
+    units: int
+    mean: float
+    df: Counter
+
+    @classmethod
+    def of(cls, items: Iterable[Item]) -> Collection:
+        units, words, df = 0, 0, Counter()
+        for item in items:
+            for unit in units_of(item.words):
+                units += 1
+                words += len(unit)
+                df.update(set(unit))
+        return cls(units, words / max(1, units), df)
+
+    def weights(self, unit: list[bytes]) -> dict[bytes, float]:
+        norm = K1 * (1 - B + B * len(unit) / self.mean)
+        return {w: float(np.log(1 + (self.units - self.df[w] + 0.5) / (self.df[w] + 0.5))) * f * (K1 + 1) / (f + norm) for w, f in Counter(unit).items()}
+
+
+def _spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return np.repeat(start - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+
+
 class Index:
-    """BM25 weights of units by word, with the greatest per word and per word and block."""
+    """BM25 weights of units by word, in runs: the postings of a word in a block, with the greatest weight among them."""
 
-    def __init__(self, items: list[Item], overlap: float = OVERLAP):
+    def __init__(self, items: list[Item], overlap: float = OVERLAP, collection: Collection | None = None):
         self.items = [x for x in items if x.words]
-        units = []
-        for k, item in enumerate(self.items):
-            n = -(-len(item.words) // UNIT)
-            cuts = [len(item.words) * i // n for i in range(n + 1)]
-            units += [(k, item.words[a:b]) for a, b in zip(cuts, cuts[1:])]
-        n, mean = len(units), sum(len(w) for _, w in units) / max(1, len(units))
-        counts = [Counter(w) for _, w in units]
-        df = Counter(w for c in counts for w in c)
-        idf = {w: np.log(1 + (n - d + 0.5) / (d + 0.5)) for w, d in df.items()}
-        weights = [{w: idf[w] * f * (K1 + 1) / (f + K1 * (1 - B + B * sum(c.values()) / mean)) for w, f in c.items()} for c in counts]
+        collection = collection or Collection.of(self.items)
+        units = [(k, unit) for k, item in enumerate(self.items) for unit in units_of(item.words)]
+        weights = [collection.weights(unit) for _, unit in units]
         needed = []
-        for (_, words), own in zip(units, weights):
-            lost = int((1 - overlap) * max(1, len(words) - SHINGLE + 1) + 1e-9) + (2 * SHINGLE if len(self.items[_].words) > UNIT else 0)
+        for (k, unit), own in zip(units, weights):
+            lost = int((1 - overlap) * max(1, len(unit) - SHINGLE + 1) + 1e-9) + (2 * SHINGLE if len(self.items[k].words) > UNIT else 0)
             needed.append(sum(sorted(own.values(), reverse=True)[lost:]) * (1 - 1e-9))
-        order = sorted(range(n), key=lambda u: needed[u])
+        order = sorted(range(len(units)), key=lambda u: needed[u])
         self.unit_item = np.array([units[u][0] for u in order], np.int64)
         self.needed = np.array([needed[u] for u in order])
-        self.term = {w: t for t, w in enumerate(sorted(df))}
-        self.blocks = -(-n // BLOCK)
-        postings: list[list[tuple[int, float]]] = [[] for _ in self.term]
-        for place, u in enumerate(order):
-            for w, x in weights[u].items():
-                postings[self.term[w]].append((place, x))
-        self.starts = np.concatenate([[0], np.cumsum([len(p) for p in postings])]).astype(np.int64)
-        self.places = np.array([u for p in postings for u, _ in p], np.int64)
-        self.weights = np.array([x for p in postings for _, x in p])
-        self.most = np.array([*(max(x for _, x in p) for p in postings), 0.0])  # the last is for words of no item
-        self.block_most = np.zeros((len(postings) + 1, self.blocks))
-        for t, p in enumerate(postings):
-            for u, x in p:
-                self.block_most[t, u // BLOCK] = max(self.block_most[t, u // BLOCK], x)
-        self.block_needed = np.array([self.needed[b * BLOCK : (b + 1) * BLOCK].min() for b in range(self.blocks)])
+        self.blocks = -(-len(units) // BLOCK)
+        self.block_needed = self.needed[::BLOCK]
+        self.term = {w: t for t, w in enumerate(sorted(set().union(*weights)))} if weights else {}
+        size = np.array([len(weights[u]) for u in order], np.int64)
+        term = np.array([self.term[w] for u in order for w in weights[u]], np.int64)
+        weight = np.array([x for u in order for x in weights[u].values()])
+        place = np.repeat(np.arange(len(order)), size)
+        by_term = np.argsort(term, kind="stable")
+        term, self.places, self.weights = term[by_term], place[by_term], weight[by_term]
+        block = self.places // BLOCK
+        first = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(block, prepend=-1))
+        self.run_block, self.run_start, self.run_size = block[first], first, np.diff(np.append(first, len(term)))
+        self.run_most = np.maximum.reduceat(self.weights, first) if len(first) else np.zeros(0)
+        self.term_start = np.searchsorted(term[first], np.arange(len(self.term) + 1))
+        self.most = np.zeros(len(self.term) + 1)  # the last is for words of no item
+        np.maximum.at(self.most, term, self.weights)
 
     def retrieve(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """windows: rows of term numbers, the number of terms for other words. All (window, unit, score) at or
@@ -133,25 +163,20 @@ class Index:
         blank = len(self.term)
         ordered = np.sort(windows, axis=1)
         ordered[:, 1:][ordered[:, 1:] == ordered[:, :-1]] = blank
-        alive = np.flatnonzero(self.most[ordered].sum(axis=1) >= self.needed.min())
-        found = []
-        for at in range(0, len(alive), 4096):
-            rows = alive[at : at + 4096]
+        alive = np.flatnonzero(self.most[ordered].sum(axis=1) >= self.needed[0])
+        step, found = max(1, min(4096, (1 << 22) // self.blocks)), []
+        for at in range(0, len(alive), step):
+            rows = alive[at : at + step]
             owner, place = np.nonzero(ordered[rows] != blank)
             terms = ordered[rows][owner, place]
-            bound = np.zeros((len(rows), self.blocks))
-            filled = np.flatnonzero(np.bincount(owner, minlength=len(rows)))
-            if len(filled):
-                bound[filled] = np.add.reduceat(self.block_most[terms], np.searchsorted(owner, filled), axis=0)
-            open_blocks = bound >= self.block_needed
-            live = open_blocks.any(axis=1)[owner]
-            owner, terms = owner[live], terms[live]
-            n = self.starts[terms + 1] - self.starts[terms]
-            entry = np.repeat(self.starts[terms] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            who, unit = np.repeat(owner, n), self.places[entry]
-            inside = open_blocks[who, unit // BLOCK]
-            who, unit, entry = who[inside], unit[inside], entry[inside]
-            pairs, back = np.unique(who * len(self.needed) + unit, return_inverse=True)
+            n = self.term_start[terms + 1] - self.term_start[terms]
+            run, who = _spans(self.term_start[terms], n), np.repeat(owner, n)
+            cell = who * self.blocks + self.run_block[run]
+            bound = np.bincount(cell, self.run_most[run], len(rows) * self.blocks).reshape(len(rows), self.blocks)
+            inside = (bound >= self.block_needed * (1 - 1e-9)).ravel()[cell]
+            run, who = run[inside], who[inside]
+            entry, who = _spans(self.run_start[run], self.run_size[run]), np.repeat(who, self.run_size[run])
+            pairs, back = np.unique(who * len(self.needed) + self.places[entry], return_inverse=True)
             score = np.bincount(back, self.weights[entry], len(pairs))
             who, unit = pairs // len(self.needed), pairs % len(self.needed)
             enough = score >= self.needed[unit]
@@ -186,17 +211,23 @@ class Index:
         return [(d, k, *v) for (d, k), v in best.items()]
 
 
+def _items(bench: DataFrame) -> Iterator[Item]:
+    for row in bench.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
+        yield Item.of(row["item_id"], row["text"])
+
+
 def indexes(bench: DataFrame, overlap: float = OVERLAP, max_units: int = MAX_UNITS) -> Iterator[Index]:
-    """Indexes over all items, each of at most about ``max_units`` units."""
+    """Indexes over all items, each of at most about ``max_units`` units. The items pass through the driver twice, an index at a time."""
+    collection = Collection.of(_items(bench))
     part, units = [], 0
-    for row in bench.select("item_id", "text").orderBy("item_id", "text").toLocalIterator():
-        part.append(Item.of(row["item_id"], row["text"]))
-        units += -(-len(part[-1].words) // UNIT)
+    for item in _items(bench):
+        part.append(item)
+        units += -(-len(item.words) // UNIT)
         if units >= max_units:
-            yield Index(part, overlap)
+            yield Index(part, overlap, collection)
             part, units = [], 0
     if part:
-        yield Index(part, overlap)
+        yield Index(part, overlap, collection)
 
 
 def _found(index, overlap: float, part_overlap: float):

@@ -55,6 +55,13 @@ def test_finds_what_brute_force_finds(documents, spark, max_units):
     assert kept.columns == docs.columns
 
 
+def test_scores_are_the_same_for_any_number_of_indexes(documents, spark):
+    items, texts = corpus(6)
+    bench, docs = spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), documents(texts)
+    one, many = (sorted(tuple(r) for r in d.leaks(docs, bench, max_units=n).collect()) for n in (20_000, 9))
+    assert one == many and len(one) > 20
+
+
 def test_retrieval_equals_scoring_everything():
     items, texts = corpus(9)
     index = d.Index([d.Item.of(i, t) for i, t in enumerate(items)])
@@ -65,8 +72,10 @@ def test_retrieval_equals_scoring_everything():
         windows[k, : len(own)] = own
     dense = np.zeros((len(index.term) + 1, len(index.needed)))
     for t in range(len(index.term)):
-        for e in range(index.starts[t], index.starts[t + 1]):
-            dense[t, index.places[e]] = index.weights[e]
+        for run in range(index.term_start[t], index.term_start[t + 1]):
+            for e in range(index.run_start[run], index.run_start[run] + index.run_size[run]):
+                dense[t, index.places[e]] = index.weights[e]
+                assert index.places[e] // d.BLOCK == index.run_block[run] and index.weights[e] <= index.run_most[run]
     scores = np.array([dense[np.unique(w)].sum(axis=0) for w in windows])
     want = {(w, u): scores[w, u] for w, u in np.argwhere(scores >= index.needed)}
     got = {(w, u): s for w, u, s in zip(*(x.tolist() for x in index.retrieve(windows)))}
@@ -81,7 +90,7 @@ def test_weights_are_bm25():
     mean = np.mean([len(x.words) for x in items])
     t = index.term[b"b"]
     idf = np.log(1 + (3 - df[b"b"] + 0.5) / (df[b"b"] + 0.5))
-    assert np.isclose(index.weights[index.starts[t]], idf * 2 * (d.K1 + 1) / (2 + d.K1 * (1 - d.B + d.B * 4 / mean)))
+    assert np.isclose(index.weights[index.run_start[index.term_start[t]]], idf * 2 * (d.K1 + 1) / (2 + d.K1 * (1 - d.B + d.B * 4 / mean)))
 
 
 def test_empty_tables(documents, spark):
