@@ -2,7 +2,8 @@
 
 Alternating large-star and small-star rounds: every round is two grouped minima (summed before the
 shuffle) and two joins, and the number of rounds grows with the logarithm of the longest chain. Each
-round is a table in the shared folder; nothing is gathered on the driver but two numbers a round.
+half round is a table in the shared folder; nothing is gathered on the driver but two numbers a round. A hub's edges are joined
+where they lie, so the largest component is no task of its own.
 """
 
 from __future__ import annotations
@@ -19,6 +20,22 @@ def _state(edges: DataFrame) -> tuple[int, int]:
     return row[0], row[1] or 0
 
 
+#: A key with more rows than this share of all, and than so many, is joined by broadcast.
+_COMMON, _COMMON_ROWS = 1000, 1000
+
+
+def join_spread(rows: DataFrame, one: DataFrame, keys: list[str], copies: str, total: int) -> DataFrame:
+    """``rows`` joined with ``one``, which has a row a key and in ``copies`` how many of the ``total`` rows have that key, or less.
+
+    The rows of a key with over a thousandth of all aren't shuffled: there are fewer than a thousand such keys, whose rows of
+    ``one`` are broadcast.
+    """
+    bound = max(_COMMON_ROWS, total // _COMMON)
+    common = one.where(F.col(copies) > bound)
+    rest = rows.join(F.broadcast(common.select(*keys)), keys, "left_anti").join(one.where(F.col(copies) <= bound), keys)
+    return rows.join(F.broadcast(common), keys).unionByName(rest)
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(a, b) links of long ids, any order, repeats and loops allowed -> (node, root).
 
@@ -30,10 +47,12 @@ def connected(edges: DataFrame) -> DataFrame:
     before = _state(links)
     while before[0]:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lowest = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
+        lowest = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = join_spread(both, lowest, ["u"], "n", 2 * before[0]).where("v > u")
+        large = stored(large.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "edges")
+        lowest = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_spread(large, lowest, ["u"], "n", 2 * before[0])
+        small = small.select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         links = stored(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u != v").distinct(), "edges")
         now = _state(links)
         if now == before:

@@ -4,21 +4,23 @@ Vectors of unit length with a cosine of c or more are at most eps = sqrt(2 - 2 c
 projections on any orthonormal directions. The directions are principal ones of a bounded sample; whatever they are,
 they only decide how much can be skipped.
 
-Equal vectors become one row with a count. Rows are sorted by the cells, eps wide, of their leading
-projections, and the sorted sequence is cut into strips of bounded size, each with the box around its
+Equal vectors (told apart by hashes of 128 bits) become one row with a count. Rows are sorted by the cells, eps wide, of
+their leading projections, and the sorted sequence is cut into strips of bounded size, each with the box around its
 projections. Intervals of the sequence are joined with each other recursively: a pair of intervals whose boxes are
-more than eps apart in any direction is skipped, others are halved, down to pairs of strips. Each pair of
-strips is one row of a Spark job, whose task goes on halving until it multiplies small blocks.
+more than eps apart in any direction is skipped, others are divided. Down to groups of strips the recursion is a few joins of
+tables of boxes; each pair of groups left is then one task, which goes on with strips and parts of
+strips until it multiplies small blocks. So a strip is sent once for each group that its own can't be told apart from, and the
+number of groups is about the square root of twice the number of cores, more where a group would outgrow ``GROUP_BYTES``.
 
 The products are taken in single precision first; those too near to the threshold to tell are taken again
 in double precision, component by component in order. Tasks return each vector's number of links and trees that
-connect what is linked, never all pairs. What the driver holds is a box per strip and a row per pair of strips that
-can't be skipped.
+connect what is linked, never all pairs. What the driver holds is a row per partition of the sequence.
 
 Defined cases: a vector that is null, empty, zero, or holds a null or non-finite component links with nothing, not even
-its copies, and is kept; vectors of different lengths don't link; repeated rows and ids are vectors of their own;
-a row without an id has the smallest id that it reaches, or null, and isn't kept unless it links with nothing; an
-empty table gives an empty result.
+its copies, and is kept; vectors of different lengths don't link; very large and very small components are scaled by powers
+of two; repeated rows and ids are vectors of their own; a cosine at the threshold links; a row without an id has
+the smallest id that it reaches, or null, and isn't kept unless it links with nothing; an empty table gives an empty result;
+other columns don't matter.
 """
 
 from __future__ import annotations
@@ -27,19 +29,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import batch
-from tessera.llm.components import Forest, connected
+from tessera.llm.arrow import batch, runs
+from tessera.llm.components import Forest, connected, join_spread
 from tessera.llm.sampling import bounded_sample
 from tessera.session import small_batches, stored
 
 #: Vectors that the principal directions are taken from, at most.
 SAMPLE = 4096
 DIRECTIONS = 8
-STRIP = 8192
+#: Vectors of a strip and of a block that is multiplied, at most; a strip has ``STRIP_BYTES`` at most, too.
+STRIP, STRIP_BYTES = 8192, 2 << 20
 LEAF = 1024
+#: Bytes of vectors of a group of strips, at most.
+GROUP_BYTES = 32 << 20
+#: Intervals that one is divided into.
+_FAN = 16
 
 
 def usable(vector: Column) -> Column:
@@ -49,7 +57,7 @@ def usable(vector: Column) -> Column:
 
 def principal(sample: np.ndarray, n: int = DIRECTIONS) -> np.ndarray:
     """Orthonormal columns: the directions in which unit vectors differ most."""
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = _unit(sample)
     _, _, rows = np.linalg.svd(unit - unit.mean(axis=0), full_matrices=False)
     return np.ascontiguousarray(rows[:n].T)
 
@@ -76,83 +84,73 @@ def _placed(directions: np.ndarray, eps: float):
     return run
 
 
-def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds each row's partition and its place in it."""
-    from pyspark import TaskContext
-
-    part, at = TaskContext.get().partitionId(), 0
-    for rows in batches:
-        place = np.arange(at, at + rows.num_rows)
-        at += rows.num_rows
-        yield batch([*rows.schema.names, "part", "place"], [*rows.columns, np.full(rows.num_rows, part, np.int32), place])
-
-
-def _packed(directions: np.ndarray, wide: bool):
-    dims = len(directions)
+def _packed(directions: np.ndarray, wide: bool, size: int):
+    dims, kind = len(directions), np.float64 if wide else np.float32
 
-    def strip(rows: pa.Table) -> pa.RecordBatch:
-        v = _matrix(rows["v"].combine_chunks(), dims)
+    def strip(number: int, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(parts)
+        v = _matrix(rows["v"].combine_chunks(), dims).astype(kind)
         near = _unit(v.astype(np.float64)) @ directions
-        packed = [x.tobytes() for x in (rows["node"].to_numpy(), rows["copies"].to_numpy(), v.astype(np.float64 if wide else np.float32))]
-        return batch(["strip", "lo", "hi", "nodes", "copies", "vectors"], [rows["strip"].combine_chunks()[:1], pa.array([near.min(axis=0).tolist()]), pa.array([near.max(axis=0).tolist()]), *(pa.array([x], pa.binary()) for x in packed)])
+        packed = [x.tobytes() for x in (rows["node"].to_numpy(), rows["copies"].to_numpy(), v)]
+        boxes = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (near.min(axis=0), near.max(axis=0))]
+        return batch(_STRIP_NAMES, [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([number * size], pa.int64()), pa.array([len(v)], pa.int64()), *boxes, *(pa.array([x], pa.binary()) for x in packed)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for rows in batches:  # sorted by strip
-            number = rows["strip"].to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), rows.num_rows]
-            for begin, end in zip(cuts, cuts[1:]):
-                if held and begin < end and held[0]["strip"][0].as_py() != number[begin]:
-                    yield strip(pa.Table.from_batches(held))
-                    held = []
-                if begin < end:
-                    held.append(rows.slice(begin, end - begin))
+        held, n, number = [], 0, 0
+        for rows in batches:
+            while rows.num_rows:
+                held.append(rows.slice(0, size - n))
+                rows, n = rows.slice(size - n), n + held[-1].num_rows
+                if n == size:
+                    yield strip(number, held)
+                    held, n, number = [], 0, number + 1
         if held:
-            yield strip(pa.Table.from_batches(held))
+            yield strip(number, held)
 
     return run
 
 
-def _strips(ordered: DataFrame, directions: np.ndarray, wide: bool, kind: str) -> DataFrame:
-    """Rows of up to ``STRIP`` vectors that follow each other in the whole order, however it was dealt out."""
-    rows = stored(ordered.mapInArrow(_numbered, f"node long, copies long, v {kind}, part int, place long"), "ordered-vectors")
+_STRIP_NAMES = ["part", "place", "n", "lo", "hi", "nodes", "copies", "vectors"]
+_STRIP = "part int, place long, n long, lo array<double>, hi array<double>, nodes binary, copies binary, vectors binary"
+
+
+def _groups(strips: DataFrame, per: int) -> DataFrame:
+    """Strips with ``grp``: their place in the whole order over ``per``."""
     offsets, total = [], 0
-    for part, n in rows.groupBy("part").agg(F.count("*")).orderBy("part").collect():  # a row per partition
+    for part, n in strips.groupBy("part").agg(F.sum("n")).orderBy("part").collect():  # a row per partition
         offsets.append((part, total))
         total += n
-    table = F.broadcast(ordered.sparkSession.createDataFrame(offsets, "part int, before long"))
-    rows = rows.join(table, "part").withColumn("place", F.col("before") + F.col("place"))
-    rows = rows.select("node", "copies", "v", "place", F.floor(F.col("place") / STRIP).alias("strip"))
-    rows = rows.repartition("strip").sortWithinPartitions("strip", "place").drop("place")
-    return stored(rows.mapInArrow(_packed(directions, wide), "strip long, lo array<double>, hi array<double>, nodes binary, copies binary, vectors binary"), "strips")
+    table = F.broadcast(strips.sparkSession.createDataFrame(offsets, "part int, before long"))
+    return strips.join(table, "part").withColumn("grp", F.floor((F.col("before") + F.col("place")) / per)).drop("part", "place", "before")
+
+
+def near_pairs(boxes: DataFrame, directions: int, groups: int, eps: float) -> DataFrame:
+    """(p, q), p <= q: the groups that may hold near vectors, of (grp, lo, hi). Intervals of the sequence of groups are divided
+    level by level, and pairs of them whose boxes are apart go no further."""
+    levels = 0
+    while _FAN**levels < groups:
+        levels += 1
+    ks = range(directions)
+    pairs = boxes.sparkSession.createDataFrame([(0, 0)], "p long, q long") if levels else boxes.select(F.col("grp").alias("p"), F.col("grp").alias("q")).distinct()
+    for level in reversed(range(levels)):
+        one = boxes.groupBy(F.floor(F.col("grp") / _FAN**level).alias("id")).agg(
+            F.array(*(F.min(F.get("lo", F.lit(k))) for k in ks)).alias("lo"), F.array(*(F.max(F.get("hi", F.lit(k))) for k in ks)).alias("hi"))
+        side = lambda s, up: one.select(F.floor(F.col("id") / _FAN).alias(up), *(F.col(c).alias(c + s) for c in ("id", "lo", "hi")))  # noqa: B023, E731
+        near = F.lit(True)
+        for k in ks:
+            lo_a, hi_a, lo_b, hi_b = (F.get(c, F.lit(k)) for c in ("lo_a", "hi_a", "lo_b", "hi_b"))
+            near = near & (lo_a - hi_b <= eps) & (lo_b - hi_a <= eps)
+        pairs = pairs.join(side("_a", "p"), "p").join(side("_b", "q"), "q").where((F.col("id_a") <= F.col("id_b")) & near).select(F.col("id_a").alias("p"), F.col("id_b").alias("q"))
+    return pairs
 
 
 def _apart(lo_a, hi_a, lo_b, hi_b, eps: float) -> bool:
     return bool((np.maximum(lo_a - hi_b, lo_b - hi_a) > eps).any())
 
 
-def strip_pairs(lo: np.ndarray, hi: np.ndarray, eps: float) -> list[tuple[int, int]]:
-    """Pairs i <= j of strips that may hold near vectors, by halving intervals of the sequence."""
-    out, todo = [], [(0, len(lo), 0, len(lo))] if len(lo) else []
-    while todo:
-        a, b, c, d = todo.pop()
-        if _apart(lo[a:b].min(axis=0), hi[a:b].max(axis=0), lo[c:d].min(axis=0), hi[c:d].max(axis=0), eps):
-            continue
-        if b - a == 1 and d - c == 1:
-            out.append((a, c))
-        elif (a, b) == (c, d):
-            m = (a + b) // 2
-            todo += [(a, m, a, m), (a, m, m, b), (m, b, m, b)]
-        elif b - a >= d - c:
-            todo += [(a, (a + b) // 2, c, d), ((a + b) // 2, b, c, d)]
-        else:
-            todo += [(a, b, c, (c + d) // 2), (a, b, (c + d) // 2, d)]
-    return sorted(out)
-
-
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Row by row, in double precision."""
-    a, b = a.astype(np.float64), b.astype(np.float64)
+    """Row by row, in double precision; scaled by powers of two first, which changes no digit."""
+    a, b = (np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1]) for x in (a.astype(np.float64), b.astype(np.float64)))
     dot, x, y = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
     for k in range(a.shape[1]):
         dot += a[:, k] * b[:, k]
@@ -161,65 +159,81 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot / np.sqrt(x) / np.sqrt(y)
 
 
-def join_strips(a: np.ndarray, b: np.ndarray | None, copies_a: np.ndarray, copies_b: np.ndarray, directions: np.ndarray, eps: float, least: float) -> tuple[np.ndarray, np.ndarray, Forest]:
-    """Copies linked to each row of a and of b, and the trees (rows of b come after those of a). b None: a with itself."""
-    own = b is None
-    b = a if own else b
-    unit_a = _unit(a.astype(np.float64))
-    unit_b = unit_a if own else _unit(b.astype(np.float64))
-    near_a, near_b = unit_a @ directions, unit_b @ directions
-    single_a, single_b = unit_a.astype(np.float32), unit_b.astype(np.float32)
-    margin = np.float32(4e-7 * (a.shape[1] + 8))
-    linked_a, linked_b, shift = np.zeros(len(a)), np.zeros(len(b)), 0 if own else len(a)
-    forest = Forest(len(a) + (0 if own else len(b)))
+class Strip:
+    """Vectors that follow each other in the order, with what the join needs of them."""
+
+    def __init__(self, vectors: np.ndarray, copies: np.ndarray, directions: np.ndarray, nodes: np.ndarray | None = None):
+        unit = _unit(vectors.astype(np.float64))
+        self.vectors, self.copies, self.nodes = vectors, copies, nodes
+        self.near, self.single = unit @ directions, unit.astype(np.float32)
+        self.lo, self.hi = self.near.min(axis=0), self.near.max(axis=0)
+        self.links = np.zeros(len(vectors))
+
+    def __len__(self) -> int:
+        return len(self.vectors)
+
+
+def join_strips(a: Strip, b: Strip, eps: float, least: float, leaf: int = LEAF) -> Forest:
+    """Adds to the links of both, copies counted, and returns the trees (rows of b come after those of a, unless b is a)."""
+    own, shift = a is b, 0 if a is b else len(a)
+    margin = np.float32(4e-7 * (a.vectors.shape[1] + 8))
+    forest = Forest(shift + len(b))
     todo = [(0, len(a), 0, len(b))]
     while todo:
         p, q, r, s = todo.pop()
-        if _apart(near_a[p:q].min(axis=0), near_a[p:q].max(axis=0), near_b[r:s].min(axis=0), near_b[r:s].max(axis=0), eps):
+        if _apart(a.near[p:q].min(axis=0), a.near[p:q].max(axis=0), b.near[r:s].min(axis=0), b.near[r:s].max(axis=0), eps):
             continue
         same = own and (p, q) == (r, s)
-        if max(q - p, s - r) > LEAF:
+        if max(q - p, s - r) > leaf:
             m, n = (p + q) // 2, (r + s) // 2
             todo += [(p, m, p, m), (p, m, m, q), (m, q, m, q)] if same else [(p, m, r, s), (m, q, r, s)] if q - p >= s - r else [(p, q, r, n), (p, q, n, s)]
             continue
-        product = single_a[p:q] @ single_b[r:s].T
-        if not own and not (product >= least - margin).any():
-            continue
-        i, j = np.nonzero(product >= least - margin)
-        value = product[i, j]
+        product = a.single[p:q] @ b.single[r:s].T
+        i, j = np.divmod(np.flatnonzero(product.ravel() >= least - margin), s - r)
         if same:
-            i, j, value = i[i < j], j[i < j], value[i < j]
+            upper = i < j
+            i, j = i[upper], j[upper]
+        value = product[i, j]
         doubtful = np.flatnonzero(value < least + margin)
         fits = np.ones(len(i), bool)
         for at in range(0, len(doubtful), 1 << 16):
             part = doubtful[at : at + (1 << 16)]
-            fits[part] = cosines(a[p + i[part]], b[r + j[part]]) >= least
+            fits[part] = cosines(a.vectors[p + i[part]], b.vectors[r + j[part]]) >= least
         i, j = p + i[fits], r + j[fits]
         if len(i):
-            linked_a += np.bincount(i, copies_b[j], len(a))
-            linked_b += np.bincount(j, copies_a[i], len(b))
+            a.links += np.bincount(i, b.copies[j], len(a))
+            b.links += np.bincount(j, a.copies[i], len(b))
             forest.join(i, j + shift)
-    return linked_a, linked_b, forest
+    return forest
 
 
-def _joined(directions: np.ndarray, eps: float, least: float, wide: bool):
+def _joined(directions: np.ndarray, eps: float, least: float, wide: bool, leaf: int):
     dims, kind = len(directions), np.float64 if wide else np.float32
 
+    def counted(strips: list[Strip]) -> pa.RecordBatch:
+        x, y = np.concatenate([s.nodes for s in strips]), np.concatenate([s.links for s in strips])
+        some = np.flatnonzero(y)
+        return batch(["edge", "a", "b"], [np.zeros(len(some), bool), x[some], y[some].astype(np.int64)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for r in rows.to_pylist():
-                get = lambda side: [np.frombuffer(r[f"{c}_{side}"], t) for c, t in (("nodes", np.int64), ("copies", np.int64), ("vectors", kind))]  # noqa: B023, E731
-                nodes_a, copies_a, a = get("a")
-                nodes_b, copies_b, b = get("b")
-                own = r["p"] == r["q"]
-                links_a, links_b, forest = join_strips(a.reshape(-1, dims), None if own else b.reshape(-1, dims), copies_a, copies_b, directions, eps, least)
-                names = nodes_a if own else np.concatenate([nodes_a, nodes_b])
-                counts = links_a + links_b if own else np.concatenate([links_a, links_b])
-                some = np.flatnonzero(counts)
-                child, root = forest.links()
-                x = np.concatenate([names[some], names[child]])
-                y = np.concatenate([counts[some].astype(np.int64), names[root]])
-                yield batch(["edge", "a", "b"], [np.arange(len(x)) >= len(some), x, y])
+        for _, parts in runs(batches, "cell"):  # the strips of one group, then those of the other
+            held: list[Strip] = []
+            for rows in parts:
+                for r in rows.to_pylist():
+                    nodes, copies, vectors = (np.frombuffer(r[c], t) for c, t in (("nodes", np.int64), ("copies", np.int64), ("vectors", kind)))
+                    strip = Strip(vectors.reshape(-1, dims), copies, directions, nodes)
+                    if not r["second"]:
+                        held.append(strip)
+                    for other in held if r["second"] or r["alone"] else ():
+                        if _apart(other.lo, other.hi, strip.lo, strip.hi, eps):
+                            continue
+                        child, root = join_strips(other, strip, eps, least, leaf).links()
+                        names = strip.nodes if other is strip else np.concatenate([other.nodes, strip.nodes])
+                        yield batch(["edge", "a", "b"], [np.ones(len(child), bool), names[child], names[root]])
+                    if r["second"]:
+                        yield counted([strip])
+            if held:
+                yield counted(held)
 
     return run
 
@@ -227,33 +241,37 @@ def _joined(directions: np.ndarray, eps: float, least: float, wide: bool):
 def _links(nodes: DataFrame, dims: int, least: float, wide: bool) -> DataFrame:
     """(edge, a, b): edges between nodes, or a node and a number of linked vectors."""
     spark = nodes.sparkSession
+    small_batches(spark)
     eps = float(np.sqrt(max(0.0, 2 - 2 * least))) * (1 + 1e-9) + 1e-9
-    n = nodes.count()
+    n, cores, width = nodes.count(), spark.sparkContext.defaultParallelism, dims * (8 if wide else 4)
     sample = bounded_sample(nodes, SAMPLE, n, 8, "node").select("v").toArrow()["v"].combine_chunks()
     directions = principal(_matrix(sample, dims).astype(np.float64))
     kind = f"array<{'double' if wide else 'float'}>"
     cells = nodes.mapInArrow(_placed(directions, eps), f"node long, copies long, v {kind}, cells array<int>")
-    parts = max(1, -(-n // (4 * STRIP)))
+    size = max(1, min(STRIP, STRIP_BYTES // width))
+    parts = max(1, min(-(-n // size), 4 * cores), -(-n // (64 * size)))
     ordered = cells.repartitionByRange(parts, "cells", "node").sortWithinPartitions("cells", "node").drop("cells")
-    strips = _strips(ordered, directions, wide, kind)
-    boxes = strips.select("strip", "lo", "hi").orderBy("strip").collect()
-    pairs = strip_pairs(np.array([r["lo"] for r in boxes]), np.array([r["hi"] for r in boxes]), eps)
-    table = spark.createDataFrame([(boxes[i]["strip"], boxes[j]["strip"]) for i, j in pairs], "p long, q long")
-    side = lambda s, key: strips.select(F.col("strip").alias(key), *(F.col(c).alias(f"{c}_{s}") for c in ("nodes", "copies", "vectors")))
-    work = table.join(side("a", "p"), "p").join(side("b", "q"), "q").repartition(len(pairs), "p", "q")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")  # a row holds two strips
-    try:
-        return stored(work.mapInArrow(_joined(directions, eps, least, wide), "edge boolean, a long, b long"), "links")
-    finally:
-        small_batches(spark)
+    strips = stored(ordered.mapInArrow(_packed(directions, wide, size), _STRIP), "strips")
+    side = max(1, int(np.ceil(np.sqrt(2 * cores))))
+    per = max(1, min(max(-(-n // side), LEAF), max(size, GROUP_BYTES // width)))
+    strips = _groups(strips, per)
+    groups = -(-n // per)
+    pairs = stored(near_pairs(strips.select("grp", "lo", "hi"), directions.shape[1], groups, eps), "strip-pairs")
+    one = strips.drop("n", "lo", "hi").withColumnRenamed("grp", "p").join(pairs, "p").withColumn("second", F.lit(False))
+    two = strips.drop("n", "lo", "hi").withColumnRenamed("grp", "q").join(pairs.where("p < q"), "q").withColumn("second", F.lit(True))
+    work = one.unionByName(two).select((F.col("p") * groups + F.col("q")).alias("cell"), (F.col("p") == F.col("q")).alias("alone"), "second", "nodes", "copies", "vectors")
+    n_pairs = max(1, pairs.count())
+    work = work.repartition(min(4 * n_pairs, max(n_pairs, 4096)), "cell").sortWithinPartitions("cell", "second")
+    return stored(work.mapInArrow(_joined(directions, eps, least, wide, LEAF), "edge boolean, a long, b long"), "links")
 
 
 def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of (vec_id, embedding)."""
     wide = vectors.schema["embedding"].dataType.elementType.simpleString() != "float"
-    rows = vectors.select("vec_id", F.col("embedding").alias("v"))
-    rows = rows.withColumn("v", F.when(usable(F.col("v")), F.col("v").cast(f"array<{'double' if wide else 'float'}>")))
-    nodes = rows.where(F.col("v").isNotNull()).groupBy("v").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
+    fits = usable(F.col("embedding"))
+    rows = vectors.where(fits).select("vec_id", F.col("embedding").cast(f"array<{'double' if wide else 'float'}>").alias("v"))
+    rows = rows.select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(1), "v").alias("h2"))
+    nodes = rows.groupBy("h1", "h2").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
     found = None
     for (dims,) in sorted(nodes.select(F.size("v")).distinct().collect()):
@@ -261,15 +279,18 @@ def near_vectors(vectors: DataFrame, least: float = 0.9) -> DataFrame:
         found = part if found is None else found.union(part)
     if found is None:
         found = vectors.sparkSession.createDataFrame([], "edge boolean, a long, b long")
+    names = nodes.drop("v")
     counts = found.where(~F.col("edge")).groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
     roots = connected(found.where("edge").select("a", "b"))
-    linked = stored(roots.join(nodes.select("node", "first"), "node"), "linked-vectors")
-    linked = linked.join(linked.groupBy("root").agg(F.min("first").alias("lowest")), "root").select("node", "lowest")
-    named = nodes.join(counts, "node", "left").join(linked, "node", "left")
-    named = named.select("v", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("lowest", "first").alias("component_id"))
-    out = rows.join(named, "v", "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
-    alone = (F.col("n_links") == 0) & F.col("vec_id").isNull()
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), alone))
+    linked = stored(roots.join(names.select("node", "first"), "node"), "linked-vectors")
+    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"), F.count("*").alias("n"))
+    linked = join_spread(linked, lowest, ["root"], "n", linked.count()).select("node", "lowest")
+    named = names.join(counts, "node", "left").join(linked, "node", "left")
+    named = stored(named.select("h1", "h2", "copies", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("lowest", "first").alias("component_id")), "named-vectors")
+    out = join_spread(rows.select("vec_id", "h1", "h2"), named, ["h1", "h2"], "copies", named.agg(F.sum("copies")).first()[0] or 0)
+    alone = vectors.where(~fits).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = out.select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id").union(alone)
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), (F.col("n_links") == 0) & F.col("vec_id").isNull()))
 
 
 def query(vectors: DataFrame) -> DataFrame:

@@ -21,9 +21,10 @@ For pairs further apart than the ring on 64 bits can tell from chance, a fingerp
 ``max_sketch_bits``.
 
 Defined cases: a null, empty or blank text has the fingerprint zero and links like any other; fewer words
-than a shingle takes count as one shingle; ties in a bit's vote give 0; repeated rows and ids are rows of
-their own; rows without an id get the smallest id they reach, or null; an empty table gives an
-empty result; other columns pass through ``near_dedup`` untouched.
+than a shingle takes count as one shingle; ties in a bit's vote give 0; very long texts are hashed whole; repeated rows and ids
+are rows of their own, so of equal rows ``near_dedup`` keeps one, and a text of its own stays whatever else has its id;
+rows without an id get the smallest id they reach, or null, and are kept only where no row of their group has one; an empty
+table gives an empty result; other columns pass through ``near_dedup`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.arrow import ASCII_LOWER, as_bytes, batch
-from tessera.llm.components import Forest, connected
+from tessera.llm.arrow import ASCII_LOWER, as_bytes, batch, fresh
+from tessera.llm.components import Forest, connected, join_spread
 from tessera.session import small_batches, stored
 
 SEED = 42
@@ -91,15 +92,16 @@ def _fingerprints(size: int, words: int):
         for rows in batches:
             hashed = [shingle_hashes(t, size) for t in as_bytes(rows["text"])]
             columns = [np.array([fingerprint(h, k) for h in hashed], np.uint64).view(np.int64) for k in range(words)]
-            yield batch(["doc_id", *(f"f{k}" for k in range(words))], [rows["doc_id"], *columns])
+            yield batch(["doc_id", "row", *(f"f{k}" for k in range(words))], [rows["doc_id"], rows["row"], *columns])
 
     return run
 
 
-def fingerprints(docs: DataFrame, shingle: int, words: int = 1) -> DataFrame:
-    """(doc_id, f0, f1, ..): the words of each document's fingerprint."""
+def fingerprints(docs: DataFrame, shingle: int, words: int = 1, row: Column | None = None) -> DataFrame:
+    """(doc_id, row, f0, f1, ..): the words of each document's fingerprint. row: what tells rows of one id apart, else 0."""
     small_batches(docs.sparkSession)
-    return docs.select("doc_id", "text").mapInArrow(_fingerprints(shingle, words), "doc_id long, " + ", ".join(f"f{k} long" for k in range(words)))
+    row = F.lit(0).cast("long") if row is None else row
+    return docs.select("doc_id", "text", row.alias("row")).mapInArrow(_fingerprints(shingle, words), "doc_id long, row long, " + ", ".join(f"f{k} long" for k in range(words)))
 
 
 # --- the ring -----------------------------------------------------------------------------
@@ -227,25 +229,34 @@ def links(nodes: DataFrame, max_bits: int, words: int = 1, max_sketch_bits: int
     return rows.repartition(parts, "bucket", "p", "q").mapInArrow(_linked(ring, ring.more(n), words, max_sketch_bits), "a long, b long")
 
 
+def _grouped(prints: DataFrame, own: list[str], max_bits: int, max_sketch_bits: int, block: int) -> DataFrame:
+    """``prints`` with ``lowest``: of the rows in reach the first one by id (those without come last) and row."""
+    found = stored(prints.withColumn("node", F.col("f0") if len(own) == 1 else F.xxhash64(*own)), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    nodes = stored(found.groupBy("node", *own).agg(F.min(first).alias("first"), F.count("*").alias("copies")), "fingerprint-nodes")
+    roots = connected(links(nodes, max_bits, len(own), max_sketch_bits, block))
+    linked = stored(roots.join(nodes.select("node", "first"), "node"), "linked-nodes")
+    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"), F.count("*").alias("n"))
+    linked = join_spread(linked, lowest, ["root"], "n", linked.count()).select("node", "lowest")
+    named = stored(nodes.join(linked, "node", "left").select("node", "copies", F.coalesce("lowest", "first").alias("lowest")), "named-nodes")
+    return join_spread(found, named, ["node"], "copies", named.agg(F.sum("copies")).first()[0] or 0)
+
+
 def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4, sketch_words: int = 1, max_sketch_bits: int = 0, block: int = BLOCK) -> DataFrame:
     """(doc_id, f0, .., component_id): the smallest id that a document reaches by links, itself included."""
     own = [f"f{k}" for k in range(sketch_words)]
-    node = F.col("f0") if sketch_words == 1 else F.xxhash64(*own)
-    found = stored(fingerprints(docs, shingle, sketch_words).withColumn("node", node), "fingerprints")
-    nodes = stored(found.groupBy("node", *own).agg(F.min("doc_id").alias("first")), "fingerprint-nodes")
-    roots = connected(links(nodes, max_bits, sketch_words, max_sketch_bits, block))
-    linked = stored(roots.join(nodes.select("node", "first"), "node"), "linked-nodes")
-    lowest = linked.groupBy("root").agg(F.min("first").alias("lowest"))
-    linked = linked.join(lowest, "root").select("node", "lowest")
-    named = nodes.join(linked, "node", "left").select("node", F.coalesce("lowest", "first").alias("component_id"))
-    return found.join(named, "node").select("doc_id", *own, "component_id")
+    groups = _grouped(fingerprints(docs, shingle, sketch_words), own, max_bits, max_sketch_bits, block)
+    return groups.select("doc_id", *own, F.col("lowest.doc_id").alias("component_id"))
 
 
-def near_dedup(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with one row of each group: that of its smallest id. Rows without an id all stay."""
-    groups = near_groups(docs, **how)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+def near_dedup(docs: DataFrame, shingle: int = 4, max_bits: int = 4, sketch_words: int = 1, max_sketch_bits: int = 0, block: int = BLOCK) -> DataFrame:
+    """``docs`` with one row of each group: that of its smallest id, the first if several have it."""
+    (row,) = fresh(docs.columns, "row")
+    held = stored(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    own = [f"f{k}" for k in range(sketch_words)]
+    groups = _grouped(fingerprints(held, shingle, sketch_words, F.col(row)), own, max_bits, max_sketch_bits, block)
+    gone = groups.where(F.col("row") != F.col("lowest.row")).select(F.col("row").alias(row))
+    return held.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:

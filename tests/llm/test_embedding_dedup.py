@@ -45,15 +45,34 @@ def made(seed=0, n=70, dims=12):
     return ids, vectors
 
 
-@pytest.mark.parametrize("strip,leaf", [(8192, 1024), (16, 5)])
-def test_equals_brute_force(spark, monkeypatch, strip, leaf):
+@pytest.mark.parametrize("strip,leaf,fan", [(8192, 1024, 16), (8, 5, 2)])
+def test_equals_brute_force(spark, monkeypatch, strip, leaf, fan):
     monkeypatch.setattr(e, "STRIP", strip)
     monkeypatch.setattr(e, "LEAF", leaf)
+    monkeypatch.setattr(e, "_FAN", fan)
+    if strip < 100:
+        monkeypatch.setattr(e, "GROUP_BYTES", 1)
     ids, vectors = made(n=70 if strip > 100 else 40)
     df = spark.createDataFrame([(i, v, 0) for i, v in zip(ids, vectors)], SCHEMA).repartition(3)
-    got = [(r.vec_id, r.n_links, r.component_id) for r in e.query(df).collect()]
+    rows = e.query(df).collect()
+    assert all(r.kept == (r.vec_id == r.component_id) for r in rows if r.vec_id is not None)
+    got = [(r.vec_id, r.n_links, r.component_id) for r in rows]
     assert sorted(got, key=repr) == sorted(brute(ids, vectors), key=repr)
-    assert all(r.kept == (r.vec_id == r.component_id) for r in e.query(df).collect() if r.vec_id is not None)
+
+
+def test_components_of_any_size_are_scaled(spark):
+    vectors = [[1e-200, 2e-200], [1e200, 2e200], [2.0, 4.0], [5e-324, 0.0], [1.0, 0.0], [-1.0, 0.0], [1e308, -1e308]]
+    df = spark.createDataFrame(list(enumerate(vectors)), "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in e.near_vectors(df).collect())
+    assert got == [(0, 2, 0, True), (1, 2, 0, False), (2, 2, 0, False), (3, 1, 3, True), (4, 1, 3, False), (5, 0, 5, True), (6, 0, 6, True)]
+
+
+def test_pairs_of_groups_are_those_not_apart(spark):
+    rng = np.random.default_rng(3)
+    lo = np.sort(rng.uniform(0, 9, (41, 2)), axis=0)
+    boxes = [(g, x.tolist(), (x + 0.4).tolist()) for g, x in enumerate(lo)]
+    got = {(r.p, r.q) for r in e.near_pairs(spark.createDataFrame(boxes, "grp long, lo array<double>, hi array<double>"), 2, 41, 0.3).collect()}
+    assert got == {(i, j) for i in range(41) for j in range(i, 41) if (lo[j] - lo[i] - 0.4 <= 0.3).all() and (lo[i] - lo[j] - 0.4 <= 0.3).all()}
 
 
 def test_strips_and_leaves_find_all_links():
@@ -64,17 +83,12 @@ def test_strips_and_leaves_find_all_links():
     order = np.lexsort(np.floor(unit @ directions / eps).T[::-1])
     x, unit = x[order], unit[order]
     want = (unit @ unit.T >= 0.9) & ~np.eye(400, dtype=bool)
-    cuts = range(0, 400, 40)
-    near = unit @ directions
-    pairs = e.strip_pairs(np.array([near[c : c + 40].min(axis=0) for c in cuts]), np.array([near[c : c + 40].max(axis=0) for c in cuts]), eps)
+    strips = [e.Strip(x[c : c + 40], np.ones(40, np.int64), directions) for c in range(0, 400, 40)]
+    pairs = [(i, j) for i in range(10) for j in range(i, 10) if not e._apart(strips[i].lo, strips[i].hi, strips[j].lo, strips[j].hi, eps)]
     assert len(pairs) < 55, "nothing was skipped"
-    got, ones = np.zeros(400), np.ones(40, np.int64)
     for i, j in pairs:
-        a, b = x[i * 40 : i * 40 + 40], x[j * 40 : j * 40 + 40]
-        la, lb, _ = e.join_strips(a, None if i == j else b, ones, ones, directions, eps, 0.9)
-        got[i * 40 : i * 40 + 40] += la
-        got[j * 40 : j * 40 + 40] += lb
-    assert (got == want.sum(axis=1)).all()
+        e.join_strips(strips[i], strips[j], eps, 0.9, 7)
+    assert (np.concatenate([s.links for s in strips]) == want.sum(axis=1)).all()
 
 
 def test_empty_table(spark):

@@ -93,9 +93,26 @@ def test_ring_finds_every_pair_within_its_distance():
             assert all((60 + i, i) in joined for i in range(60)), (tau, more)
 
 
-def test_one_row_of_each_group_stays(spark):
+def test_one_row_of_each_group_stays(spark, documents):
     rows = [(3, "a b c d e f", "en", "s", 1), (1, "a b c d e f", "en", "s", 1), (2, "other words stand in this text", "en", "s", 1), (None, "a b c d e f", "en", "s", 1)]
     kept = simhash.near_dedup(spark.createDataFrame(rows, DOCS))
-    assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2]
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert simhash.query(spark.createDataFrame([], DOCS)).count() == 0
+    # an id of two texts, equal rows, and rows without an id; columns of any name pass through
+    a, b, c = "a b c d e f", "other words stand in this text", "nobody has the words of these"
+    docs = documents([a, a, b, c, c, c], [1, 2, 2, None, None, None], extra=True)
+    kept = simhash.near_dedup(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id or 0, r.text, r._gone, r._row) for r in kept.collect())) == [(0, c, "_gone", "_row"), (1, a, "_gone", "_row"), (2, b, "_gone", "_row")]
+
+
+def test_common_keys_are_joined_like_others(spark, monkeypatch):
+    from tessera.llm import components
+
+    monkeypatch.setattr(components, "_COMMON_ROWS", 3)
+    edges = [(0, i) for i in range(1, 40)] + [(100 + i, 101 + i) for i in range(20)] + [(7, 7), (None, 3)]
+    got = {r.node: r.root for r in components.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(40)}, **{i: 100 for i in range(100, 121)}}
+    rows, one = spark.createDataFrame([(1,)] * 9 + [(2,), (3,)], "k long"), spark.createDataFrame([(1, 9, "x"), (2, 1, "y")], "k long, n long, w string")
+    assert sorted(tuple(r) for r in components.join_spread(rows, one, ["k"], "n", 11).select("k", "w").collect()) == [(1, "x")] * 9 + [(2, "y")]
