@@ -6,13 +6,16 @@ documents with the k largest weights after Gumbel noise are kept, which is a sam
 proportion to the weights. The noise is a keyed hash of the id: equal input gives an equal sample.
 
 Tokens are runs of letters and digits and runs of other characters; A-Z is lower-cased. A word right after
-itself is an n-gram named by how often it has stood there, whatever the word, so that repetition shows.
+itself is an n-gram named by how often it has stood there (to the next power of two), whatever the word, so that repetition
+shows. Both models are of the set of n-grams of a document: an n-gram counts once a document where they are fitted, and where a
+document is weighed. So one document's repetitions can't stand for the corpus.
 
-The models count an n-gram once a document, so that one document's repetitions can't stand for the corpus. Only buckets
-whose target count is far from what the counts of all text lead one to expect tell the models apart (``LEAST_Z``
-deviations, and a factor of ``LEAST_RATIO`` or more); the others count as equal, else the noise of thousands of rare words
-would drown a few telling ones. What is expected is set by the median bucket, so that text of the target's
-kind has a weight near 0 at any length.
+With ``doubt`` 0 the weight is the plain ratio of the two models, with one added to each count. It can't do the work here:
+all text is a mixture of kinds of documents, so each common word of the good kind looks a little likelier in the target, and
+hundreds of those outweigh a few telling words (the README has figures). Hence the target model has a prior: it
+differs from that of all text in few buckets. What is expected in the target is set by the median bucket, and
+each logarithm is multiplied by the probability that its bucket differs, given odds of exp(``doubt``) against it and
+how many deviations its count is off. That falls smoothly; no bucket is left out.
 
 The target model is fitted on at most ``target_sample`` documents labelled good (quality 1, not toxic); the model
 of all text counts all documents. k is the share of good documents among the labelled, of all documents, unless it is
@@ -21,7 +24,7 @@ given. The k-th largest key is found exactly, by counting keys by their leading
 Defined cases: a null or empty text has weight 0; a null id gets the noise of the text "null"; rows that tie with the
 last one kept stay too, so repeated rows stay or go together; with several labels for a document all must be good;
 without labelled documents every document has weight 0 and all are kept; an empty table gives an empty result; very long
-texts are counted whole; other columns don't matter.
+texts are counted whole; other columns don't matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,7 +44,7 @@ from tessera.session import small_batches, stored
 BITS = 18
 TARGET_SAMPLE = 20_000
 SEED = 9
-LEAST_Z, LEAST_RATIO = 4.0, 0.5
+DOUBT = 8.0
 #: Bytes of text hashed together, but for a single longer text.
 _CHUNK = 1 << 21
 _KIND = np.full(256, 2, np.uint8)
@@ -49,8 +52,6 @@ _KIND[[9, 10, 11, 12, 13, 32]] = 0
 _KIND[[*range(48, 58), *range(97, 123), *range(128, 256)]] = 1
 _BASE, _INVERSE = 0x100000001B3, pow(0x100000001B3, -1, 1 << 64)
 _REPEAT = 0x9E3779B97F4A7C15
-#: Longer runs of a word count as this long.
-_LONGEST = 8
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,8 +72,14 @@ class Grams:
             steps[0, 1:], steps[1, 1:] = np.uint64(_BASE), np.uint64(_INVERSE)
             self.powers, self.inverses = np.cumprod(steps, axis=1, dtype=np.uint64)
 
+    def sets(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct buckets of each text's n-grams, and the text of each; by texts."""
+        bucket, owner = self.of(texts)
+        once = np.unique(owner << BITS | bucket)
+        return once & ((1 << BITS) - 1), once >> BITS
+
     def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Buckets of all n-grams, and the text of each; by texts."""
+        """Buckets of all n-grams, and the text of each."""
         joined = b"\n".join([*((t or b"") for t in texts), b""]).translate(ASCII_LOWER)
         data = np.frombuffer(joined, np.uint8)
         self._grow(len(data) + 1)
@@ -89,7 +96,7 @@ class Grams:
         fresh = np.ones(len(pair), bool)  # a run of repeats starts anew here, or there is none
         fresh[1:] = ~again[:-1] | (np.diff(pair) != 1)
         place = np.arange(len(pair))
-        run = np.minimum(place - np.maximum.accumulate(np.where(fresh, place, 0)), _LONGEST - 1).astype(np.uint64)
+        run = np.frexp(place - np.maximum.accumulate(np.where(fresh, place, 0)))[1].astype(np.uint64)  # bits of its length
         two = np.where(again, np.uint64(_REPEAT) + run, _mix(word[pair]) * np.uint64(3) + word[pair + 1])
         hashed = np.concatenate([_mix(word), _mix(two ^ np.uint64(0x5851F42D4C957F2D))])
         return (hashed >> np.uint64(64 - BITS)).astype(np.int64), np.concatenate([owner, owner[pair]])
@@ -111,9 +118,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in batches:
         texts, good = as_bytes(rows["text"]), np.array(rows["good"].to_pylist(), bool)
         for part in _chunks(texts):
-            bucket, owner = grams.of(texts[part])
-            once = np.unique(owner << BITS | bucket)
-            owner, bucket = once >> BITS, once & ((1 << BITS) - 1)
+            bucket, owner = grams.sets(texts[part])
             counts += np.bincount(bucket, minlength=1 << BITS)
             target += np.bincount(bucket[good[part][owner]], minlength=1 << BITS)
     some = np.flatnonzero(counts)
@@ -126,7 +131,7 @@ def good_documents(labels: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.coalesce((F.col("q") == 1) & (F.coalesce("t", F.lit(0)) == 0), F.lit(False)).alias("good"))
 
 
-def ratios(docs: DataFrame, target: DataFrame) -> np.ndarray:
+def ratios(docs: DataFrame, target: DataFrame, doubt: float = DOUBT) -> np.ndarray:
     """Per bucket the logarithm of its probability in target text over that in all text. target: a bounded table of ids."""
     marked = docs.select("doc_id", "text").join(F.broadcast(target.select("doc_id", F.lit(True).alias("good"))), "doc_id", "left")
     marked = marked.select("text", F.coalesce("good", F.lit(False)).alias("good"))
@@ -134,20 +139,22 @@ def ratios(docs: DataFrame, target: DataFrame) -> np.ndarray:
     rows = found.toArrow()  # at most 2 ** BITS rows
     raw, own = np.zeros(1 << BITS), np.zeros(1 << BITS)
     raw[rows["bucket"].to_numpy()], own[rows["bucket"].to_numpy()] = rows["n"].to_numpy(), rows["n_target"].to_numpy()
-    return telling_ratios(raw, own)
+    return log_ratios(raw, own, doubt)
 
 
-def telling_ratios(raw: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Logarithms of target over expected counts; 0 where they don't differ for certain."""
+def log_ratios(raw: np.ndarray, own: np.ndarray, doubt: float = DOUBT) -> np.ndarray:
+    """Logarithms of target counts over those expected from the counts in all text; with ``doubt``, times the probability that they
+    differ at all."""
     if not own.sum():
         return np.zeros(len(raw))
+    if not doubt:
+        return np.log((own + 1) / (raw * (own.sum() / raw.sum()) + 1))
     share = own / np.maximum(raw, 1)
     order = np.argsort(share, kind="stable")
     mass = np.cumsum(own[order])
     expected = raw * share[order][np.searchsorted(mass, mass[-1] / 2)]
-    ratio = np.log((own + 1) / (expected + 1))
-    certain = np.abs(own - expected) >= LEAST_Z * np.sqrt(expected + 1)
-    return np.where(certain & (np.abs(ratio) >= LEAST_RATIO), ratio, 0.0)
+    deviations = (own - expected) ** 2 / (expected + 1)
+    return np.log((own + 1) / (expected + 1)) / (1 + np.exp(np.clip(doubt - deviations / 2, -700, 700)))
 
 
 def gumbel(doc_id: int | None, seed: int) -> float:
@@ -160,7 +167,7 @@ def _weighed(ratio, seed: int):
         grams, table = Grams(), ratio.value
         for rows in batches:
             texts = as_bytes(rows["text"])
-            parts = [np.bincount(owner, table[bucket], part.stop - part.start) for part in _chunks(texts) for bucket, owner in [grams.of(texts[part])]]
+            parts = [np.bincount(owner, table[bucket], part.stop - part.start) for part in _chunks(texts) for bucket, owner in [grams.sets(texts[part])]]
             weight = np.concatenate([np.zeros(0), *parts])
             key = weight + np.array([gumbel(d, seed) for d in rows["doc_id"].to_pylist()], np.float64)
             bits = (key + 0.0).view(np.int64)
@@ -192,13 +199,13 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> int | None:
     return prefix
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, target_sample: int = TARGET_SAMPLE, seed: int = SEED) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, target_sample: int = TARGET_SAMPLE, seed: int = SEED, doubt: float = DOUBT) -> DataFrame:
     """(doc_id, log_weight, key) of the documents kept."""
     small_batches(docs.sparkSession)
     known = good_documents(labels)
     n_good, n_known = known.agg(F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0)), F.count("*")).first()
     good = bounded_sample(known.where("good").select("doc_id"), target_sample, n_good, seed, "doc_id")
-    rows = stored(weigh(docs, ratios(docs, good), seed), "weights")
+    rows = stored(weigh(docs, ratios(docs, good, doubt), seed), "weights")
     if k is None:
         n = rows.count()
         k = round(n * n_good / n_known) if n_good else n

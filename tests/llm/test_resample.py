@@ -1,8 +1,10 @@
 import random
 import re
 from collections import Counter
+from functools import cache
 
 import numpy as np
+import pytest
 
 from tessera.llm import resample as r
 
@@ -25,6 +27,54 @@ def test_grams_equal_a_plain_count():
     assert same(0, 6) and not same(0, 3)
 
 
+@cache
+def bucket(gram):
+    """That of one n-gram alone."""
+    if isinstance(gram, str):
+        return int(r.Grams().of([gram.encode()])[0][0])
+    text = " ".join(["x"] * (3 + (1 << gram[1] >> 1) - (gram[1] == 0)) if gram[0] == "again" else gram)
+    return int(r.Grams().of([text.encode()])[0][-1])
+
+
+def named(text):
+    """The set of buckets of a text's n-grams."""
+    own, out, run = tokens(text), set(), 0
+    for i, word in enumerate(own):
+        out.add(word)
+        if i:
+            run = run + 1 if word == own[i - 1] else 0
+            out.add(("again", (run - 1).bit_length()) if run else (own[i - 1], word))
+    return set(map(bucket, out))
+
+
+@pytest.mark.parametrize("doubt", [0, r.DOUBT])
+def test_weights_equal_those_of_plain_models(documents, spark, doubt):
+    _, docs, labels = made(documents, spark)
+    good = r.good_documents(labels).where("good")
+    weights = {x.doc_id: x.log_weight for x in r.weigh(docs, r.ratios(docs, good, doubt)).collect()}
+    ids, texts = {x.doc_id for x in good.collect()}, {x.doc_id: x.text for x in docs.collect()}
+    raw, own = Counter(), Counter()
+    for i, text in texts.items():
+        raw.update(named(text))
+        own.update(named(text) if i in ids else ())
+    if doubt:
+        mass, at = 0, iter(sorted(raw, key=lambda g: own[g] / raw[g]))
+        while mass < sum(own.values()) / 2:
+            g = next(at)
+            mass += own[g]
+        scale = own[g] / raw[g]
+    else:
+        scale = sum(own.values()) / sum(raw.values())
+
+    def ratio(g):
+        e = scale * raw[g]
+        plain = np.log((own[g] + 1) / (e + 1))
+        return plain / (1 + np.exp(doubt - (own[g] - e) ** 2 / (e + 1) / 2)) if doubt else plain
+
+    for i, text in texts.items():
+        assert np.isclose(weights[i], sum(map(ratio, named(text))), atol=1e-6), i
+
+
 def made(documents, spark, extra=False):
     rng = random.Random(2)
     good, bad = [f"g{i}" for i in range(25)], [f"b{i}" for i in range(25)]
@@ -41,7 +91,7 @@ def test_sample_is_the_largest_keys(documents, spark):
     for i, x in rows.items():
         text = docs.where(f"doc_id = {i}").first().text if i < 5 else None
         if i < 5:
-            assert np.isclose(x.log_weight, ratio[r.Grams().of([text.encode()])[0]].sum())
+            assert np.isclose(x.log_weight, ratio[r.Grams().sets([text.encode()])[0]].sum())
         assert np.isclose(x.key, x.log_weight + r.gumbel(i, r.SEED))
     for k in (0, 1, 150, 303, 400):
         kept = {x.doc_id for x in r.resample(docs, labels, k=k).collect()}
