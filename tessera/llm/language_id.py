@@ -5,12 +5,14 @@ the probabilities of the languages. A document is cut into windows that cover th
 probabilities are the mean over all its positions. The network is trained here, in numpy, by
 backpropagation through time.
 
-Training takes a bounded sample: the ``SAMPLE`` labelled documents that come first in the order of a hash of
-their id, and from each some windows spread over its whole text. Only text and label are used.
+Training takes a bounded sample: ``SAMPLE`` labelled documents, of each language as many as of the others where it has so many (so
+that a rare one is learned too), those that come first in the order of a hash of their id. A text of more than ``PIECES``
+times ``PIECE`` characters gives that many pieces of that length, from places anywhere in the whole text. Only text and label are
+used.
 
 Defined cases: a text that is null or holds no letter has the language ``und`` and the score 0; ties go to the
-language first in the alphabet; repeated rows get equal answers; very long texts are read in
-pieces; an empty table gives an empty result; without a single labelled document every row is ``und``;
+language first in the alphabet; repeated rows get equal answers; very long texts are read whole, window by
+window; an empty table gives an empty result; without a single labelled document every row is ``und``;
 other columns pass through ``label`` untouched, but for lang_pred and score, which replace columns of those names.
 """
 
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.arrow import as_bytes, batch
-from tessera.llm.sampling import bounded_sample
+from tessera.llm.sampling import stratified_sample
 from tessera.session import small_batches
 
 #: Labelled documents that the network learns from, at most.
 SAMPLE = 3000
+#: Pieces, and characters of a piece, that one of them gives at most.
+PIECES, PIECE = 4, 1024
 WINDOW = 128
 HIDDEN = 8
 UNKNOWN = "und"
@@ -204,15 +208,13 @@ def held_out() -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def examples(docs: DataFrame, sample: int = SAMPLE) -> list[tuple[bytes, str]]:
-    """Text and label of ``sample`` labelled documents that aren't held out."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    # of a long text, four pieces spread over it
-    quarter = F.greatest(F.lit(0), F.floor((F.length("text") - 256) / 3)).cast("int")
-    pieces = F.when(F.length("text") <= 1024, F.col("text")).otherwise(F.concat(*(F.substring("text", quarter * i + 1, F.lit(256)) for i in range(4))))
-    rows = known.where(F.col("text") != "").select("doc_id", "lang", pieces.alias("text"))
-    rows = bounded_sample(rows, sample, known.select("doc_id").count(), 7, "doc_id", "text").collect()
-    return [(r["text"].encode(), r["lang"]) for r in rows]
+def examples(docs: DataFrame, sample: int = SAMPLE, pieces: int = PIECES, piece: int = PIECE) -> list[tuple[bytes, str]]:
+    """Text and label of ``sample`` labelled documents that aren't held out; of a long text, pieces from anywhere in it."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out() & (F.col("text") != "")).select("doc_id", "lang", "text")
+    at = [F.pmod(F.xxhash64("doc_id", F.lit(i)), F.length("text") - piece + 1) + 1 for i in range(pieces)]
+    some = F.when(F.length("text") <= pieces * piece, F.array("text")).otherwise(F.array(*(F.substring("text", a.cast("int"), F.lit(piece)) for a in at)))
+    rows = stratified_sample(known, "lang", sample, 7, "doc_id", "text").orderBy("doc_id", "text").select("lang", some.alias("texts")).collect()
+    return [(text.encode(), r["lang"]) for r in rows for text in r["texts"]]
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Network:

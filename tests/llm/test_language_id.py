@@ -69,6 +69,17 @@ def test_query_learns_from_the_right_rows_only(documents):
     assert all(rows[i].lang_pred in SYLLABLES for i in (153, 154, 155)) and all(0 <= r.score <= 1 for r in rows.values())
 
 
+def test_rare_languages_and_whole_texts_are_learned_from(documents):
+    texts, langs = ["common words of the text"] * 900 + ["rare ones"] * 9 + ["x" * 9000 + "END" + "y" * 9000], ["aa"] * 900 + ["bb"] * 9 + ["cc"]
+    found = language_id.examples(documents(texts, range(0, 4 * len(texts), 4), langs=langs), sample=60)
+    by = {x: [t for t, lang in found if lang == x] for x in ("aa", "bb", "cc")}
+    shown = [x for i, x in zip(range(0, 4 * len(texts), 4), langs) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert len(by["bb"]) == shown.count("bb") and len(by["aa"]) == 60 - len(by["bb"]) - shown.count("cc")
+    if by["cc"]:
+        assert len(by["cc"]) == language_id.PIECES and all(len(t) == language_id.PIECE for t in by["cc"])
+        assert {t[:1] for t in by["cc"]} | {t[-1:] for t in by["cc"]} >= {b"x", b"y"}
+
+
 def test_without_labels_or_rows(documents):
     rows = language_id.query(documents(["abc", None, "abc"], ids=[None, 4, 4], langs=[None, None, None])).collect()
     assert [r.lang_pred for r in rows] == ["und"] * 3 and {r.held_out for r in rows if r.doc_id is None} == {False}
