@@ -32,7 +32,7 @@ def bucket(gram):
     """That of one n-gram alone."""
     if isinstance(gram, str):
         return int(r.Grams().of([gram.encode()])[0][0])
-    text = " ".join(["x"] * (3 + (1 << gram[1] >> 1) - (gram[1] == 0)) if gram[0] == "again" else gram)
+    text = " ".join(["x"] * (2 + (1 << gram[1] >> 1)) if gram[0] == "again" else gram)
     return int(r.Grams().of([text.encode()])[0][-1])
 
 
