@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.functions.text import bound, checked, matches, token_set
-from tessera.model import EvidenceIntegrity, Filter, InvalidConfig, InvalidQuery, InvalidQueryVector
+from tessera.model import EvidenceIntegrity, Filter, InvalidConfig, InvalidQuery, InvalidQueryVector, valid_reference
 
 TEXT_WEIGHT, SYMBOL_WEIGHT, PATH_WEIGHT = 0.6, 0.3, 0.1
 MAX_HYBRID_LIMIT = 200
@@ -114,10 +114,10 @@ def normalize_query(vector: Sequence[float], dimensions: int | None = None) -> l
 
 def cosine(left: Column, right: Column) -> Column:
     """Dot product over the root of the product of the squared lengths, in double, in order; a last-bit excess over 1 is cut.
-    Null for a vector of zeros."""
+    Null for a vector of zeros, and where a component isn't finite."""
     dot = F.aggregate(F.zip_with(left, right, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
     value = F.try_divide(dot, F.sqrt(_squares(left) * _squares(right)))
-    return bound(value, lambda c: F.when((c > 1) & (c <= 1 + 1e-12), 1.0).when((c < -1) & (c >= -1 - 1e-12), -1.0).otherwise(c))
+    return bound(value, lambda c: F.when(F.isnan(c), F.lit(None)).when((c > 1) & (c <= 1 + 1e-12), 1.0).when((c < -1) & (c >= -1 - 1e-12), -1.0).otherwise(c))
 
 
 #: Longer vectors are scored a batch at a time outside the JVM: its array functions aren't compiled, and take about
@@ -152,9 +152,10 @@ def cosine_batches(values: Column, query: Sequence[float]) -> Column:
 
 
 def vector_candidates(chunks: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int, wanted: Filter = Filter(), languages: Sequence[str] | None = None) -> DataFrame:
-    """The ``limit`` chunks most similar to a unit query vector; chunks with ``similarity``.
+    """The ``limit`` chunks most similar to a unit query vector; chunks with ``similarity``. vectors: (chunk_id, values).
 
-    The chunks filtered away are never scored. vectors: (chunk_id, values).
+    Vectors are scored where they are read, and only ids and similarities go on; a vector without one (zero, of another length, or
+    with a component that isn't finite) is no candidate.
     """
     if not 0 < limit <= MAX_VECTOR_LIMIT:
         raise InvalidQuery("invalid vector limit")
@@ -165,9 +166,10 @@ def vector_candidates(chunks: DataFrame, vectors: DataFrame, query: Sequence[flo
         similarity = cosine(F.col("values"), F.array(*(F.lit(float(x)).cast("float") for x in query)))
     # only ids and the columns of the order go through the ranking; texts are joined to the k best
     keys = chunks.where(matches(wanted)).select(*VECTOR_ORDER)
-    scored = keys.join(vectors.select("chunk_id", "values"), "chunk_id").withColumn("similarity", similarity).drop("values")
-    best = scored.orderBy(F.desc("similarity"), *VECTOR_ORDER).limit(limit)
+    scored = vectors.select("chunk_id", similarity.alias("similarity")).where("similarity IS NOT NULL")
+    best = keys.join(scored, "chunk_id").orderBy(F.desc("similarity"), *VECTOR_ORDER).limit(limit)
     rest = [c for c in chunks.columns if c not in VECTOR_ORDER]
+    best = F.broadcast(best) if limit <= WINDOW_MOST else best
     return best.join(chunks.select("chunk_id", *rest), "chunk_id").select(*chunks.columns, "similarity") if rest else best
 
 
@@ -177,6 +179,16 @@ def vector_search(chunks: DataFrame, vectors: DataFrame, query: Sequence[float],
     return found.withColumn("score", (F.col("similarity") + 1.0) / 2.0).drop("similarity").orderBy(F.desc("score"), *VECTOR_ORDER)
 
 
+def validated(hits: Sequence) -> Sequence:
+    """Ranked rows, if each is evidence: an id and a text, a clean reference, a finite score, and no id twice."""
+    for h in hits:
+        if not h["chunk_id"] or not h["text"] or not valid_reference(h["path"] or "", h["start_line"] or 0, h["end_line"] or 0) or h["score"] is None or not math.isfinite(h["score"]):
+            raise EvidenceIntegrity("invalid hit")
+    if len({h["chunk_id"] for h in hits}) < len(hits):
+        raise EvidenceIntegrity("one id is found twice")
+    return hits
+
+
 # --- hybrid ----------------------------------------------------------------------------------------
 
 

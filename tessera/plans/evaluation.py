@@ -55,10 +55,13 @@ def run_case(chunks: DataFrame, case_id: str, query: str) -> tuple[DataFrame, in
     from pyspark.sql import Window
 
     began = time.perf_counter()
-    found = lexical_search(chunks, query, LIMIT).select("chunk_id", "path", "start_line", "end_line", "score").collect()
+    found = lexical_search(chunks, query, LIMIT).select(*_HIT).collect()
     micros = int((time.perf_counter() - began) * 1e6)
-    rows = [(case_id, i + 1, r["chunk_id"], r["path"], r["start_line"], r["end_line"]) for i, r in enumerate(found)]
-    return chunks.sparkSession.createDataFrame(rows, "case_id string, rank int, chunk_id string, path string, start_line int, end_line int"), micros
+    rows = [(case_id, i + 1, *r) for i, r in enumerate(found)]
+    return chunks.sparkSession.createDataFrame(rows, "case_id string, rank int, chunk_id string, path string, start_line int, end_line int, language string, symbol_name string, text string"), micros
+
+
+_HIT = ("chunk_id", "path", "start_line", "end_line", "language", "symbol_name", "text")
 
 
 def metrics(chunks: DataFrame, cases: DataFrame, qrels: DataFrame) -> tuple[dict, dict]:

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from concurrent.futures import TimeoutError as Late
 from dataclasses import dataclass, replace
 
+from pyspark import inheritable_thread_target
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 
 from tessera import model as m
@@ -47,14 +50,15 @@ def _query_vector(embedder: Embedder, text: str) -> tuple[list[float], m.VectorS
 
 
 def retrieve(reader: BoundReader, query: m.Query, mode: str = "off", embedder: Embedder | None = None, deadline_s: float = 0, observer: Callable[[Event], None] | None = None, **fusion) -> Answer:
-    """mode: off, preferred (falls back to lexical hits) or required."""
+    """mode: off, preferred (falls back to lexical hits) or required. The deadline holds for embedding and vector search together;
+    both sides' hits, 200 at most, are checked before they are fused."""
     if mode not in ("off", "preferred", "required") or (mode != "off" and embedder is None) or not 0 <= deadline_s <= MAX_DEADLINE_S:
         raise m.InvalidConfig("invalid retrieval settings")
     if mode == "off":
         return Answer(reader.lexical(query), "lexical")
     search.fusion_settings(**{k: v for k, v in fusion.items() if k != "check"})
     window = replace(query, limit=search.candidate_window(query.limit))
-    began = time.monotonic()
+    began, spark = time.monotonic(), reader.spark
 
     def tell(backend: str, kind: str, reason: str = "") -> None:
         if observer:
@@ -63,27 +67,45 @@ def retrieve(reader: BoundReader, query: m.Query, mode: str = "off", embedder: E
             except Exception:  # an observer can't break a query
                 pass
 
+    def table(rows, schema) -> DataFrame:
+        return spark.createDataFrame(rows, schema)
+
+    job, late = f"semantic-{uuid.uuid4().hex}", deadline_s or DEADLINE_S
+
+    def semantic():
+        spark.sparkContext.setJobGroup(job, "semantic search", interruptOnCancel=True)
+        reader.describe()
+        found = reader.semantic(window, *_query_vector(embedder, query.text))
+        try:
+            return search.validated(found.collect()), found.schema
+        except PySparkException as e:
+            raise m.VectorFailure("vector search failed") from e
+
     pool = ThreadPoolExecutor(1)
     try:
-        embedding = pool.submit(_query_vector, embedder, query.text)
+        vector = pool.submit(inheritable_thread_target(spark)(semantic))
         try:
-            lexical = reader.lexical(window)
+            found = reader.lexical(window)
+            lexical = table(search.validated(found.collect()), found.schema)
         except m.InvalidQuery:
             raise
-        except m.EngineError as e:
+        except (m.EngineError, PySparkException) as e:
             tell("lexical", "error")
-            raise m.LexicalFailure("lexical search failed") from e
+            raise e if isinstance(e, m.EvidenceIntegrity) else m.LexicalFailure("lexical search failed") from e
         tell("lexical", "ok")
         try:
-            reader.describe()
-            vector, space = embedding.result(timeout=deadline_s or DEADLINE_S)
-            hits = search.fuse(lexical, reader.semantic(window, vector, space), query.limit, check=True, **fusion)
+            hits = search.fuse(lexical, table(*vector.result(timeout=max(0.0, began + late - time.monotonic()))), query.limit, check=True, **fusion)
         except DEGRADABLE as e:
             tell("vector", "degraded", type(e).__name__)
             if mode == "required":
                 raise m.SemanticUnavailable() if isinstance(e, Late) else e
             return Answer(search.fallback(lexical, query.limit), "fallback")
+        except m.EngineError:
+            tell("vector", "error")
+            raise
         tell("vector", "ok")
         return Answer(hits, "hybrid")
     finally:
+        if not vector.done():
+            spark.sparkContext.cancelJobGroup(job)
         pool.shutdown(wait=False, cancel_futures=True)

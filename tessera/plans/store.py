@@ -3,10 +3,11 @@
     <root>/store.json                    format and a random identity, written last when a store is made
     <root>/lock                          the lock file; it is never removed
     <root>/repositories/<hash>/ACTIVE    which generation is published; swapped by an atomic rename
-    <root>/repositories/<hash>/<id>/     manifest.json, chunks/ and, if there are vectors, vectors/
+    <root>/repositories/<hash>/<id>/     manifest.json, lease, chunks/ and, if there are vectors, vectors/
 
 A generation is written whole beside the others, verified, and only then published, if the published one is still that
-which it was built against. Readers pin a generation and see nothing of later ones.
+which it was built against. Readers verify a generation when they bind it, pin it and see nothing of later ones: each folder has
+a lease, which a reader shares and a writer holds alone, in any process, and a purge leaves what is leased.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,11 +85,10 @@ def content_digest(chunks: DataFrame) -> str:
     return total.hexdigest()
 
 
-@F.pandas_udf(T.StringType())
-def _float_digest(values: pd.Series) -> pd.Series:
-    import numpy as np
-
-    return values.map(lambda v: hashlib.sha256(np.asarray(v, "<f4").tobytes()).hexdigest())
+@F.arrow_udf(T.StringType())
+def _float_digest(values: pa.Array) -> pa.Array:
+    raw, ends = values.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes(), (4 * values.offsets.to_numpy()).tolist()
+    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:])])
 
 
 def vector_digest(vectors: DataFrame | None) -> str:
@@ -109,13 +109,19 @@ def check_chunks(chunks: DataFrame) -> None:
         raise m.InvalidCorpus("invalid or repeated chunk")
 
 
+def vector_faults(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
+    """One row (orphans, missing, repeated): vectors without a chunk, chunks without a vector, chunks with several."""
+    own = vectors.groupBy("chunk_id").agg(F.count("*").alias("n"))
+    both = own.join(chunks.select("chunk_id", F.lit(True).alias("known")), "chunk_id", "full_outer")
+    orphans = F.coalesce(F.sum(F.when(F.col("known").isNull(), F.col("n"))), F.lit(0))
+    return both.agg(orphans.alias("orphans"), F.count_if(F.col("n").isNull()).alias("missing"), F.count_if(F.col("n") > 1).alias("repeated"))
+
+
 def check_vectors(chunks: DataFrame, vectors: DataFrame, dimensions: int) -> None:
     """One unit vector of the right length for every chunk, and none else."""
     norm = F.sqrt(F.aggregate("values", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     ok = (F.col("encoding_version") == VECTOR_ENCODING) & (F.col("dimensions") == dimensions) & (F.size("values") == dimensions) & (F.abs(norm - 1) <= UNIT_TOLERANCE)
-    wrong = vectors.where(~F.coalesce(ok, F.lit(False)))
-    twice = vectors.groupBy("chunk_id").count().where("count > 1")
-    if any(df.limit(1).count() for df in (wrong, twice, vectors.join(chunks, "chunk_id", "left_anti"), chunks.join(vectors, "chunk_id", "left_anti"))):
+    if vectors.where(~F.coalesce(ok, F.lit(False))).limit(1).count() or any(vector_faults(chunks, vectors).first()):
         raise m.VectorIntegrity("vectors don't fit the chunks")
 
 
@@ -143,12 +149,27 @@ def _read(path: str) -> dict | None:
         raise m.ReindexRequired("unreadable store file") from None
 
 
+def _uri(path: str) -> str:
+    """The store is a folder that driver and executors share as files, whatever the session's own file system is."""
+    return f"file://{os.path.abspath(path)}"
+
+
+def _lease(folder: str, how: int) -> int | None:
+    """An open lease on a folder, shared or alone; None if another process or reader has it otherwise."""
+    fd = os.open(os.path.join(folder, "lease"), os.O_RDWR | os.O_CREAT | os.O_NOFOLLOW, 0o600)
+    try:
+        fcntl.flock(fd, how | fcntl.LOCK_NB)
+    except BlockingIOError:
+        os.close(fd)
+        return None
+    return fd
+
+
 class Store:
     """A store's folder. Making one is explicit; opening one never makes or mends anything."""
 
     def __init__(self, spark: SparkSession, root: str, identity: str):
         self.spark, self.root, self.identity = spark, root, identity
-        self._readers = 0
 
     @classmethod
     def create(cls, spark: SparkSession, root: str) -> Store:
@@ -207,15 +228,18 @@ class Store:
         place = self._place(repository_id)
         os.makedirs(place, mode=0o700, exist_ok=True)
         staged = os.path.join(place, f".staged-{secrets.token_hex(8)}")
+        with self._held(os.path.join(self.root, "lock")):
+            os.mkdir(staged, mode=0o700)
+            lease = _lease(staged, fcntl.LOCK_EX)
         try:
-            search.with_tokens(in_order(chunks)).select([f.split()[0] for f in m.CHUNK.split(", ")]).write.parquet(f"{staged}/chunks")
-            rows = self.spark.read.schema(m.CHUNK).parquet(f"{staged}/chunks")
+            search.with_tokens(in_order(chunks)).select([f.split()[0] for f in m.CHUNK.split(", ")]).write.parquet(_uri(f"{staged}/chunks"))
+            rows = self.spark.read.schema(m.CHUNK).parquet(_uri(f"{staged}/chunks"))
             check_chunks(rows)
             if vectors is not None:
                 unit = vectors.select("chunk_id", search.normalized(F.col("values")).alias("values"))
                 unit = unit.select("chunk_id", F.lit(VECTOR_ENCODING).alias("encoding_version"), F.size("values").alias("dimensions"), "values")
-                unit.write.parquet(f"{staged}/vectors")
-                unit = self.spark.read.schema(m.VECTOR).parquet(f"{staged}/vectors")
+                unit.write.parquet(_uri(f"{staged}/vectors"))
+                unit = self.spark.read.schema(m.VECTOR).parquet(_uri(f"{staged}/vectors"))
                 check_vectors(rows, unit, space.dimensions)
             revision = digests.revision_of(policy, (r[0] for r in rows.select("chunk_id").orderBy("chunk_id").toLocalIterator()))
             manifest = Manifest(
@@ -225,6 +249,7 @@ class Store:
             self._swap(place, staged, manifest, base)
             return manifest
         finally:
+            os.close(lease)
             shutil.rmtree(staged, ignore_errors=True)
 
     def _swap(self, place: str, staged: str, manifest: Manifest, base: str | None) -> None:
@@ -233,30 +258,56 @@ class Store:
             if now == manifest.generation_id:
                 if self._manifest(place, now) != manifest:
                     raise m.InvalidGeneration("another generation of this id is published")
+                verify(self.spark, os.path.join(place, now), manifest)
                 return
             if now != base:
                 raise m.ConcurrentIndex("another generation was published meanwhile")
             target = os.path.join(place, manifest.generation_id)
-            shutil.rmtree(target, ignore_errors=True)
+            if os.path.isdir(target):  # of an earlier time, not published now
+                old = _lease(target, fcntl.LOCK_EX)
+                if old is None:
+                    raise m.ConcurrentIndex("this generation is being read")
+                shutil.rmtree(target)
+                os.close(old)
             os.rename(staged, target)
             _write(os.path.join(place, "ACTIVE"), {"generation": manifest.generation_id})
 
     def purge(self, repository_id: str) -> int:
-        """Remove what isn't published; how many generations. Not while readers are open."""
-        place, gone = self._place(repository_id), 0
+        """Remove what isn't published; how many generations. What a reader or another publisher has leased stays; a
+        generation that stays for a reader makes the cleanup incomplete."""
+        place, gone, read = self._place(repository_id), 0, False
         with self._held(os.path.join(self.root, "lock")):
-            if self._readers:
-                raise m.CleanupIncomplete("readers are open")
             now = self.active(repository_id)
             for name in os.listdir(place) if os.path.isdir(place) else ():
-                if os.path.isdir(os.path.join(place, name)) and name != now:
-                    try:
-                        shutil.rmtree(os.path.join(place, name))
-                        gone += 1
-                    except OSError:
-                        raise m.CleanupIncomplete("a generation can't be removed") from None
+                folder = os.path.join(place, name)
+                if not os.path.isdir(folder) or name == now:
+                    continue
+                lease = _lease(folder, fcntl.LOCK_EX)
+                if lease is None:
+                    read = read or not name.startswith(".staged-")
+                    continue
+                try:
+                    shutil.rmtree(folder)
+                    gone += 1
+                except OSError:
+                    raise m.CleanupIncomplete("a generation can't be removed") from None
+                finally:
+                    os.close(lease)
+        if read:
+            raise m.CleanupIncomplete("readers are open")
         return gone
 
+    def generations(self, repository_id: str) -> DataFrame:
+        """(generation_id, active, chunks) of every whole generation on disk."""
+        place, now = self._place(repository_id), self.active(repository_id)
+        names = [n for n in sorted(os.listdir(place)) if os.path.isfile(os.path.join(place, n, "manifest.json")) and not n.startswith(".")] if os.path.isdir(place) else []
+        known = self.spark.createDataFrame([(n, n == now) for n in names], "generation_id string, active boolean")
+        rows = known.select("generation_id").limit(0)
+        for n in names:
+            rows = rows.union(self.spark.read.schema(m.CHUNK).parquet(_uri(os.path.join(place, n, "chunks"))).select(F.lit(n)))
+        counted = rows.groupBy("generation_id").agg(F.count("*").alias("chunks"))
+        return known.join(counted, "generation_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
+
     def _manifest(self, place: str, generation: str) -> Manifest:
         value = _read(os.path.join(place, generation, "manifest.json"))
         if value is None:
@@ -271,24 +322,50 @@ class Store:
         return manifest
 
     def bind(self, repository_id: str, policy: str = m.SCAN_POLICY) -> BoundReader:
-        """A reader of what is published now."""
-        place, generation = self._place(repository_id), self.active(repository_id)
-        if generation is None:
-            raise m.NotFound("nothing is published")
-        manifest = self._manifest(place, generation)
-        if manifest.repository_id != repository_id or manifest.scan_policy_version != policy:
-            raise m.ReindexRequired("another scan policy")
-        return BoundReader(self, os.path.join(place, generation), manifest)
+        """A reader of what is published now, once the rows are what the manifest states."""
+        place = self._place(repository_id)
+        with self._held(os.path.join(self.root, "lock")):  # so that no purge comes between the pointer and the lease
+            generation = self.active(repository_id)
+            if generation is None:
+                raise m.NotFound("nothing is published")
+            manifest = self._manifest(place, generation)
+            if manifest.repository_id != repository_id or manifest.scan_policy_version != policy:
+                raise m.ReindexRequired("another scan policy")
+            lease = _lease(os.path.join(place, generation), fcntl.LOCK_SH)
+        if lease is None:
+            raise m.ConcurrentIndex("the generation is being replaced")
+        reader = BoundReader(self, os.path.join(place, generation), manifest, lease)
+        try:
+            reader.verify()
+        except BaseException:
+            reader.close()
+            raise
+        return reader
+
+
+def verify(spark: SparkSession, path: str, manifest: Manifest) -> None:
+    """Everything the manifest states, against the rows of a generation's folder."""
+    rows = spark.read.schema(m.CHUNK).parquet(_uri(f"{path}/chunks"))
+    try:
+        check_chunks(rows)
+    except m.InvalidCorpus:
+        raise m.ReindexRequired("the chunks were changed") from None
+    ids = (r[0] for r in rows.select("chunk_id").orderBy("chunk_id").toLocalIterator())
+    if content_digest(rows) != manifest.content_digest or digests.revision_of(manifest.scan_policy_version, ids) != manifest.corpus_revision:
+        raise m.ReindexRequired("the chunks were changed")
+    if manifest.space:
+        vectors = spark.read.schema(m.VECTOR).parquet(_uri(f"{path}/vectors"))
+        check_vectors(rows, vectors, manifest.dimensions)
+        if vector_digest(vectors) != manifest.vector_digest:
+            raise m.VectorIntegrity("the vectors were changed")
 
 
 class BoundReader:
     """One generation, whatever is published later."""
 
-    def __init__(self, store: Store, path: str, manifest: Manifest):
-        self._store, self._path, self.manifest = store, path, manifest
+    def __init__(self, store: Store, path: str, manifest: Manifest, lease: int):
+        self.spark, self._path, self.manifest, self._lease = store.spark, path, manifest, lease
         self._chunks: DataFrame | None = None
-        self._open = True
-        store._readers += 1
 
     def __enter__(self) -> BoundReader:
         return self
@@ -296,24 +373,30 @@ class BoundReader:
     def __exit__(self, *_) -> None:
         self.close()
 
+    def __del__(self) -> None:
+        self._release()
+
+    def _release(self) -> None:
+        lease, self._lease = self._lease, None
+        if lease is not None:
+            os.close(lease)
+
     def close(self) -> None:
-        if self._open:
-            self._open = False
-            self._store._readers -= 1
-            if self._chunks is not None:
-                self._chunks.unpersist()
+        self._release()
+        if self._chunks is not None:
+            self._chunks.unpersist()
 
     def chunks(self) -> DataFrame:
-        if not self._open:
+        if self._lease is None:
             raise m.InvalidQuery("the reader is closed")
         if self._chunks is None:
-            self._chunks = self._store.spark.read.schema(m.CHUNK).parquet(f"{self._path}/chunks").cache()
+            self._chunks = self.spark.read.schema(m.CHUNK).parquet(_uri(f"{self._path}/chunks")).cache()
         return self._chunks
 
     def vectors(self) -> DataFrame:
         if not self.manifest.space:
             raise m.VectorUnavailable("this generation has no vectors")
-        return self._store.spark.read.schema(m.VECTOR).parquet(f"{self._path}/vectors")
+        return self.spark.read.schema(m.VECTOR).parquet(_uri(f"{self._path}/vectors"))
 
     def describe(self) -> m.VectorSpace:
         if not self.manifest.space:
@@ -321,16 +404,7 @@ class BoundReader:
         return self.manifest.space
 
     def verify(self) -> None:
-        """Everything the manifest states, against the rows."""
-        rows = self._store.spark.read.schema(m.CHUNK).parquet(f"{self._path}/chunks")
-        check_chunks(rows)
-        ids = (r[0] for r in rows.select("chunk_id").orderBy("chunk_id").toLocalIterator())
-        if content_digest(rows) != self.manifest.content_digest or digests.revision_of(self.manifest.scan_policy_version, ids) != self.manifest.corpus_revision:
-            raise m.ReindexRequired("the chunks were changed")
-        if self.manifest.space:
-            check_vectors(rows, self.vectors(), self.manifest.dimensions)
-            if vector_digest(self.vectors()) != self.manifest.vector_digest:
-                raise m.VectorIntegrity("the vectors were changed")
+        verify(self.spark, self._path, self.manifest)
 
     def lexical(self, query: m.Query) -> DataFrame:
         self._mine(query)

@@ -1,11 +1,16 @@
+import fcntl
 import json
 import os
+import subprocess
+import sys
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import model as m
 from tessera.functions import digests
+from tessera.operators import search
 from tessera.plans import build, retrieve
 from tessera.plans.snapshot import Snapshots
 from tessera.plans.store import Manifest, Store
@@ -55,8 +60,7 @@ def test_publish_bind_search_verify(store, corpus):
             reader.semantic(m.Query(REPO, "q", 1), vector, reader.describe(), "other")
         with pytest.raises(m.InvalidQuery):
             reader.lexical(m.Query("/else", "x"))
-        with pytest.raises(m.CleanupIncomplete):
-            store.purge(REPO)
+        assert store.purge(REPO) == 0
     again = build.build(store, REPO, corpus, "required", HashEmbedder())
     assert again.manifest == done.manifest and store.active(REPO) == done.manifest.generation_id
     with pytest.raises(m.InvalidQuery):
@@ -71,12 +75,46 @@ def test_compare_and_swap_and_purge(store, corpus, spark):
     assert store.active(REPO) == first.generation_id
     reader = store.bind(REPO)
     second = store.publish(REPO, other, POLICY, first.generation_id)
-    assert reader.chunks().count() == 4 and store.bind(REPO).chunks().count() == 3
-    store._readers = 0
+    with pytest.raises(m.CleanupIncomplete):
+        store.purge(REPO)
+    with store.bind(REPO) as later:
+        assert reader.chunks().count() == 4 and later.chunks().count() == 3
+    assert sorted(tuple(r) for r in store.generations(REPO).collect()) == sorted([(first.generation_id, False, 4), (second.generation_id, True, 3)])
+    reader.close()
     assert store.purge(REPO) == 1 and store.active(REPO) == second.generation_id
     assert not [n for n in os.listdir(store._place(REPO)) if n.startswith(".staged")]
 
 
+def test_leases_of_other_processes(store, corpus):
+    first = store.publish(REPO, corpus.chunks, POLICY, None)
+    store.publish(REPO, corpus.chunks.where("chunk_id <> 'c4'"), POLICY, first.generation_id)
+    place = store._place(REPO)
+    os.mkdir(os.path.join(place, ".staged-left"))
+    os.mkdir(os.path.join(place, ".staged-live"))
+    held = "import fcntl, os, sys\nfds = [os.open(p, os.O_RDWR | os.O_CREAT) for p in sys.argv[1::2]]\nfor fd, how in zip(fds, sys.argv[2::2]): fcntl.flock(fd, int(how))\nprint('held', flush=True)\nsys.stdin.read()"
+    wanted = [os.path.join(place, first.generation_id, "lease"), str(fcntl.LOCK_SH), os.path.join(place, ".staged-live", "lease"), str(fcntl.LOCK_EX)]
+    with subprocess.Popen([sys.executable, "-c", held, *wanted], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as other:
+        assert other.stdout.readline() == b"held\n"
+        with pytest.raises(m.CleanupIncomplete):
+            store.purge(REPO)
+        assert {".staged-live", first.generation_id} <= set(os.listdir(place)) and ".staged-left" not in os.listdir(place)
+    assert store.purge(REPO) == 2
+
+
+def test_hits_are_checked():
+    good = {"chunk_id": "c", "text": "t", "path": "a/b.py", "start_line": 1, "end_line": 2, "score": 0.5}
+    assert search.validated([good]) == [good]
+    for bad in ([good, good], [good | {"chunk_id": ""}], [good | {"text": None}], [good | {"path": "../b"}], [good | {"start_line": 3}], [good | {"score": float("nan")}], [good | {"score": float("inf")}]):
+        with pytest.raises(m.EvidenceIntegrity):
+            search.validated(bad)
+
+
+class Slow(HashEmbedder):
+    def embed(self, texts):
+        time.sleep(1)
+        return super().embed(texts)
+
+
 def test_modes(store, corpus):
     first = build.build(store, REPO, corpus)
     with pytest.raises(m.SemanticUnavailable):
@@ -101,7 +139,7 @@ def test_hybrid_and_fallback(store, corpus):
     events = []
     with store.bind(REPO) as reader:
         query = m.Query(REPO, "def calculate_total(): pass", 2)
-        answer = retrieve.retrieve(reader, query, "preferred", HashEmbedder(), observer=events.append)
+        answer = retrieve.retrieve(reader, query, "preferred", HashEmbedder(), 60, observer=events.append)
         assert answer.mode == "hybrid" and answer.hits.first().chunk_id == "c2" and answer.hits.first().score == 1.0
         answer = retrieve.retrieve(reader, query, "preferred", Down(), observer=events.append)
         lexical = reader.lexical(query).collect()
@@ -109,6 +147,9 @@ def test_hybrid_and_fallback(store, corpus):
         assert [(e.backend, e.kind, e.reason) for e in events] == [("lexical", "ok", ""), ("vector", "ok", ""), ("lexical", "ok", ""), ("vector", "degraded", "SemanticUnavailable")]
         with pytest.raises(m.SemanticUnavailable):
             retrieve.retrieve(reader, query, "required", Down())
+        assert retrieve.retrieve(reader, query, "preferred", Slow(), 0.01).mode == "fallback"
+        with pytest.raises(m.SemanticUnavailable):
+            retrieve.retrieve(reader, query, "required", Slow(), 0.01)
         with pytest.raises(m.IncompatibleSpace):
             retrieve.retrieve(reader, query, "required", HashEmbedder(32))
         assert retrieve.retrieve(reader, query).mode == "lexical"
