@@ -87,8 +87,8 @@ def no_evidence_accuracy(runs: DataFrame) -> Column:
 
 
 def citation_validity(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(hits, valid, validity): hits whose id, path and lines are those of a chunk; 1 if there is no hit."""
-    keys = ["chunk_id", "path", "start_line", "end_line"]
+    """(hits, valid, validity): hits that are a chunk in all of its columns that they have; 1 if there is no hit."""
+    keys = [c for c in ("chunk_id", "path", "start_line", "end_line", "language", "symbol_name", "text") if c in hits.columns and c in chunks.columns]
     found = hits.join(chunks.select(*keys).withColumn("known", F.lit(1)), keys, "left")
     counted = found.agg(F.count("*").alias("hits"), F.count("known").alias("valid"))
     return counted.withColumn("validity", F.when(F.col("hits") == 0, 1.0).otherwise(F.col("valid") / F.col("hits")))

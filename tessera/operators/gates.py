@@ -36,7 +36,7 @@ SECRET_STEMS = ("credentials", "secret", "secrets")
 SECRET_KEYS = ("token", "password", "secret", "api_key", "apikey")
 PEM_MARKERS = ("PRIVATE KEY", "RSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY")
 CREDENTIALS = (r"(?:AKIA|ASIA)[A-Z0-9]{16}", r"AIza[0-9A-Za-z_-]{35}", r"gh[pousr]_[0-9A-Za-z]{20,}", r"xox[baprs]-[0-9A-Za-z-]{10,}")
-#: Extensions of unsupported files that a report names; others are counted together.
+# Extensions of unsupported files that a report names; others are counted together.
 KNOWN_EXTENSIONS = (
     ".bash", ".c", ".cc", ".cpp", ".cs", ".css", ".csv",
     ".go", ".h", ".hpp", ".html", ".java", ".js", ".jsx",
@@ -92,7 +92,7 @@ def unsupported_bucket(path: Column) -> Column:
 
 
 def generated_header(text: Column) -> Column:
-    head = F.lower(F.substring(text, 1, HEADER_BYTES))
+    head = F.lower(F.substring(text.cast("binary"), 1, HEADER_BYTES).cast("string"))
     return head.contains("code generated") & head.contains("do not edit")
 
 

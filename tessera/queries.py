@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import digests, text
-from tessera.model import FILE, SCAN_POLICY, Filter
-from tessera.operators import declarations, evaluate, gates, search
+from tessera.model import SCAN_POLICY, Filter
+from tessera.operators import evaluate, gates, search
+from tessera.plans import store
 from tessera.session import table
 
 QUERIES: dict = {}
@@ -132,10 +133,24 @@ def language_filter(spark, sf_dir):
     return chunks(spark, sf_dir).where(text.matches(Filter(languages=("de", "es")))).select("chunk_id", "language")
 
 
-@query(f"WITH {CHUNKS_SQL} SELECT chunk_id, start_line, end_line, true AS ok FROM chunks")
+TWISTED = ("CASE CAST(chunk_id AS BIGINT) % 9 WHEN 0 THEN concat('/', path) WHEN 1 THEN concat(path, '/') WHEN 2 THEN concat('a/../', path) WHEN 3 THEN concat('a//', path) WHEN 4 THEN concat('a', chr(92), path) "
+           "WHEN 5 THEN concat('./', path) WHEN 6 THEN '' ELSE path END")
+
+
+@query(f"""WITH {CHUNKS_SQL}, t AS (SELECT chunk_id, {TWISTED} AS path, start_line, CASE WHEN chunk_id::BIGINT % 9 = 7 THEN 0 ELSE end_line END AS end_line FROM chunks)
+  SELECT chunk_id, path, NOT (path = '' OR starts_with(path, '/') OR ends_with(path, '/') OR contains(path, '//') OR contains(path, chr(92)) OR list_has_any(string_split(path, '/'), ['.', '..'])) AND end_line >= start_line AS ok FROM t""")
 def reference_validity(spark, sf_dir):
-    c = chunks(spark, sf_dir)
-    return c.select("chunk_id", "start_line", "end_line", (text.reference_ok(F.col("path"), F.col("start_line"), F.col("end_line")) & text.scan_path_ok(F.col("path"))).alias("ok"))
+    c = chunks(spark, sf_dir).withColumn("path", F.expr(TWISTED)).withColumn("end_line", F.when(F.expr("CAST(chunk_id AS BIGINT) % 9 = 7"), 0).otherwise(F.col("end_line")))
+    return c.select("chunk_id", "path", (text.reference_ok(F.col("path"), F.col("start_line"), F.col("end_line")) & text.scan_path_ok(F.col("path"))).alias("ok"))
+
+
+NAMED = "CASE doc_id % 7 WHEN 0 THEN 'a/b.py' WHEN 1 THEN 'x.TSX' WHEN 2 THEN 'x.Jsx' WHEN 3 THEN 'a.py/b.ts' WHEN 4 THEN 'a.py/b' WHEN 5 THEN 'js' ELSE 'x.py.go' END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN p LIKE '%.py' THEN 'python' WHEN p LIKE '%.ts' OR p LIKE '%.tsx' THEN 'typescript' WHEN p LIKE '%.js' OR p LIKE '%.jsx' THEN 'javascript' ELSE 'unknown' END AS language
+  FROM (SELECT doc_id, lower({NAMED}) AS p FROM documents)""")
+def language_of_path(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.language_of(F.expr(NAMED)).alias("language"))
 
 
 # --- vectors and fusion ---------------------------------------------------------------------------
@@ -150,6 +165,18 @@ def vector_normalize(spark, sf_dir):
     return v.select("vec_id", F.get("u", F.lit(0)).alias("first"), F.get("u", F.lit(DIMS - 1)).alias("last"))
 
 
+LARGE_SQL = "list_transform(embedding, lambda x: x::DOUBLE * 1e200)"
+
+
+@query(f"""WITH l AS (SELECT vec_id, {LARGE_SQL} AS e FROM embeddings), m AS (SELECT vec_id, list_transform(e, lambda x: x / list_max(list_transform(e, lambda y: abs(y)))) AS e FROM l),
+  n AS (SELECT vec_id, e, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(e, lambda x: x * x)), lambda a, b: a + b)) AS n FROM m)
+  SELECT vec_id, (e[1] / n)::FLOAT AS first, (e[{DIMS}] / n)::FLOAT AS last FROM n""")
+def vector_rescale(spark, sf_dir):
+    large = F.transform("embedding", lambda x: x.cast("double") * 1e200)
+    v = table(spark, sf_dir, "embeddings").withColumn("u", search.rescaled(large))
+    return v.select("vec_id", F.get("u", F.lit(0)).alias("first"), F.get("u", F.lit(DIMS - 1)).alias("last"))
+
+
 @query(f"WITH {CHUNKS_SQL}, {vector_sql(10)} SELECT chunk_id, path, similarity FROM vector")
 def vector_cosine_topk(spark, sf_dir):
     found = search.vector_candidates(chunks(spark, sf_dir), vectors(spark, sf_dir), search.normalize_query(axis_query(), DIMS), 10)
@@ -172,12 +199,7 @@ def vector_score_mapped(spark, sf_dir):
   (SELECT count(*) FROM chunks WHERE chunk_id NOT IN (SELECT vec_id::VARCHAR FROM embeddings))::BIGINT AS missing,
   (SELECT count(*) FROM (SELECT vec_id FROM embeddings GROUP BY vec_id HAVING count(*) > 1))::BIGINT AS repeated""")
 def vector_integrity_counts(spark, sf_dir):
-    c = chunks(spark, sf_dir).select("chunk_id")
-    v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"))
-    orphans, missing = v.join(c, "chunk_id", "left_anti"), c.join(v, "chunk_id", "left_anti")
-    repeated = v.groupBy("chunk_id").count().where("count > 1")
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    return one(orphans, "orphans").join(one(missing, "missing")).join(one(repeated, "repeated"))
+    return store.vector_faults(chunks(spark, sf_dir), table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id")))
 
 
 def fused_sql(limit: int, window: int, k: int = 60, wl: float = 1.0, wv: float = 1.0) -> str:
@@ -256,7 +278,8 @@ def pattern_buckets(spark, sf_dir):
 
 GATED_SQL = """gated AS (SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '// Code generated by x. DO NOT EDIT.' || chr(10) || text
   WHEN 1 THEN text || ' AKIA' || 'ABCDEFGHIJKLMNOP' || ' end' WHEN 2 THEN text || ' -----BEGIN ' || 'RSA PRIVATE KEY-----' WHEN 3 THEN 'xAKIA' || 'ABCDEFGHIJKLMNOP' || text
-  WHEN 4 THEN text || chr(10) || 'gh' || 'p_abcdefghij0123456789' ELSE text END AS t FROM documents)"""
+  WHEN 4 THEN text || chr(10) || 'gh' || 'p_abcdefghij0123456789'
+  WHEN 5 THEN repeat('\u00e9', CAST(2010 + doc_id % 50 AS INT)) || ' Code generated by x. DO NOT EDIT.' || text ELSE text END AS t FROM documents)"""
 
 
 def gated(spark, sf_dir):
@@ -267,7 +290,9 @@ def gated(spark, sf_dir):
 
 KEY_SQL = r"regexp_matches(t, '\b(?:AKIA|ASIA)[A-Z0-9]{16}\b|\bAIza[0-9A-Za-z_-]{35}\b|\bgh[pousr]_[0-9A-Za-z]{20,}\b|\bxox[baprs]-[0-9A-Za-z-]{10,}\b')"
 PEM_SQL = "(" + " OR ".join(f"contains(upper(t), '-----BEGIN {k}-----')" for k in gates.PEM_MARKERS) + ")"
-HEADER_SQL = "(contains(lower(substring(t, 1, 4096)), 'code generated') AND contains(lower(substring(t, 1, 4096)), 'do not edit'))"
+#: Both phrases end within 4,096 bytes.
+HEADER_SQL = "(" + " AND ".join(f"strpos(lower(t), '{p}') > 0 AND strlen(left(t, strpos(lower(t), '{p}') - 1)) + {len(p)} <= 4096" for p in ("code generated", "do not edit")) + ")"
+ASSIGNED_SQL = r"""regexp_matches(t, '(?i)(token|password|secret|api_?key)[^\n;=:''"`]*=\s*(''[^'']*''|"[^"]*"|`[^`]*`)')"""
 
 
 @query(f"WITH {GATED_SQL} SELECT doc_id, {HEADER_SQL} AS generated FROM gated")
@@ -323,17 +348,9 @@ def chunk_ids(spark, sf_dir):
 
 @query(f"SELECT sha256('9:corpus-v1{len(SCAN_POLICY)}:{SCAN_POLICY}' || string_agg(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '' ORDER BY doc_id::VARCHAR)) AS revision, count(*)::BIGINT AS n FROM documents")
 def corpus_revision(spark, sf_dir):
-    ids = table(spark, sf_dir, "documents").agg(F.collect_list(F.col("doc_id").cast("string")).alias("ids"))
-    return ids.select(digests.corpus_revision(SCAN_POLICY, F.col("ids")).alias("revision"), F.size("ids").cast("long").alias("n"))
-
-
-def _frame_sql(parts: list[str]) -> str:
-    return "sha256(" + " || ".join(f"unhex(printf('%016x', strlen({p}))) || encode({p})" for p in parts) + ")"
-
-
-@query(f"SELECT item_id, {_frame_sql(['text', 'item_id::VARCHAR'])} AS id FROM benchmark")
-def generation_id(spark, sf_dir):
-    return table(spark, sf_dir, "benchmark").select("item_id", digests.framed_column([F.col("text"), F.col("item_id").cast("string")]).alias("id"))
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
+    revision = digests.revision_of(SCAN_POLICY, (r[0] for r in ids.orderBy("id").toLocalIterator()))
+    return ids.agg(F.lit(revision).alias("revision"), F.count("*").alias("n"))
 
 
 # --- metrics ---------------------------------------------------------------------------------------
@@ -417,85 +434,21 @@ def exact_symbol_cases(spark, sf_dir):
     return evaluate.exact_symbol_cases(c, 50).withColumn("relevant", F.array_join("relevant", ","))
 
 
-@query("SELECT count(*)::BIGINT AS hits, count(*) FILTER (WHERE doc_id % 10 <> 3)::BIGINT AS valid, round(count(*) FILTER (WHERE doc_id % 10 <> 3) / count(*), 9) AS validity FROM documents WHERE doc_id % 3 = 0")
+@query("SELECT count(*)::BIGINT AS hits, count(*) FILTER (WHERE doc_id % 10 NOT IN (3, 4))::BIGINT AS valid, round(count(*) FILTER (WHERE doc_id % 10 NOT IN (3, 4)) / count(*), 9) AS validity FROM documents")
 def citation_join(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    hits = c.where("chunk_id % 3 = 0").withColumn("end_line", F.when(F.expr("chunk_id % 10 = 3"), F.lit(-1)).otherwise(F.col("end_line")))
+    case = F.col("chunk_id").cast("long") % 10
+    hits = c.withColumn("end_line", F.when(case == 3, F.lit(-1)).otherwise(F.col("end_line"))).withColumn("text", F.when(case == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
     return _rounded(evaluate.citation_validity(hits, c), "validity")
 
 
-@query(f"""WITH {CHUNKS_SQL}, j AS (SELECT 'case-' || chunk_id AS case_id, CASE WHEN chunk_id::BIGINT % 4 = 0 THEN path || 'x' ELSE path END AS path, start_line, end_line, 2 AS relevance FROM chunks WHERE chunk_id::BIGINT % 5 = 0)
+@query(f"""WITH {CHUNKS_SQL}, j AS (SELECT 'case-' || chunk_id AS case_id, CASE WHEN chunk_id::BIGINT % 4 = 0 THEN path || 'x' ELSE path END AS path, start_line, end_line, 2 AS relevance FROM chunks)
   SELECT case_id, count(c.chunk_id)::BIGINT AS matches, min(c.chunk_id) AS chunk_id FROM j LEFT JOIN chunks c USING (path, start_line, end_line) GROUP BY case_id""")
 def gold_resolution(spark, sf_dir):
     c = chunks(spark, sf_dir)
-    judgments = c.where("chunk_id % 5 = 0").select(
+    judgments = c.select(
         F.concat(F.lit("case-"), "chunk_id").alias("case_id"), F.when(F.expr("chunk_id % 4 = 0"), F.concat("path", F.lit("x"))).otherwise(F.col("path")).alias("path"), "start_line", "end_line", F.lit(2).alias("relevance"))
     return evaluate.resolve_judgments(judgments, c).select("case_id", "matches", "chunk_id")
 
 
-# --- declarations and chunks -------------------------------------------------------------------
-
-
-def _values(rows: list[tuple], columns: str) -> str:
-    shown = ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v) for v in row) + ")" for row in rows)
-    return f"SELECT * FROM (VALUES {shown}) v({columns})"
-
-
-PYTHON = "# loads\n@cached\nasync def load_data(x):\n    def inner(): pass\n\nclass Repository:\n    def save(self): pass\n\n"
-TYPESCRIPT = "import x\nexport async function loadData() {\n  function inner() {}\n}\n/** doc\n */\nexport abstract class Store {}\ninterface Options {}\nexport type Result = 1\ndeclare enum State {}\nconst arrow = () => 1\n"
-JAVASCRIPT = "if (ready) {\nfunction hidden() {}\n}\nexport default class View {}\nconst help = async (a, b) => a + b\nconst bad = (a, a) => 1\nconst t = `{`\nfunction* walk() {}\n"
-LOST = "function before() {}\nconst s = 'open\nfunction after() {}\n"
-PLAIN = "\n\nexport const answer = 42\n\n"
-FILES = (("src/load.py", "python", PYTHON), ("src/load.ts", "typescript", TYPESCRIPT), ("src/view.js", "javascript", JAVASCRIPT), ("src/lost.js", "javascript", LOST), ("src/plain.js", "javascript", PLAIN))
-
-
-def _files(spark, *languages):
-    rows = [(p, lang, bytearray(t.encode())) for p, lang, t in FILES if lang in languages]
-    return spark.createDataFrame(rows, FILE)
-
-
-SYMBOLS = {
-    "python": [("src/load.py", "load_data", "function", 3), ("src/load.py", "Repository", "class", 6)],
-    "typescript": [("src/load.ts", "loadData", "function", 2), ("src/load.ts", "Store", "class", 7), ("src/load.ts", "Options", "interface", 8), ("src/load.ts", "Result", "type", 9), ("src/load.ts", "State", "enum", 10)],
-    "javascript": [("src/view.js", "View", "class", 4), ("src/view.js", "help", "function", 5), ("src/view.js", "walk", "function", 8), ("src/lost.js", "before", "function", 1)],
-}
-
-
-@query(_values(SYMBOLS["python"], "path, name, kind, line"))
-def parse_python(spark, sf_dir):
-    return declarations.declared_lines(_files(spark, "python")).select("path", "name", "kind", "line")
-
-
-@query(_values(SYMBOLS["typescript"], "path, name, kind, line"))
-def parse_typescript(spark, sf_dir):
-    return declarations.declared_lines(_files(spark, "typescript")).select("path", "name", "kind", "line")
-
-
-@query(_values(SYMBOLS["javascript"], "path, name, kind, line"))
-def parse_javascript(spark, sf_dir):
-    return declarations.parse_files(_files(spark, "javascript")).select("path", "name", "kind", "line")
-
-
-@query(_values([("src/load.py", "load_data", 1, 4), ("src/load.py", "Repository", 6, 7), ("src/load.ts", "loadData", 2, 4), ("src/load.ts", "Store", 5, 7), ("src/load.ts", "Options", 8, 8), ("src/load.ts", "Result", 9, 9), ("src/load.ts", "State", 10, 11)], "path, symbol_name, start_line, end_line"))
-def chunk_symbols(spark, sf_dir):
-    return declarations.chunk_files(_files(spark, "python", "typescript")).select("path", "symbol_name", "start_line", "end_line")
-
-
-@query(_values([("src/plain.js", 3, 3, "export const answer = 42")], "path, start_line, end_line, text"))
-def chunk_fallback(spark, sf_dir):
-    return declarations.chunk_files(_files(spark, "javascript")).where("symbol_name = ''").select("path", "start_line", "end_line", "text")
-
-
-# --- the store's joins --------------------------------------------------------------------------------
-
-
-@query("SELECT o_orderkey AS generation FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 25)")
-def store_purge_antijoin(spark, sf_dir):
-    active = table(spark, sf_dir, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"))
-    return table(spark, sf_dir, "orders").join(active, "o_orderkey", "left_anti").select(F.col("o_orderkey").alias("generation"))
-
-
-@query("SELECT c_custkey AS generation, count(o_orderkey)::BIGINT AS chunks FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
-def store_manifest_counts(spark, sf_dir):
-    owned = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderkey")
-    return table(spark, sf_dir, "customer").join(owned, "c_custkey", "left").groupBy(F.col("c_custkey").alias("generation")).agg(F.count("o_orderkey").alias("chunks"))
+from tessera import queries_files, queries_store  # noqa: E402, F401  # they register their own

@@ -1,0 +1,153 @@
+"""Queries over files made from the documents table: declarations, chunks, gates on bytes, and the tree walk."""
+
+from __future__ import annotations
+
+import os
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators import declarations, gates
+from tessera.queries import ASSIGNED_SQL, BAND_SQL, HEADER_SQL, KEY_SQL, PEM_SQL, query
+from tessera.session import local_folder, table
+from tessera.sources.tree import scan
+
+#: Lines of a file of each language; {id} is the document's. Every file begins with doc_id % 4 blank lines.
+LINES = {
+    "python": ("# loads", "@cached", "async def load_{id}(x):", "    def inner(): pass", "", "class Repo{id}:", "    pass"),
+    "typescript": ("import x", "export async function load{id}() {", "  function inner() {}", "}", "/** doc", " */", "export abstract class Store{id} {}", "interface Options{id} {}"),
+    "javascript": ("if (ready) {", "function hidden() {}", "}", "export default class View{id} {}", "const help{id} = async (a, b) => a + b", "const bad = (a, a) => 1", "function* walk{id}() {}", "function after{id}() {}"),
+}
+#: A third of the files lack their last lines, from this one on; a fifth of the JavaScript files have an open quote in its place.
+CUT = {"python": 5, "typescript": 7, "javascript": 7}
+SUFFIX = {"python": "py", "typescript": "ts", "javascript": "js"}
+
+
+def files(spark, sf_dir, language: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    shown = F.col("doc_id").cast("string")
+    line = lambda x: F.concat(*(part for i, piece in enumerate(x.split("{id}")) for part in ([shown] if i else []) + [F.lit(piece)]))
+    lines = [line(x) for x in LINES[language]]
+    head, tail = lines[: CUT[language]], lines[CUT[language] :]
+    if language == "javascript":
+        head = [*head[:6], F.when(F.col("doc_id") % 5 == 0, F.lit("const s = 'open")).otherwise(head[6])]
+    body = F.concat_ws("\n", *head, F.when(F.col("doc_id") % 3 != 1, F.concat_ws("\n", *tail)))
+    text = F.concat(F.repeat(F.lit("\n"), (F.col("doc_id") % 4).cast("int")), body, F.lit("\n"))
+    return d.select(F.concat(F.lit("src/f"), shown, F.lit(f".{SUFFIX[language]}")).alias("path"), F.lit(language).alias("language"), text.cast("binary").alias("content"), "doc_id")
+
+
+def expected(language: str, columns: str, rows: list[str]) -> str:
+    """SQL for rows of each file; b: blank lines before the first, whole: nothing is cut off."""
+    parts = [f"SELECT {row} FROM d" for row in rows]
+    path = f"'src/f' || doc_id || '.{SUFFIX[language]}'"
+    return f"WITH d AS (SELECT doc_id, {path} AS path, (doc_id % 4)::INTEGER AS b, doc_id % 3 <> 1 AS whole, doc_id % 5 = 0 AS lost FROM documents) SELECT {columns} FROM (" + " UNION ALL ".join(parts) + ")"
+
+
+def symbol(name: str, kind: str, line: int, where: str = "true") -> str:
+    return f"path, '{name}' || doc_id AS name, '{kind}' AS kind, b + {line} AS line, {where} AS ok"
+
+
+PYTHON = [symbol("load_", "function", 3), symbol("Repo", "class", 6, "whole")]
+TYPESCRIPT = [symbol("load", "function", 2), symbol("Store", "class", 7), symbol("Options", "interface", 8, "whole")]
+JAVASCRIPT = [symbol("View", "class", 4), symbol("help", "function", 5), symbol("walk", "function", 7, "NOT lost"), symbol("after", "function", 8, "whole AND NOT lost")]
+
+
+@query(expected("python", "path, name, kind, line", PYTHON) + " WHERE ok")
+def parse_python(spark, sf_dir):
+    return declarations.declared_lines(files(spark, sf_dir, "python")).select("path", "name", "kind", "line")
+
+
+@query(expected("typescript", "path, name, kind, line", TYPESCRIPT) + " WHERE ok")
+def parse_typescript(spark, sf_dir):
+    return declarations.declared_lines(files(spark, sf_dir, "typescript")).select("path", "name", "kind", "line")
+
+
+@query(expected("javascript", "path, name, kind, line", JAVASCRIPT) + " WHERE ok")
+def parse_javascript(spark, sf_dir):
+    return declarations.parse_files(files(spark, sf_dir, "javascript")).select("path", "name", "kind", "line")
+
+
+def either(*sql: str) -> str:
+    return " UNION ALL ".join(f"SELECT * FROM ({x} WHERE ok)" for x in sql)
+
+
+@query(either(expected("python", "path, name, kind, line", PYTHON), expected("typescript", "path, name, kind, line", TYPESCRIPT)))
+def parse_by_language(spark, sf_dir):
+    return declarations.parse_files(files(spark, sf_dir, "python").union(files(spark, sf_dir, "typescript"))).select("path", "name", "kind", "line")
+
+
+@query(expected("python", "path, name, line, CASE WHEN name LIKE 'load%' AND whole THEN b + 6 END AS next_line", [f"{x}, whole, b" for x in PYTHON]) + " WHERE ok")
+def next_symbol_start(spark, sf_dir):
+    return declarations.next_starts(declarations.parse_files(files(spark, sf_dir, "python"))).select("path", "name", "line", "next_line")
+
+
+def piece(name: str, start: int, end: int, where: str = "true") -> str:
+    return f"path, '{name}' || doc_id AS symbol_name, b + {start} AS start_line, b + {end} AS end_line, {where} AS ok"
+
+
+PLACED = "path, symbol_name, start_line, end_line"
+
+
+@query(either(expected("python", PLACED, [piece("load_", 1, 4), piece("Repo", 6, 7, "whole")]), expected("typescript", PLACED, [piece("load", 2, 4), piece("Store", 5, 7), piece("Options", 8, 8, "whole")])))
+def chunk_symbols(spark, sf_dir):
+    return declarations.chunk_files(files(spark, sf_dir, "python").union(files(spark, sf_dir, "typescript"))).select("path", "symbol_name", "start_line", "end_line")
+
+
+ID_SQL = f"sha256(concat_ws(chr(0), '{declarations.CHUNK_TAG}', path, (b + 1)::VARCHAR, (b + 1)::VARCHAR, 'javascript', '', text))"
+
+
+@query(f"""WITH d AS (SELECT 'src/f' || doc_id || '.js' AS path, (doc_id % 4)::INTEGER AS b, 'export const answer = ' || doc_id AS text FROM documents)
+  SELECT path, b + 1 AS start_line, b + 1 AS end_line, text, {ID_SQL} AS chunk_id FROM d""")
+def chunk_fallback(spark, sf_dir):
+    plain = F.concat(F.repeat(F.lit("\n"), (F.col("doc_id") % 4).cast("int")), F.lit("export const answer = "), F.col("doc_id").cast("string"), F.lit("\n \n\n"))
+    found = declarations.chunk_files(files(spark, sf_dir, "javascript").withColumn("content", plain.cast("binary")))
+    return found.where("symbol_name = ''").select("path", "start_line", "end_line", "text", "chunk_id")
+
+
+# --- gates on bytes, and the walk ----------------------------------------------------------------
+
+
+TEXT = "CASE doc_id % 7 WHEN 0 THEN repeat('x', 1048577) WHEN 1 THEN concat('// code GENERATED by x; do not edit', chr(10), coalesce(text, '')) WHEN 2 THEN concat(coalesce(text, ''), ' AKIA', 'ABCDEFGHIJKLMNOP') ELSE coalesce(text, '') END"
+
+
+@query(f"""WITH g AS (SELECT doc_id, {TEXT} AS t FROM documents)
+  SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'too_large' WHEN doc_id % 7 = 3 THEN 'binary' WHEN doc_id % 7 = 4 THEN 'invalid_utf8' WHEN {HEADER_SQL} THEN 'generated' WHEN {PEM_SQL} OR {KEY_SQL} OR {ASSIGNED_SQL} THEN 'secret' ELSE 'included' END AS reason FROM g""")
+def gate_content(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(TEXT).cast("binary").alias("content"))
+    ends = F.when(F.col("doc_id") % 7 == 3, F.unhex(F.lit("00"))).when(F.col("doc_id") % 7 == 4, F.unhex(F.lit("C3"))).otherwise(F.unhex(F.lit("")))
+    return d.select("doc_id", F.coalesce(gates.content_reason(F.concat("content", ends)), F.lit("included")).alias("reason"))
+
+
+#: Where a document's file lies in the tree, by doc_id % 8.
+PLACES = ("src/a{}.py", "src/b{}.ts", "lib/c{}.jsx", "Node_Modules/d{}.js", "e{}.md", "f{}.min.js", "src/g{}.py", ".env.{}")
+
+
+@query(f"""WITH f AS (SELECT doc_id % 8 AS k, coalesce(text, '') AS t FROM documents),
+  e AS (SELECT k, t, strlen(t) + (k = 6)::INTEGER AS n, CASE WHEN k = 6 THEN 'binary' WHEN {HEADER_SQL} THEN 'generated' WHEN {PEM_SQL} OR {KEY_SQL} OR {ASSIGNED_SQL} THEN 'secret' END AS reason FROM f WHERE k IN (0, 1, 2, 6)),
+  i AS (SELECT * FROM e WHERE reason IS NULL)
+  SELECT measure, name, sum(n)::BIGINT AS n FROM (
+    SELECT 'eligible' AS measure, 'files' AS name, count(*) AS n FROM e UNION ALL SELECT 'eligible', 'bytes', coalesce(sum(n), 0) FROM e
+    UNION ALL SELECT 'included', 'files', count(*) FROM i UNION ALL SELECT 'included', 'bytes', coalesce(sum(n), 0) FROM i
+    UNION ALL SELECT 'scanned', 'files', count(*) FROM i UNION ALL SELECT 'scanned', 'lines', coalesce(sum(length(t) - length(replace(t, chr(10), '')) + CASE WHEN ends_with(t, chr(10)) THEN 0 ELSE 1 END), 0) FROM i
+    UNION ALL SELECT 'excluded', reason, count(*) FROM e WHERE reason IS NOT NULL GROUP BY reason
+    UNION ALL SELECT 'excluded', CASE k WHEN 4 THEN 'unsupported_extension' WHEN 5 THEN 'generated' ELSE 'security' END, count(*) FROM f WHERE k IN (4, 5, 7) GROUP BY k
+    UNION ALL SELECT 'excluded', 'dependency_build_cache', 1 FROM f WHERE k = 3 GROUP BY k
+    UNION ALL SELECT 'unsupported', '.md', count(*) FROM f WHERE k = 4 GROUP BY k
+    UNION ALL SELECT 'language', CASE k WHEN 1 THEN 'typescript' WHEN 2 THEN 'javascript' ELSE 'python' END, count(*) FROM i GROUP BY k
+    UNION ALL SELECT 'band', {BAND_SQL}, count(*) FROM i GROUP BY 2) GROUP BY measure, name""")
+def tree_inventory(spark, sf_dir):
+    """The walk is the driver's: it reads a tree of files, here one that is written from the table first."""
+    root = local_folder(spark, "tree")
+    for place in PLACES:
+        os.makedirs(os.path.join(root, os.path.dirname(place)), exist_ok=True)
+    for r in table(spark, sf_dir, "documents").select("doc_id", "text").toLocalIterator():
+        with open(os.path.join(root, PLACES[r["doc_id"] % 8].format(r["doc_id"])), "wb") as f:
+            f.write((r["text"] or "").encode() + (b"\0" if r["doc_id"] % 8 == 6 else b""))
+    found, report, _ = scan(spark, root)
+    from tessera.functions.text import line_count
+
+    n, lines = found.agg(F.count("*"), F.coalesce(F.sum(line_count(F.col("content").cast("string"))), F.lit(0))).first()
+    rows = [("eligible", "files", report.eligible_files), ("eligible", "bytes", report.eligible_bytes), ("included", "files", report.included_files), ("included", "bytes", report.included_bytes)]
+    rows += [("scanned", "files", n), ("scanned", "lines", lines), *(("excluded", k, v) for k, v in report.excluded.items()), *(("unsupported", k, v) for k, v in report.unsupported_files.items())]
+    rows += [*(("language", k, v) for k, v in report.by_language.items()), *(("band", k, v) for k, v in report.size_bands.items())]
+    return spark.createDataFrame(rows, "measure string, name string, n long")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,14 +39,27 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as named by the cluster."""
-    return spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH
+    """The folder that driver and executors share, as named by the cluster; without a name only a session on one machine has one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir isn't set")
+    return folder or LOCAL_SCRATCH
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
+def local_folder(spark: SparkSession, tag: str) -> str:
+    """A new private folder of the shared one, for what reads and writes files by itself; the shared one must be a folder of files."""
+    path = urlsplit(scratch_path(spark, tag))
+    if path.scheme not in ("", "file"):
+        raise RuntimeError("the shared folder isn't a folder of files")
+    os.makedirs(os.path.dirname(path.path), exist_ok=True)
+    os.mkdir(path.path, mode=0o700)
+    return path.path
+
+
 def stored(df: DataFrame, tag: str) -> DataFrame:
     """Cut lineage: write ``df`` once as Parquet in the shared folder and read it back.
 
