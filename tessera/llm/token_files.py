@@ -28,7 +28,7 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +46,8 @@ PAGE_BYTES = 128 << 10
 PAGE_ROWS = 512
 #: Bytes of text that a file holds, about, where there are more than the session's shuffle partitions make.
 FILE_BYTES = 1 << 30
-#: Words whose ids a worker remembers; when there are more, those met in one batch only since the last time are forgotten.
-MEMORY = 300_000
+#: Words whose ids a worker remembers, and their bytes; when there are more, those met in one batch only since the last time are forgotten.
+MEMORY, MEMORY_BYTES = 300_000, 64 << 20
 #: Lower-case letters of these blocks have one form only, and are letters to the tokenizer's patterns; signs after them are a
 #: piece of their own (but for the apostrophe, and those that special tokens are written with).
 _LETTERS = "".join(chr(c) for c in (*range(65, 91), *range(97, 123), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)))
@@ -68,36 +68,36 @@ class Memory:
     """The ids of words, as slots of one flat array."""
 
     def __init__(self):
-        self.slots: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.start = self.size = self.met = np.zeros(0, np.int64)
         self.ids = np.zeros(0, np.int32)
 
-    def find(self, words: list[str], learn: Callable[[list[str]], list[list[int]]]) -> np.ndarray:
-        """The slots of distinct words; ``learn`` gives the ids of those not known."""
-        found = np.fromiter(map(self.slots.get, words, repeat(-1)), np.int64, len(words))
+    def find(self, words: pa.Array, learn: Callable[[np.ndarray], list[list[int]]]) -> np.ndarray:
+        """The slots of distinct words; ``learn`` gives the ids of those not known, by their ascending places in ``words``."""
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy().astype(np.int64)
         new = np.flatnonzero(found < 0)
         if len(new):
-            names = [words[i] for i in new.tolist()]
-            lists = learn(names)
+            lists = learn(new)
             size = np.fromiter(map(len, lists), np.int64, len(lists))
             first = len(self.size)
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
             self.size, self.met = np.concatenate([self.size, size]), np.concatenate([self.met, np.zeros(len(size), np.int64)])
             self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.int32, int(size.sum()))])
             found[new] = np.arange(first, first + len(size))
-            self.slots.update(zip(names, found[new].tolist()))
+            self.words = pa.concat_arrays([self.words, words.take(pa.array(new))])
         self.met[found] += 1
         return found
 
+    def full(self) -> bool:
+        return len(self.words) > MEMORY or self.words.nbytes > MEMORY_BYTES
+
     def forget(self) -> None:
         """Only words met twice or more since the last time stay, if they are few enough."""
         keep = np.flatnonzero(self.met > 1)
-        if len(keep) > MEMORY // 2:
-            keep = keep[:0]
-        name = np.full(len(self.met), -1)
-        name[keep] = np.arange(len(keep))
-        self.slots = {w: i for w, i in zip(self.slots, name[list(self.slots.values())].tolist()) if i >= 0}
-        self.ids, self.size = self.ids[spans(self.start[keep], self.size[keep])], self.size[keep]
+        words = self.words.take(pa.array(keep))
+        if len(keep) > MEMORY // 2 or words.nbytes > MEMORY_BYTES // 2:
+            keep, words = keep[:0], words[:0]
+        self.words, self.ids, self.size = words, self.ids[spans(self.start[keep], self.size[keep])], self.size[keep]
         self.start, self.met = np.cumsum(self.size) - self.size, np.zeros(len(keep), np.int64)
 
 
@@ -128,13 +128,21 @@ class WordEncoder:
     def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words one after the other, and how many each has."""
         memory = self.memory
-        if len(memory.slots) > MEMORY:
+        if memory.full():
             memory.forget()
         plain = pc.match_substring_regex(words, _PLAIN)
-        known = words.filter(plain)
+        known, rest = words.filter(plain), words.filter(pc.invert(plain))
         letters, signs = (x.dictionary_encode() for x in (pc.utf8_lower(pc.utf8_rtrim(known, _SIGNS)), pc.utf8_ltrim(known, _LETTERS)))
-        rest = memory.find(words.filter(pc.invert(plain)).to_pylist(), self._others)
-        first, second = (memory.find(x.dictionary.to_pylist(), learn)[x.indices.to_numpy()] for x, learn in ((letters, self._letters), (signs, self._others)))
+        n, m = len(letters.dictionary), len(signs.dictionary)
+        pieces = pa.concat_arrays([letters.dictionary, signs.dictionary, rest]).dictionary_encode()
+
+        def learn(new: np.ndarray) -> list[list[int]]:
+            names = pieces.dictionary.take(pa.array(new)).to_pylist()
+            at = int(np.searchsorted(new, n))  # the first n are words of letters
+            return self._letters(names[:at]) + self._others(names[at:])
+
+        found = memory.find(pieces.dictionary, learn)[pieces.indices.to_numpy()]
+        first, second, rest = found[:n][letters.indices.to_numpy()], found[n : n + m][signs.indices.to_numpy()], found[n + m :]
         plain = plain.to_numpy(zero_copy_only=False)
         slots = np.full((len(words), 2), -1)
         slots[plain, 0], slots[plain, 1], slots[~plain, 0] = first, second, rest
