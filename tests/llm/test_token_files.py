@@ -45,8 +45,9 @@ def test_random_texts_give_the_library_ids():
         assert encoded(encoder, part) == [e.ids for e in library.encode_batch(part, add_special_tokens=False)]
 
 
-def test_forgetting_changes_nothing(monkeypatch):
-    monkeypatch.setattr(token_files, "MEMORY", 5)
+@pytest.mark.parametrize("bound", ["MEMORY", "MEMORY_BYTES"])
+def test_forgetting_changes_nothing(monkeypatch, bound):
+    monkeypatch.setattr(token_files, bound, {"MEMORY": 5, "MEMORY_BYTES": 400}[bound])
     encoder = token_files.WordEncoder(PATH)
     for _ in range(3):
         for text in TEXTS:
