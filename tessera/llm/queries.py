@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import decontaminate, embedding_dedup, language_id, license_scan, line_dedup, piece_dropout, resample, simhash, token_files, url_filter
+from tessera.llm import collocations, decontaminate, embedding_dedup, language_id, license_scan, line_dedup, mixing, piece_dropout, prefix_trie, resample, simhash, token_files, url_filter
 from tessera.session import table
 
 
@@ -46,8 +46,20 @@ def op10_piece_dropout(spark, sf_dir):
     return piece_dropout.query(table(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.query(table(spark, sf_dir, "documents"))
+
+
+def op12_mixing(spark, sf_dir):
+    return mixing.query(table(spark, sf_dir, "documents"))
+
+
+def op13_prefix_trie(spark, sf_dir):
+    return prefix_trie.query(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_simhash, op2_token_files, op3_license_scan, op4_url_filter, op5_language_id, op6_decontaminate, op7_line_dedup, op8_embedding_dedup, op9_resample, op10_piece_dropout)
+    for f in (op1_simhash, op2_token_files, op3_license_scan, op4_url_filter, op5_language_id, op6_decontaminate, op7_line_dedup, op8_embedding_dedup, op9_resample, op10_piece_dropout, op11_collocations, op12_mixing, op13_prefix_trie)
 }
-ORACLES = {"op3_license_scan": license_scan.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL}
+ORACLES = {"op3_license_scan": license_scan.ORACLE_SQL, "op7_line_dedup": line_dedup.ORACLE_SQL, "op8_embedding_dedup": embedding_dedup.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL, "op12_mixing": mixing.ORACLE_SQL, "op13_prefix_trie": prefix_trie.ORACLE_SQL}
