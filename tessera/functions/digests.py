@@ -23,17 +23,18 @@ def _counted(value: Column) -> Column:
     return F.concat(F.octet_length(value).cast("string"), F.lit(":"), value)
 
 
+def revision_head(policy: str) -> str:
+    return "".join(f"{len(x.encode())}:{x}" for x in (CORPUS_VERSION, policy))
+
+
 def corpus_revision(policy: str, ids: Column) -> Column:
     """Of an array of ids, in any order: each value after its length, ids sorted bytewise."""
-    head = "".join(f"{len(x.encode())}:{x}" for x in (CORPUS_VERSION, policy))
-    return F.sha2(F.concat(F.lit(head), F.array_join(F.transform(F.sort_array(ids), _counted), "")), 256)
+    return F.sha2(F.concat(F.lit(revision_head(policy)), F.array_join(F.transform(F.sort_array(ids), _counted), "")), 256)
 
 
 def revision_of(policy: str, ids: Iterable[str]) -> str:
     """The same from ids that come sorted, without holding them."""
-    digest = hashlib.sha256()
-    for value in (CORPUS_VERSION, policy):
-        digest.update(f"{len(value.encode())}:{value}".encode())
+    digest = hashlib.sha256(revision_head(policy).encode())
     for value in ids:
         digest.update(f"{len(value.encode())}:{value}".encode())
     return digest.hexdigest()

@@ -17,7 +17,7 @@ CHUNK = (
     "chunk_id string, ordinal int, text string, language string, symbol_name string, path string, start_line int, end_line int, "
     "text_tokens array<string>, symbol_tokens array<string>, path_tokens array<string>"
 )
-VECTOR = "chunk_id string, encoding_version int, dimensions int, values array<float>"
+VECTOR = "chunk_id string, ordinal int, path string, start_line int, end_line int, language string, encoding_version int, dimensions int, values array<float>"
 FILE = "path string, language string, content binary"
 
 

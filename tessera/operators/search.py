@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -152,10 +153,11 @@ def cosine_batches(values: Column, query: Sequence[float]) -> Column:
 
 
 def vector_candidates(chunks: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int, wanted: Filter = Filter(), languages: Sequence[str] | None = None) -> DataFrame:
-    """The ``limit`` chunks most similar to a unit query vector; chunks with ``similarity``. vectors: (chunk_id, values).
+    """The ``limit`` chunks most similar to a unit query vector; chunks with ``similarity``. vectors: (chunk_id, values), as stored ones
+    with the columns that filter and order beside them; without these, only ids and similarities are joined with the chunks' keys.
 
-    Vectors are scored where they are read, and only ids and similarities go on; a vector without one (zero, of another length, or
-    with a component that isn't finite) is no candidate.
+    Vectors are scored where they are read; a vector without a similarity (zero, of another length, or with a component that isn't
+    finite) is no candidate. Only keys go through the ranking, and texts are read for the best.
     """
     if not 0 < limit <= MAX_VECTOR_LIMIT:
         raise InvalidQuery("invalid vector limit")
@@ -164,13 +166,23 @@ def vector_candidates(chunks: DataFrame, vectors: DataFrame, query: Sequence[flo
         similarity = cosine_batches(F.col("values"), query)
     else:
         similarity = cosine(F.col("values"), F.array(*(F.lit(float(x)).cast("float") for x in query)))
-    # only ids and the columns of the order go through the ranking; texts are joined to the k best
-    keys = chunks.where(matches(wanted)).select(*VECTOR_ORDER)
-    scored = vectors.select("chunk_id", similarity.alias("similarity")).where("similarity IS NOT NULL")
-    best = keys.join(scored, "chunk_id").orderBy(F.desc("similarity"), *VECTOR_ORDER).limit(limit)
-    rest = [c for c in chunks.columns if c not in VECTOR_ORDER]
-    best = F.broadcast(best) if limit <= WINDOW_MOST else best
-    return best.join(chunks.select("chunk_id", *rest), "chunk_id").select(*chunks.columns, "similarity") if rest else best
+    if {*VECTOR_ORDER, "language"} <= {*vectors.columns}:
+        place = ["ordinal"] if "ordinal" in vectors.columns and "ordinal" in chunks.columns else []
+        scored = vectors.where(matches(wanted)).select(*VECTOR_ORDER, "language", *place, similarity.alias("similarity")).where("similarity IS NOT NULL")
+    else:
+        place = []
+        scored = chunks.where(matches(wanted)).select(*VECTOR_ORDER).join(vectors.select("chunk_id", similarity.alias("similarity")).where("similarity IS NOT NULL"), "chunk_id")
+    best = scored.orderBy(F.desc("similarity"), *VECTOR_ORDER).limit(limit)
+    rest = [c for c in chunks.columns if c not in best.columns]
+    if not rest:
+        return best.select(*chunks.columns, "similarity")
+    if limit > WINDOW_MOST:
+        return best.select("chunk_id", "similarity").join(chunks, "chunk_id").select(*chunks.columns, "similarity")
+    if place:  # few ordinals, known by now, reach the files, whose pages are in their order
+        rows = best.select("chunk_id", "ordinal", "similarity").collect()
+        chunks = chunks.where(reduce(Column.__or__, (F.col("ordinal") == r["ordinal"] for r in rows), F.lit(False)))
+        best = chunks.sparkSession.createDataFrame([(r["chunk_id"], r["similarity"]) for r in rows], "chunk_id string, similarity double")
+    return chunks.join(F.broadcast(best.select("chunk_id", "similarity")), "chunk_id").select(*chunks.columns, "similarity")
 
 
 def vector_search(chunks: DataFrame, vectors: DataFrame, query: Sequence[float], limit: int = 10, wanted: Filter = Filter(), languages: Sequence[str] | None = None) -> DataFrame:

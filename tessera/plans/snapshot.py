@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera import model as m
 from tessera.functions import digests
 from tessera.operators.search import with_tokens
-from tessera.plans.store import in_order
+from tessera.plans.store import walk
 from tessera.sources.strict_json import BadJson, loads, shaped
 
 VERSION = 2
@@ -56,7 +56,7 @@ class Snapshots:
 
     def replace(self, repository_id: str, chunks: DataFrame, policy: str) -> str:
         """Write the snapshot; its revision. The rollback marker goes first, as it no longer fits."""
-        rows = [r.asDict() for r in in_order(chunks).orderBy("ordinal").select(*_ROW).collect()]  # cost is checked before
+        rows = [r.asDict() for r in chunks.orderBy(*walk()).select(*_ROW).collect()]  # cost is checked before
         if len({r["chunk_id"] for r in rows}) != len(rows) or any(not r["chunk_id"] or not r["text"] or not m.valid_reference(r["path"], r["start_line"], r["end_line"]) for r in rows):
             raise m.InvalidChunk("invalid chunk")
         revision = digests.revision_of(policy, sorted(r["chunk_id"] for r in rows))

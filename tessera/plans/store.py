@@ -5,6 +5,10 @@
     <root>/repositories/<hash>/ACTIVE    which generation is published; swapped by an atomic rename
     <root>/repositories/<hash>/<id>/     manifest.json, lease, chunks/ and, if there are vectors, vectors/
 
+Both tables lie in the order of a walk (folder by folder), each file a range of it. Vectors have the columns that filter and
+order hits beside them, so a search by vector is one scan without a shuffle, filters on paths skip what they can't meet, and
+the texts of the best hits are read by their ordinals. Ordinals and digests are taken in parallel: see ``ordinals`` and ``merkle``.
+
 A generation is written whole beside the others, verified, and only then published, if the published one is still that
 which it was built against. Readers verify a generation when they bind it, pin it and see nothing of later ones: each folder has
 a lease, which a reader shares and a writer holds alone, in any process, and a purge leaves what is leased.
@@ -23,16 +27,15 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera import model as m
 from tessera.functions import digests
-from tessera.operators import search
+from tessera.operators import merkle, search
+from tessera.operators.ordinals import numbered
 
-FORMAT = 2
+FORMAT = 3
 METRIC = "cosine"
 VECTOR_ENCODING = 1
 UNIT_TOLERANCE = 1e-4
@@ -70,35 +73,40 @@ class Manifest:
 # --- digests of tables -------------------------------------------------------------------------
 
 
+def walk() -> list[Column]:
+    """The order of a walk: files folder by folder, then lines."""
+    return [F.split("path", "/"), F.col("start_line"), F.col("chunk_id")]
+
+
 def in_order(chunks: DataFrame) -> DataFrame:
-    """Chunks with their ordinal: files in the order of a walk (folder by folder), then lines."""
-    order = Window.orderBy(F.split("path", "/"), "start_line", "chunk_id")
-    return chunks.withColumn("ordinal", (F.row_number().over(order) - 1).cast("int"))
+    """Chunks with their ordinal, stored in that order."""
+    return numbered(chunks, *walk(), name="ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
+
+
+def revision(policy: str, chunks: DataFrame) -> str:
+    return merkle.of_sorted(chunks, "chunk_id", digests.revision_head(policy))
 
 
 def content_digest(chunks: DataFrame) -> str:
-    """Rows are hashed where they are; their digests, in order, are hashed here."""
     row = digests.framed_column([F.col("ordinal").cast("string"), *(F.col(c) for c in ("chunk_id", "text", "language", "symbol_name", "path")), F.col("start_line").cast("string"), F.col("end_line").cast("string")])
-    total = hashlib.sha256()
-    for r in chunks.select("ordinal", row.alias("d")).orderBy("ordinal").toLocalIterator():
-        total.update(bytes.fromhex(r["d"]))
-    return total.hexdigest()
+    return merkle.tree_digest(chunks, F.col("ordinal"), row, "chunks-v2")
 
 
-@F.arrow_udf(T.StringType())
-def _float_digest(values: pa.Array) -> pa.Array:
-    raw, ends = values.values.to_numpy(zero_copy_only=False).astype("<f4").tobytes(), (4 * values.offsets.to_numpy()).tolist()
-    return pa.array([hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends, ends[1:])])
+def vector_digest(vectors: DataFrame | None) -> str:
+    """Of vectors in the order of their chunks, with all of their columns."""
+    if vectors is None:
+        return digests.framed(["vectors-v2", (0).to_bytes(8, "big")])
+    parts = [F.col(c).cast("string") for c in ("ordinal", "chunk_id", "path", "start_line", "end_line", "language", "encoding_version", "dimensions")]
+    return merkle.tree_digest(vectors, F.col("ordinal"), digests.framed_column([*parts, merkle.floats_digest("values")]), "vectors-v2")
 
 
-def vector_digest(vectors: DataFrame | None) -> str:
-    total, n = hashlib.sha256(b"vectors-v1"), 0
-    if vectors is not None:
-        for r in vectors.select("chunk_id", "encoding_version", "dimensions", _float_digest("values").alias("d")).orderBy("chunk_id").toLocalIterator():
-            total.update(digests.framed([r["chunk_id"], str(r["encoding_version"]), str(r["dimensions"]), r["d"]]).encode())
-            n += 1
-    total.update(n.to_bytes(8, "big"))
-    return total.hexdigest()
+def beside(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Unit vectors (chunk_id, values) with the columns of their chunks that filter and order, in the chunks' order."""
+    unit = vectors.select("chunk_id", search.normalized(F.col("values")).alias("values"))
+    unit = unit.select("chunk_id", F.lit(VECTOR_ENCODING).alias("encoding_version"), F.size("values").alias("dimensions"), "values")
+    both = unit.join(chunks.select("chunk_id", "ordinal", "path", "start_line", "end_line", "language"), "chunk_id", "left")
+    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.select([f.split()[0] for f in m.VECTOR.split(", ")]).repartitionByRange(parts, "ordinal", "chunk_id").sortWithinPartitions("ordinal", "chunk_id")
 
 
 def check_chunks(chunks: DataFrame) -> None:
@@ -236,14 +244,12 @@ class Store:
             rows = self.spark.read.schema(m.CHUNK).parquet(_uri(f"{staged}/chunks"))
             check_chunks(rows)
             if vectors is not None:
-                unit = vectors.select("chunk_id", search.normalized(F.col("values")).alias("values"))
-                unit = unit.select("chunk_id", F.lit(VECTOR_ENCODING).alias("encoding_version"), F.size("values").alias("dimensions"), "values")
-                unit.write.parquet(_uri(f"{staged}/vectors"))
+                beside(vectors, rows).write.parquet(_uri(f"{staged}/vectors"))
                 unit = self.spark.read.schema(m.VECTOR).parquet(_uri(f"{staged}/vectors"))
                 check_vectors(rows, unit, space.dimensions)
-            revision = digests.revision_of(policy, (r[0] for r in rows.select("chunk_id").orderBy("chunk_id").toLocalIterator()))
+            stated = revision(policy, rows)
             manifest = Manifest(
-                repository_id, digests.generation_id(policy, revision, space and space.fingerprint), revision, content_digest(rows), policy, space.fingerprint if space else "",
+                repository_id, digests.generation_id(policy, stated, space and space.fingerprint), stated, content_digest(rows), policy, space.fingerprint if space else "",
                 space.model if space else "", space.dimensions if space else 0, METRIC, vector_digest(unit if vectors is not None else None))
             _write(f"{staged}/manifest.json", asdict(manifest) | {"digest": manifest.digest()})
             self._swap(place, staged, manifest, base)
@@ -302,10 +308,10 @@ class Store:
         place, now = self._place(repository_id), self.active(repository_id)
         names = [n for n in sorted(os.listdir(place)) if os.path.isfile(os.path.join(place, n, "manifest.json")) and not n.startswith(".")] if os.path.isdir(place) else []
         known = self.spark.createDataFrame([(n, n == now) for n in names], "generation_id string, active boolean")
-        rows = known.select("generation_id").limit(0)
-        for n in names:
-            rows = rows.union(self.spark.read.schema(m.CHUNK).parquet(_uri(os.path.join(place, n, "chunks"))).select(F.lit(n)))
-        counted = rows.groupBy("generation_id").agg(F.count("*").alias("chunks"))
+        if not names:
+            return known.withColumn("chunks", F.lit(0).cast("long"))
+        rows = self.spark.read.schema(m.CHUNK).parquet(*(_uri(os.path.join(place, n, "chunks")) for n in names))
+        counted = rows.groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -3).alias("generation_id")).agg(F.count("*").alias("chunks"))
         return known.join(counted, "generation_id", "left").withColumn("chunks", F.coalesce("chunks", F.lit(0)))
 
     def _manifest(self, place: str, generation: str) -> Manifest:
@@ -350,8 +356,9 @@ def verify(spark: SparkSession, path: str, manifest: Manifest) -> None:
         check_chunks(rows)
     except m.InvalidCorpus:
         raise m.ReindexRequired("the chunks were changed") from None
-    ids = (r[0] for r in rows.select("chunk_id").orderBy("chunk_id").toLocalIterator())
-    if content_digest(rows) != manifest.content_digest or digests.revision_of(manifest.scan_policy_version, ids) != manifest.corpus_revision:
+    n, different, least, most = rows.agg(F.count("*"), F.count_distinct("ordinal"), F.min("ordinal"), F.max("ordinal")).first()
+    placed = n == different and (not n or (least, most) == (0, n - 1))
+    if not placed or content_digest(rows) != manifest.content_digest or revision(manifest.scan_policy_version, rows) != manifest.corpus_revision:
         raise m.ReindexRequired("the chunks were changed")
     if manifest.space:
         vectors = spark.read.schema(m.VECTOR).parquet(_uri(f"{path}/vectors"))
@@ -390,9 +397,13 @@ class BoundReader:
         if self._lease is None:
             raise m.InvalidQuery("the reader is closed")
         if self._chunks is None:
-            self._chunks = self.spark.read.schema(m.CHUNK).parquet(_uri(f"{self._path}/chunks")).cache()
+            self._chunks = self.stored().cache()
         return self._chunks
 
+    def stored(self) -> DataFrame:
+        """The chunks where they lie, so that filters reach the files."""
+        return self.spark.read.schema(m.CHUNK).parquet(_uri(f"{self._path}/chunks"))
+
     def vectors(self) -> DataFrame:
         if not self.manifest.space:
             raise m.VectorUnavailable("this generation has no vectors")
@@ -417,7 +428,9 @@ class BoundReader:
         if self.describe() != space:
             raise m.IncompatibleSpace("the vectors are of another space")
         unit = search.normalize_query(vector, space.dimensions)
-        return search.vector_search(self.chunks(), self.vectors(), unit, query.limit, query.filter, m.LANGUAGES)
+        if self._lease is None:
+            raise m.InvalidQuery("the reader is closed")
+        return search.vector_search(self.stored(), self.vectors(), unit, query.limit, query.filter, m.LANGUAGES)
 
     def _mine(self, query: m.Query) -> None:
         if query.repository_id != self.manifest.repository_id:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import digests, text
 from tessera.model import SCAN_POLICY, Filter
-from tessera.operators import evaluate, gates, search
+from tessera.operators import evaluate, gates, merkle, search
 from tessera.plans import store
 from tessera.session import table
 
@@ -349,7 +349,7 @@ def chunk_ids(spark, sf_dir):
 @query(f"SELECT sha256('9:corpus-v1{len(SCAN_POLICY)}:{SCAN_POLICY}' || string_agg(strlen(doc_id::VARCHAR)::VARCHAR || ':' || doc_id::VARCHAR, '' ORDER BY doc_id::VARCHAR)) AS revision, count(*)::BIGINT AS n FROM documents")
 def corpus_revision(spark, sf_dir):
     ids = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("id"))
-    revision = digests.revision_of(SCAN_POLICY, (r[0] for r in ids.orderBy("id").toLocalIterator()))
+    revision = merkle.of_sorted(ids, "id", digests.revision_head(SCAN_POLICY))
     return ids.agg(F.lit(revision).alias("revision"), F.count("*").alias("n"))
 
 

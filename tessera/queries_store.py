@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera import model as m
-from tessera.operators import search
+from tessera.operators import merkle, search
 from tessera.plans import retrieve
 from tessera.plans.snapshot import Snapshots
 from tessera.plans.store import BoundReader, Store
@@ -73,16 +73,53 @@ def store_round_trip(spark, sf_dir):
 
 
 ROW_SQL = f"sha256({frames('ordinal::VARCHAR', 'chunk_id', 'text', 'language', 'symbol_name', 'path', 'start_line::VARCHAR', 'end_line::VARCHAR')})"
-MANIFEST_SQL = frames(repr(m.MANIFEST_VERSION), repr(REPO), "generation", "revision", "content", repr(POLICY), "'lexical-only'", "''", "''", "'cosine'", "vectors") + " || unhex('0000000000000008') || unhex('0000000000000000')"
 
 
-@query(f"""WITH {CORPUS_SQL}, {revision_sql('r', 'corpus')}, o AS (SELECT *, {ORDINAL_SQL} AS ordinal FROM corpus),
-  c AS (SELECT sha256(unhex(string_agg(d, '' ORDER BY ordinal))) AS content, sha256(encode('vectors-v1') || unhex('0000000000000000')) AS vectors FROM (SELECT ordinal, {ROW_SQL} AS d FROM o))
-  SELECT revision AS corpus_revision, content AS content_digest, vectors AS vector_digest, generation AS generation_id, sha256({MANIFEST_SQL}) AS manifest_digest FROM r, c""")
+def manifest_sql(kind: str, fingerprint: str = "", model: str = "", dimensions: int = 0) -> str:
+    values = frames(repr(m.MANIFEST_VERSION), repr(REPO), "generation", "revision", "content", repr(POLICY), repr(kind), repr(fingerprint), repr(model), "'cosine'", "vectors")
+    return f"{values} || unhex('0000000000000008') || unhex(printf('%016x', {dimensions}))"
+
+
+def tree_sql(name: str, leaves: str, tag: str) -> str:
+    """A table (digest) from leaves (p, d): groups of neighbours, level by level, and the root."""
+    levels = [f"{name}0 AS (SELECT p::BIGINT AS p, d, 1 AS n FROM {leaves})"]
+    levels += [f"{name}{k + 1} AS (SELECT p // {merkle.FAN} AS p, sha256(unhex(string_agg(d, '' ORDER BY p))) AS d, sum(n) AS n FROM {name}{k} GROUP BY 1)" for k in range(merkle.LEVELS)]
+    size = "unhex('0000000000000008' || printf('%016x', coalesce(sum(n), 0)::BIGINT))"
+    root = f"sha256({frame(repr(tag))} || {size} || unhex(coalesce(string_agg('0000000000000040' || hex(encode(d)), '' ORDER BY p), '')))"
+    return ", ".join([*levels, f"{name} AS (SELECT {root} AS digest FROM {name}{merkle.LEVELS})"])
+
+
+MANIFEST_COLUMNS = "corpus_revision string, content_digest string, vector_digest string, generation_id string, manifest_digest string"
+
+
+def manifest_row(spark, reader):
+    x = reader.manifest
+    return spark.createDataFrame([(x.corpus_revision, x.content_digest, x.vector_digest, x.generation_id, x.digest())], MANIFEST_COLUMNS)
+
+
+@query(f"""WITH {CORPUS_SQL}, {revision_sql('r', 'corpus')}, o AS (SELECT *, {ORDINAL_SQL} AS ordinal FROM corpus), l AS (SELECT ordinal AS p, {ROW_SQL} AS d FROM o), {tree_sql('c', 'l', 'chunks-v2')},
+  x AS (SELECT *, digest AS content, sha256({frame("'vectors-v2'")} || unhex('00000000000000080000000000000000')) AS vectors FROM r, c)
+  SELECT revision AS corpus_revision, content AS content_digest, vectors AS vector_digest, generation AS generation_id, sha256({manifest_sql('lexical-only')}) AS manifest_digest FROM x""")
 def generation_id(spark, sf_dir):
     with published(spark, corpus(spark, sf_dir)) as reader:
-        x = reader.manifest
-    return spark.createDataFrame([(x.corpus_revision, x.content_digest, x.vector_digest, x.generation_id, x.digest())], "corpus_revision string, content_digest string, vector_digest string, generation_id string, manifest_digest string")
+        return manifest_row(spark, reader)
+
+
+#: Single floats of unit vectors as bytes, the high one first.
+BYTES_SQL = f"unhex(array_to_string(list_transform(embedding, lambda x: hex((x::DOUBLE / {{n}})::FLOAT::BIT::BLOB)), ''))"
+PROFILE = HashEmbedder(DIMS).profile()
+
+
+@query(f"""WITH {EMBEDDED_SQL}, {revision_sql('r', 'chunks').replace("'lexical-only'", "'semantic'").replace(') AS generation FROM', f" || {frame(repr(PROFILE.fingerprint))}) AS generation FROM")}, o AS (SELECT *, {ORDINAL_SQL} AS ordinal FROM chunks),
+  l AS (SELECT ordinal AS p, {ROW_SQL} AS d FROM o), {tree_sql('c', 'l', 'chunks-v2')},
+  n AS (SELECT vec_id::VARCHAR AS chunk_id, embedding, sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)), lambda a, b: a + b)) AS n FROM embeddings),
+  f AS (SELECT o.*, sha256({BYTES_SQL.format(n='n')}) AS floats FROM o JOIN n USING (chunk_id)),
+  w AS (SELECT ordinal AS p, sha256({frames('ordinal::VARCHAR', 'chunk_id', 'path', 'start_line::VARCHAR', 'end_line::VARCHAR', 'language', "'1'", repr(str(DIMS)), 'floats')}) AS d FROM f), {tree_sql('v', 'w', 'vectors-v2')},
+  x AS (SELECT r.*, c.digest AS content, v.digest AS vectors FROM r, c, v)
+  SELECT revision AS corpus_revision, content AS content_digest, vectors AS vector_digest, generation AS generation_id, sha256({manifest_sql('semantic', PROFILE.fingerprint, PROFILE.model, DIMS)}) AS manifest_digest FROM x""")
+def generation_id_semantic(spark, sf_dir):
+    with published(spark, *embedded(spark, sf_dir)) as reader:
+        return manifest_row(spark, reader)
 
 
 @query(f"""WITH {CORPUS_SQL}, english AS (SELECT * FROM corpus WHERE language = 'en'), {revision_sql('a', 'corpus')}, {revision_sql('b', 'english')}
