@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Inclusive upper bounds of file sizes.
 SIZE_BANDS = (("0-4KiB", 4 << 10), ("4-16KiB", 16 << 10), ("16-64KiB", 64 << 10), ("64-256KiB", 256 << 10))
 LAST_BAND = "256KiB-1MiB"
+#: Kinds of declarations; others are counted together.
+KINDS = ("function", "class", "interface", "type", "enum")
 
 
 # --- inventories -----------------------------------------------------------------------------------
@@ -33,11 +35,41 @@ def counts_by(rows: DataFrame, key: str, size: Column | None = None) -> DataFram
     return rows.groupBy(key).agg(*measures)
 
 
+def inventory(files: DataFrame, chunks: DataFrame) -> DataFrame:
+    """(dimension, value, n, bytes) of a corpus, in one pass: files (path, language, size) and chunks (path, kind, text).
+
+    Dimensions: extension, language, size_band, pattern (a file may have several), kind (of chunks with a declaration; other for
+    an unknown one), chunks (all, bytes of their texts), files and files_without_symbols. Chunks are added up by file, as a file's
+    kinds tell whether it has any, and both sides give rows of one stack, which is grouped once.
+    """
+    extension = F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1))
+    row = lambda dimension, value, n=F.lit(1).cast("long"), size=F.lit(0).cast("long"): F.struct(F.lit(dimension).alias("dimension"), value.cast("string").alias("value"), n.alias("n"), size.alias("bytes"))
+    size = F.col("size").cast("long")
+    one = F.lit(1).cast("long")
+    single = [row("files", F.lit(""), one, size), row("extension", extension, one, size), row("language", F.col("language"), one, size), row("size_band", size_band(F.col("size")), one, size)]
+    of_files = files.select(F.explode(F.concat(F.array(*single), F.transform(path_patterns(F.col("path")), lambda p: row("pattern", p, one, size)))).alias("r"))
+    kinds = (*KINDS, "other")
+    named = F.when(F.col("kind").isin(*KINDS), F.col("kind")).when(F.col("kind") != "", F.lit("other"))
+    own = chunks.groupBy("path").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("size"), *(F.count_if(named == k).alias(k) for k in kinds))
+    symbols = sum((F.col(k) for k in kinds), F.lit(0).cast("long"))
+    of_chunks = own.select(F.explode(F.array(row("chunks", F.lit(""), F.col("n"), F.col("size")), row("files_with_symbols", F.lit(""), (symbols > 0).cast("long")), *(row("kind", F.lit(k), F.col(k)) for k in kinds))).alias("r"))
+    total = of_files.unionByName(of_chunks).select("r.*").groupBy("dimension", "value").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes"))
+    # what is left of the files' row when those with symbols are taken off: both are rows of the result already
+    last = F.col("dimension").isin("files", "files_with_symbols")
+    without = total.where(last).agg(F.sum(F.when(F.col("dimension") == "files", F.col("n")).otherwise(-F.col("n"))).alias("n"))
+    without = without.select(F.lit("files_without_symbols").alias("dimension"), F.lit("").alias("value"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.lit(0).cast("long").alias("bytes"))
+    return total.where("n > 0 AND dimension <> 'files_with_symbols'").unionByName(without)
+
+
 def exact_symbol_cases(chunks: DataFrame, limit: int) -> DataFrame:
-    """(query, first_id, relevant): one case per symbol name, names in the order of their smallest chunk id."""
+    """(query, first_id): one case per symbol name, names in the order of their smallest chunk id."""
     named = chunks.where(F.col("symbol_name") != "").groupBy(F.col("symbol_name").alias("query"))
-    cases = named.agg(F.min("chunk_id").alias("first_id"), F.sort_array(F.collect_list("chunk_id")).alias("relevant"))
-    return cases.orderBy("first_id").limit(limit)
+    return named.agg(F.min("chunk_id").alias("first_id")).orderBy("first_id").limit(limit)
+
+
+def symbol_chunks(chunks: DataFrame, cases: DataFrame) -> DataFrame:
+    """(query, chunk_id): every chunk of the cases' names, a row each; a name of any number of chunks lies in as many tasks."""
+    return chunks.select(F.col("symbol_name").alias("query"), "chunk_id").join(cases.select("query"), "query")
 
 
 # --- metrics -----------------------------------------------------------------------------------------

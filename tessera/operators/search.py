@@ -79,6 +79,53 @@ def lexical_search(chunks: DataFrame, text: str, limit: int = 10, wanted: Filter
     return scored.orderBy(F.desc("score"), *LEXICAL_ORDER).limit(limit)
 
 
+#: Weights in the order in which a term's are added.
+_FIELDS = (("text", TEXT_WEIGHT), ("symbol", SYMBOL_WEIGHT), ("path", PATH_WEIGHT))
+#: Terms whose three marks each fit a long.
+_TERMS_A_WORD = 20
+
+
+def _standing(tokens: str, field: int) -> Column:
+    return F.transform(tokens, lambda t: F.struct(t.alias("term"), F.lit(field).alias("field")))
+
+
+def lexical_batch(chunks: DataFrame, cases: DataFrame, limit: int = 10) -> DataFrame:
+    """``lexical_search`` for many queries at once: (case_id, rank from 1, chunk_id, score) from cases (case_id, query).
+
+    Chunks' stored tokens and the queries' terms are joined by term. What a case finds in a chunk is a mark a term and field, merged
+    where the chunk lies; the weights of the marks are added in the order of the query's terms, so scores are the same doubles. The
+    best of each case are cut where they are before they are shuffled (WindowGroupLimit). Two jobs, however many cases. A case
+    whose query has no token is an error; ids tell cases apart.
+    """
+    if limit <= 0:
+        raise InvalidQuery("invalid lexical query")
+    terms = cases.select("case_id", token_set(F.col("query")).alias("terms"))
+    least, most = terms.agg(F.min(F.size("terms")), F.max(F.size("terms"))).first()
+    if least == 0:
+        raise InvalidQuery("a query has no token")
+    words = range(-(-(most or 1) // _TERMS_A_WORD))
+    terms = terms.select("case_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("i", "term"))
+    postings = chunks.select(*LEXICAL_ORDER, F.explode(F.concat(*(_standing(f"{field}_tokens", k) for k, (field, _) in enumerate(_FIELDS)))).alias("p")).select(*LEXICAL_ORDER, "p.*")
+    mark = F.expr(f"shiftleft(1L, i % {_TERMS_A_WORD} * {len(_FIELDS)} + field)")
+    own = [F.bit_or(F.when(F.floor(F.col("i") / _TERMS_A_WORD) == k, mark).otherwise(F.lit(0).cast("long"))).alias(f"marks_{k}") for k in words]
+    matched = postings.join(terms, "term").groupBy("case_id", "n_terms", *LEXICAL_ORDER).agg(*own)
+    weight = F.array(*(F.lit(w) for _, w in _FIELDS))
+    score = F.lit(0.0)
+    for k in words:
+        step = lambda a, x, k=k: a + F.when(F.getbit(F.col(f"marks_{k}"), x) == 1, F.get(weight, x % len(_FIELDS))).otherwise(0.0)
+        last = F.least(F.col("n_terms") - k * _TERMS_A_WORD, F.lit(_TERMS_A_WORD)) * len(_FIELDS) - 1
+        places = F.when(last > 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
+        score = F.aggregate(places, score, _two(step))
+    scored = matched.select("case_id", *LEXICAL_ORDER, (score / F.col("n_terms").cast("double")).alias("score"))
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy(F.desc("score"), *LEXICAL_ORDER))
+    return scored.withColumn("rank", place).where(F.col("rank") <= limit).select("case_id", "rank", "chunk_id", "score")
+
+
+def _two(step):
+    """A function of two columns only, as ``aggregate`` counts the parameters."""
+    return lambda a, x: step(a, x)
+
+
 # --- vectors -----------------------------------------------------------------------------------
 
 
@@ -227,7 +274,7 @@ def fuse(lexical: DataFrame, vector: DataFrame, limit: int, k: float = RRF_K, le
     """Reciprocal rank fusion of two ranked results (chunks with score) of at most ``WINDOW_MOST`` rows.
 
     Only the ranks count. A full outer join by id; the result has score, contributors and best_rank. With
-    ``check``, an id that stands for two different chunks is an error.
+    ``check``, an id that stands for two different chunks is an error, and so is a score that isn't above 0 and at most 1.
     """
     k, wl, wv = fusion_settings(k, lexical_weight, vector_weight)
     shared = [c for c in lexical.columns if c in vector.columns and c not in ("score", "chunk_id")]
@@ -241,6 +288,9 @@ def fuse(lexical: DataFrame, vector: DataFrame, limit: int, k: float = RRF_K, le
         "chunk_id", F.coalesce("rl_chunk", "rv_chunk").alias("c"), score.alias("score"),
         (F.col("rl").isNotNull().cast("int") + F.col("rv").isNotNull().cast("int")).alias("contributors"), F.least("rl", "rv").alias("best_rank"))
     flat = fused.select("chunk_id", *(f"c.{c}" for c in shared), "score", "contributors", "best_rank")
+    if check:
+        sound = F.coalesce((F.col("score") > 0) & (F.col("score") <= 1), F.lit(False))
+        flat = flat.withColumn("score", F.when(sound, F.col("score")).otherwise(F.raise_error(F.lit("a fused score is out of range"))))
     return flat.orderBy(F.desc("score"), F.desc("contributors"), "best_rank", *VECTOR_ORDER).limit(limit)
 
 

@@ -7,7 +7,6 @@ import os
 import re
 import resource
 import time
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,14 +14,14 @@ from pyspark.sql import functions as F
 from tessera import model as m
 from tessera.operators import evaluate as e
 from tessera.operators import goldset as g
-from tessera.operators.declarations import chunk_files, parse_files
-from tessera.operators.search import lexical_search, with_tokens
+from tessera.operators.declarations import chunk_files
+from tessera.operators.search import lexical_batch, lexical_search, with_tokens
 from tessera.session import stored
 from tessera.sources.tree import extension_of, scan
 
 SCHEMA = 2
 BLOCKERS = ("checklist", "gold_set", "root", "location", "budget", "scan", "integrity", "retrieval", "canceled")
-KINDS = ("function", "class", "interface", "type", "enum")
+KINDS = e.KINDS
 MAX_REPORT_BYTES = 16 << 20
 LIMIT = 10
 _METRICS = ("recall_at_5", "recall_at_10", "mrr_at_10", "ndcg_at_10")
@@ -46,52 +45,79 @@ def blocked(report: dict, category: str) -> dict:
     return report | {"decision": "no-go", "blockers": {category: 1}}
 
 
-def _counts(rows: DataFrame, key: str) -> dict:
-    return {r[key]: r["n"] for r in e.counts_by(rows, key).collect()}
+_HIT = ("chunk_id", "path", "start_line", "end_line", "language", "symbol_name", "text")
+#: So many cases, the first by id, are run one by one besides, to see how long one query takes.
+TIMED_CASES = 20
 
 
-def run_case(chunks: DataFrame, case_id: str, query: str) -> tuple[DataFrame, int]:
-    """(ranked hits of one case, microseconds)."""
-    from pyspark.sql import Window
+def hits_of(chunks: DataFrame, cases: DataFrame) -> DataFrame:
+    """(case_id, rank, ..): the ranked hits of all cases with the columns that a citation states, stored."""
+    found = lexical_batch(chunks, cases.select("case_id", "query"), LIMIT).drop("score")
+    return stored(found.join(chunks.select(*_HIT), "chunk_id").select("case_id", "rank", *_HIT), "hits")
 
-    began = time.perf_counter()
-    found = lexical_search(chunks, query, LIMIT).select(*_HIT).collect()
-    micros = int((time.perf_counter() - began) * 1e6)
-    rows = [(case_id, i + 1, *r) for i, r in enumerate(found)]
-    return chunks.sparkSession.createDataFrame(rows, "case_id string, rank int, chunk_id string, path string, start_line int, end_line int, language string, symbol_name string, text string"), micros
 
+def latencies(chunks: DataFrame, cases: DataFrame) -> list[int]:
+    """Microseconds of single queries."""
+    micros = []
+    for case in cases.orderBy("case_id").limit(TIMED_CASES).collect():
+        began = time.perf_counter()
+        lexical_search(chunks, case["query"], LIMIT).select(*_HIT).collect()
+        micros.append(int((time.perf_counter() - began) * 1e6))
+    return micros
 
-_HIT = ("chunk_id", "path", "start_line", "end_line", "language", "symbol_name", "text")
 
+def measured(chunks: DataFrame, cases: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per category, overall) metrics. All cases are run as one plan, twice, and nothing is kept between the runs.
 
-def metrics(chunks: DataFrame, cases: DataFrame, qrels: DataFrame) -> tuple[dict, dict]:
-    """The report's retrieval and latency parts. Every case is run twice, and nothing is kept between the runs."""
-    spark = chunks.sparkSession
-    listed = cases.orderBy("case_id").collect()
-    if not listed:
-        raise m.MetricsError("no cases")
-    runs, micros = [[], []], []
-    for case in listed:
-        for run in runs:
-            hits, took = run_case(chunks, case["case_id"], case["query"])
-            run.append(hits)
-            micros.append(took)
-    first, second = (stored(reduce(DataFrame.union, r), "hits") for r in runs)
+    Per category: cases, recall_5, recall_10, mrr_10, ndcg_10. Overall, one row: cases, hits, validity, same (cases with equal order in
+    both runs), no_evidence (cases), accuracy.
+    """
+    first, second = hits_of(chunks, cases), hits_of(chunks, cases)
     relevant = cases.where("expectation = 'relevant'").select("case_id", "category")
-    by = {r["category"]: r for r in e.category_metrics(e.case_metrics(relevant, first, qrels)).collect()}
+    by = e.category_metrics(e.case_metrics(relevant, first, qrels))
     n = lambda df, name: df.groupBy("case_id").agg(F.count("*").alias(name))
     none = cases.where("expectation = 'no_evidence'").join(n(first, "n_first"), "case_id", "left").join(n(second, "n_second"), "case_id", "left").fillna(0, ["n_first", "n_second"])
-    n_none, accuracy = none.agg(F.count("*"), e.no_evidence_accuracy(none)).first()
-    categories = {c: {"status": "evaluated", "query_count": r["cases"], **dict(zip(_METRICS, (r["recall_5"], r["recall_10"], r["mrr_10"], r["ndcg_10"]))), "no_evidence_accuracy": 0.0} for c, r in by.items()}
-    if n_none:
-        categories["negative_evidence"] = {"status": "evaluated", "query_count": n_none, **dict.fromkeys(_METRICS, 0.0), "no_evidence_accuracy": accuracy}
-    valid = e.citation_validity(first.union(second), chunks).first()["validity"]
-    same = (e.determinism(first, second).first()["same"] + sum(1 for c in listed) - first.select("case_id").union(second.select("case_id")).distinct().count()) / len(listed)
-    p50, p95 = spark.createDataFrame([(x,) for x in micros], "us long").agg(*e.latency_percentiles("us")).first()
-    retrieval = {"status": "evaluated", "categories": categories, "citation_validity": valid, "deterministic_order_rate": same, "fallback_count": 0, "fallback_reason": "lexical_baseline"}
+    none = none.agg(F.count("*").alias("no_evidence"), e.no_evidence_accuracy(none).alias("accuracy"))
+    order = e.determinism(first, second).select(F.col("cases").alias("with_hits"), "same")  # cases without a hit in both runs are alike
+    total = cases.agg(F.count("*").alias("cases"))
+    overall = total.crossJoin(order).crossJoin(none).crossJoin(e.citation_validity(first.union(second), chunks))
+    return by, overall.select("cases", "hits", "validity", (F.col("same") + F.col("cases") - F.col("with_hits")).alias("same"), "no_evidence", "accuracy")
+
+
+def metrics(chunks: DataFrame, cases: DataFrame, qrels: DataFrame) -> tuple[dict, dict]:
+    """The report's retrieval and latency parts."""
+    cases = stored(cases, "cases")
+    by, overall = measured(chunks, cases, qrels)
+    total = overall.first()
+    if not total["cases"]:
+        raise m.MetricsError("no cases")
+    categories = {r["category"]: {"status": "evaluated", "query_count": r["cases"], **dict(zip(_METRICS, (r["recall_5"], r["recall_10"], r["mrr_10"], r["ndcg_10"]))), "no_evidence_accuracy": 0.0} for r in by.collect()}
+    if total["no_evidence"]:
+        categories["negative_evidence"] = {"status": "evaluated", "query_count": total["no_evidence"], **dict.fromkeys(_METRICS, 0.0), "no_evidence_accuracy": total["accuracy"]}
+    micros = chunks.sparkSession.createDataFrame([(x,) for x in latencies(chunks, cases)], "us long")
+    p50, p95 = micros.agg(*e.latency_percentiles("us")).first()
+    retrieval = {"status": "evaluated", "categories": categories, "citation_validity": total["validity"], "deterministic_order_rate": total["same"] / total["cases"], "fallback_count": 0, "fallback_reason": "lexical_baseline"}
     return retrieval, {"query_p50_microseconds": int(p50), "query_p95_microseconds": int(p95)}
 
 
+def automatic_cases(chunks: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(cases, qrels): one case for each of the first symbol names; all chunks of a name are relevant."""
+    named = e.exact_symbol_cases(chunks, limit)
+    case_id = F.concat(F.lit("case-"), F.substring(F.sha2("query", 256), 1, 16))
+    cases = stored(named.select(case_id.alias("case_id"), F.lit("exact_symbol").alias("category"), "query", F.lit("relevant").alias("expectation")), "cases")
+    return cases, stored(e.symbol_chunks(chunks, cases).select(case_id.alias("case_id"), "chunk_id", F.lit(1).alias("relevance")), "qrels")
+
+
+def inventory_of(files: DataFrame, chunks: DataFrame) -> dict:
+    """The report's counts, by one job."""
+    by: dict[str, dict] = {}
+    for r in e.inventory(files.select("path", "language", F.octet_length("content").alias("size")), chunks).collect():
+        by.setdefault(r["dimension"], {})[r["value"]] = (r["n"], r["bytes"])
+    counts = lambda name: {k: n for k, (n, _) in by.get(name, {}).items()}
+    n, size = by.get("chunks", {}).get("", (0, 0))
+    return {"supported_extensions": counts("extension"), "symbol_kinds": counts("kind"), "files_without_symbols": by["files_without_symbols"][""][0], "pattern_buckets": counts("pattern"), "chunks": n, "indexed_bytes": size}
+
+
 def evaluate_tree(spark: SparkSession, root: str, repository: str, checklist: g.Checklist, gold: g.GoldSet | None = None) -> dict:
     """A complete report. Any failure is a no-go with one category, and no other word about it."""
     if not g.valid_repository(repository):
@@ -109,26 +135,18 @@ def evaluate_tree(spark: SparkSession, root: str, repository: str, checklist: g.
         step, began = "integrity", time.perf_counter()
         files = stored(files, "files")
         chunks = stored(with_tokens(chunk_files(files)), "chunks")
-        n, size = chunks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        report["inventory"] |= inventory_of(files, chunks)
         report["performance"]["index_milliseconds"] = int((time.perf_counter() - began) * 1000)
-        symbols = parse_files(files)
-        kind = F.when(F.col("kind").isin(*KINDS), F.col("kind")).otherwise("other")
-        paths = files.select("path")
         report["inventory"] |= {
             "eligible_files": found.eligible_files, "eligible_bytes": found.eligible_bytes, "included_files": found.included_files, "included_bytes": found.included_bytes,
             "excluded_by_category": dict(found.excluded), "supported_languages": dict(found.by_language), "size_bands": dict(found.size_bands),
-            "supported_extensions": _counts(paths.select(F.lower(F.regexp_extract("path", r"(\.[^./]*)\z", 1)).alias("x")), "x"),
             "unsupported_extensions": {x: {"files": c, "bytes": found.unsupported_bytes[x]} for x, c in found.unsupported_files.items()},
-            "symbol_kinds": _counts(symbols.select(kind.alias("kind")), "kind"), "files_without_symbols": paths.join(symbols.select("path"), "path", "left_anti").count(),
-            "pattern_buckets": _counts(paths.select(F.explode(e.path_patterns(F.col("path"))).alias("x")), "x"), "chunks": n, "indexed_bytes": size,
         }
         step = "gold_set" if gold else "retrieval"
         if gold:
             cases, qrels = g.resolved(gold, chunks)
         else:
-            auto = e.exact_symbol_cases(chunks, min(g.MAX_CASES, checklist.budgets["max_auto_queries"]))
-            auto = stored(auto.select(F.concat(F.lit("case-"), F.substring(F.sha2("query", 256), 1, 16)).alias("case_id"), F.lit("exact_symbol").alias("category"), "query", F.lit("relevant").alias("expectation"), "relevant"), "cases")
-            cases, qrels = auto.drop("relevant"), auto.select("case_id", F.explode("relevant").alias("chunk_id"), F.lit(1).alias("relevance"))
+            cases, qrels = automatic_cases(chunks, min(g.MAX_CASES, checklist.budgets["max_auto_queries"]))
             report["limitations"]["automatic_exact_symbol_only"] = 1
         step = "retrieval"
         if cases.limit(1).count():

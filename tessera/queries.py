@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions import digests, text
 from tessera.model import SCAN_POLICY, Filter
 from tessera.operators import evaluate, gates, merkle, search
-from tessera.plans import store
-from tessera.session import table
+from tessera.plans import evaluation, store
+from tessera.session import stored, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -431,7 +431,66 @@ def latency_percentiles(spark, sf_dir):
   SELECT s AS query, min(chunk_id) AS first_id, array_to_string(list_sort(list(chunk_id)), ',') AS relevant FROM c WHERE s <> '' GROUP BY s ORDER BY first_id LIMIT 50""")
 def exact_symbol_cases(spark, sf_dir):
     c = chunks(spark, sf_dir).withColumn("symbol_name", F.regexp_extract("text", r"[\p{L}\p{Nd}]+", 0))
-    return evaluate.exact_symbol_cases(c, 50).withColumn("relevant", F.array_join("relevant", ","))
+    cases = evaluate.exact_symbol_cases(c, 50)
+    listed = evaluate.symbol_chunks(c, cases).groupBy("query").agg(F.array_join(F.sort_array(F.collect_list("chunk_id")), ",").alias("relevant"))
+    return cases.join(listed, "query")
+
+
+#: The first two words of a document stand for the symbol of its chunk; a thousand names are the automatic cases.
+SYMBOL = r"[\p{L}\p{Nd}]+[^\p{L}\p{Nd}]+[\p{L}\p{Nd}]+"
+SYMBOL_CASES_SQL = rf"""WITH {CHUNKS_SQL}, named AS (SELECT * REPLACE (regexp_extract(text, '{SYMBOL}') AS symbol_name) FROM chunks), {TOKENS_SQL.replace("FROM chunks", "FROM named")},
+  cases AS (SELECT symbol_name AS query, 'case-' || left(sha256(symbol_name), 16) AS case_id FROM named WHERE symbol_name <> '' GROUP BY 1 ORDER BY min(chunk_id) LIMIT 1000),
+  listed AS (SELECT case_id, {tokens_sql('query')} AS ts FROM cases),
+  once AS (SELECT case_id, list_filter(ts, lambda x, i: list_position(ts, x) = i) AS ts FROM listed),
+  terms AS (SELECT case_id, len(ts) AS n, unnest(ts) AS term, unnest(range(len(ts))) AS i FROM once),
+  postings AS (SELECT chunk_id, path, start_line, 0 AS f, 0.6::DOUBLE AS w, unnest(list_distinct(tt)) AS term FROM tokens UNION ALL SELECT chunk_id, path, start_line, 1, 0.3, unnest(list_distinct(st)) FROM tokens
+    UNION ALL SELECT chunk_id, path, start_line, 2, 0.1, unnest(list_distinct(pt)) FROM tokens),
+  scored AS (SELECT case_id, chunk_id, path, start_line, list_reduce(list_prepend(0.0::DOUBLE, list(w ORDER BY i, f)), lambda a, b: a + b) / any_value(n)::DOUBLE AS score FROM postings JOIN terms USING (term) GROUP BY ALL),
+  hits AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY score DESC, path, start_line, chunk_id)::INTEGER AS rank FROM scored QUALIFY rank <= 10)"""
+
+
+def symbol_chunks(spark, sf_dir):
+    return stored(search.with_tokens(chunks(spark, sf_dir).withColumn("symbol_name", F.regexp_extract("text", SYMBOL, 0))), "chunks")
+
+
+@query(f"{SYMBOL_CASES_SQL} SELECT case_id, rank, chunk_id, score FROM hits")
+def lexical_batch(spark, sf_dir):
+    c = symbol_chunks(spark, sf_dir)
+    return search.lexical_batch(c, evaluation.automatic_cases(c, 1000)[0], 10)
+
+
+PER_SYMBOL_SQL = """qrels AS (SELECT case_id, chunk_id FROM cases JOIN named ON symbol_name = query),
+  found AS (SELECT case_id, count(*) AS n_relevant, least(count(*), 10) AS k FROM qrels GROUP BY 1),
+  per AS (SELECT case_id, n_relevant, list_sum([1.0 / log2(x + 1.0) for x in range(1, k + 1)]) AS ideal, coalesce(sum((rank <= 5 AND q.chunk_id IS NOT NULL)::INTEGER), 0) AS n5,
+    count(q.chunk_id) AS n10, coalesce(1.0 / min(CASE WHEN q.chunk_id IS NOT NULL THEN rank END), 0.0) AS mrr, coalesce(sum(CASE WHEN q.chunk_id IS NOT NULL THEN 1.0 / log2(rank + 1.0) END), 0.0) AS gain
+    FROM found LEFT JOIN hits USING (case_id) LEFT JOIN qrels q USING (case_id, chunk_id) GROUP BY ALL)"""
+
+
+@query(f"""{SYMBOL_CASES_SQL}, {PER_SYMBOL_SQL} SELECT count(*)::BIGINT AS cases, round(avg(n5 / n_relevant), 9) AS recall_5, round(avg(n10 / n_relevant), 9) AS recall_10, round(avg(mrr)::DOUBLE, 9) AS mrr_10, round(avg(gain / ideal), 9) AS ndcg_10,
+  2 * (SELECT count(*) FROM hits)::BIGINT AS hits, 1.0::DOUBLE AS validity, count(*)::BIGINT AS same FROM per""")
+def evaluate_symbols(spark, sf_dir):
+    c = symbol_chunks(spark, sf_dir)
+    by, overall = evaluation.measured(c, *evaluation.automatic_cases(c, 1000))
+    return _rounded(by.drop("category"), "recall_5", "recall_10", "mrr_10", "ndcg_10").crossJoin(overall.select("hits", "validity", "same"))
+
+
+KIND = "CASE WHEN text = '' THEN '' ELSE CASE ascii(lower(text)) % 7 WHEN 0 THEN 'function' WHEN 1 THEN 'class' WHEN 2 THEN 'enum' WHEN 3 THEN 'namespace' ELSE '' END END"
+
+
+@query(rf"""WITH {CHUNKS_SQL}, f AS (SELECT {PATH_SQL} AS path, lang AS language, strlen(text) AS size, {KIND} AS kind FROM documents),
+  p AS (SELECT size, lower(path) AS p, regexp_extract(lower(path), '^(.*/)?') AS d, regexp_replace(regexp_extract(lower(path), '([^/]*)$', 1), '\.[^.]*$', '') AS stem FROM f),
+  own AS (SELECT path, count(*) AS n, sum(size) AS size, bool_or(kind <> '') AS named FROM f GROUP BY 1),
+  stack AS (SELECT 'files' AS dimension, '' AS value, 1 AS n, size AS bytes FROM f UNION ALL SELECT 'extension', regexp_extract(lower(path), '(\.[^./]*)$', 1), 1, size FROM f UNION ALL SELECT 'language', language, 1, size FROM f
+    UNION ALL SELECT 'size_band', {BAND_SQL.replace("n <=", "size <=")}, 1, size FROM f
+    UNION ALL SELECT 'pattern', 'test', 1, size FROM p WHERE regexp_matches(d, '(^|/)(test|tests|__tests__)/') OR regexp_matches(stem, '^test_|(_test|\.test|\.spec)$')
+    UNION ALL SELECT 'pattern', 'migration', 1, size FROM p WHERE regexp_matches(d, '(^|/)migrations?/')
+    UNION ALL SELECT 'pattern', 'permitted_configuration', 1, size FROM p WHERE regexp_matches(stem, '^config(uration)?$|\.config$')
+    UNION ALL SELECT 'chunks', '', 1, size FROM f UNION ALL SELECT 'kind', CASE kind WHEN 'namespace' THEN 'other' ELSE kind END, 1, 0 FROM f WHERE kind <> '')
+  SELECT dimension, value, sum(n)::BIGINT AS n, sum(bytes)::BIGINT AS bytes FROM stack GROUP BY 1, 2
+  UNION ALL SELECT 'files_without_symbols', '', (SELECT count(*) FROM f) - (SELECT count(*) FROM own WHERE named), 0""")
+def inventory_in_one_pass(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.expr(PATH_SQL).alias("path"), F.col("lang").alias("language"), F.octet_length("text").alias("size"), F.expr(KIND).alias("kind"), "text")
+    return evaluate.inventory(d.select("path", "language", "size"), d.select("path", "kind", "text"))
 
 
 @query("SELECT count(*)::BIGINT AS hits, count(*) FILTER (WHERE doc_id % 10 NOT IN (3, 4))::BIGINT AS valid, round(count(*) FILTER (WHERE doc_id % 10 NOT IN (3, 4)) / count(*), 9) AS validity FROM documents")

@@ -115,3 +115,82 @@ def test_aggregates(spark):
     paths = ["Tests/a.py", "a_test.py", "x.spec.ts", "db/migration/config.py", "app.config.ts", "contest/x.py", "test_a/b.py", "configure.py"]
     got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", e.path_patterns(F.col("p")).alias("b")).collect()
     assert {r.p: r.b for r in got} == {"Tests/a.py": ["test"], "a_test.py": ["test"], "x.spec.ts": ["test"], "db/migration/config.py": ["migration", "permitted_configuration"], "app.config.ts": ["permitted_configuration"], "contest/x.py": [], "test_a/b.py": [], "configure.py": []}
+
+
+def source_chunks(spark, n=300):
+    import random
+
+    from tessera.operators.search import with_tokens
+
+    rng = random.Random(4)
+    words = ["load", "user", "Thing", "loadUser", "cache", "x", "HTTPServer", "store_row", "été"]
+    rows = [(f"c{i:03}", " ".join(rng.choices(words, k=rng.randrange(1, 9))), "python", rng.choice(["", *words[:5]]), f"{rng.choice(words)}/{rng.choice(words)}{i % 50}.py", rng.randrange(1, 4), 9) for i in range(n)]
+    return with_tokens(spark.createDataFrame(rows, "chunk_id string, text string, language string, symbol_name string, path string, start_line int, end_line int"))
+
+
+def jobs(spark, run):
+    """How many jobs a call starts."""
+    import uuid
+
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "")
+    out = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_many_queries_in_one_plan_give_the_same_hits(spark):
+    from tessera.operators.search import lexical_batch, lexical_search
+
+    chunks = source_chunks(spark).cache()
+    long = " ".join(f"word{i}" for i in range(45))  # marks of three words, and more than three longs of terms
+    queries = ["load", "user load", "HTTPServer cache x load", "loadUser loadUser", "nothing", f"{long} user {long} load été", "py x1"]
+    cases = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(queries)], "case_id string, query string")
+    found = lexical_batch(chunks, cases, 7)
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r.case_id, r["rank"], r.chunk_id, r.score) for r in found.collect())
+    want = [(f"q{i}", k, r.chunk_id, r.score) for i, q in enumerate(queries) for k, r in enumerate(lexical_search(chunks, q, 7).collect(), 1)]
+    assert got == want and len(want) > 30
+    with pytest.raises(m.InvalidQuery):
+        lexical_batch(chunks, spark.createDataFrame([("a", "x"), ("b", "!!")], "case_id string, query string"))
+    assert lexical_batch(chunks, cases.limit(0)).collect() == [] and lexical_batch(chunks.limit(0), cases).collect() == []
+
+
+def test_the_number_of_jobs_does_not_depend_on_the_cases(spark, monkeypatch):
+    monkeypatch.setattr(ev, "TIMED_CASES", 1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that a query is a job
+    try:
+        chunks = source_chunks(spark).cache()
+        chunks.count()
+        seen = []
+        for limit in (2, 5):
+            cases, qrels = ev.automatic_cases(chunks, limit)
+            (report, latency), n = jobs(spark, lambda: ev.metrics(chunks, cases, qrels))  # noqa: B023
+            seen.append(n)
+            assert report["categories"]["exact_symbol"]["query_count"] == limit and report["citation_validity"] == report["deterministic_order_rate"] == 1
+        assert max(seen) < 30 and abs(seen[0] - seen[1]) < 3  # a limit may take another look
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_a_name_on_every_chunk_makes_no_list(spark):
+    chunks = source_chunks(spark)
+    from pyspark.sql import functions as F
+
+    hot = chunks.withColumn("symbol_name", F.lit("Hot"))
+    cases = e.exact_symbol_cases(hot, 10)
+    assert [tuple(r) for r in cases.collect()] == [("Hot", "c000")]
+    flat = e.symbol_chunks(hot, cases)
+    assert flat.count() == 300 and "collect_list" not in flat._jdf.queryExecution().executedPlan().toString()
+
+
+def test_an_inventory_is_one_job(spark):
+    files = spark.createDataFrame([("a/x.py", "python", 10), ("a/y.py", "python", 5000), ("tests/z.ts", "typescript", 3), ("e.js", "javascript", 0)], "path string, language string, size int")
+    chunks = spark.createDataFrame([("a/x.py", "class", "abc"), ("a/x.py", "function", "é"), ("a/y.py", "", "text"), ("tests/z.ts", "namespace", "zz")], "path string, kind string, text string")
+    rows = {(r.dimension, r.value): (r.n, r.bytes) for r in e.inventory(files, chunks).collect()}
+    assert rows == {
+        ("files", ""): (4, 5013), ("extension", ".py"): (2, 5010), ("extension", ".ts"): (1, 3), ("extension", ".js"): (1, 0), ("language", "python"): (2, 5010), ("language", "typescript"): (1, 3), ("language", "javascript"): (1, 0),
+        ("size_band", "0-4KiB"): (3, 13), ("size_band", "4-16KiB"): (1, 5000), ("pattern", "test"): (1, 3), ("chunks", ""): (4, 11), ("kind", "class"): (1, 0), ("kind", "function"): (1, 0), ("kind", "other"): (1, 0), ("files_without_symbols", ""): (2, 0),
+    }
+    empty = {r.dimension: r.n for r in e.inventory(files.limit(0), chunks.limit(0)).collect()}
+    assert empty == {"files_without_symbols": 0}
