@@ -1,8 +1,9 @@
 """Top-level declarations of source files, and chunks cut along them.
 
-Files are rows (path, language, content) and stay distributed: parsing and cutting are one map over files, and a
-file is the unit of both, as chunks depend on the lines around them. Python and TypeScript need nothing but patterns on
-lines and have a form in plain columns too (``declared_lines``); JavaScript needs its scanner.
+Files are rows (path, language, content) and stay distributed: a file is the unit of parsing and cutting, as chunks depend on
+the lines around them, so nothing is shuffled. Python and TypeScript need nothing but patterns on lines: their declarations
+(``declared_lines``) and chunks (``chunk_lines``) are plain columns. JavaScript needs its scanner and goes to Python; ``parse``
+and ``cut`` are the same for one file, by which tests hold the columns.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.digests import CHUNK_TAG
+from tessera.functions.digests import CHUNK_TAG, chunk_id
 from tessera.model import InvalidChunk, InvalidReference, UnsupportedLanguage, valid_path
 from tessera.operators.javascript import NAME, RESERVED, Scanner, sound_declaration, sound_initializer
 
@@ -41,6 +42,8 @@ PATTERNS = {
         ("function", rf"^(?:export{_S}+)?(?:const|let|var){_S}+({NAME}){_S}*={_S}*(?:async{_S}+)?(?:function(?:{_S}*\*)?(?:{_S}+{NAME})?{_S}*\(|(?:{NAME}|\([^)]*\)){_S}*=>)"),
     ),
 }
+#: Languages whose declarations patterns on lines settle.
+LINE_LANGUAGES = ("python", "typescript")
 #: Further tests of JavaScript lines, pattern by pattern.
 _SOUND = (sound_declaration, lambda line: True, sound_initializer)
 _COMPILED = {lang: [(kind, re.compile(p)) for kind, p in rows] for lang, rows in PATTERNS.items()}
@@ -129,8 +132,83 @@ def id_of(path: str, start: int, end: int, language: str, symbol: str, text: str
     return hashlib.sha256("\0".join((tag, path, str(start), str(end), language, symbol, text)).encode()).hexdigest()
 
 
+#: White space as ``str.strip`` has it.
+_WHITE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def _stripped(line: Column) -> Column:
+    return F.regexp_replace(line, rf"^[{_WHITE}]+|[{_WHITE}]+\z", "")
+
+
+def _first(language: Column, line: Column, use) -> Column:
+    """``use`` of the first pattern that fits a line, by language; null without one."""
+    rows = [(lang, kind, p) for lang in LINE_LANGUAGES for kind, p in PATTERNS[lang]]
+    return F.coalesce(*(F.when((language == lang) & line.rlike(p), use(kind, p)) for lang, kind, p in rows))
+
+
+def _code(line: Column) -> Column:
+    """One letter for what a line means to a declaration below it.
+
+    A space: blank. c: a comment or decorator. o: a whole block comment. e: the end of one, s: its beginning. x, t: like o and s, but
+    indented, so that the block belongs to something else. A dot: anything else.
+    """
+    bare = _stripped(line)
+    begins, ends, indented = bare.startswith("/*"), bare.endswith("*/"), line.rlike(r"^[ \t]")
+    code = F.when(bare == "", " ").when(line.rlike("^(?:#|//|@)"), "c").when(begins & ends, F.when(indented, "x").otherwise("o"))
+    return code.when(begins, F.when(indented, "t").otherwise("s")).when(ends, "e").otherwise(".")
+
+
+#: The lines that lead up to a declaration, from the nearest one upward.
+_LEADING = "^(?:[co]|e[ce. ]*+[os])*+"
+
+
+def chunk_lines(files: DataFrame, tag: str = CHUNK_TAG) -> DataFrame:
+    """``chunk_files`` for Python and TypeScript, in columns only.
+
+    A file's lines are an array, and a string has a letter for what each means (``_code``). So what leads up to a declaration is a
+    pattern on the letters above it, read upward, and the blank lines that a chunk drops are the string's own spaces.
+    """
+    text = F.regexp_replace(F.col("content").cast("string"), "\r\n", "\n")
+    rows = files.where(F.col("language").isin(*LINE_LANGUAGES)).select("path", "language", F.split(text, "\n").alias("lines"))
+    ended = (F.size("lines") > 1) & (F.element_at("lines", -1) == "")
+    rows = rows.withColumn("lines", F.when(ended, F.slice("lines", 1, F.size("lines") - 1)).otherwise(F.col("lines")))
+    code = F.array_join(F.transform("lines", _code), "")
+    name = lambda line: F.when(~line.rlike(r"^[ \t]"), _first(F.col("language"), line, lambda kind, p: F.regexp_extract(line, p, 1)))
+    kind = lambda line: _first(F.col("language"), line, lambda kind, p: F.lit(kind))
+    declared = F.filter(F.transform("lines", lambda line, i: F.struct(i.alias("at"), name(line).alias("name"), kind(line).alias("kind"))), lambda d: d["name"].isNotNull())
+    rows = rows.select("path", "language", "lines", code.alias("code"), declared.alias("declared"))
+
+    def begin(d: Column, j: Column) -> Column:
+        """Where a declaration's chunk begins: after the one before, with the lines that lead up to it."""
+        least = F.when(j > 0, F.get("declared", j - 1)["at"] + 1).otherwise(0)
+        above = F.reverse(F.substring(F.col("code"), least + 1, d["at"] - least))
+        return d["at"] - F.length(F.regexp_extract(above, _LEADING, 0))
+
+    rows = rows.withColumn("begins", F.transform("declared", begin))
+    n = F.length("code")
+    # up to the next chunk, without the blank lines at its end
+    last = lambda b, until: b + F.length(F.rtrim(F.substring(F.col("code"), b + 1, until - b))) - 1
+    span = lambda name, kind, b, e: F.struct(name.alias("name"), kind.alias("kind"), b.cast("int").alias("begin"), e.cast("int").alias("end"))
+    named = F.transform("declared", lambda d, j: span(d["name"], d["kind"], F.get("begins", j), last(F.get("begins", j), F.coalesce(F.get("begins", j + 1), n))))
+    whole = F.array(span(F.lit(""), F.lit(""), n - F.length(F.ltrim("code")), F.length(F.rtrim("code")) - 1))
+    spans = F.when(F.size("declared") > 0, named).when(F.trim("code") != "", whole).otherwise(F.array().cast(_SPANS))
+    cut_out = rows.select("path", "language", "lines", F.explode(spans).alias("s")).select(
+        F.array_join(F.slice("lines", F.col("s.begin") + 1, F.col("s.end") - F.col("s.begin") + 1), "\n").alias("text"), "language", F.col("s.name").alias("symbol_name"), "path",
+        (F.col("s.begin") + 1).alias("start_line"), (F.col("s.end") + 1).alias("end_line"), F.col("s.kind").alias("kind"))
+    own = chunk_id(*(F.col(c) for c in ("path", "start_line", "end_line", "language", "symbol_name", "text")), tag)
+    return cut_out.withColumn("chunk_id", own).select(*_CHUNK_COLUMNS)
+
+
+_SPANS = "array<struct<name:string,kind:string,begin:int,end:int>>"
+
+
 def chunk_files(files: DataFrame, tag: str = CHUNK_TAG) -> DataFrame:
     """files (path, language, content) -> (chunk_id, text, language, symbol_name, path, start_line, end_line, kind)."""
+    return chunk_lines(files, tag).unionByName(chunk_scanned(files.where(~F.col("language").isin(*LINE_LANGUAGES)), tag))
+
+
+def chunk_scanned(files: DataFrame, tag: str = CHUNK_TAG) -> DataFrame:
+    """``chunk_files`` by ``parse`` and ``cut``, a file at a time; what JavaScript needs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
@@ -158,22 +236,18 @@ def parse_files(files: DataFrame) -> DataFrame:
             out = [(path, s.name, s.kind, s.signature, s.line) for path, language, content in zip(rows["path"], rows["language"], rows["content"]) for s in parse(language, bytes(content).decode(), path=path)]
             yield pd.DataFrame(out, columns=["path", "name", "kind", "signature", "line"])
 
-    return files.select("path", "language", "content").mapInPandas(run, "path string, name string, kind string, signature string, line int")
+    scanned = files.where(~F.col("language").isin(*LINE_LANGUAGES)).select("path", "language", "content")
+    return declared_lines(files).unionByName(scanned.mapInPandas(run, "path string, name string, kind string, signature string, line int"))
 
 
 def declared_lines(files: DataFrame) -> DataFrame:
-    """The same for Python and TypeScript, in columns only."""
-    rows = files.where(F.col("language").isin("python", "typescript"))
+    """``parse_files`` for Python and TypeScript, in columns only."""
+    rows = files.where(F.col("language").isin(*LINE_LANGUAGES))
     lines = rows.select("path", "language", F.posexplode(F.split(F.col("content").cast("string"), "\n")).alias("at", "raw"))
     lines = lines.select("path", "language", (F.col("at") + 1).alias("line"), F.regexp_replace("raw", "\r\\z", "").alias("text")).where(~F.col("text").rlike(r"^[ \t]|^\z"))
-
-    def first(use) -> Column:
-        fits = [(F.col("language") == lang) & F.col("text").rlike(p) for lang in ("python", "typescript") for _, p in PATTERNS[lang]]
-        values = [use(kind, p) for lang in ("python", "typescript") for kind, p in PATTERNS[lang]]
-        return F.coalesce(*(F.when(ok, v) for ok, v in zip(fits, values)))
-
-    named = lines.withColumns({"name": first(lambda kind, p: F.regexp_extract("text", p, 1)), "kind": first(lambda kind, p: F.lit(kind))})
-    return named.where("name IS NOT NULL").select("path", "name", "kind", F.trim(F.col("text")).alias("signature"), "line")
+    language, text = F.col("language"), F.col("text")
+    named = lines.withColumns({"name": _first(language, text, lambda kind, p: F.regexp_extract(text, p, 1)), "kind": _first(language, text, lambda kind, p: F.lit(kind))})
+    return named.where("name IS NOT NULL").select("path", "name", "kind", _stripped(text).alias("signature"), "line")
 
 
 def next_starts(symbols: DataFrame) -> DataFrame:

@@ -8,10 +8,8 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 MAX_FILE_BYTES = 1 << 20
 HEADER_BYTES = 4 << 10
@@ -145,14 +143,42 @@ def has_secret_line(text: str | None) -> bool:
     return any(k in low for k in SECRET_KEYS) and any(assigns_secret(line) for line in text.split("\n"))
 
 
-@F.pandas_udf(T.BooleanType())
-def _secret_lines(texts: pd.Series) -> pd.Series:
-    return texts.map(has_secret_line)
+#: A line as a row of parts: quoted literals, which may stay open to the line's end, runs of signs around ``=``, ``;``, ``:``, and the rest.
+_QUOTED = "|".join(rf"{q}[^{q}\\]*+(?:\\.[^{q}\\]*+)*+(?:{q}|\\?\z)" for q in "'\"`")
+_PART = rf"(?s)(?:{_QUOTED})|[=!<>]++|[;:]|[^'\"`;:=!<>]++"
+_BLANK = rf"^[{_SPACES}]*\z"
+
+
+def _assigns(line: Column) -> Column:
+    """``assigns_secret`` as a fold over a line's parts.
+
+    named: the statement so far holds a secret's word; value: what comes next is the value of such a name (1: by an equals sign, 2: by
+    the first colon); equals, colon: one has stood; by_equals, by_colon: a value was a closed literal.
+    """
+    has_key = lambda part: F.lower(part).rlike("|".join(SECRET_KEYS))
+    start = F.struct(*(F.lit(v).alias(k) for k, v in (("named", False), ("value", 0), ("equals", False), ("colon", False), ("by_equals", False), ("by_colon", False))))
+
+    def step(s: Column, part: Column) -> Column:
+        sign = F.substring(part, 1, 1)
+        quoted, ends, colon = sign.isin("'", '"', "`"), sign == ";", sign == ":"
+        mark = part.rlike("^[=!<>]")
+        plain = part.rlike(r"^=(?:\z|[!<])")
+        other = ~(quoted | ends | colon | mark)
+        closed = quoted & (F.instr(F.substring(part, F.lit(2), F.length(part)), sign) > 0)
+        named = F.when(ends, False).when(quoted | other, s["named"] | has_key(part)).otherwise(s["named"])
+        value = F.when(mark, F.when((part == "=") & s["named"], 1).otherwise(0)).when(colon, F.when(~s["colon"] & s["named"], 2).otherwise(0)).when(other & part.rlike(_BLANK), s["value"]).otherwise(0)
+        return F.struct(
+            named.alias("named"), value.alias("value"), (s["equals"] | plain).alias("equals"), (s["colon"] | colon).alias("colon"),
+            (s["by_equals"] | (closed & (s["value"] == 1))).alias("by_equals"), (s["by_colon"] | (closed & (s["value"] == 2))).alias("by_colon"))
+
+    return F.aggregate(F.regexp_extract_all(line, F.lit(_PART), F.lit(0)), start, step, lambda s: F.when(s["equals"], s["by_equals"]).otherwise(s["by_colon"]))
 
 
 def secret_assignment(text: Column) -> Column:
-    """The quote state of a line can't be told by a pattern, so texts that hold a secret's word go to Python; others go as nulls."""
-    return F.coalesce(_secret_lines(F.when(F.is_valid_utf8(text) & F.lower(text).rlike("|".join(SECRET_KEYS)), text)), F.lit(False))
+    """Whether a line assigns a secret. Lines without a secret's word, a sign and a quote are passed over; null texts don't."""
+    may = lambda line: F.lower(line).rlike("|".join(SECRET_KEYS)) & line.rlike("[=:]") & line.rlike("['\"`]")
+    lines = F.filter(F.split(F.when(F.lower(text).rlike("|".join(SECRET_KEYS)), text), "\n"), may)
+    return F.coalesce(F.exists(lines, _assigns), F.lit(False))
 
 
 def content_reason(content: Column, size: Column | None = None) -> Column:

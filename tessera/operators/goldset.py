@@ -84,6 +84,7 @@ def resolved(gold: GoldSet, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cases, found.select("case_id", "chunk_id", "relevance")
 
 
+# The keys of a checklist.
 GATES = (
     "owner_authorized", "root_read_only", "task_13_taint_gate_passed", "semantic_fixed_off", "external_network_prohibited",
     "output_reviewed_as_aggregates", "cache_output_outside_repository", "rollback_is_cache_discard",

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from tessera import model as m
@@ -84,3 +86,39 @@ def test_files(spark):
     assert {r.name: r.next_line for r in d.next_starts(d.parse_files(files)).collect()} == {"a": 3, "B": None, "E": None}
     one = d.chunk_files(files).where("path = 'v.ts'").first()
     assert one.chunk_id == d.id_of("v.ts", 1, 1, "typescript", "E", "enum E {}", CHUNK_TAG)
+
+
+PIECES = [
+    "", "", "  ", " \t", "# c", "// c", "@deco", "/* one */", "/* open", "  /* open", "  /* one */", "more */", "end */ x", "*/", "x = 1", "  y", "def f{}():", "class B{}: pass", "export class C{} {", "function g{}() {", " ", "\x1c", "#end */",
+    "/*/", "interface I{} {", "def", "async def q{}(a):\r", "\r", "\u3000", "é",
+]
+
+
+def test_columns_equal_the_plain_reading(spark):
+    rng = random.Random(6)
+    files = []
+    for i in range(4000):
+        lines = [rng.choice(PIECES).replace("{}", str(j)) for j in range(rng.randrange(0, 14))]
+        files.append((f"p/{i}", rng.choice(d.LINE_LANGUAGES), bytearray((rng.choice(["\n", "\r\n"]).join(lines) + rng.choice(["", "\n", "\n\n"])).encode())))
+    files.append(("p/long", "python", bytearray(b"# c\n" * 20_000 + b"def a(): 1\n" + b"x\n" * 9 + b"/* a\n" + b"b\n" * 20_000 + b"*/\ndef b(): 2\n")))
+    df = spark.createDataFrame(files, m.FILE).repartition(4)
+    chunks, symbols = d.chunk_lines(df), d.declared_lines(df)
+    for frame in (chunks, symbols):
+        assert not any(x in frame._jdf.queryExecution().toString() for x in ("Python", "Pandas", "Arrow", "MapIn"))
+    assert "Exchange" not in d.chunk_lines(spark.createDataFrame(files[:2], m.FILE))._jdf.queryExecution().executedPlan().toString()
+    got, named = {}, {}
+    for r in chunks.collect():
+        got.setdefault(r.path, []).append((r.start_line, r.end_line, r.symbol_name, r.text, r.kind, r.chunk_id))
+    for r in symbols.collect():
+        named.setdefault(r.path, []).append(d.Symbol(r.name, r.kind, r.signature, r.line))
+    for path, language, content in files:
+        text = bytes(content).decode()
+        found = d.parse(language, text)
+        kinds = [s.kind for s in found] or [""]
+        want = [(a, b, n, body, kind, d.id_of(path, a, b, language, n, body)) for (n, a, b, body), kind in zip(d.cut(text, found), kinds)]
+        assert sorted(got.get(path, [])) == sorted(want) and sorted(named.get(path, []), key=lambda s: s.line) == found, text
+
+
+def test_other_languages_are_refused(spark):
+    with pytest.raises(Exception, match="unsupported language"):
+        d.chunk_files(spark.createDataFrame([("a.go", "go", bytearray(b"x"))], m.FILE)).collect()
