@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tessera import model as m
 from tessera.operators.declarations import chunk_files
 from tessera.plans.store import Manifest, Store
-from tessera.session import stored
-from tessera.sources.embedding import Embedder, checked_batch
+from tessera.session import small_batches, stored
+from tessera.sources.embedding import CLIENTS, ROUND_ITEMS, Embedder, embedded, outcome
 from tessera.sources.tree import ScanReport, scan
 
 MAX_CHUNKS, MAX_TEXT_BYTES = 20_000, 64 << 20
@@ -55,17 +55,15 @@ def check_cost(chunks: DataFrame, most_chunks: int = MAX_CHUNKS, most_bytes: int
     return n, size
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder):
-    """(vectors frame, space, batch). The texts are few enough to be sent from here: see check_cost."""
-    rows = chunks.select("chunk_id", "text").orderBy("chunk_id").collect()
-    profile = embedder.profile()
+def embed_chunks(chunks: DataFrame, embedder: Embedder, clients: int = CLIENTS) -> tuple[DataFrame, m.VectorSpace, int, int]:
+    """(vectors frame, space, requests, tokens). Texts are sent by tasks; vectors are stored as they come."""
+    small_batches(chunks.sparkSession)
+    rows, profile = stored(embedded(chunks, embedder, clients), "embedded"), embedder.profile()
     try:
-        batch = checked_batch(embedder.embed([r["text"] for r in rows]), len(rows), profile)
+        dimensions, requests, tokens = outcome(rows)
     except m.InvalidVector as e:
         raise m.VectorIntegrity(str(e)) from None
-    data = [(r["chunk_id"], v) for r, v in zip(rows, batch.vectors)]
-    frame = chunks.sparkSession.createDataFrame(data, "chunk_id string, values array<float>")
-    return frame, m.VectorSpace(profile.fingerprint, profile.model, batch.dimensions), batch
+    return rows.select("chunk_id", "values"), m.VectorSpace(profile.fingerprint, profile.model, dimensions), requests, tokens
 
 
 def build(store: Store, repository_id: str, corpus: Corpus, mode: str = "off", embedder: Embedder | None = None) -> Outcome:
@@ -75,14 +73,15 @@ def build(store: Store, repository_id: str, corpus: Corpus, mode: str = "off", e
     n, _ = check_cost(corpus.chunks)
     base = store.active(repository_id)
     vectors = space = None
-    batch, status = None, "indexed"
+    requests, tokens, status = 0, 0, "indexed"
     if mode != "off" and n:
         try:
-            vectors, space, batch = embed_chunks(corpus.chunks, embedder)
+            clients = min(CLIENTS, -(-n // ROUND_ITEMS))  # a corpus of one round is no more than that
+            vectors, space, requests, tokens = embed_chunks(corpus.chunks, embedder, clients)
         except m.SemanticUnavailable:
             if mode == "required":
                 raise
             status = "degraded"
     manifest = store.publish(repository_id, corpus.chunks, corpus.policy, base, vectors, space)
     store.purge(repository_id)
-    return Outcome(manifest, status, n if batch else 0, batch.requests if batch else 0, batch.usage_tokens if batch else 0)
+    return Outcome(manifest, status, n if vectors is not None else 0, requests, tokens)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -170,13 +171,19 @@ PLACES = ("src/a{}.py", "src/b{}.ts", "lib/c{}.jsx", "Node_Modules/d{}.js", "e{}
     UNION ALL SELECT 'language', CASE k WHEN 1 THEN 'typescript' WHEN 2 THEN 'javascript' ELSE 'python' END, count(*) FROM i GROUP BY k
     UNION ALL SELECT 'band', {BAND_SQL}, count(*) FROM i GROUP BY 2) GROUP BY measure, name""")
 def tree_inventory(spark, sf_dir):
-    """The walk is the driver's: it reads a tree of files, here one that is written from the table first."""
+    """A tree of files, which tasks write from the table first, is scanned."""
     root = local_folder(spark, "tree")
     for place in PLACES:
         os.makedirs(os.path.join(root, os.path.dirname(place)), exist_ok=True)
-    for r in table(spark, sf_dir, "documents").select("doc_id", "text").toLocalIterator():
-        with open(os.path.join(root, PLACES[r["doc_id"] % 8].format(r["doc_id"])), "wb") as f:
-            f.write((r["text"] or "").encode() + (b"\0" if r["doc_id"] % 8 == 6 else b""))
+
+    def write(batches):
+        for rows in batches:
+            for i, text in zip(rows["doc_id"].to_pylist(), rows["text"].to_pylist()):
+                with open(os.path.join(root, PLACES[i % 8].format(i)), "wb") as f:
+                    f.write((text or "").encode() + (b"\0" if i % 8 == 6 else b""))
+            yield pa.RecordBatch.from_arrays([pa.array([rows.num_rows])], names=["n"])
+
+    table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(write, "n long").agg(F.sum("n")).collect()
     found, report, _ = scan(spark, root)
     from tessera.functions.text import line_count
 

@@ -1,4 +1,4 @@
-"""Where vectors come from: a protocol, an offline embedder, and a client for the usual HTTP interface."""
+"""Where vectors come from: a protocol, an offline embedder, a client for the usual HTTP interface, and the embedding of a table by tasks."""
 
 from __future__ import annotations
 
@@ -9,14 +9,18 @@ import json
 import math
 import ssl
 import time
-from collections.abc import Callable, Sequence
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import FIRST_EXCEPTION, ThreadPoolExecutor, wait
 from dataclasses import dataclass, field
 from typing import Protocol
 from urllib.parse import urlsplit
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tessera import model
 from tessera.model import InvalidBatch, InvalidConfig, InvalidVector, SemanticUnavailable
 
 BATCH_ITEMS, BATCH_BYTES, IN_FLIGHT, TIMEOUT_S, ATTEMPTS, PAUSE_S = 32, 256 << 10, 2, 30.0, 3, 0.1
@@ -164,12 +168,13 @@ class HttpEmbedder:
         deadline = time.monotonic() + self.config.timeout_s
         with ThreadPoolExecutor(self.config.in_flight) as pool:
             jobs = [pool.submit(self._with_retries, n, body, deadline) for n, body in work]
-            try:
-                results = [j.result() for j in jobs]
-            except BaseException:
-                for j in jobs:
-                    j.cancel()
-                raise
+            done, waiting = wait(jobs, return_when=FIRST_EXCEPTION)
+            for j in waiting:  # whichever request failed first stops those that haven't begun
+                j.cancel()
+            for j in jobs:
+                if j in done and j.exception():
+                    raise j.exception()
+            results = [j.result() for j in jobs]
         vectors = [v for part, _, _ in results for v in part]
         if len({len(v) for v in vectors}) != 1:
             raise InvalidBatch("vectors of different lengths")
@@ -222,3 +227,66 @@ class HttpEmbedder:
         if any(self.config.dimensions and len(v) != self.config.dimensions for v in vectors):
             raise InvalidBatch("vectors of another length")
         return [unit(v) for v in vectors], usage
+
+
+# --- tables ----------------------------------------------------------------------------------------
+
+#: Tasks that ask the provider at a time, each with up to ``in_flight`` requests; texts and bytes that a task holds for one round of them.
+CLIENTS, ROUND_ITEMS, ROUND_BYTES = 4, 256, 2 << 20
+_EMBEDDED = "chunk_id string, values array<float>, requests long, usage_tokens long, error string, attempts int"
+_TYPES = [pa.string(), pa.list_(pa.float32()), pa.int64(), pa.int64(), pa.string(), pa.int32()]
+#: Failures that are told by a row; others end the job.
+_TOLD = (SemanticUnavailable, InvalidBatch, InvalidVector)
+
+
+def _rounds(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
+    """(ids, texts), so many as one round of requests takes."""
+    ids, texts, size = [], [], 0
+    for b in batches:
+        for i, text in zip(b["chunk_id"].to_pylist(), b["text"].to_pylist()):
+            n = len(text.encode())
+            if ids and (len(ids) == ROUND_ITEMS or size + n > ROUND_BYTES):
+                yield ids, texts
+                ids, texts, size = [], [], 0
+            ids.append(i)
+            texts.append(text)
+            size += n
+    if ids:
+        yield ids, texts
+
+
+def embedded(chunks: DataFrame, embedder: Embedder, clients: int = CLIENTS) -> DataFrame:
+    """(chunk_id, values, requests, usage_tokens, error, attempts) of chunks (chunk_id, text), by tasks.
+
+    Texts go from where they are read to the provider. There are ``clients`` tasks, so no more than that many times the embedder's own
+    requests are in flight. A round's requests and tokens stand in its first row. A failure is a row with its class and ends its task's
+    work: were it the task's, Spark would send the same texts again.
+    """
+    profile = embedder.profile()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in _EMBEDDED.split(", ")]
+        for ids, texts in _rounds(batches):
+            n = len(ids)
+            try:
+                found = checked_batch(embedder.embed(texts), n, profile)
+                columns = [ids, found.vectors, [found.requests] + [0] * (n - 1), [found.usage_tokens] + [0] * (n - 1), [None] * n, [0] * n]
+            except _TOLD as e:
+                columns = [[None], [None], [0], [0], [type(e).__name__], [getattr(e, "attempts", 0)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _TYPES)], names=names)
+            if columns[4][0]:
+                return
+
+    return chunks.select("chunk_id", "text").repartition(clients).mapInArrow(run, _EMBEDDED)
+
+
+def outcome(rows: DataFrame) -> tuple[int, int, int]:
+    """(dimensions, requests, tokens) of a stored table of ``embedded`` rows, or the error that one of them tells."""
+    size = F.size("values")
+    r = rows.agg(F.min("error"), F.max("attempts"), F.min(F.when(size >= 0, size)), F.max(size), F.sum("requests"), F.sum("usage_tokens")).first()
+    if r[0]:
+        kind = getattr(model, r[0])
+        raise kind(attempts=r[1]) if kind is SemanticUnavailable else kind("embedding failed")
+    if r[2] != r[3]:
+        raise InvalidBatch("vectors of different lengths")
+    return r[3] or 0, r[4] or 0, r[5] or 0

@@ -5,6 +5,8 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 
 from tessera import model as m
+from tessera.plans import build
+from tessera.sources import embedding
 from tessera.sources.embedding import Batch, HashEmbedder, HttpEmbedder, ProviderConfig, checked_batch, unit
 
 
@@ -107,3 +109,55 @@ def test_batches_are_checked():
     for v in ([0.0] * 8, [float("nan")] * 8, [1.0]):
         with pytest.raises(m.InvalidVector):
             checked_batch(Batch(e.profile(), 8, [v, v], 1), 2, e.profile())
+
+
+def rows_of(spark, n):
+    return spark.createDataFrame([(f"c{i:03}", "x" * (i + 1)) for i in range(n)], "chunk_id string, text string").repartition(5)
+
+
+def remote(url, **settings):
+    return HttpEmbedder(ProviderConfig(url, "model", **settings))
+
+
+def test_a_table_is_embedded_by_tasks(spark, provider, monkeypatch):
+    url, seen, plan = provider
+    plan[:] = [(503, None), (200, None), (429, None), (200, None)]
+    vectors, space, requests, tokens = build.embed_chunks(rows_of(spark, 150), remote(url, batch_items=8), clients=3)
+    got = {r.chunk_id: list(r["values"]) for r in vectors.collect()}
+    assert got == {f"c{i:03}": unit([i + 1.0, 1.0]) for i in range(150)}  # each id has its own text's vector
+    sent = sorted(t for _, body, _ in seen for t in body["input"])
+    assert space.dimensions == 2 and tokens == 150 and requests == len(seen) and len(sent) - 150 in (8, 16) and max(len(body["input"]) for _, body, _ in seen) == 8
+
+
+def test_rounds_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(embedding, "ROUND_ITEMS", 7)
+    batches = rows_of(spark, 40).toArrow().to_batches()
+    assert [len(ids) for ids, _ in embedding._rounds(iter(batches))] == [7, 7, 7, 7, 7, 5]
+    monkeypatch.setattr(embedding, "ROUND_BYTES", 100)
+    assert all(sum(map(len, texts)) <= 100 or len(texts) == 1 for _, texts in embedding._rounds(iter(batches)))
+
+
+def test_failures_of_tasks_are_told_once(spark, provider):
+    url, seen, plan = provider
+    plan[:] = [(401, None)]
+    with pytest.raises(m.SemanticUnavailable) as e:
+        build.embed_chunks(rows_of(spark, 20), remote(url), clients=2)
+    assert e.value.attempts == 1 and len(seen) <= 2  # a task's failure isn't tried again
+    plan[:] = [(200, lambda r: r | {"data": r["data"][1:]})]
+    with pytest.raises(m.InvalidBatch):
+        build.embed_chunks(rows_of(spark, 20), remote(url), clients=2)
+    plan[:] = [(200, lambda r: r | {"data": [d | {"embedding": [0.0, 0.0]} for d in r["data"]]})]
+    with pytest.raises(m.VectorIntegrity):
+        build.embed_chunks(rows_of(spark, 20), remote(url), clients=2)
+    plan[:] = [(200, None), (200, lambda r: r | {"data": [d | {"embedding": [1.0]} for d in r["data"]]})]
+    with pytest.raises(m.InvalidBatch):
+        build.embed_chunks(rows_of(spark, 20), remote(url), clients=2)
+
+
+def test_the_first_failure_stops_the_others(provider):
+    """A request that fails late in the list isn't waited for behind those before it."""
+    url, seen, plan = provider
+    plan[:] = [(401, None), (200, None)]
+    with pytest.raises(m.SemanticUnavailable):
+        client(url, batch_items=1).embed(["x"] * 60)
+    assert len(seen) < 30

@@ -95,3 +95,101 @@ def test_secret_assignments_in_columns_equal_the_plain_reading(spark):
     got = {r.i: r.found for r in frame.collect()}
     assert sum(got.values()) > 500 and all(got[i] == gates.has_secret_line(t) for i, t in enumerate(texts))
     assert spark.createDataFrame([(None,)], "t string").select(gates.secret_assignment(F.col("t"))).first()[0] is False
+
+
+def same(spark, root):
+    """The scan's files and report, after a look that they are the walk's."""
+    files, report, _ = tree.scan(spark, root)
+    with tree.Tree(root) as t:
+        walked = [(f.path, f.language, f.content) for f in t.walk()]
+        assert vars(t.report) == vars(report)
+    got = sorted((r.path, r.language, bytes(r.content)) for r in files.collect())
+    assert got == sorted(walked)
+    return got, report
+
+
+def test_a_scan_in_parts_equals_the_walk(tmp_path, spark, monkeypatch):
+    monkeypatch.setattr(tree, "PART_ENTRIES", 7)
+    root = str(tmp_path / "root")
+    for i in range(60):
+        write(root, f"{'abc'[i % 3]}/{i % 5}/f{i}.{('py', 'ts', 'js', 'go', 'min.js')[i % 5]}", b"x = %d\n" % i)
+    for i in range(20):
+        write(root, f"many/n{i:02}.py", b"y\n" * i)
+    write(root, "nested/.Git/config")
+    write(root, "nested/deep/lost.py")
+    write(root, "a/.git")  # a file of that name makes a nested repository as well
+    write(root, "large.py", b"x" * (gates.MAX_FILE_BYTES + 1))
+    write(root, "b/token.py", b"token = 'x'")
+    os.symlink("/etc", os.path.join(root, "link"))
+    os.symlink("b", os.path.join(root, "folder.py"))
+    os.makedirs(os.path.join(root, "empty/inside"))
+    got, report = same(spark, root)
+    assert report.excluded["nested_repository"] == 2 and report.excluded["symlink"] == 2 and len(got) > 30 and not [p for p, *_ in got if p.startswith(("a/", "nested/", "link"))]
+    slices = tree.plan(root)[1]
+    assert max(s.last - s.first for s in slices) == 7 and len(tree.parts(slices, 7)) > 8
+    os.makedirs(tmp_path / "none")
+    assert same(spark, str(tmp_path / "none"))[0] == []
+
+
+def test_contents_are_read_by_tasks(tmp_path, spark, monkeypatch):
+    write(str(tmp_path), "src/a.py")
+    monkeypatch.setattr(tree, "_entry", None)  # the driver's process inspects nothing
+    assert [r.path for r in tree.scan(spark, str(tmp_path))[0].collect()] == ["src/a.py"]
+
+
+def read(root, slices):
+    fd = tree._open_root(root)
+    try:
+        return [e.path for s in slices for e in tree.read_slice(fd, s)]
+    finally:
+        os.close(fd)
+
+
+def test_what_changes_after_the_plan_is_an_error(tmp_path):
+    def fresh(name):
+        root = str(tmp_path / name)
+        for path in ("src/a.py", "src/sub/b.py", "c.py"):
+            write(root, path)
+        return root, tree.plan(root)[1]
+
+    root, slices = fresh("same")
+    assert sorted(read(root, slices)) == ["c.py", "src/a.py", "src/sub/b.py"]
+
+    def changed(name, how):
+        root, slices = fresh(name)
+        how(root)
+        with pytest.raises(tree.ScanError) as e:
+            read(root, slices)
+        assert root not in str(e.value)
+        return e.value.step
+
+    assert changed("new", lambda r: write(r, "src/new.py")) == "entry-changed"
+    assert changed("gone", lambda r: os.remove(os.path.join(r, "src/a.py"))) == "entry-changed"
+
+    def other_folder(r):
+        os.rename(os.path.join(r, "src/sub"), os.path.join(r, "old"))
+        write(r, "src/sub/b.py")
+
+    assert changed("other", other_folder) == "entry-changed"
+
+    def link_instead(r):
+        os.rename(os.path.join(r, "src"), str(tmp_path / "moved"))
+        os.symlink(str(tmp_path / "moved"), os.path.join(r, "src"))
+
+    assert changed("link", link_instead) in ("open-entry", "entry-changed")
+
+    def folder_for_file(r):
+        os.remove(os.path.join(r, "c.py"))
+        os.makedirs(os.path.join(r, "c.py"))
+
+    assert changed("kind", folder_for_file) == "entry-changed"
+
+
+def test_errors_of_a_scan_name_no_path(tmp_path, spark):
+    with pytest.raises(tree.ScanError) as e:
+        tree.scan(spark, str(tmp_path / "missing"))
+    assert e.value.step == "open-root" and str(tmp_path) not in str(e.value)
+    write(str(tmp_path), "src/a\x07b.py")
+    with pytest.raises(tree.ScanError) as e:
+        tree.scan(spark, str(tmp_path))
+    assert e.value.step == "invalid-path" and "src" not in str(e.value)
