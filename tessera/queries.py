@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import digests, text
 from tessera.model import SCAN_POLICY, Filter
-from tessera.operators import evaluate, gates, merkle, search
+from tessera.operators import evaluate, gates, merkle, postings, search
 from tessera.plans import evaluation, store
 from tessera.session import stored, table
 
@@ -123,6 +123,32 @@ def lexical_multi_filter(spark, sf_dir):
     return search.lexical_search(chunks(spark, sf_dir), "les src1 der", 15, BOTH).select(*LEXICAL)
 
 
+def inverted(spark, sf_dir):
+    """Chunks with tokens, and their postings."""
+    c = stored(search.with_tokens(chunks(spark, sf_dir)), "chunks")
+    return c, stored(postings.postings(c), "postings")
+
+
+@query(ORACLES["lexical_topk"])
+def postings_topk(spark, sf_dir):
+    return postings.search(*inverted(spark, sf_dir), TERMS, 20).select(*LEXICAL)
+
+
+@query(ORACLES["lexical_filtered"])
+def postings_filtered(spark, sf_dir):
+    return postings.search(*inverted(spark, sf_dir), TERMS, 20, PREFIX).select(*LEXICAL)
+
+
+@query(ORACLES["lexical_lang"])
+def postings_lang(spark, sf_dir):
+    return postings.search(*inverted(spark, sf_dir), "der Und DER", 15, Filter(languages=("de",))).select(*LEXICAL)
+
+
+@query(ORACLES["lexical_multi_filter"])
+def postings_multi_filter(spark, sf_dir):
+    return postings.search(*inverted(spark, sf_dir), "les src1 der", 15, BOTH).select(*LEXICAL)
+
+
 @query(f"WITH {CHUNKS_SQL} SELECT chunk_id, path FROM chunks WHERE {PREFIX_SQL}")
 def path_prefix_filter(spark, sf_dir):
     return chunks(spark, sf_dir).where(text.matches(PREFIX)).select("chunk_id", "path")
