@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.functions.text import bound, checked, matches, token_set
+from tessera.functions.text import bound, checked, matches, reference_ok, token_set
 from tessera.model import EvidenceIntegrity, Filter, InvalidConfig, InvalidQuery, InvalidQueryVector, valid_reference
 
 TEXT_WEIGHT, SYMBOL_WEIGHT, PATH_WEIGHT = 0.6, 0.3, 0.1
@@ -248,6 +248,16 @@ def validated(hits: Sequence) -> Sequence:
     return hits
 
 
+def hit_faults(hits: DataFrame) -> DataFrame:
+    """(chunk_id, fault) of the hits of a table that ``validated`` would refuse; fault: id, text, reference, score or repeated, the first that holds."""
+    sound = F.coalesce(reference_ok(F.col("path"), F.col("start_line"), F.col("end_line")), F.lit(False))
+    score = F.coalesce(~F.isnan("score") & (F.abs("score") < float("inf")), F.lit(False))
+    fault = F.when(F.coalesce("chunk_id", F.lit("")) == "", "id").when(F.coalesce("text", F.lit("")) == "", "text").when(~sound, "reference").when(~score, "score")
+    own = hits.select("chunk_id", fault.alias("fault")).where("fault IS NOT NULL")
+    again = hits.groupBy("chunk_id").agg(F.count("*").alias("n")).where("n > 1 AND chunk_id <> ''").select("chunk_id", F.lit("repeated").alias("fault"))
+    return own.unionByName(again)
+
+
 # --- hybrid ----------------------------------------------------------------------------------------
 
 

@@ -48,9 +48,15 @@ def ingest(spark: SparkSession, root: str) -> Corpus:
     return Corpus(stored(chunk_files(files).select(*_CORPUS), "corpus"), policy, report)
 
 
+def cost(chunks: DataFrame, most_chunks: int = MAX_CHUNKS, most_bytes: int = MAX_TEXT_BYTES) -> DataFrame:
+    """One row (chunks, bytes, admitted)."""
+    own = chunks.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes"))
+    return own.withColumn("admitted", (F.col("chunks") <= most_chunks) & (F.col("bytes") <= most_bytes))
+
+
 def check_cost(chunks: DataFrame, most_chunks: int = MAX_CHUNKS, most_bytes: int = MAX_TEXT_BYTES) -> tuple[int, int]:
-    n, size = chunks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    if n > most_chunks or size > most_bytes:
+    n, size, admitted = cost(chunks, most_chunks, most_bytes).first()
+    if not admitted:
         raise m.CostLimit("the corpus is larger than the limit")
     return n, size
 

@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from tessera import model as m
 from tessera.functions import digests
+from tessera.functions.text import reference_ok
 from tessera.operators import merkle, search
 from tessera.operators.ordinals import numbered
 
@@ -109,11 +110,17 @@ def beside(vectors: DataFrame, chunks: DataFrame) -> DataFrame:
     return both.select([f.split()[0] for f in m.VECTOR.split(", ")]).repartitionByRange(parts, "ordinal", "chunk_id").sortWithinPartitions("ordinal", "chunk_id")
 
 
-def check_chunks(chunks: DataFrame) -> None:
-    from tessera.functions.text import reference_ok
+def chunk_faults(chunks: DataFrame) -> DataFrame:
+    """One row (chunks, least, most, invalid, repeated): how many, their smallest and largest id, those that are no chunk, and ids of several."""
+    sound = F.coalesce((F.col("chunk_id") != "") & (F.col("text") != "") & reference_ok(F.col("path"), F.col("start_line"), F.col("end_line")), F.lit(False))
+    own = chunks.groupBy("chunk_id").agg(F.count("*").alias("n"), F.count_if(~sound).alias("invalid"))
+    return own.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("chunks"), F.min("chunk_id").alias("least"), F.max("chunk_id").alias("most"), F.coalesce(F.sum("invalid"), F.lit(0)).alias("invalid"), F.count_if(F.col("n") > 1).alias("repeated"))
+
 
-    bad = ~F.coalesce((F.col("chunk_id") != "") & (F.col("text") != "") & reference_ok(F.col("path"), F.col("start_line"), F.col("end_line")), F.lit(False))
-    if chunks.where(bad).limit(1).count() or chunks.groupBy("chunk_id").count().where("count > 1").limit(1).count():
+def check_chunks(chunks: DataFrame) -> None:
+    found = chunk_faults(chunks).first()
+    if found["invalid"] or found["repeated"]:
         raise m.InvalidCorpus("invalid or repeated chunk")
 
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tessera import model as m
 from tessera.operators import merkle, search
-from tessera.plans import retrieve
+from tessera.plans import build, retrieve
+from tessera.plans import store as store_plans
 from tessera.plans.snapshot import Snapshots
 from tessera.plans.store import BoundReader, Store
 from tessera.queries import CHUNKS_SQL, DIMS, SIMPLE, TOKENS_SQL, axis_query, chunks, fused_sql, lexical_sql, query, vectors
-from tessera.session import local_folder
+from tessera.session import local_folder, stored
+from tessera.sources import embedding
 from tessera.sources.embedding import Batch, HashEmbedder
 
 REPO, POLICY = "repository", m.SCAN_POLICY
@@ -179,3 +181,51 @@ def snapshot_rollback(spark, sf_dir):
     snapshots.mark(REPO, POLICY, "0" * 64, manifest.generation_id)
     snapshots.mark(REPO, POLICY, snapshots.replace(REPO, rows, POLICY), manifest.generation_id)
     return snapshots.rollback(REPO, manifest).select("chunk_id", "path", F.lit(manifest.generation_id).alias("generation"))
+
+
+#: Chunks of which some are none, and some have another's id.
+SPOILT = "CASE doc_id % 11 WHEN 1 THEN '' WHEN 2 THEN CAST(doc_id - 2 AS STRING) ELSE CAST(doc_id AS STRING) END"
+SPOILT_SQL = f"""{CHUNKS_SQL}, spoilt AS (SELECT {SPOILT.replace('STRING', 'VARCHAR')} AS chunk_id, CASE WHEN doc_id % 11 = 3 THEN '' ELSE c.text END AS text, CASE WHEN doc_id % 11 = 4 THEN '../' || path WHEN doc_id % 11 = 5 THEN NULL ELSE path END AS path,
+  start_line, CASE WHEN doc_id % 11 = 6 THEN 0 ELSE end_line END AS end_line, CASE doc_id % 11 WHEN 7 THEN 'nan'::DOUBLE WHEN 8 THEN 'inf'::DOUBLE WHEN 9 THEN NULL ELSE 0.5 END AS score
+  FROM chunks c JOIN documents ON doc_id::VARCHAR = chunk_id)"""
+WRONG_PLACE = "(path IS NULL OR path = '' OR starts_with(path, '../') OR start_line <= 0 OR end_line < start_line)"
+
+
+def spoilt(spark, sf_dir) -> DataFrame:
+    c = chunks(spark, sf_dir).withColumn("doc_id", F.col("chunk_id").cast("long"))
+    k = F.col("doc_id") % 11
+    return c.select(
+        F.expr(SPOILT).alias("chunk_id"), F.when(k == 3, "").otherwise(F.col("text")).alias("text"), F.when(k == 4, F.concat(F.lit("../"), "path")).when(k != 5, F.col("path")).alias("path"), "start_line",
+        F.when(k == 6, 0).otherwise(F.col("end_line")).alias("end_line"), F.when(k == 7, float("nan")).when(k == 8, float("inf")).when(k != 9, 0.5).alias("score"))
+
+
+@query(f"""WITH {SPOILT_SQL}, n AS (SELECT chunk_id, count(*) AS n, count(*) FILTER (WHERE coalesce(chunk_id, '') = '' OR coalesce(text, '') = '' OR {WRONG_PLACE}) AS invalid FROM spoilt GROUP BY 1)
+  SELECT sum(n)::BIGINT AS chunks, min(chunk_id) AS least, max(chunk_id) AS most, sum(invalid)::BIGINT AS invalid, count(*) FILTER (WHERE n > 1)::BIGINT AS repeated FROM n""")
+def corpus_faults(spark, sf_dir):
+    return store_plans.chunk_faults(spoilt(spark, sf_dir))
+
+
+@query(f"""WITH {SPOILT_SQL} SELECT chunk_id, CASE WHEN coalesce(chunk_id, '') = '' THEN 'id' WHEN coalesce(text, '') = '' THEN 'text' WHEN {WRONG_PLACE} THEN 'reference' ELSE 'score' END AS fault FROM spoilt
+  WHERE coalesce(chunk_id, '') = '' OR coalesce(text, '') = '' OR {WRONG_PLACE} OR score IS NULL OR isnan(score) OR isinf(score)
+  UNION ALL SELECT chunk_id, 'repeated' FROM spoilt WHERE chunk_id <> '' GROUP BY 1 HAVING count(*) > 1""")
+def hit_faults(spark, sf_dir):
+    return search.hit_faults(spoilt(spark, sf_dir))
+
+
+@query("SELECT count(*)::BIGINT AS chunks, coalesce(sum(strlen(text)), 0)::BIGINT AS bytes, count(*) <= 20000 AND coalesce(sum(strlen(text)), 0) <= 64 * 1048576 AS admitted FROM documents")
+def corpus_cost(spark, sf_dir):
+    return build.cost(chunks(spark, sf_dir))
+
+
+#: Words of a text hashed into dimensions, with signs; scaled to length 1.
+HASHED_SQL = rf"""{CHUNKS_SQL}, w AS (SELECT chunk_id, unnest(list_filter(regexp_split_to_array(lower(text), '[\t-\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+'), lambda x: x <> '')) AS word FROM chunks WHERE text <> ''),
+  h AS (SELECT chunk_id, sha256(word) AS s FROM w), a AS (SELECT chunk_id, ('0x' || s[15:16])::INTEGER % {DIMS} AS k, sum(CASE WHEN s[1] IN ('0', '1', '2', '3', '4', '5', '6', '7') THEN -1 ELSE 1 END)::DOUBLE AS v FROM h GROUP BY 1, 2),
+  t AS (SELECT chunk_id, max(abs(v)) AS most, count(*) FILTER (WHERE v <> 0) AS n, sqrt(sum(v * v)) AS length, coalesce(sum(v) FILTER (WHERE k = 0), 0) AS first, coalesce(sum(v) FILTER (WHERE k = {DIMS - 1}), 0) AS last FROM a GROUP BY 1)"""
+
+
+@query(f"WITH {HASHED_SQL} SELECT chunk_id, n::BIGINT AS n, round((first / length)::FLOAT::DOUBLE, 5) + 0.0 AS first, round((last / length)::FLOAT::DOUBLE, 5) + 0.0 AS last FROM t WHERE most > 0")
+def embed_corpus(spark, sf_dir):
+    rows = stored(embedding.embedded(corpus(spark, sf_dir), HashEmbedder(DIMS)), "embedded")
+    embedding.outcome(rows)
+    near = lambda i: F.round(F.get("values", F.lit(i)).cast("double"), 5) + 0.0
+    return rows.select("chunk_id", F.size(F.filter("values", lambda x: x != 0)).cast("long").alias("n"), near(0).alias("first"), near(DIMS - 1).alias("last"))
