@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -46,8 +49,26 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or LOCAL_SCRATCH
 
 
+#: The folder of the run that is going on, if it has one of its own.
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """What is stored within goes into one folder of the shared one, which is removed at the end: write results before."""
+    folder = f"{shared_folder(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}/run-{uuid.uuid4().hex[:12]}"
+    token = _RUN.set(folder)
+    try:
+        yield folder
+    finally:
+        _RUN.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex[:12]}"
+    own = _RUN.get() or f"{shared_folder(spark).rstrip('/')}/tessera-{spark.sparkContext.applicationId}"
+    return f"{own}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
 def local_folder(spark: SparkSession, tag: str) -> str:
