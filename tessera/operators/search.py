@@ -171,6 +171,7 @@ def cosine(left: Column, right: Column) -> Column:
 #: Longer vectors are scored a batch at a time outside the JVM: its array functions aren't compiled, and take about
 #: 100 ns a component. The sums run over the components in the same order, so both ways give the same doubles.
 COMPILED_DIMENSIONS = 128
+_COMPONENTS = 64
 
 
 def cosine_batches(values: Column, query: Sequence[float]) -> Column:
@@ -182,12 +183,14 @@ def cosine_batches(values: Column, query: Sequence[float]) -> Column:
     @F.arrow_udf(T.DoubleType())
     def score(rows: pa.Array) -> pa.Array:
         fits = pc.fill_null(pc.equal(pc.list_value_length(rows), len(q)), False).to_numpy(zero_copy_only=False)
-        columns = rows.filter(pa.array(fits)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(q)).T.astype(np.float64)
-        dot, left, right = np.zeros(columns.shape[1]), np.zeros(columns.shape[1]), 0.0
-        for x, y in zip(columns, q.tolist()):
-            dot += x * y
-            left += x * x
-            right += y * y
+        vectors = (rows if fits.all() else rows.filter(pa.array(fits))).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(q))
+        dot, left, right = np.zeros(len(vectors)), np.zeros(len(vectors)), 0.0
+        part = np.empty(len(vectors))
+        for at in range(0, len(q), _COMPONENTS):  # a component of all vectors at a time, from a small copy where it lies together
+            for x, y in zip(vectors[:, at : at + _COMPONENTS].T.astype(np.float64, order="C"), q[at : at + _COMPONENTS].tolist()):
+                dot += np.multiply(x, y, out=part)
+                left += np.multiply(x, x, out=part)
+                right += y * y
         with np.errstate(invalid="ignore", divide="ignore"):
             found = dot / np.sqrt(left * right)
         found[(found > 1) & (found <= 1 + 1e-12)] = 1.0
