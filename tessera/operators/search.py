@@ -93,7 +93,7 @@ def lexical_batch(chunks: DataFrame, cases: DataFrame, limit: int = 10) -> DataF
     """``lexical_search`` for many queries at once: (case_id, rank from 1, chunk_id, score) from cases (case_id, query).
 
     Chunks' stored tokens and the queries' terms are joined by term. What a case finds in a chunk is a mark a term and field, merged
-    where the chunk lies; the weights of the marks are added in the order of the query's terms, so scores are the same doubles. The
+    where the chunk lies, so that no match is shuffled; the weights of the marks are added in the order of the query's terms, so scores are the same doubles. The
     best of each case are cut where they are before they are shuffled (WindowGroupLimit). Two jobs, however many cases. A case
     whose query has no token is an error; ids tell cases apart.
     """
@@ -105,7 +105,9 @@ def lexical_batch(chunks: DataFrame, cases: DataFrame, limit: int = 10) -> DataF
         raise InvalidQuery("a query has no token")
     words = range(-(-(most or 1) // _TERMS_A_WORD))
     terms = terms.select("case_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("i", "term"))
-    postings = chunks.select(*LEXICAL_ORDER, F.explode(F.concat(*(_standing(f"{field}_tokens", k) for k, (field, _) in enumerate(_FIELDS)))).alias("p")).select(*LEXICAL_ORDER, "p.*")
+    # dealt by chunk before its tokens meet the terms: matches, of which there are far more than tokens, are then merged and cut where they lie
+    dealt = chunks.select(*LEXICAL_ORDER, *(f"{field}_tokens" for field, _ in _FIELDS)).repartition("chunk_id")
+    postings = dealt.select(*LEXICAL_ORDER, F.explode(F.concat(*(_standing(f"{field}_tokens", k) for k, (field, _) in enumerate(_FIELDS)))).alias("p")).select(*LEXICAL_ORDER, "p.*")
     mark = F.expr(f"shiftleft(1L, i % {_TERMS_A_WORD} * {len(_FIELDS)} + field)")
     own = [F.bit_or(F.when(F.floor(F.col("i") / _TERMS_A_WORD) == k, mark).otherwise(F.lit(0).cast("long"))).alias(f"marks_{k}") for k in words]
     matched = postings.join(terms, "term").groupBy("case_id", "n_terms", *LEXICAL_ORDER).agg(*own)
