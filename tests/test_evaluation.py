@@ -139,7 +139,8 @@ def jobs(spark, run):
     return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
 
-def test_many_queries_in_one_plan_give_the_same_hits(spark):
+def test_many_queries_in_one_plan_give_the_same_hits(spark, monkeypatch):
+    from tessera.operators import search
     from tessera.operators.search import lexical_batch, lexical_search
 
     chunks = source_chunks(spark).cache()
@@ -150,6 +151,9 @@ def test_many_queries_in_one_plan_give_the_same_hits(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     dealt = [line.split("hashpartitioning(")[1].split("#")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
     assert plan.count("WindowGroupLimit") == 2 and dealt == ["case_id", "chunk_id"]  # the best of a case, and chunks: no match
+    monkeypatch.setattr(search, "BATCH_BYTES", 0)
+    many = lexical_batch(chunks, cases, 7)
+    assert "SortMergeJoin" in many._jdf.queryExecution().executedPlan().toString() and sorted(many.collect()) == sorted(found.collect())
     got = sorted((r.case_id, r["rank"], r.chunk_id, r.score) for r in found.collect())
     want = [(f"q{i}", k, r.chunk_id, r.score) for i, q in enumerate(queries) for k, r in enumerate(lexical_search(chunks, q, 7).collect(), 1)]
     assert got == want and len(want) > 30
