@@ -1,26 +1,38 @@
-"""The default index: one JSON file per repository, replaced in one step; and its use as a rollback of a store."""
+"""The default index: one generation of chunks per repository, replaced in one step; and its use as a rollback of a store.
+
+    <root>/<hash>.json             the head: what the snapshot is of, and in which folder its chunks lie; swapped by an atomic rename
+    <root>/<hash>.<token>/chunks/  the chunks in the order of a walk, written and read by tasks
+    <root>/<hash>.rollback         the marker
+
+The head is small whatever the corpus, so a snapshot has no largest size. A writer holds its folder's lease until its head stands.
+The folder that a snapshot replaces stays until the next one, as frames that were loaded before still read it.
+"""
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import json
 import os
 import secrets
+import shutil
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera import model as m
-from tessera.functions import digests
 from tessera.operators.search import with_tokens
-from tessera.plans.store import walk
+from tessera.plans.store import _lease, _uri, chunk_faults, content_digest, in_order, revision
 from tessera.sources.strict_json import BadJson, loads, shaped
 
-VERSION = 2
+VERSION = 3
+#: Of a head.
 MAX_BYTES = 64 << 20
 MAX_MARKER_BYTES = 1024
-_ROW = {"chunk_id": str, "text": str, "language": str, "symbol_name": str, "path": str, "start_line": int, "end_line": int}
+_HEAD = {"version": int, "repository": str, "policy": str, "revision": str, "content": str, "chunks": int, "least": str, "most": str, "folder": str}
 _MARKER = {"version": int, "repository": str, "policy": str, "revision": str, "generation": str}
 _SCHEMA = "chunk_id string, text string, language string, symbol_name string, path string, start_line int, end_line int, ordinal int"
+_COLUMNS = [x.split() for x in _SCHEMA.split(", ")][:-1]
 
 
 def _name(repository_id: str) -> str:
@@ -54,38 +66,88 @@ class Snapshots:
     def _path(self, repository_id: str, kind: str = "json") -> str:
         return os.path.join(self.root, f"{_name(repository_id)}.{kind}")
 
-    def replace(self, repository_id: str, chunks: DataFrame, policy: str) -> str:
-        """Write the snapshot; its revision. The rollback marker goes first, as it no longer fits."""
-        rows = [r.asDict() for r in chunks.orderBy(*walk()).select(*_ROW).collect()]  # cost is checked before
-        if len({r["chunk_id"] for r in rows}) != len(rows) or any(not r["chunk_id"] or not r["text"] or not m.valid_reference(r["path"], r["start_line"], r["end_line"]) for r in rows):
-            raise m.InvalidChunk("invalid chunk")
-        revision = digests.revision_of(policy, sorted(r["chunk_id"] for r in rows))
-        data = json.dumps({"version": VERSION, "repository": repository_id, "policy": policy, "revision": revision, "chunks": rows}, ensure_ascii=False).encode()
-        if len(data) > MAX_BYTES:
-            raise m.SnapshotTooLarge("the snapshot is larger than the limit")
-        self.unmark(repository_id)
-        _replace(self._path(repository_id), data)
-        return revision
+    def _rows(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(_SCHEMA).parquet(_uri(os.path.join(self.root, folder, "chunks")))
 
-    def load(self, repository_id: str, policy: str = m.SCAN_POLICY) -> tuple[DataFrame, str]:
-        """(chunks with tokens, revision), after all checks."""
+    def _head(self, repository_id: str) -> dict:
         try:
             with open(self._path(repository_id), "rb") as f:
                 data = f.read(MAX_BYTES + 1)
         except FileNotFoundError:
             raise m.NotFound("no snapshot") from None
         if len(data) > MAX_BYTES:
-            raise m.SnapshotTooLarge("the snapshot is larger than the limit")
+            raise m.SnapshotTooLarge("the snapshot's head is larger than the limit")
         try:
-            root = shaped(loads(data, MAX_BYTES), {"version": int, "repository": str, "policy": str, "revision": str, "chunks": list})
-            rows = [shaped(r, _ROW) for r in root["chunks"]]
+            head = shaped(loads(data, MAX_BYTES), _HEAD)
         except BadJson:
             raise m.ReindexRequired("another snapshot format") from None
-        fits = (root["version"], root["repository"], root["policy"]) == (VERSION, repository_id, policy)
-        if not fits or digests.revision_of(policy, sorted(r["chunk_id"] for r in rows)) != root["revision"]:
+        name, _, token = head["folder"].partition(".")
+        if name != _name(repository_id) or not token.isalnum():
+            raise m.ReindexRequired("another snapshot's folder")
+        return head
+
+    def _folder(self, repository_id: str) -> str | None:
+        """Where the snapshot lies now, if there is one that can be read."""
+        try:
+            return self._head(repository_id)["folder"]
+        except m.EngineError:
+            return None
+
+    def replace(self, repository_id: str, chunks: DataFrame, policy: str) -> str:
+        """Write the snapshot; its revision. The rollback marker goes first, as it no longer fits."""
+        folder = f"{_name(repository_id)}.{secrets.token_hex(6)}"
+        place = os.path.join(self.root, folder)
+        os.mkdir(place, mode=0o700)
+        lease = _lease(place, fcntl.LOCK_EX)
+        try:
+            in_order(chunks.select(*(F.col(c).cast(kind) for c, kind in _COLUMNS))).write.parquet(_uri(f"{place}/chunks"))
+            rows = self._rows(folder)
+            found = chunk_faults(rows).first()
+            if found["invalid"] or found["repeated"]:
+                raise m.InvalidChunk("invalid chunk")
+            stated = revision(policy, rows)
+            head = {"version": VERSION, "repository": repository_id, "policy": policy, "revision": stated, "content": content_digest(rows), "chunks": found["chunks"], "least": found["least"] or "", "most": found["most"] or "", "folder": folder}
+            data = json.dumps(head, ensure_ascii=False).encode()
+            if len(data) > MAX_BYTES:
+                raise m.SnapshotTooLarge("the snapshot's head is larger than the limit")
+            before = self._folder(repository_id)
+            self.unmark(repository_id)
+            _replace(self._path(repository_id), data)
+        except BaseException:
+            shutil.rmtree(place, ignore_errors=True)
+            raise
+        finally:
+            os.close(lease)
+        self._clean(repository_id, before)
+        return stated
+
+    def _clean(self, repository_id: str, before: str | None) -> None:
+        """Remove the folders of earlier snapshots, but for the last one and those that are being written."""
+        for folder in os.listdir(self.root):
+            place = os.path.join(self.root, folder)
+            if not folder.startswith(f"{_name(repository_id)}.") or not os.path.isdir(place):
+                continue
+            lease = _lease(place, fcntl.LOCK_EX)
+            if lease is None:
+                continue
+            try:
+                if folder not in (before, self._folder(repository_id)):  # read under the lease: a writer gives it up once its head stands
+                    shutil.rmtree(place, ignore_errors=True)
+            finally:
+                os.close(lease)
+
+    def load(self, repository_id: str, policy: str = m.SCAN_POLICY) -> tuple[DataFrame, str]:
+        """(chunks with tokens, revision), after all checks."""
+        head = self._head(repository_id)
+        fits = (head["version"], head["repository"], head["policy"]) == (VERSION, repository_id, policy)
+        if not fits or not os.path.isdir(os.path.join(self.root, head["folder"], "chunks")):
+            raise m.ReindexRequired("another snapshot")
+        rows = self._rows(head["folder"])
+        found = chunk_faults(rows).first()
+        same = (found["chunks"], found["least"] or "", found["most"] or "", found["invalid"], found["repeated"]) == (head["chunks"], head["least"], head["most"], 0, 0)
+        if not same or revision(policy, rows) != head["revision"] or content_digest(rows) != head["content"]:
             raise m.ReindexRequired("another snapshot")
-        frame = self.spark.createDataFrame([(*(r[k] for k in _ROW), i) for i, r in enumerate(rows)], _SCHEMA)
-        return with_tokens(frame), root["revision"]
+        return with_tokens(rows), head["revision"]
 
     # the marker says that the snapshot holds the corpus of a store's generation
 
@@ -119,7 +181,7 @@ class Snapshots:
 
     def rollback(self, repository_id: str, manifest) -> DataFrame:
         """The snapshot's chunks, if marker, snapshot and the store's manifest agree."""
-        mark, (chunks, revision) = self.marker(repository_id), self.load(repository_id, manifest.scan_policy_version)
-        if (mark["policy"], mark["revision"], mark["generation"]) != (manifest.scan_policy_version, manifest.corpus_revision, manifest.generation_id) or revision != manifest.corpus_revision:
+        mark, (chunks, stated) = self.marker(repository_id), self.load(repository_id, manifest.scan_policy_version)
+        if (mark["policy"], mark["revision"], mark["generation"]) != (manifest.scan_policy_version, manifest.corpus_revision, manifest.generation_id) or stated != manifest.corpus_revision:
             raise m.ReindexRequired("the rollback doesn't fit the store")
         return chunks

@@ -226,6 +226,32 @@ def test_snapshots(spark, tmp_path, corpus):
         snapshots.load(REPO)
 
 
+def test_a_snapshot_larger_than_one_file_may_be(spark, tmp_path, corpus, monkeypatch):
+    from tessera.plans import snapshot
+    from tessera.plans.store import walk
+
+    monkeypatch.setattr(snapshot, "MAX_BYTES", 4096)
+    snapshots = Snapshots(spark, str(tmp_path / "s"), make=True)
+    texts = corpus.chunks.withColumn("text", F.concat("text", F.repeat(F.lit(" word"), 2000)))
+    revision = snapshots.replace(REPO, texts, POLICY)
+    before, again = snapshots.load(REPO)
+    wanted = sorted(map(tuple, texts.select("chunk_id", "text").collect()))
+    assert again == revision and sorted(map(tuple, before.select("chunk_id", "text").collect())) == wanted
+    assert [r["chunk_id"] for r in before.orderBy("ordinal").collect()] == [r["chunk_id"] for r in texts.orderBy(*walk()).collect()]
+    folders = lambda: [x for x in os.listdir(snapshots.root) if os.path.isdir(os.path.join(snapshots.root, x))]
+    snapshots.replace(REPO, texts.where("chunk_id <> 'c1'"), POLICY)
+    assert before.count() == 4 and snapshots.load(REPO)[0].count() == 3  # what was loaded before can still be read
+    snapshots.replace(REPO, texts, POLICY)
+    with pytest.raises(m.InvalidChunk):
+        snapshots.replace(REPO, texts.withColumn("chunk_id", F.lit("c1")), POLICY)
+    assert len(folders()) == 2 and snapshots.load(REPO)[1] == revision
+    place = os.path.join(snapshots.root, snapshots._head(REPO)["folder"], "chunks")
+    changed = spark.createDataFrame(spark.read.parquet(place).withColumn("text", F.concat("text", F.lit("!"))).collect(), snapshot._SCHEMA)
+    changed.write.mode("overwrite").parquet(place)
+    with pytest.raises(m.ReindexRequired):
+        snapshots.load(REPO)
+
+
 def test_rollback(spark, tmp_path, store, corpus):
     snapshots = Snapshots(spark, str(tmp_path / "s"), make=True)
     done = build.build(store, REPO, corpus)
