@@ -252,8 +252,10 @@ class Tree:
 # --- the same, in parts ------------------------------------------------------------------------------
 
 
-#: Entries in one part, at most, and bytes of contents that are handed on at a time, but for one larger file.
+#: Entries in one part, but for slices of very large folders, and bytes of contents that are handed on at a time, but for one larger file.
 PART_ENTRIES, SEND_BYTES = 512, 4 << 20
+#: Slices of one folder. Each lists the folder anew, so with slices of a fixed size a folder's listings would grow with the square of its names.
+FOLDER_SLICES = 64
 _ROW = "path string, language string, content binary, size long, reason string, eligible boolean, bucket string, error string"
 _ARROW = pa.schema([("path", pa.string()), ("language", pa.string()), ("content", pa.binary()), ("size", pa.int64()), ("reason", pa.string()), ("eligible", pa.bool_()), ("bucket", pa.string()), ("error", pa.string())])
 
@@ -293,9 +295,10 @@ def plan(root: str) -> tuple[tuple[int, int], list[Slice]]:
             info = _inspect(fd, name, path)
             if stat.S_ISDIR(info.st_mode) and not name_reason_of(name, True):
                 folders[name] = info
-        for at in range(0, len(names), PART_ENTRIES):
-            part = names[at : at + PART_ENTRIES]
-            slices.append(Slice(way, _listed(names), at, at + len(part), tuple(n for n in part if n in folders)))
+        step, listed = max(PART_ENTRIES, -(-len(names) // FOLDER_SLICES)), _listed(names)
+        for at in range(0, len(names), step):
+            part = names[at : at + step]
+            slices.append(Slice(way, listed, at, at + len(part), tuple(n for n in part if n in folders)))
         for name, info in folders.items():
             child = _open(fd, name, f"{where}/{name}" if where else name, _id(info), _FOLDER_FLAGS)
             try:
@@ -390,7 +393,7 @@ class TreeReader(DataSourceReader):
                     for e in read_slice(fd, s):
                         held.append(e)
                         size += len(e.content or b"")
-                        if size >= SEND_BYTES:
+                        if size >= SEND_BYTES or len(held) >= PART_ENTRIES:
                             yield self._batch(held)
                             held, size = [], 0
             finally:

@@ -131,6 +131,21 @@ def test_a_scan_in_parts_equals_the_walk(tmp_path, spark, monkeypatch):
     assert same(spark, str(tmp_path / "none"))[0] == []
 
 
+def test_a_folder_is_listed_a_bounded_number_of_times(tmp_path, spark, monkeypatch):
+    """However many names it has; with slices of a fixed size, listings grow with the square of the names."""
+    monkeypatch.setattr(tree, "PART_ENTRIES", 2)
+    root = str(tmp_path / "root")
+    for i in range(300):
+        write(root, f"many/n{i}.{('py', 'ts', 'md')[i % 3]}", b"x = %d\n" % i)
+    got, _ = same(spark, root)
+    hashed, listed = [], tree._listed
+    monkeypatch.setattr(tree, "_listed", lambda names: hashed.append(len(names)) or listed(names))
+    slices = tree.plan(root)[1]
+    assert len(got) == 200 and sorted(hashed) == [1, 300]  # the plan hashes a folder's names once
+    many = [s for s in slices if s.way]
+    assert len(many) <= 64 and sum(s.last - s.first for s in many) == 300 and len(tree.parts(slices, 2)) == len(slices)
+
+
 def test_contents_are_read_by_tasks(tmp_path, spark, monkeypatch):
     write(str(tmp_path), "src/a.py")
     monkeypatch.setattr(tree, "_entry", None)  # the driver's process inspects nothing
