@@ -85,6 +85,8 @@ _FIELDS = (("text", TEXT_WEIGHT), ("symbol", SYMBOL_WEIGHT), ("path", PATH_WEIGH
 _TERMS_A_WORD = 20
 #: Bytes of queries whose terms are broadcast; more are joined by a shuffle.
 BATCH_BYTES = 8 << 20
+#: Pairs of a chunk and a case, found or not, that one task may have to merge; of found ones it holds each, at up to about 200 bytes.
+BATCH_PAIRS = 2_000_000
 
 
 def _standing(tokens: str, field: int) -> Column:
@@ -96,13 +98,13 @@ def lexical_batch(chunks: DataFrame, cases: DataFrame, limit: int = 10) -> DataF
 
     Chunks' stored tokens and the queries' terms are joined by term. What a case finds in a chunk is a mark a term and field, merged
     where the chunk lies, so that no match is shuffled (for queries of up to ``BATCH_BYTES``); the weights of the marks are added in the order of the query's terms, so scores are the same doubles. The
-    best of each case are cut where they are before they are shuffled (WindowGroupLimit). Two jobs, however many cases. A case
+    best of each case are cut where they are before they are shuffled (WindowGroupLimit). Three jobs, however many cases; tasks grow in number, not in what each holds. A case
     whose query has no token is an error; ids tell cases apart.
     """
     if limit <= 0:
         raise InvalidQuery("invalid lexical query")
     terms = cases.select("case_id", token_set(F.col("query")).alias("terms"), F.octet_length("query").alias("size"))
-    least, most, size = terms.agg(F.min(F.size("terms")), F.max(F.size("terms")), F.sum("size")).first()
+    least, most, size, n = terms.agg(F.min(F.size("terms")), F.max(F.size("terms")), F.sum("size"), F.count("*")).first()
     few = (size or 0) <= BATCH_BYTES
     if least == 0:
         raise InvalidQuery("a query has no token")
@@ -110,7 +112,10 @@ def lexical_batch(chunks: DataFrame, cases: DataFrame, limit: int = 10) -> DataF
     terms = terms.select("case_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("i", "term"))
     dealt = chunks.select(*LEXICAL_ORDER, *(f"{field}_tokens" for field, _ in _FIELDS))
     if few:  # dealt by chunk before tokens meet terms: matches, of which there are far more than tokens, are then merged and cut where they lie
-        dealt, terms = dealt.repartition("chunk_id"), F.broadcast(terms)
+        parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() * n // BATCH_PAIRS))
+        dealt, terms = dealt.repartition(parts, "chunk_id"), F.broadcast(terms)
+    else:
+        terms = terms.hint("merge")
     postings = dealt.select(*LEXICAL_ORDER, F.explode(F.concat(*(_standing(f"{field}_tokens", k) for k, (field, _) in enumerate(_FIELDS)))).alias("p")).select(*LEXICAL_ORDER, "p.*")
     mark = F.expr(f"shiftleft(1L, i % {_TERMS_A_WORD} * {len(_FIELDS)} + field)")
     own = [F.bit_or(F.when(F.floor(F.col("i") / _TERMS_A_WORD) == k, mark).otherwise(F.lit(0).cast("long"))).alias(f"marks_{k}") for k in words]

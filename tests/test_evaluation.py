@@ -162,6 +162,33 @@ def test_many_queries_in_one_plan_give_the_same_hits(spark, monkeypatch):
     assert lexical_batch(chunks, cases.limit(0)).collect() == [] and lexical_batch(chunks.limit(0), cases).collect() == []
 
 
+def test_a_task_merges_a_bounded_number_of_pairs(spark, monkeypatch):
+    """However many chunks and cases there are; were the tasks' number fixed, what each holds would grow with the chunks."""
+    import re
+
+    from tessera.operators import search
+
+    chunks = source_chunks(spark).cache()
+    cases = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(["load", "user load", "cache x load", "x1", "py"])], "case_id string, query string")
+    dealt = lambda df: int(re.search(r"hashpartitioning\(chunk_id#\d+, (\d+)\)", df._jdf.queryExecution().executedPlan().toString()).group(1))
+    usual = search.lexical_batch(chunks, cases, 7)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert dealt(usual) == parts
+    monkeypatch.setattr(search, "BATCH_PAIRS", 3)
+    found, n = search.lexical_batch(chunks, cases, 7), chunks.count() * 5
+    assert dealt(found) == -(-n // 3) > parts and sorted(found.collect()) == sorted(usual.collect())
+
+
+def test_measures_do_not_depend_on_how_many_pairs_a_task_merges(spark, monkeypatch):
+    from tessera.operators import search
+
+    chunks = source_chunks(spark).cache()
+    cases, qrels = ev.automatic_cases(chunks, 50)
+    usual = [df.collect() for df in ev.measured(chunks, cases, qrels)]
+    monkeypatch.setattr(search, "BATCH_PAIRS", 3)
+    assert [df.collect() for df in ev.measured(chunks, cases, qrels)] == usual and usual[1][0]["hits"] > 0
+
+
 def test_the_number_of_jobs_does_not_depend_on_the_cases(spark, monkeypatch):
     monkeypatch.setattr(ev, "TIMED_CASES", 1)
     spark.conf.set("spark.sql.adaptive.enabled", "false")  # so that a query is a job
