@@ -268,6 +268,18 @@ def test_rollback(spark, tmp_path, store, corpus):
         snapshots.marker(REPO)
 
 
+def test_a_rollback_larger_than_one_file_may_be(spark, tmp_path, store, corpus, monkeypatch):
+    from tessera.plans import snapshot
+
+    monkeypatch.setattr(snapshot, "MAX_BYTES", 4096)
+    texts = corpus.chunks.withColumn("text", F.concat("text", F.repeat(F.lit(" word"), 2000)))
+    done = store.publish(REPO, texts, POLICY, None)
+    snapshots = Snapshots(spark, str(tmp_path / "s"), make=True)
+    snapshots.mark(REPO, POLICY, snapshots.replace(REPO, texts, POLICY), done.generation_id)
+    rows = snapshots.rollback(REPO, done)
+    assert sorted(map(tuple, rows.select("chunk_id", "text").collect())) == sorted(map(tuple, texts.select("chunk_id", "text").collect()))
+
+
 def test_digests_in_plans_equal_the_drivers(spark):
     ids = ["b", "é", "a", "Z"]
     df = spark.createDataFrame([(ids, "x", "éy")], "ids array<string>, a string, b string")
