@@ -1,7 +1,7 @@
 """The default index: one generation of chunks per repository, replaced in one step; and its use as a rollback of a store.
 
     <root>/<hash>.json             the head: what the snapshot is of, and in which folder its chunks lie; swapped by an atomic rename
-    <root>/<hash>.<token>/chunks/  the chunks in the order of a walk, written and read by tasks
+    <root>/<hash>.<token>/chunks/  the chunks by ranges of a walk's order, written and read by tasks; the head has each range's first ordinal
     <root>/<hash>.rollback         the marker
 
 The head is small whatever the corpus, so a snapshot has no largest size. A writer holds its folder's lease until its head stands.
@@ -21,17 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera import model as m
+from tessera.operators.ordinals import offsets, placed_in, ranged
 from tessera.operators.search import with_tokens
-from tessera.plans.store import _lease, _uri, chunk_faults, content_digest, in_order, revision
+from tessera.plans.store import CODEC, _lease, _uri, chunk_faults, content_digest, revision, walk
 from tessera.sources.strict_json import BadJson, loads, shaped
 
 VERSION = 3
 #: Of a head.
 MAX_BYTES = 64 << 20
 MAX_MARKER_BYTES = 1024
-_HEAD = {"version": int, "repository": str, "policy": str, "revision": str, "content": str, "chunks": int, "least": str, "most": str, "folder": str}
+_HEAD = {"version": int, "repository": str, "policy": str, "revision": str, "content": str, "chunks": int, "least": str, "most": str, "folder": str, "ranges": list}
 _MARKER = {"version": int, "repository": str, "policy": str, "revision": str, "generation": str}
 _SCHEMA = "chunk_id string, text string, language string, symbol_name string, path string, start_line int, end_line int, ordinal int"
+_STORED = _SCHEMA.replace("ordinal int", "ordinal long")
 _COLUMNS = [x.split() for x in _SCHEMA.split(", ")][:-1]
 
 
@@ -66,8 +68,11 @@ class Snapshots:
     def _path(self, repository_id: str, kind: str = "json") -> str:
         return os.path.join(self.root, f"{_name(repository_id)}.{kind}")
 
-    def _rows(self, folder: str) -> DataFrame:
-        return self.spark.read.schema(_SCHEMA).parquet(_uri(os.path.join(self.root, folder, "chunks")))
+    def _stored(self, folder: str) -> DataFrame:
+        return self.spark.read.schema(_STORED).parquet(_uri(os.path.join(self.root, folder, "chunks")))
+
+    def _rows(self, folder: str, ranges: list) -> DataFrame:
+        return placed_in(self._stored(folder), [tuple(r) for r in ranges], "ordinal").withColumn("ordinal", F.col("ordinal").cast("int"))
 
     def _head(self, repository_id: str) -> dict:
         try:
@@ -84,6 +89,8 @@ class Snapshots:
         name, _, token = head["folder"].partition(".")
         if name != _name(repository_id) or not token.isalnum():
             raise m.ReindexRequired("another snapshot's folder")
+        if any(not isinstance(r, list) or [type(x) for x in r] != [int, int] for r in head["ranges"]):
+            raise m.ReindexRequired("another snapshot format")
         return head
 
     def _folder(self, repository_id: str) -> str | None:
@@ -100,13 +107,14 @@ class Snapshots:
         os.mkdir(place, mode=0o700)
         lease = _lease(place, fcntl.LOCK_EX)
         try:
-            in_order(chunks.select(*(F.col(c).cast(kind) for c, kind in _COLUMNS))).write.parquet(_uri(f"{place}/chunks"))
-            rows = self._rows(folder)
+            ranged(chunks.select(*(F.col(c).cast(kind) for c, kind in _COLUMNS)), *walk(), name="ordinal").write.parquet(_uri(f"{place}/chunks"), compression=CODEC)
+            ranges = offsets(self._stored(folder), "ordinal")
+            rows = self._rows(folder, ranges)
             found = chunk_faults(rows).first()
             if found["invalid"] or found["repeated"]:
                 raise m.InvalidChunk("invalid chunk")
             stated = revision(policy, rows)
-            head = {"version": VERSION, "repository": repository_id, "policy": policy, "revision": stated, "content": content_digest(rows), "chunks": found["chunks"], "least": found["least"] or "", "most": found["most"] or "", "folder": folder}
+            head = {"version": VERSION, "repository": repository_id, "policy": policy, "revision": stated, "content": content_digest(rows), "chunks": found["chunks"], "least": found["least"] or "", "most": found["most"] or "", "folder": folder, "ranges": ranges}
             data = json.dumps(head, ensure_ascii=False).encode()
             if len(data) > MAX_BYTES:
                 raise m.SnapshotTooLarge("the snapshot's head is larger than the limit")
@@ -142,7 +150,7 @@ class Snapshots:
         fits = (head["version"], head["repository"], head["policy"]) == (VERSION, repository_id, policy)
         if not fits or not os.path.isdir(os.path.join(self.root, head["folder"], "chunks")):
             raise m.ReindexRequired("another snapshot")
-        rows = self._rows(head["folder"])
+        rows = self._rows(head["folder"], head["ranges"])
         found = chunk_faults(rows).first()
         same = (found["chunks"], found["least"] or "", found["most"] or "", found["invalid"], found["repeated"]) == (head["chunks"], head["least"], head["most"], 0, 0)
         if not same or revision(policy, rows) != head["revision"] or content_digest(rows) != head["content"]:

@@ -35,9 +35,12 @@ from tessera.functions import digests
 from tessera.functions.text import reference_ok
 from tessera.operators import merkle, search
 from tessera.operators.ordinals import numbered
+from tessera.session import scratch
 
 FORMAT = 3
 METRIC = "cosine"
+#: Of chunks on disk; texts and their tokens take much less than with the usual one.
+CODEC = "zstd"
 VECTOR_ENCODING = 1
 UNIT_TOLERANCE = 1e-4
 BUSY_S = 5.0
@@ -247,7 +250,8 @@ class Store:
             os.mkdir(staged, mode=0o700)
             lease = _lease(staged, fcntl.LOCK_EX)
         try:
-            search.with_tokens(in_order(chunks)).select([f.split()[0] for f in m.CHUNK.split(", ")]).write.parquet(_uri(f"{staged}/chunks"))
+            with scratch(self.spark):  # the ranges go once the chunks are written
+                search.with_tokens(in_order(chunks)).select([f.split()[0] for f in m.CHUNK.split(", ")]).write.parquet(_uri(f"{staged}/chunks"), compression=CODEC)
             rows = self.spark.read.schema(m.CHUNK).parquet(_uri(f"{staged}/chunks"))
             check_chunks(rows)
             if vectors is not None:

@@ -246,7 +246,7 @@ def test_a_snapshot_larger_than_one_file_may_be(spark, tmp_path, corpus, monkeyp
         snapshots.replace(REPO, texts.withColumn("chunk_id", F.lit("c1")), POLICY)
     assert len(folders()) == 2 and snapshots.load(REPO)[1] == revision
     place = os.path.join(snapshots.root, snapshots._head(REPO)["folder"], "chunks")
-    changed = spark.createDataFrame(spark.read.parquet(place).withColumn("text", F.concat("text", F.lit("!"))).collect(), snapshot._SCHEMA)
+    changed = spark.createDataFrame(spark.read.parquet(place).withColumn("text", F.concat("text", F.lit("!"))).collect(), snapshot._STORED)
     changed.write.mode("overwrite").parquet(place)
     with pytest.raises(m.ReindexRequired):
         snapshots.load(REPO)
