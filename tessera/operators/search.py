@@ -87,6 +87,8 @@ _TERMS_A_WORD = 20
 BATCH_BYTES = 8 << 20
 #: Pairs of a chunk and a case, found or not, that one task may have to merge; of found ones it holds each, at up to about 200 bytes.
 BATCH_PAIRS = 2_000_000
+#: The same of matches alone, where terms are joined by a shuffle.
+BATCH_MATCHES = 500_000
 
 
 def _standing(tokens: str, field: int) -> Column:
@@ -98,7 +100,8 @@ def lexical_batch(chunks: DataFrame, cases: DataFrame, limit: int = 10) -> DataF
 
     Chunks' stored tokens and the queries' terms are joined by term. What a case finds in a chunk is a mark a term and field, merged
     where the chunk lies, so that no match is shuffled (for queries of up to ``BATCH_BYTES``); the weights of the marks are added in the order of the query's terms, so scores are the same doubles. The
-    best of each case are cut where they are before they are shuffled (WindowGroupLimit). Three jobs, however many cases; tasks grow in number, not in what each holds. A case
+    best of each case are cut where they are before they are shuffled (WindowGroupLimit). Three jobs, however many cases (one more, which counts matches, where terms
+    are joined by a shuffle); tasks that merge grow in number, not in what each holds. A case
     whose query has no token is an error; ids tell cases apart.
     """
     if limit <= 0:
@@ -111,15 +114,21 @@ def lexical_batch(chunks: DataFrame, cases: DataFrame, limit: int = 10) -> DataF
     words = range(-(-(most or 1) // _TERMS_A_WORD))
     terms = terms.select("case_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("i", "term"))
     dealt = chunks.select(*LEXICAL_ORDER, *(f"{field}_tokens" for field, _ in _FIELDS))
+    least_parts = int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if few:  # dealt by chunk before tokens meet terms: matches, of which there are far more than tokens, are then merged and cut where they lie
-        parts = max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chunks.count() * n // BATCH_PAIRS))
+        parts = max(least_parts, -(-chunks.count() * n // BATCH_PAIRS))
         dealt, terms = dealt.repartition(parts, "chunk_id"), F.broadcast(terms)
     else:
         terms = terms.hint("merge")
     postings = dealt.select(*LEXICAL_ORDER, F.explode(F.concat(*(_standing(f"{field}_tokens", k) for k, (field, _) in enumerate(_FIELDS)))).alias("p")).select(*LEXICAL_ORDER, "p.*")
     mark = F.expr(f"shiftleft(1L, i % {_TERMS_A_WORD} * {len(_FIELDS)} + field)")
     own = [F.bit_or(F.when(F.floor(F.col("i") / _TERMS_A_WORD) == k, mark).otherwise(F.lit(0).cast("long"))).alias(f"marks_{k}") for k in words]
-    matched = postings.join(terms, "term").groupBy("case_id", "n_terms", *LEXICAL_ORDER).agg(*own)
+    met = postings.join(terms, "term")
+    if not few:  # matches, counted first, are dealt evenly before they are merged
+        each = lambda df, name: df.groupBy("term").agg(F.count("*").alias(name))
+        matches = each(postings, "a").join(each(terms, "b"), "term").agg(F.sum(F.col("a") * F.col("b"))).first()[0]
+        met = met.repartition(max(least_parts, -(-(matches or 0) // BATCH_MATCHES)), "case_id", "chunk_id")
+    matched = met.groupBy("case_id", "n_terms", *LEXICAL_ORDER).agg(*own)
     weight = F.array(*(F.lit(w) for _, w in _FIELDS))
     score = F.lit(0.0)
     for k in words:

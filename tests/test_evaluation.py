@@ -179,6 +179,28 @@ def test_a_task_merges_a_bounded_number_of_pairs(spark, monkeypatch):
     assert dealt(found) == -(-n // 3) > parts and sorted(found.collect()) == sorted(usual.collect())
 
 
+def test_a_task_merges_a_bounded_number_of_matches_of_joined_terms(spark, monkeypatch):
+    """So many queries that their terms aren't broadcast: the merge's tasks grow with what is found."""
+    import re
+
+    from tessera.operators import search
+
+    chunks = source_chunks(spark).cache()
+    queries = ["load", "user load", "cache x load", "x1", "py"]
+    cases = spark.createDataFrame([(f"q{i}", q) for i, q in enumerate(queries)], "case_id string, query string")
+    usual = sorted(search.lexical_batch(chunks, cases, 7).collect())
+    rows = chunks.select("text_tokens", "symbol_tokens", "path_tokens").collect()
+    n = sum(t in field for q in queries for t in search.query_terms(spark, q) for r in rows for field in r)
+    monkeypatch.setattr(search, "BATCH_BYTES", 0)
+    monkeypatch.setattr(search, "BATCH_MATCHES", 10)
+    found = search.lexical_batch(chunks, cases, 7)
+    dealt = re.findall(r"hashpartitioning\(([^)]*), (\d+)\)", re.sub(r"#\d+", "", found._jdf.queryExecution().executedPlan().toString()))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert ("case_id, chunk_id", str(-(-n // 10))) in dealt and n > 10 * parts and sorted(found.collect()) == usual
+    assert not [by for by, _ in dealt if "n_terms" in by]  # merged where they were dealt
+    assert search.lexical_batch(chunks, cases.where("case_id = 'q3'"), 7).count() == search.lexical_batch(chunks.limit(0), cases, 7).count() == 0
+
+
 def test_measures_do_not_depend_on_how_many_pairs_a_task_merges(spark, monkeypatch):
     from tessera.operators import search
 
